@@ -318,3 +318,232 @@ def q_box_stats(spark, d):
 def q_box_stats_lineitem(spark, d):
     return round_doubles(explore.box_stats(S.table(spark, d, "lineitem"),
                                            ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+# ======================================================================= E (rule-scored table)
+from ..operators import choose, corr, evaluate, split  # noqa: E402
+
+_CUM_SQL = """
+g AS (SELECT CAST(score AS DOUBLE) AS score, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+             CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+      FROM {src} WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY 1),
+c AS (SELECT score, pos, neg,
+             sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+             sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+             row_number() OVER (ORDER BY score DESC) AS r
+      FROM g),
+t AS (SELECT sum(pos) AS P, sum(neg) AS N, count(*) AS nd FROM g)"""
+
+
+def _auc_sql(src: str) -> str:
+    """AUC by the rank formula (average ranks), independent of the Spark algorithm."""
+    return f"""
+(SELECT (s - P * (P + 1) / 2.0) / (P * N) FROM (
+   SELECT sum(CASE WHEN label = 1 THEN rk + (c - 1) / 2.0 END) AS s,
+          sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS P, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS N
+   FROM (SELECT label, rank() OVER (ORDER BY score) AS rk, count(*) OVER (PARTITION BY score) AS c
+         FROM {src} WHERE score IS NOT NULL AND label IS NOT NULL)))"""
+
+
+def _metrics_sql(src: str, p: str) -> str:
+    """CTEs {p}cm .. {p}m computing n, accuracy, weighted precision/recall/F1, balanced accuracy."""
+    return f"""
+{p}cm AS (SELECT CAST(label AS DOUBLE) AS l, CAST(prediction AS DOUBLE) AS pr, count(*) AS c FROM {src} GROUP BY ALL),
+{p}act AS (SELECT l, sum(c) AS actual, sum(CASE WHEN l = pr THEN c ELSE 0 END) AS tp FROM {p}cm GROUP BY l),
+{p}prd AS (SELECT pr AS l, sum(c) AS predicted FROM {p}cm GROUP BY pr),
+{p}per AS (SELECT a.actual, a.tp,
+                  CASE WHEN coalesce(b.predicted, 0) > 0 THEN a.tp / b.predicted ELSE 0.0 END AS pp,
+                  a.tp / a.actual AS rr
+           FROM {p}act a LEFT JOIN {p}prd b ON a.l = b.l),
+{p}m AS (SELECT CAST(sum(actual) AS BIGINT) AS n, sum(tp) / sum(actual) AS accuracy,
+                sum(actual * pp) / sum(actual) AS weighted_precision,
+                sum(actual * rr) / sum(actual) AS weighted_recall,
+                sum(actual * CASE WHEN pp + rr > 0 THEN 2 * pp * rr / (pp + rr) ELSE 0.0 END) / sum(actual) AS weighted_f1,
+                avg(rr) AS balanced_accuracy
+         FROM {p}per)"""
+
+
+@query("auc_roc", with_(S.RULE_SQL, f"SELECT round({_auc_sql('rule')}, 6) AS auc_roc"))
+def q_auc_roc(spark, d):
+    return round_doubles(evaluate.auc_roc(S.rule_scores(spark, d)))
+
+
+@query("curve_area", with_(S.RULE_SQL, f"SELECT round({_auc_sql('rule')}, 6) AS area"))
+def q_curve_area(spark, d):
+    return round_doubles(evaluate.curve_area(S.rule_scores(spark, d)))
+
+
+@query("balanced_accuracy", with_(S.RULE_SQL + "," + _metrics_sql("rule", "x_"),
+                                  "SELECT round(balanced_accuracy, 6) AS balanced_accuracy FROM x_m"))
+def q_balanced_accuracy(spark, d):
+    return round_doubles(evaluate.balanced_accuracy(S.rule_scores(spark, d)))
+
+
+@query("classification_metrics", with_(S.RULE_SQL + "," + _metrics_sql("rule", "x_"), """
+SELECT n, round(accuracy, 6) AS accuracy, round(weighted_precision, 6) AS weighted_precision,
+       round(weighted_recall, 6) AS weighted_recall, round(weighted_f1, 6) AS weighted_f1,
+       round(balanced_accuracy, 6) AS balanced_accuracy FROM x_m"""))
+def q_classification_metrics(spark, d):
+    return round_doubles(evaluate.classification_metrics(S.rule_scores(spark, d)))
+
+
+@query("confusion_matrix", with_(S.RULE_SQL, """
+SELECT CAST(label AS DOUBLE) AS label, CAST(prediction AS DOUBLE) AS prediction, count(*) AS count
+FROM rule GROUP BY ALL"""))
+def q_confusion_matrix(spark, d):
+    return evaluate.confusion_matrix(S.rule_scores(spark, d))
+
+
+@query("confusion_matrix_wide", with_(S.RULE_SQL, """
+SELECT CAST(label AS DOUBLE) AS label,
+       CAST(sum(CASE WHEN prediction = 0.0 THEN 1 ELSE 0 END) AS BIGINT) AS pred_0,
+       CAST(sum(CASE WHEN prediction = 1.0 THEN 1 ELSE 0 END) AS BIGINT) AS pred_1
+FROM rule GROUP BY 1"""))
+def q_confusion_matrix_wide(spark, d):
+    return evaluate.confusion_matrix_wide(S.rule_scores(spark, d))
+
+
+@query("roc_curve", with_(S.RULE_SQL + "," + _CUM_SQL.format(src="rule"), """
+SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT score, round(fp / N, 6), round(tp / P, 6) FROM c, t"""))
+def q_roc_curve(spark, d):
+    return round_doubles(evaluate.roc_curve(S.rule_scores(spark, d)))
+
+
+@query("roc_curve_binned", with_(S.RULE_SQL + "," + _CUM_SQL.format(src="rule"), """
+SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT score, round(fp / N, 6), round(tp / P, 6)
+FROM (SELECT c.*, P, N, floor((r - 1) * 20 / nd) AS grp,
+             max(r) OVER (PARTITION BY floor((r - 1) * 20 / nd)) AS last_r FROM c, t)
+WHERE r = last_r"""))
+def q_roc_curve_binned(spark, d):
+    return round_doubles(evaluate.roc_curve(S.rule_scores(spark, d), bins=20))
+
+
+@query("pr_curve", with_(S.RULE_SQL + "," + _CUM_SQL.format(src="rule"), """
+SELECT score AS threshold, round(tp / P, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM c, t"""))
+def q_pr_curve(spark, d):
+    return round_doubles(evaluate.pr_curve(S.rule_scores(spark, d)))
+
+
+def _compare_sql() -> str:
+    names = ["rule_amount", "rule_type", "rule_both"]
+    ctes = ",".join(_metrics_sql(n, f"{n}_") for n in names)
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS name_model, accuracy, weighted_precision AS precision, weighted_recall AS recall, "
+        f"{_auc_sql(n)} AS auc_roc FROM {n}_m" for n in names)
+    return S.RULES_SQL + "," + ctes + f", cmp AS ({rows})"
+
+
+@query("compare_models", with_(_compare_sql(), """
+SELECT name_model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(auc_roc, 6) AS auc_roc FROM cmp"""))
+def q_compare_models(spark, d):
+    return round_doubles(choose.compare_models(S.rule_classifiers(spark, d)))
+
+
+@query("compare_models_transposed", with_(_compare_sql(), " UNION ALL ".join(
+    f"""SELECT '{m}' AS metric,
+  round(max(CASE WHEN name_model = 'rule_amount' THEN {m} END), 6) AS rule_amount,
+  round(max(CASE WHEN name_model = 'rule_type' THEN {m} END), 6) AS rule_type,
+  round(max(CASE WHEN name_model = 'rule_both' THEN {m} END), 6) AS rule_both FROM cmp"""
+    for m in choose.METRICS)))
+def q_compare_models_transposed(spark, d):
+    rules = S.rule_classifiers(spark, d)
+    return round_doubles(choose.compare_models(rules, transpose=True))
+
+
+@query("select_model", with_(_compare_sql(), """
+SELECT name_model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(auc_roc, 6) AS auc_roc
+FROM cmp ORDER BY auc_roc DESC, name_model LIMIT 1"""))
+def q_select_model(spark, d):
+    table = choose.compare_models(S.rule_classifiers(spark, d))
+    return round_doubles(choose.select_model(table, "auc_roc"))
+
+
+# ======================================================================= Q
+def _pearson_sql(x: str, y: str) -> str:
+    return (f"CASE WHEN var_pop(CAST({x} AS DOUBLE)) > 0 AND var_pop(CAST({y} AS DOUBLE)) > 0 "
+            f"THEN greatest(-1.0, least(1.0, corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)))) END")
+
+
+_CORR_COLS = S.FEATURES + [S.LABEL]
+
+
+@query("target_correlation", with_(S.FEATURES_SQL, " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round({_pearson_sql('isFraud', f)}, 6) AS correlation, "
+    f"round(abs({_pearson_sql('isFraud', f)}), 6) AS abs_correlation FROM feat" for f in S.FEATURES)))
+def q_target_correlation(spark, d):
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    return round_doubles(corr.target_correlation(p, S.LABEL, S.FEATURES))
+
+
+@query("all_target_correlations", with_(S.FEATURES_SQL, " UNION ALL ".join(
+    f"SELECT '{a}' AS target, '{b}' AS feature, round({_pearson_sql(a, b)}, 6) AS correlation, "
+    f"round(abs({_pearson_sql(a, b)}), 6) AS abs_correlation FROM feat"
+    for a in _CORR_COLS for b in _CORR_COLS if a != b)))
+def q_all_target_correlations(spark, d):
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    return round_doubles(corr.all_target_correlations(p, _CORR_COLS))
+
+
+_LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("correlation_matrix_pearson", " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, round({_pearson_sql(a, b)}, 6) AS correlation FROM lineitem"
+    for a in _LI_NUM for b in _LI_NUM))
+def q_correlation_matrix_pearson(spark, d):
+    return round_doubles(corr.correlation_matrix(S.table(spark, d, "lineitem"), _LI_NUM))
+
+
+@query("correlation_matrix_spearman", "WITH rk AS (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _LI_NUM)
+    + " FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _LI_NUM) + ")\n" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, round({_pearson_sql(a, b)}, 6) AS correlation FROM rk"
+    for a in _LI_NUM for b in _LI_NUM))
+def q_correlation_matrix_spearman(spark, d):
+    return round_doubles(corr.correlation_matrix(S.table(spark, d, "lineitem"), _LI_NUM, "spearman"))
+
+
+@query("top_features", with_(S.FEATURES_SQL, "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round({_pearson_sql('isFraud', f)}, 6) AS correlation, "
+    f"round(abs({_pearson_sql('isFraud', f)}), 6) AS abs_correlation FROM feat" for f in S.FEATURES)
+    + ") ORDER BY abs_correlation DESC NULLS LAST, feature LIMIT 3"))
+def q_top_features(spark, d):
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    return round_doubles(corr.top_features(p, S.LABEL, S.FEATURES, 3))
+
+
+# ======================================================================= M1
+_U_SQL = "CAST(('0x' || substr(md5(concat({seed}, '|', CAST({key} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query("split_hash", with_(S.TXN_SQL, f"""
+SELECT event_id, CASE WHEN {_U_SQL.format(seed="'0'", key='event_id')} < 0.7 THEN 'train' ELSE 'test' END AS split
+FROM txn"""))
+def q_split_hash(spark, d):
+    return split.assign_split(S.txn(spark, d).select("event_id"), "event_id", 0.7, seed=0)
+
+
+@query("split_stratified", with_(S.TXN_SQL, f"""
+SELECT event_id, isFraud,
+  CASE WHEN row_number() OVER (PARTITION BY isFraud ORDER BY u, event_id)
+            <= round(count(*) OVER (PARTITION BY isFraud) * 0.7) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT event_id, isFraud, {_U_SQL.format(seed="'0'", key='event_id')} AS u FROM txn)"""))
+def q_split_stratified(spark, d):
+    t = S.txn(spark, d).select("event_id", "isFraud")
+    return split.assign_split(t, "event_id", 0.7, seed=0, stratify="isFraud")
+
+
+@query("fold_assignment", with_(S.TXN_SQL, f"""
+SELECT event_id, CAST(least(floor({_U_SQL.format(seed="'fold0'", key='event_id')} * 3), 2) AS INTEGER) AS fold
+FROM txn"""))
+def q_fold_assignment(spark, d):
+    return split.assign_folds(S.txn(spark, d).select("event_id"), "event_id", 3, seed=0)

@@ -148,3 +148,28 @@ rule AS (
   SELECT event_id, isFraud AS label, amount AS score,
          CASE WHEN amount >= 120 THEN 1.0 ELSE 0.0 END AS prediction
   FROM txn)"""
+
+
+def rule_classifiers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Three model-free classifiers on txn: (label, score, prediction) each."""
+    t = txn(spark, sf_dir)
+    flag = F.col("type").isin("TRANSFER", "CASH_OUT").cast("double")
+    amt = F.col("amount")
+    lab = F.col("isFraud").alias("label")
+    return {
+        "rule_amount": t.select(lab, amt.alias("score"),
+                                F.when(amt >= 120, 1.0).otherwise(0.0).alias("prediction")),
+        "rule_type": t.select(lab, flag.alias("score"), flag.alias("prediction")),
+        "rule_both": t.select(lab, (amt * flag).alias("score"),
+                              F.when((amt >= 100) & (flag == 1.0), 1.0).otherwise(0.0).alias("prediction")),
+    }
+
+
+RULES_SQL = TXN_SQL + """,
+rule_amount AS (SELECT isFraud AS label, amount AS score,
+                       CASE WHEN amount >= 120 THEN 1.0 ELSE 0.0 END AS prediction FROM txn),
+rule_type AS (SELECT isFraud AS label, CAST(type IN ('TRANSFER', 'CASH_OUT') AS DOUBLE) AS score,
+                     CAST(type IN ('TRANSFER', 'CASH_OUT') AS DOUBLE) AS prediction FROM txn),
+rule_both AS (SELECT isFraud AS label, amount * CAST(type IN ('TRANSFER', 'CASH_OUT') AS DOUBLE) AS score,
+                     CASE WHEN amount >= 100 AND type IN ('TRANSFER', 'CASH_OUT') THEN 1.0 ELSE 0.0 END AS prediction
+              FROM txn)"""

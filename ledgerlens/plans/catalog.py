@@ -547,3 +547,135 @@ SELECT event_id, CAST(least(floor({_U_SQL.format(seed="'fold0'", key='event_id')
 FROM txn"""))
 def q_fold_assignment(spark, d):
     return split.assign_folds(S.txn(spark, d).select("event_id"), "event_id", 3, seed=0)
+
+
+# ======================================================================= B
+from ..operators import balance, knn  # noqa: E402
+
+_INT_FEATS = [f for f in S.FEATURES if f != "amount"]
+_H_SQL = "CAST(('0x' || substr(md5(concat('{seed}', '|', '{tag}', '|', CAST({i} AS VARCHAR))), 1, 8)) AS BIGINT)"
+
+
+def _d2_sql(a: str, b: str, cols: list[str]) -> str:
+    return " + ".join(f"(CAST({a}.{c} AS DOUBLE) - CAST({b}.{c} AS DOUBLE)) * "
+                      f"(CAST({a}.{c} AS DOUBLE) - CAST({b}.{c} AS DOUBLE))" for c in cols)
+
+
+def _knn_sql(src: str, key: str, cols: list[str], k: int) -> str:
+    """Brute force over all pairs: fine for the small oracle fixture only."""
+    return f"""SELECT {key}, CAST(r AS INTEGER) AS neighbor_rank, neighbor_key, sqrt(d2) AS distance FROM (
+  SELECT a.{key} AS {key}, b.{key} AS neighbor_key, d2,
+         row_number() OVER (PARTITION BY a.{key} ORDER BY d2, b.{key}) AS r
+  FROM (SELECT a.{key} AS ak, b.{key} AS bk, {_d2_sql('a', 'b', cols)} AS d2
+        FROM {src} a JOIN {src} b ON a.{key} <> b.{key}) pr
+  JOIN {src} a ON a.{key} = pr.ak JOIN {src} b ON b.{key} = pr.bk) WHERE r <= {k}"""
+
+
+_MINO_SQL = S.FEATURES_SQL + f""",
+mino AS (SELECT event_id, {', '.join(S.FEATURES)} FROM feat WHERE isFraud = 1)"""
+
+
+@query("knn_within", with_(_MINO_SQL, f"""
+SELECT event_id, neighbor_rank, neighbor_key, round(distance, 6) AS distance
+FROM ({_knn_sql('mino', 'event_id', S.FEATURES, 5)})"""))
+def q_knn_within(spark, d):
+    from .flow import prepared_features
+    m = prepared_features(spark, d).filter(F.col(S.LABEL) == 1)
+    return round_doubles(knn.knn_within(m, "event_id", S.FEATURES, 5))
+
+
+def _smote_sql(src_cte: str, src: str, mino: str, key: str, cols: list[str], label: str, minority: int,
+               int_cols: list[str], seed: int = 42, k: int = 5) -> str:
+    h = lambda tag: _H_SQL.format(seed=seed, tag=tag, i="i")
+    outs = []
+    for c in cols:
+        v = f"CAST(b.{c} AS DOUBLE) + u * (CAST(n.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE))"
+        outs.append(f"CAST(trunc({v}) AS INTEGER) AS {c}" if c in int_cols else f"round({v}, 6) AS {c}")
+    return with_(src_cte + f""",
+cnt AS (SELECT CAST(sum(CASE WHEN {label} = {minority} THEN 0 ELSE 1 END) AS BIGINT) AS maj,
+               CAST(sum(CASE WHEN {label} = {minority} THEN 1 ELSE 0 END) AS BIGINT) AS mn FROM {src}),
+nb AS ({_knn_sql(mino, key, cols, k)}),
+idx AS (SELECT *, row_number() OVER (ORDER BY {key}) AS kidx FROM {mino}),
+gen AS (SELECT i, {h('b')} % mn + 1 AS kidx, CAST({h('k')} % {k} + 1 AS INTEGER) AS nr,
+               {h('g')} / 4294967296.0 AS u
+        FROM (SELECT unnest(range(maj - mn)) AS i, mn FROM cnt))""", f"""
+SELECT gen.i AS synthetic_id, {', '.join(outs)}, CAST({minority} AS INTEGER) AS {label}
+FROM gen JOIN idx b ON gen.kidx = b.kidx
+JOIN nb ON nb.{key} = b.{key} AND nb.neighbor_rank = gen.nr
+JOIN {mino} n ON n.{key} = nb.neighbor_key""")
+
+
+@query("smote", _smote_sql(_MINO_SQL, "feat", "mino", "event_id", S.FEATURES, "isFraud", 1, _INT_FEATS))
+def q_smote(spark, d):
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    return round_doubles(balance.smote(p, S.LABEL, S.FEATURES, "event_id", k=5, seed=42,
+                                       int_cols=_INT_FEATS))
+
+
+_EMB = [f"e{i}" for i in range(64)]
+_EMB_SQL = "emb AS (SELECT vec_id, label, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings),\n" \
+    "emin AS (SELECT * FROM emb WHERE label = 0)"
+
+
+def _embeddings_wide(spark, d):
+    e = S.table(spark, d, "embeddings")
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}")
+                                         for i in range(64)])
+
+
+@query("smote_embeddings", _smote_sql(_EMB_SQL, "emb", "emin", "vec_id", _EMB, "label", 0, []))
+def q_smote_embeddings(spark, d):
+    return round_doubles(balance.smote(_embeddings_wide(spark, d), "label", _EMB, "vec_id", k=5, seed=42,
+                                       minority=0))
+
+
+@query("knn_embeddings", with_(_EMB_SQL, f"""
+SELECT vec_id, neighbor_rank, neighbor_key, round(distance, 6) AS distance
+FROM ({_knn_sql('emin', 'vec_id', _EMB, 5)})"""))
+def q_knn_embeddings(spark, d):
+    m = _embeddings_wide(spark, d).filter(F.col("label") == 0)
+    return round_doubles(knn.knn_within(m, "vec_id", _EMB, 5))
+
+
+def _oversample_sql(src: str, key: str, label: str, cols: str, seed: int = 88) -> str:
+    u = f"CAST(('0x' || substr(md5(concat('{seed}', '|', 'r', '|', CAST({key} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0"
+    return f"""
+cnt AS (SELECT sum(CASE WHEN {label} = 1 THEN 0 ELSE 1 END) AS maj,
+               sum(CASE WHEN {label} = 1 THEN 1 ELSE 0 END) AS mn FROM {src}),
+rr AS (SELECT CAST(maj AS DOUBLE) / mn / 1.0 AS r FROM cnt)
+SELECT {cols}, 1 AS copy FROM {src} WHERE {label} <> 1 OR {label} IS NULL
+UNION ALL
+SELECT {cols}, CAST(c.copy AS INTEGER) AS copy
+FROM {src}, rr, LATERAL (SELECT unnest(range(1, CAST(floor(rr.r) AS BIGINT)
+      + CASE WHEN {u} < rr.r - floor(rr.r) THEN 1 ELSE 0 END + 1)) AS copy) c
+WHERE {label} = 1"""
+
+
+@query("oversample_replicate", with_(S.TXN_SQL + "," + _oversample_sql(
+    "txn", "event_id", "isFraud", "event_id, amount, isFraud").replace("\ncnt AS", "cnt AS", 1), ""))
+def q_oversample_replicate(spark, d):
+    t = S.txn(spark, d).select("event_id", "amount", "isFraud")
+    return balance.oversample_minority(t, "isFraud", "event_id", ratio=1.0)
+
+
+@query("oversample_labels", "WITH " + _oversample_sql("labels", "doc_id", "toxic", "doc_id, quality, toxic")
+       .replace("\ncnt AS", "cnt AS", 1))
+def q_oversample_labels(spark, d):
+    t = S.table(spark, d, "labels")
+    return balance.oversample_minority(t, "toxic", "doc_id", ratio=1.0)
+
+
+@query("oversample_random", None)
+def q_oversample_random(spark, d):
+    t = S.table(spark, d, "labels")
+    return balance.oversample_minority(t, "toxic", "doc_id", ratio=1.0, mode="random", seed=88)
+
+
+@query("balance_two_rounds", None)
+def q_balance_two_rounds(spark, d):
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    return round_doubles(balance.balance(p, S.LABEL, S.FEATURES, "event_id", rounds=2, dedupe=True,
+                                         int_cols=_INT_FEATS))

@@ -679,3 +679,170 @@ def q_balance_two_rounds(spark, d):
     p = prepared_features(spark, d)
     return round_doubles(balance.balance(p, S.LABEL, S.FEATURES, "event_id", rounds=2, dedupe=True,
                                          int_cols=_INT_FEATS))
+
+
+# ======================================================================= S1-S5 (files)
+from ..session import scratch_dir  # noqa: E402
+from ..sources import files  # noqa: E402
+
+_TXN_TYPES = {"event_id": "bigint", "step": "int", "amount": "double", "oldbalanceOrg": "double",
+              "newbalanceOrig": "double", "oldbalanceDest": "double", "newbalanceDest": "double",
+              "isFraud": "int", "isFlaggedFraud": "int"}
+
+
+def _txn_csv(spark, d) -> str:
+    path = scratch_dir(spark, "txn-csv")
+    files.write_csv(S.txn(spark, d), path)
+    return path
+
+
+@query("read_csv_roundtrip", with_(S.TXN_SQL, f"SELECT {TXN_COLS} FROM txn"))
+def q_read_csv_roundtrip(spark, d):
+    raw = files.read_transactions_csv(spark, _txn_csv(spark, d), typed=False, key="event_id")
+    return features.cast_columns(raw, _TXN_TYPES)
+
+
+@query("read_csv_typed", with_(S.TXN_SQL, f"SELECT {TXN_COLS} FROM txn"))
+def q_read_csv_typed(spark, d):
+    typed = files.read_transactions_csv(spark, _txn_csv(spark, d), typed=True, key="event_id")
+    return typed.drop(files.CORRUPT)
+
+
+@query("convert_parquet", with_(S.TXN_SQL, f"SELECT {TXN_COLS} FROM txn"))
+def q_convert_parquet(spark, d):
+    raw = files.read_transactions_csv(spark, _txn_csv(spark, d), typed=False, key="event_id")
+    path = files.convert_to_parquet(features.cast_columns(raw, _TXN_TYPES), scratch_dir(spark, "txn-parquet"))
+    return files.read_table(spark, path)
+
+
+# ======================================================================= M
+from . import models as M  # noqa: E402
+from . import tune as TU  # noqa: E402
+
+
+def _train_test(spark, d):
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    return split.split(p, "event_id", 0.7, seed=0)
+
+
+_NB_G = ", ".join(f"sum(CAST({f} AS DOUBLE)) AS s_{f}" for f in S.FEATURES)
+_NB_S = " + ".join(f"s_{f}" for f in S.FEATURES)
+_NB_SQL = S.FEATURES_SQL + f""",
+g AS (SELECT CAST(isFraud AS DOUBLE) AS label, count(*) AS n, {_NB_G} FROM feat GROUP BY 1),
+t AS (SELECT sum(n) AS n_all, count(*) AS n_cls FROM g),
+nb AS (SELECT label, ln(n + 1.0) - ln(n_all + n_cls * 1.0) AS prior, """ + ", ".join(
+    f"ln(s_{f} + 1.0) - ln({_NB_S} + {len(S.FEATURES)} * 1.0) AS th_{f}" for f in S.FEATURES) + " FROM g, t)"
+
+
+@query("naive_bayes_stats", with_(_NB_SQL, " UNION ALL ".join(
+    ["SELECT label, '(prior)' AS term, round(prior, 6) AS log_prob FROM nb"] +
+    [f"SELECT label, '{f}' AS term, round(th_{f}, 6) AS log_prob FROM nb" for f in S.FEATURES])))
+def q_naive_bayes_stats(spark, d):
+    from .flow import prepared_features
+    return round_doubles(M.naive_bayes_stats(prepared_features(spark, d), S.FEATURES, S.LABEL, 1.0))
+
+
+def _nb_raw(c: str) -> str:
+    return f"(SELECT prior + " + " + ".join(f"f.{f} * th_{f}" for f in S.FEATURES) + f" FROM nb WHERE label = {c})"
+
+
+@query("naive_bayes_scores", with_(_NB_SQL, f"""
+SELECT event_id, round(raw_0, 6) AS raw_0, round(raw_1, 6) AS raw_1,
+       CASE WHEN raw_1 > raw_0 THEN 1.0 ELSE 0.0 END AS prediction
+FROM (SELECT f.event_id, {_nb_raw('0.0')} AS raw_0, {_nb_raw('1.0')} AS raw_1 FROM feat f)"""))
+def q_naive_bayes_scores(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    model = M.train_model("naive_bayes", p, S.FEATURES, S.LABEL, smoothing=1.0)
+    s = M.score(model, p, S.LABEL, keep=["event_id"], flat=False)
+    raw = vector_to_array("rawPrediction")
+    return round_doubles(s.select("event_id", raw[0].alias("raw_0"), raw[1].alias("raw_1"), "prediction"))
+
+
+def _scored(kind):
+    def q(spark, d):
+        train, test = _train_test(spark, d)
+        model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=7)
+        return M.score(model, test, S.LABEL, keep=["event_id"])
+    return q
+
+
+for _kind, _name in [("random_forest", "random_forest_score"), ("logistic_regression", "logistic_score"),
+                     ("decision_tree", "decision_tree_score"), ("naive_bayes", "naive_bayes_score")]:
+    query(_name, None)(_scored(_kind))
+
+
+def _tuned(kind):
+    def q(spark, d):
+        from .flow import prepared_features
+        _, table = TU.tune(kind, prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id", folds=3)
+        return table
+    return q
+
+
+for _kind, _name in [("naive_bayes", "tune_nb"), ("decision_tree", "tune_dt"),
+                     ("logistic_regression", "tune_lr"), ("random_forest", "tune_rf")]:
+    query(_name, None)(_tuned(_kind))
+
+
+@query("best_params", None)
+def q_best_params(spark, d):
+    from .flow import prepared_features
+    model, _ = TU.tune("decision_tree", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id")
+    return TU.best_params(model, "decision_tree")
+
+
+def _sweep(kind):
+    def q(spark, d):
+        train, test = _train_test(spark, d)
+        return TU.sweep(kind, train, test, S.FEATURES, S.LABEL)
+    return q
+
+
+for _kind, _name in [("decision_tree", "sweep_depth"), ("naive_bayes", "sweep_smoothing"),
+                     ("random_forest", "sweep_forest_depth"), ("logistic_regression", "sweep_elastic_net")]:
+    query(_name, None)(_sweep(_kind))
+
+
+@query("feature_importances", None)
+def q_feature_importances(spark, d):
+    train, _ = _train_test(spark, d)
+    return M.feature_importances(M.train_model("random_forest", train, S.FEATURES, S.LABEL, seed=7), S.FEATURES)
+
+
+@query("coefficients", None)
+def q_coefficients(spark, d):
+    train, _ = _train_test(spark, d)
+    return M.coefficients(M.train_model("logistic_regression", train, S.FEATURES, S.LABEL), S.FEATURES)
+
+
+@query("objective_history", None)
+def q_objective_history(spark, d):
+    train, _ = _train_test(spark, d)
+    return M.objective_history(M.train_model("logistic_regression", train, S.FEATURES, S.LABEL))
+
+
+@query("explain_params", None)
+def q_explain_params(spark, d):
+    train, _ = _train_test(spark, d)
+    return M.explain_params(M.train_model("random_forest", train, S.FEATURES, S.LABEL, seed=7))
+
+
+@query("model_roundtrip", None)
+def q_model_roundtrip(spark, d):
+    from ..sources.models import load_model, save_model
+    train, test = _train_test(spark, d)
+    outs = None
+    for kind in M.KINDS:
+        model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=7)
+        path = save_model(model, scratch_dir(spark, f"model-{kind}"))
+        again = load_model(path, spark)
+        a = M.score(model, test, S.LABEL, keep=["event_id"]).select("event_id", F.col("prediction").alias("p1"))
+        b = M.score(again, test, S.LABEL, keep=["event_id"]).select("event_id", F.col("prediction").alias("p2"))
+        row = a.join(b, "event_id").agg(
+            F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"),
+            F.sum((F.col("p1") == F.col("p2")).cast("int")).cast("bigint").alias("n_equal"))
+        outs = row if outs is None else outs.unionByName(row)
+    return outs

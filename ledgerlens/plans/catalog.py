@@ -846,3 +846,160 @@ def q_model_roundtrip(spark, d):
             F.sum((F.col("p1") == F.col("p2")).cast("int")).cast("bigint").alias("n_equal"))
         outs = row if outs is None else outs.unionByName(row)
     return outs
+
+
+# ======================================================================= A9 A10
+from ..operators import profile  # noqa: E402
+
+
+@query("kde_amount", with_(S.TXN_SQL, """,
+s AS (SELECT min(amount) AS lo, max(amount) AS hi, count(amount) AS n, stddev_samp(amount) AS sd FROM txn),
+p AS (SELECT lo, n, sd * pow(n, -0.2) AS bw, (hi - lo) / 2048 AS w, (hi - lo) / 199 AS step FROM s),
+b AS (SELECT least(floor((amount - lo) / w), 2047) AS b, count(*) AS c FROM txn, p
+      WHERE amount IS NOT NULL GROUP BY 1),
+bc AS (SELECT lo + (b + 0.5) * w AS center, c FROM b, p)
+SELECT CAST(r.g AS INTEGER) AS g, round(lo + r.g * step, 6) AS x,
+       round(sum(c * exp(-0.5 * (((lo + r.g * step) - center) / bw) * (((lo + r.g * step) - center) / bw)))
+             * (1.0 / (n * bw * sqrt(2 * pi()))), 10) AS density
+FROM bc, p, (SELECT range AS g FROM range(200)) r
+GROUP BY r.g, lo, step, n, bw""".lstrip(",")).replace("WITH txn AS", "WITH txn AS", 1)
+       .replace("FROM events)\n", "FROM events),\n", 1).replace("FROM events),\n\ns AS", "FROM events),\ns AS"))
+def q_kde_amount(spark, d):
+    k = explore.kde(S.txn(spark, d), "amount", grid=200, fine_bins=2048)
+    return k.select(F.col("g").cast("int").alias("g"), rnd(F.col("x"), 6).alias("x"),
+                    rnd(F.col("density"), 10).alias("density"))
+
+
+_AUTO_K = """
+s0 AS (SELECT min(amount) AS lo, max(amount) AS hi, count(amount) AS n,
+              quantile_cont(amount, 0.75) - quantile_cont(amount, 0.25) AS iqr FROM txn),
+k AS (SELECT CAST(ceil((hi - lo) / CASE WHEN 2.0 * iqr * pow(n, -1.0 / 3.0) > 0
+        THEN least(2.0 * iqr * pow(n, -1.0 / 3.0), (hi - lo) / (log2(n) + 1.0))
+        ELSE (hi - lo) / (log2(n) + 1.0) END) AS INTEGER) AS nb FROM s0)"""
+
+
+@query("histogram_auto", with_(S.TXN_SQL + "," + _AUTO_K,
+                               _hist_sql_nocol("txn", "amount", "(SELECT nb FROM k)")))
+def q_histogram_auto(spark, d):
+    return round_doubles(explore.histogram(S.txn(spark, d), "amount", "auto"))
+
+
+def _pnum_sql(src: str, cols: list[tuple[str, str]]) -> str:
+    parts = []
+    for c, t in cols:
+        parts.append(f"""
+SELECT '{c}' AS column_name, '{t}' AS data_type, count(x) AS n, count(*) - count(x) AS n_missing,
+  count(DISTINCT x) AS n_distinct, CAST(sum(CASE WHEN x = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zeros,
+  CAST(sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative,
+  min(x) AS min, max(x) AS max, avg(x) AS mean, stddev_samp(x) AS std, var_samp(x) AS variance,
+  CASE WHEN count(x) > 2 THEN skewness(x) END AS skewness, CASE WHEN count(x) > 3 THEN kurtosis(x) END AS kurtosis,
+  sum(x) AS sum
+FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {src})""")
+    return " UNION ALL ".join(parts)
+
+
+def _pnum_round(inner: str) -> str:
+    return f"""SELECT column_name, data_type, n, n_missing, n_distinct, n_zeros, n_negative,
+  round(min, 6) AS min, round(max, 6) AS max, round(mean, 6) AS mean, round(std, 6) AS std,
+  round(variance, 6) AS variance, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis,
+  round(sum, 4) AS sum FROM ({inner})"""
+
+
+def _pnum_spark(df):
+    out = profile.profile_numeric(df)
+    return round_doubles(out).withColumn("sum", rnd(F.col("sum"), 4))
+
+
+_DIRTY_NUM = [("step", "int"), ("amount", "double"), ("isFraud", "int")]
+
+
+@query("profile_numeric", with_(S.TXN_DIRTY_SQL, _pnum_round(_pnum_sql("txn_dirty", _DIRTY_NUM))))
+def q_profile_numeric(spark, d):
+    return _pnum_spark(S.txn_dirty(spark, d).select("step", "amount", "isFraud"))
+
+
+@query("profile_numeric_customer", _pnum_round(_pnum_sql("customer", [("c_nationkey", "int"),
+                                                                      ("c_acctbal", "double")])))
+def q_profile_numeric_customer(spark, d):
+    return _pnum_spark(S.table(spark, d, "customer").select("c_nationkey", "c_acctbal"))
+
+
+@query("profile_numeric_lineitem", _pnum_round(_pnum_sql("lineitem", [(c, "double") for c in _LI_NUM])))
+def q_profile_numeric_lineitem(spark, d):
+    return _pnum_spark(S.table(spark, d, "lineitem").select(*_LI_NUM))
+
+
+@query("profile_quantiles", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, round(quantile_cont({c}, 0.05), 6) AS p5, round(quantile_cont({c}, 0.25), 6) AS p25,
+  round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75,
+  round(quantile_cont({c}, 0.95), 6) AS p95, round(max({c}) - min({c}), 6) AS range,
+  round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr FROM lineitem""" for c in _LI_NUM))
+def q_profile_quantiles(spark, d):
+    return round_doubles(profile.profile_quantiles(S.table(spark, d, "lineitem"), _LI_NUM))
+
+
+_DIRTY_STR = ["type", "nameOrig", "nameDest"]
+
+
+def _pcat_sql(src: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count({c}) AS n, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct,
+  CAST(min(length({c})) AS INTEGER) AS min_length, round(avg(length({c})), 6) AS mean_length,
+  CAST(max(length({c})) AS INTEGER) AS max_length FROM {src}""" for c in cols)
+
+
+@query("profile_categorical", with_(S.TXN_DIRTY_SQL, _pcat_sql("txn_dirty", _DIRTY_STR)))
+def q_profile_categorical(spark, d):
+    return round_doubles(profile.profile_categorical(S.txn_dirty(spark, d), _DIRTY_STR))
+
+
+def _top_sql(src: str, cols: list[str], k: int) -> str:
+    inner = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {src} "
+        f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols)
+    return f"""SELECT column_name, value, count, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS rank FROM ({inner}))
+WHERE rank <= {k}"""
+
+
+@query("profile_top_values", with_(S.TXN_DIRTY_SQL, _top_sql("txn_dirty", ["type", "nameDest"], 5)))
+def q_profile_top_values(spark, d):
+    return profile.top_values(S.txn_dirty(spark, d), ["type", "nameDest"], k=5)
+
+
+@query("profile_top_values_customer", _top_sql("customer", ["c_mktsegment", "c_nationkey"], 3))
+def q_profile_top_values_customer(spark, d):
+    return profile.top_values(S.table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], k=3)
+
+
+@query("profile_missing", with_(S.TXN_DIRTY_SQL, " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_missing, "
+    f"round((count(*) - count({c})) / count(*), 6) AS pct_missing FROM txn_dirty"
+    for c in TXN_COLS.split(", "))))
+def q_profile_missing(spark, d):
+    return round_doubles(profile.profile_missing(S.txn_dirty(spark, d)))
+
+
+def _alerts_sql() -> str:
+    num = _pnum_sql("txn_dirty", _DIRTY_NUM)
+    cat = _pcat_sql("txn_dirty", ["type", "nameDest"])
+    top1 = _top_sql("txn_dirty", ["type", "nameDest"], 1)
+    return with_(S.TXN_DIRTY_SQL + f""",
+pn AS ({num}), pc AS ({cat}), t1 AS ({top1}),
+dup AS (SELECT CAST(sum(c - 1) AS BIGINT) AS nd FROM (
+  SELECT step, type, amount, isFraud, nameDest, count(*) AS c FROM txn_dirty GROUP BY ALL))""", """
+SELECT column_name, 'CONSTANT' AS alert, 1.0 AS value FROM pn WHERE n_distinct = 1
+UNION ALL SELECT column_name, 'MISSING', round(n_missing / (n + n_missing), 6) FROM pn WHERE n_missing > 0
+UNION ALL SELECT column_name, 'SKEWED', round(skewness, 6) FROM pn WHERE abs(skewness) > 20.0
+UNION ALL SELECT column_name, 'ZEROS', round(n_zeros / n, 6) FROM pn WHERE n_zeros / n > 0.1
+UNION ALL SELECT column_name, 'CONSTANT', 1.0 FROM pc WHERE n_distinct = 1
+UNION ALL SELECT column_name, 'MISSING', round(n_missing / (n + n_missing), 6) FROM pc WHERE n_missing > 0
+UNION ALL SELECT t1.column_name, 'IMBALANCE', round(t1.count / pc.n, 6) FROM t1 JOIN pc USING (column_name)
+          WHERE t1.count / pc.n > 0.5
+UNION ALL SELECT '(table)', 'DUPLICATES', CAST(nd AS DOUBLE) FROM dup WHERE nd > 0""")
+
+
+@query("profile_alerts", _alerts_sql())
+def q_profile_alerts(spark, d):
+    t = S.txn_dirty(spark, d).select("step", "type", "amount", "isFraud", "nameDest")
+    return round_doubles(profile.profile_alerts(t, ["step", "amount", "isFraud"], ["type", "nameDest"]))

@@ -59,7 +59,7 @@ def with_bucket(df: DataFrame, keys: Sequence[str], bounds: list[tuple]) -> Data
     types = [df.schema[k].dataType.simpleString() for k in keys]
     if not bounds:
         return df.withColumn(BUCKET_COL, F.lit(0))
-    return df.withColumn(BUCKET_COL, search_bucket([F.col(k) for k in keys], bounds, types))
+    return df.withColumn(BUCKET_COL, search_bucket([F.col(k) for k in keys], bounds, types, names=list(keys)))
 
 
 def running_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str], *,
@@ -86,8 +86,8 @@ def running_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[st
                 acc += r[c]
         dtype = df.schema[c].dataType.simpleString()
         sum_type = "double" if dtype in ("float", "double") or dtype.startswith("decimal") else "bigint"
-        arr = F.array(*[F.lit(o).cast(sum_type) for o in offs])
-        offset_cols[c] = F.element_at(arr, F.col(BUCKET_COL) + 1)
+        arr = "array(" + ", ".join(f"CAST({o!r} AS {sum_type})" for o in offs) + ")"
+        offset_cols[c] = F.expr(f"element_at({arr}, {BUCKET_COL} + 1)")
 
     w = (Window.partitionBy(BUCKET_COL).orderBy(*keys)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))

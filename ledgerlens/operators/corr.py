@@ -1,8 +1,9 @@
 """Correlation.
 
-Pearson for all pairs is one aggregate pass (population covariance and
-pairwise-masked standard deviations), reshaped to long form; a constant
-column gives NULL instead of an error.  Spearman = Pearson over average
+Pearson for all pairs: a mean pass, then one pass of centred plain sums
+(few aggregation buffers, so the pass stays in whole-stage codegen); with
+NULLs, pairwise deletion through covariance and masked deviations.  The
+result is reshaped to long form; a constant column gives NULL, not an error.  Spearman = Pearson over average
 ranks; ranks come from value counts and distributed running sums, joined
 back per column (AQE turns a small rank table into a broadcast at run time).
 """
@@ -15,49 +16,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sums
+from ..session import cut_lineage
 
 
 def average_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """Replace each column by its average rank (1-based; ties share the mean)."""
+    """Replace each column by its average rank (1-based; ties share the mean).
+
+    All columns are ranked together: value counts per (column, value) are
+    checkpointed once (the raw rows are read once), running sums restart per
+    column, and each column joins back to its own slice of the rank table."""
+    cols = list(cols)
+    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v"))
+                    for c in cols])
+    counts = (df.select(F.explode(arr).alias("e")).select("e.*").filter(F.col("_v").isNotNull())
+              .groupBy("column_name", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    counts = cut_lineage(counts)
+    cum = running_sums(counts, ["_v"], ["_c"], partition_cols=["column_name"])
+    ranks = cut_lineage(cum.select("column_name", "_v", (F.col("cum__c") - (F.col("_c") - 1) / 2.0).alias("_rank")))
     out = df
     for c in cols:
-        counts = df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        cum = running_sums(counts, ["_v"], ["_c"])
-        ranks = cum.select(F.col("_v").alias(c), (F.col("cum__c") - (F.col("_c") - 1) / 2.0).alias("_rank"))
-        out = out.join(ranks, c, "inner").drop(c).withColumnRenamed("_rank", c + suffix)
+        r = ranks.filter(F.col("column_name") == c).select(F.col("_v").alias("_key_" + c),
+                                                            F.col("_rank").alias("_rank_" + c))
+        out = out.join(r, F.col(c).cast("double") == F.col("_key_" + c), "inner").drop("_key_" + c)
+        if not suffix:
+            out = out.drop(c)
+        out = out.withColumnRenamed("_rank_" + c, c + suffix)
     return out
 
 
+def _pairs(cols):
+    return [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+
+
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _lit(c: str) -> str:
+    return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# The wide per-pair projections are written as SQL expression text: one JVM
+# call per expression instead of one Py4J call per Column operation.
+def _long_form(row: DataFrame, cols: Sequence[str], r_sql: dict) -> DataFrame:
+    """One row with an expression per pair -> (feature_x, feature_y, correlation)."""
+    row = row.selectExpr(*[f"{e} AS r{i}_{j}" for (i, j), e in r_sql.items()])
+    items = []
+    for i, j in _pairs(cols):
+        items.append(f"named_struct('feature_x', {_lit(cols[i])}, 'feature_y', {_lit(cols[j])}, "
+                     f"'correlation', r{i}_{j})")
+        if i != j:
+            items.append(f"named_struct('feature_x', {_lit(cols[j])}, 'feature_y', {_lit(cols[i])}, "
+                         f"'correlation', r{i}_{j})")
+    return row.selectExpr(f"explode(array({', '.join(items)})) AS e").select("e.*")
+
+
+def _clamp(r: str) -> str:
+    return f"least(1.0D, greatest(-1.0D, {r}))"
+
+
+def _pearson_pairwise(base: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pairwise deletion of NULLs: covariance and masked deviations per pair."""
+    aggs = []
+    for i, j in _pairs(cols):
+        x, y = f"CAST({_q(cols[i])} AS DOUBLE)", f"CAST({_q(cols[j])} AS DOUBLE)"
+        aggs += [f"covar_pop({x}, {y}) AS c{i}_{j}",
+                 f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) AS sx{i}_{j}",
+                 f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END) AS sy{i}_{j}"]
+    row = base.agg(*[F.expr(a) for a in aggs])
+    rs = {(i, j): f"CASE WHEN sx{i}_{j} > 0 AND sy{i}_{j} > 0 THEN "
+                  f"{_clamp(f'c{i}_{j} / (sx{i}_{j} * sy{i}_{j})')} END" for i, j in _pairs(cols)}
+    return _long_form(row, cols, rs)
+
+
+def _pearson_centred(base: DataFrame, cols: Sequence[str], means: list[float]) -> DataFrame:
+    """No NULLs: one pass of plain sums over values centred by their mean
+    (no cancellation, few aggregation buffers, so the pass is codegen'd)."""
+    u = [f"(CAST({_q(c)} AS DOUBLE) - CAST({m!r} AS DOUBLE))" for c, m in zip(cols, means)]
+    aggs = ["count(1) AS n"] + [f"sum({u[i]}) AS s{i}" for i in range(len(cols))]
+    aggs += [f"sum({u[i]} * {u[j]}) AS p{i}_{j}" for i, j in _pairs(cols)]
+    row = base.agg(*[F.expr(a) for a in aggs])
+    row = row.selectExpr(*[f"CASE WHEN n > 0 THEN p{i}_{j} / n - (s{i} / n) * (s{j} / n) END AS c{i}_{j}"
+                           for i, j in _pairs(cols)])
+    rs = {(i, j): f"CASE WHEN c{i}_{i} > 0 AND c{j}_{j} > 0 THEN "
+                  f"{_clamp(f'c{i}_{j} / sqrt(c{i}_{i} * c{j}_{j})')} END" for i, j in _pairs(cols)}
+    return _long_form(row, cols, rs)
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
     """Long form (feature_x, feature_y, correlation) of every ordered pair, diagonal included."""
     cols = list(cols)
     if method == "spearman":
-        base = df.select(*cols).dropna()
-        base = average_ranks(base, cols)
+        base = average_ranks(df.select(*cols).dropna(), cols)
     elif method == "pearson":
         base = df.select(*cols)
     else:
         raise ValueError(f"unknown method {method!r}")
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            xm, ym = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            aggs += [F.covar_pop(x, y).alias(f"c{i}_{j}"), F.stddev_pop(xm).alias(f"sx{i}_{j}"),
-                     F.stddev_pop(ym).alias(f"sy{i}_{j}")]
-            pairs.append((i, j))
-    row = base.agg(*aggs)
-    items = []
-    for i, j in pairs:
-        sx, sy, cv = F.col(f"sx{i}_{j}"), F.col(f"sy{i}_{j}"), F.col(f"c{i}_{j}")
-        r = F.when((sx > 0) & (sy > 0), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cv / (sx * sy))))
-        items.append(F.struct(F.lit(cols[i]).alias("feature_x"), F.lit(cols[j]).alias("feature_y"),
-                              r.alias("correlation")))
-        if i != j:
-            items.append(F.struct(F.lit(cols[j]).alias("feature_x"), F.lit(cols[i]).alias("feature_y"),
-                                  r.alias("correlation")))
-    return row.select(F.explode(F.array(*items)).alias("e")).select("e.*")
+    first = base.agg(F.count(F.lit(1)).alias("_n"),
+                     *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                     *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    complete = all(first[f"n{i}"] == first["_n"] for i in range(len(cols)))
+    if complete and first["_n"] > 0:
+        return _pearson_centred(base, cols, [float(first[f"m{i}"]) for i in range(len(cols))])
+    return _pearson_pairwise(base, cols)
 
 
 def target_correlation(df: DataFrame, target: str, features: Sequence[str],

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sums
+from ..session import cut_lineage
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
@@ -31,7 +32,7 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", posi
 def cumulative_counts(df: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
     """Per distinct score: pos, neg, tp = positives with score >= it, fp = negatives
     with score >= it (descending-order running sums)."""
-    g = score_counts(df, score, label, positive).withColumn("_desc", -F.col("score"))
+    g = cut_lineage(score_counts(df, score, label, positive).withColumn("_desc", -F.col("score")))
     c = running_sums(g, ["_desc"], ["pos", "neg"])
     return c.select("score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
 

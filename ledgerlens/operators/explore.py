@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sums
+from ..session import cut_lineage
 
 
 # ---------------------------------------------------------------- A1 A2 A3
@@ -119,8 +120,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     against the broadcast target table, whose size is columns x probs."""
     long = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = cut_lineage(counts)  # the raw rows are read once; later jobs read the value counts
     cum = running_sums(counts, ["value"], ["cnt"], partition_cols=["column_name"])
-    cum = cum.withColumn("start", F.col("cum_cnt") - F.col("cnt"))
+    cum = cut_lineage(cum.withColumn("start", F.col("cum_cnt") - F.col("cnt")))
     n = counts.groupBy("column_name").agg(F.sum("cnt").alias("n"))
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
     targets = (n.select("column_name", "n", F.explode(p_arr).alias("p"))

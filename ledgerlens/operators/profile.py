@@ -31,37 +31,39 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for c, t in df.dtypes if t == "string" and c not in exclude]
 
 
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = True) -> DataFrame:
     """(column_name, data_type, n, n_missing, n_distinct, n_zeros, n_negative, min, max,
-    mean, std, variance, skewness, kurtosis, sum) per numeric column."""
+    mean, std, variance, skewness, kurtosis, sum) per numeric column, from one
+    aggregate over all columns (expressions as SQL text: one JVM call each)."""
     cols = list(cols) if cols else numeric_columns(df)
     types = dict(df.dtypes)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = ["count(1) AS _rows"]
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        dist = F.countDistinct(x) if exact_distinct else F.approx_count_distinct(x)
-        aggs += [F.count(x).alias(f"n{i}"), dist.alias(f"d{i}"),
-                 F.sum(F.when(x == 0, 1).otherwise(0)).alias(f"z{i}"),
-                 F.sum(F.when(x < 0, 1).otherwise(0)).alias(f"neg{i}"),
-                 F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"avg{i}"),
-                 F.stddev_samp(x).alias(f"sd{i}"), F.var_samp(x).alias(f"var{i}"),
-                 F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}"), F.sum(x).alias(f"s{i}")]
-    row = df.agg(*aggs)
+        x = f"CAST({_q(c)} AS DOUBLE)"
+        dist = f"count(DISTINCT {x})" if exact_distinct else f"approx_count_distinct({x})"
+        aggs += [f"count({x}) AS n{i}", f"{dist} AS d{i}",
+                 f"sum(CASE WHEN {x} = 0 THEN 1 ELSE 0 END) AS z{i}",
+                 f"sum(CASE WHEN {x} < 0 THEN 1 ELSE 0 END) AS neg{i}",
+                 f"min({x}) AS mn{i}", f"max({x}) AS mx{i}", f"avg({x}) AS avg{i}",
+                 f"stddev_samp({x}) AS sd{i}", f"var_samp({x}) AS var{i}",
+                 f"skewness({x}) AS sk{i}", f"kurtosis({x}) AS ku{i}", f"sum({x}) AS s{i}"]
+    row = df.agg(*[F.expr(a) for a in aggs])
     items = []
     for i, c in enumerate(cols):
-        n = F.col(f"n{i}").cast("double")
-        g1, g2 = F.col(f"sk{i}"), F.col(f"ku{i}")
-        skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * g1)
-        kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-        items.append(F.struct(
-            F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
-            F.col(f"n{i}").cast("bigint").alias("n"), (F.col("_rows") - F.col(f"n{i}")).cast("bigint").alias("n_missing"),
-            F.col(f"d{i}").cast("bigint").alias("n_distinct"), F.col(f"z{i}").cast("bigint").alias("n_zeros"),
-            F.col(f"neg{i}").cast("bigint").alias("n_negative"),
-            F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"), F.col(f"avg{i}").alias("mean"),
-            F.col(f"sd{i}").alias("std"), F.col(f"var{i}").alias("variance"),
-            skew.alias("skewness"), kurt.alias("kurtosis"), F.col(f"s{i}").alias("sum")))
-    return row.select(F.explode(F.array(*items)).alias("e")).select("e.*")
+        n = f"CAST(n{i} AS DOUBLE)"
+        skew = f"CASE WHEN {n} > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * sk{i} END"
+        kurt = f"CASE WHEN {n} > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * ku{i} + 6) END"
+        items.append(
+            f"named_struct('column_name', '{c}', 'data_type', '{types[c]}', 'n', CAST(n{i} AS BIGINT), "
+            f"'n_missing', CAST(_rows - n{i} AS BIGINT), 'n_distinct', CAST(d{i} AS BIGINT), "
+            f"'n_zeros', CAST(z{i} AS BIGINT), 'n_negative', CAST(neg{i} AS BIGINT), "
+            f"'min', mn{i}, 'max', mx{i}, 'mean', avg{i}, 'std', sd{i}, 'variance', var{i}, "
+            f"'skewness', {skew}, 'kurtosis', {kurt}, 'sum', s{i})")
+    return row.selectExpr(f"explode(array({', '.join(items)})) AS e").select("e.*")
 
 
 def profile_quantiles(df: DataFrame, cols: Sequence[str] | None = None,

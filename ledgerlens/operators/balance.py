@@ -18,6 +18,7 @@ from ..functions.exprs import md5_int, md5_uniform
 from ..functions.prefix import global_rank
 from . import clean
 from .knn import knn_within
+from ..session import cut_lineage
 
 
 def class_counts(df: DataFrame, label: str, minority=1) -> tuple[int, int]:
@@ -78,8 +79,10 @@ def smote(df: DataFrame, label: str, features: Sequence[str], key: str, k: int =
     if n_new is None:
         n_new = max(0, maj - n_min)
     out_schema = [F.col(id_col)] + [F.col(f) for f in features] + [F.col(label)]
-    mino = df.filter(F.col(label) == minority).select(key, *features)
     kk = min(k, n_min - 1)
+    mino = df.filter(F.col(label) == minority).select(key, *features)
+    if n_new > 0 and kk >= 1:
+        mino = cut_lineage(mino, "smote-minority")  # read the (large) input once
     if n_new == 0 or kk < 1:
         empty = spark.range(0).select(F.col("id").alias(id_col),
                                       *[F.lit(None).cast(df.schema[f].dataType).alias(f) for f in features],

@@ -52,16 +52,19 @@ def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
     """(key, neighbor_rank, neighbor_key, distance): the k nearest other rows of
     each row in Euclidean distance over ``features``; ties by neighbour key."""
     features = list(features)
-    pts = df.select(F.col(key).alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
-    n = pts.count()
+    pts = cut_lineage(df.select(F.col(key).alias("_key"),
+                                *[F.col(f).cast("double").alias(f) for f in features]), "knn-points")
+    stats = pts.agg(F.count(F.lit(1)).alias("_n"),
+                    *[F.stddev_pop(F.col(f)).alias(f) for f in features]).first()
+    n = int(stats["_n"])
     schema = f"{key} {df.schema[key].dataType.simpleString()}, neighbor_rank int, " \
              f"neighbor_key {df.schema[key].dataType.simpleString()}, distance double"
     spark = df.sparkSession
     if n == 0:
         return spark.createDataFrame([], schema)
-    axis = choose_axis(pts, features)
+    axis = max(features, key=lambda f: stats[f] if stats[f] is not None else -1.0)
     ranked = global_rank(pts.withColumn("_ax", F.col(axis)), ["_ax", "_key"], "_rk", n=n)
-    ranked = cut_lineage(ranked)
+    ranked = cut_lineage(ranked, "knn-ranked")
 
     w = block or max(4 * k, 16)
     pending = ranked
@@ -89,7 +92,7 @@ def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
         gap_r = F.when(F.col("_b") < last_block, F.col("_hi") - F.col("q_ax"))
         gap = F.least(gap_l, gap_r)  # NULL when nothing lies outside the candidate blocks
         exact = gap.isNull() | (F.col("_kth").isNotNull() & (F.col("_kth") < gap * gap))
-        scored = cut_lineage(scored.withColumn("_exact", exact))
+        scored = cut_lineage(scored.withColumn("_exact", exact), "knn-round")
         results.append(scored.filter(F.col("_exact") & (F.col("_r") <= k) & F.col("d2").isNotNull())
                        .select(F.col("qk").alias(key), F.col("_r").cast("int").alias("neighbor_rank"),
                                F.col("pk").alias("neighbor_key"), F.sqrt("d2").alias("distance")))

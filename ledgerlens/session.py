@@ -56,7 +56,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df):
-    """Materialise ``df`` into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "stage"):
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and read it
+    back: one job, the lineage stops here (a lost executor recomputes nothing
+    before it), and later plans get real file sizes for their join choices."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

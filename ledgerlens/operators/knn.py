@@ -1,24 +1,27 @@
 """Exact k nearest neighbours inside one table, without emitting all pairs (B6).
 
-1. Pick the feature with the largest spread as the axis (one aggregate).
-2. Rank the rows along (axis, key) with distributed running counts.
-3. Round r: cut the ranks into blocks of ``W_r`` rows.  A row of block b
-   takes as candidates the rows of blocks b-1, b, b+1 (the candidate side is
-   replicated three times, so all candidates of a row meet in one join
-   partition): at most 3 W_r candidates per row, never a whole group.
-4. Keep the k best candidates by (squared distance, key).  Every row outside
-   the candidate blocks lies at least ``gap`` away along the axis, hence at
-   least ``gap`` away in Euclidean distance.  If the k-th squared distance is
-   below gap², the answer is exact; otherwise the row goes to the next round
-   with W_{r+1} = 4 W_r.  When W_r covers the table nothing lies outside, so
-   the loop always ends with the exact answer for every row.
+1. Pick the ``axes`` features with the largest spread (one aggregate).
+2. Rank the rows along each axis (ties by key) with distributed running counts.
+3. Round r: cut each axis' ranks into blocks of ``W_r`` rows.  A row of block
+   b takes as candidates the rows of blocks b-1, b, b+1 of every axis (the
+   candidate side is replicated three times, so all candidates of a row for
+   one axis meet in one join partition): at most 3 W_r candidates per row and
+   axis, never a whole group, however many rows share a value.
+4. Keep the k best candidates by (squared distance, key).  A row that is
+   outside the candidate blocks of *every* axis differs from the query by at
+   least gap_a along each axis a, hence its squared distance is at least
+   sum_a gap_a^2.  If the k-th squared distance is below that sum, the answer
+   is exact; otherwise the row goes to the next round with W_{r+1} = 8 W_r.
+   When W_r covers the table nothing lies outside, so the loop always ends
+   with the exact answer for every row.
 
-Each round's result is checkpointed into the shared checkpoint folder, so a
-lost executor recomputes one round, not the whole chain.
+Each round's result is written into the shared checkpoint folder, so a lost
+executor recomputes one round, not the whole chain.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -48,7 +51,7 @@ def choose_axis(df: DataFrame, features: Sequence[str]) -> str:
 
 
 def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
-               block: int | None = None) -> DataFrame:
+               block: int | None = None, axes: int = 2) -> DataFrame:
     """(key, neighbor_rank, neighbor_key, distance): the k nearest other rows of
     each row in Euclidean distance over ``features``; ties by neighbour key."""
     features = list(features)
@@ -57,50 +60,72 @@ def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
     stats = pts.agg(F.count(F.lit(1)).alias("_n"),
                     *[F.stddev_pop(F.col(f)).alias(f) for f in features]).first()
     n = int(stats["_n"])
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, neighbor_rank int, " \
-             f"neighbor_key {df.schema[key].dataType.simpleString()}, distance double"
+    key_type = df.schema[key].dataType.simpleString()
+    schema = f"{key} {key_type}, neighbor_rank int, neighbor_key {key_type}, distance double"
     spark = df.sparkSession
     if n == 0:
         return spark.createDataFrame([], schema)
-    axis = max(features, key=lambda f: stats[f] if stats[f] is not None else -1.0)
-    ranked = global_rank(pts.withColumn("_ax", F.col(axis)), ["_ax", "_key"], "_rk", n=n)
+    spread = sorted(features, key=lambda f: -(stats[f] or 0.0))
+    axis_cols = [f for f in spread if (stats[f] or 0.0) > 0][:max(1, axes)] or spread[:1]
+    ranked = pts
+    for a, f in enumerate(axis_cols):
+        ranked = global_rank(ranked, [f, "_key"], f"_rk{a}", n=n)
     ranked = cut_lineage(ranked, "knn-ranked")
 
-    w = block or max(4 * k, 16)
+    # first block: about sqrt(n) rows, at least 4k, at most 256 (work per row stays bounded)
+    w = block or int(min(256, max(4 * k, 16, math.isqrt(n))))
     pending = ranked
     results = []
     while True:
         nblocks = (n + w - 1) // w
         last_block = nblocks - 1
-        q = pending.withColumn("_b", ((F.col("_rk") - 1) / w).cast("bigint")).alias("q")
-        p = (ranked.withColumn("_pb", ((F.col("_rk") - 1) / w).cast("bigint"))
-             .withColumn("_b", F.explode(F.array(F.col("_pb") - 1, F.col("_pb"), F.col("_pb") + 1)))
-             .filter((F.col("_b") >= 0) & (F.col("_b") <= last_block)).alias("p"))
-        pairs = q.join(p, F.col("q._b") == F.col("p._b")).select(
-            F.col("q._b").alias("_b"), F.col("q._key").alias("qk"), F.col("q._ax").alias("q_ax"),
-            F.col("p._key").alias("pk"), F.col("p._ax").alias("p_ax"),
-            sq_distance("q", "p", features).alias("d2"))
-        self_ = F.col("qk") == F.col("pk")
-        pairs = pairs.withColumn("d2", F.when(self_, F.lit(None)).otherwise(F.col("d2")))
-        part = Window.partitionBy("_b", "qk")
-        ordered = part.orderBy(F.col("d2").asc_nulls_last(), F.col("pk"))
-        scored = (pairs.withColumn("_r", F.row_number().over(ordered))
-                  .withColumn("_lo", F.min("p_ax").over(part))
-                  .withColumn("_hi", F.max("p_ax").over(part))
-                  .withColumn("_kth", F.max(F.when(F.col("_r") == k, F.col("d2"))).over(part)))
-        gap_l = F.when(F.col("_b") > 0, F.col("q_ax") - F.col("_lo"))
-        gap_r = F.when(F.col("_b") < last_block, F.col("_hi") - F.col("q_ax"))
-        gap = F.least(gap_l, gap_r)  # NULL when nothing lies outside the candidate blocks
-        exact = gap.isNull() | (F.col("_kth").isNotNull() & (F.col("_kth") < gap * gap))
-        scored = cut_lineage(scored.withColumn("_exact", exact), "knn-round")
-        results.append(scored.filter(F.col("_exact") & (F.col("_r") <= k) & F.col("d2").isNotNull())
-                       .select(F.col("qk").alias(key), F.col("_r").cast("int").alias("neighbor_rank"),
-                               F.col("pk").alias("neighbor_key"), F.sqrt("d2").alias("distance")))
-        todo = scored.filter(~F.col("_exact")).select(F.col("qk").alias("_key")).distinct()
+        cands, gaps = [], []
+        for a, f in enumerate(axis_cols):
+            rk = F.col(f"_rk{a}")
+            q = pending.withColumn("_b", ((rk - 1) / w).cast("bigint")).alias("q")
+            p = (ranked.withColumn("_pb", ((rk - 1) / w).cast("bigint"))
+                 .withColumn("_b", F.explode(F.array(F.col("_pb") - 1, F.col("_pb"), F.col("_pb") + 1)))
+                 .filter((F.col("_b") >= 0) & (F.col("_b") <= last_block)).alias("p"))
+            pairs = q.join(p, F.col("q._b") == F.col("p._b")).select(
+                F.col("q._b").alias("_b"), F.col("q._key").alias("qk"), F.col(f"q.{f}").alias("q_ax"),
+                F.col("p._key").alias("pk"), F.col(f"p.{f}").alias("p_ax"),
+                sq_distance("q", "p", features).alias("d2"))
+            # the join output is partitioned by _b, so grouping by (_b, qk) needs no new shuffle
+            g = pairs.groupBy("_b", "qk").agg(F.first("q_ax").alias("q_ax"), F.min("p_ax").alias("lo"),
+                                              F.max("p_ax").alias("hi"))
+            gap_l = F.when(F.col("_b") > 0, F.col("q_ax") - F.col("lo"))
+            gap_r = F.when(F.col("_b") < last_block, F.col("hi") - F.col("q_ax"))
+            gaps.append(g.select("qk", F.least(gap_l, gap_r).alias(f"_g{a}")))
+            cands.append(pairs.filter(F.col("qk") != F.col("pk")).select("qk", "pk", "d2"))
+        cand = cands[0]
+        for c in cands[1:]:
+            cand = cand.unionByName(c)
+        # the same pair found through several axes has the same (d2, pk): dense_rank
+        # gives copies one rank, so rank = position among distinct neighbours
+        order = Window.partitionBy("qk").orderBy("d2", "pk")
+        top = (cand.withColumn("_r", F.dense_rank().over(order)).filter(F.col("_r") <= k)
+               .dropDuplicates(["qk", "pk"]))
+        top = top.withColumn("_kth", F.max(F.when(F.col("_r") == k, F.col("d2"))).over(Window.partitionBy("qk")))
+        gap_t = gaps[0]
+        for g in gaps[1:]:
+            gap_t = gap_t.join(g, "qk")
+        any_open, bound = None, None
+        for a in range(len(axis_cols)):
+            gc = F.col(f"_g{a}")
+            any_open = gc.isNull() if any_open is None else (any_open | gc.isNull())
+            bound = gc * gc if bound is None else bound + gc * gc
+        exact = any_open | (F.col("_kth").isNotNull() & (F.col("_kth") < bound))
+        scored = cut_lineage(top.join(gap_t, "qk").select("qk", "pk", "_r", "d2", exact.alias("_exact")),
+                             "knn-round")
+        results.append(scored.filter("_exact").select(
+            F.col("qk").alias(key), F.col("_r").cast("int").alias("neighbor_rank"),
+            F.col("pk").alias("neighbor_key"), F.sqrt("d2").alias("distance")))
+        verdict = scored.select("qk", "_exact").distinct()
+        todo = verdict.filter(~F.col("_exact")).select(F.col("qk").alias("_key"))
         if nblocks <= 1 or todo.isEmpty():
             break
         pending = ranked.join(todo, "_key", "left_semi")
-        w *= 4
+        w *= 8
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

@@ -1003,3 +1003,18 @@ UNION ALL SELECT '(table)', 'DUPLICATES', CAST(nd AS DOUBLE) FROM dup WHERE nd >
 def q_profile_alerts(spark, d):
     t = S.txn_dirty(spark, d).select("step", "type", "amount", "isFraud", "nameDest")
     return round_doubles(profile.profile_alerts(t, ["step", "amount", "isFraud"], ["type", "nameDest"]))
+
+
+# ======================================================================= whole job
+@query("prepare_split_balance", None)
+def q_prepare_split_balance(spark, d):
+    from .flow import prepare_for_training
+    train, test = prepare_for_training(S.txn(spark, d))
+    return round_doubles(train.withColumn("part", F.lit("train"))
+                         .unionByName(test.withColumn("part", F.lit("test"))))
+
+
+@query("run_all", None)
+def q_run_all(spark, d):
+    from .flow import run_all
+    return round_doubles(run_all(spark, d))

@@ -43,3 +43,44 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (p.withColumn("type", types)
             .groupBy("type", S.LABEL).agg(F.count(F.lit(1)).alias("n_rows"),
                                           F.round(F.sum("amount"), 2).alias("total_amount")))
+
+
+def prepare_for_training(df: DataFrame, key: str = S.KEY, fraction: float = 0.7, seed: int = 0,
+                         rounds: int = 1, balance_first: bool = False):
+    """(train, test): split first and balance the training side only; with
+    ``balance_first`` the reference's order (balance, then split) is reproduced."""
+    from ..operators import balance, split
+    int_cols = [f for f in S.FEATURES if f != "amount"]
+    p = prepare(df, key=key)
+    if balance_first:
+        b = balance.balance(p, S.LABEL, S.FEATURES, key, rounds=rounds, int_cols=int_cols)
+        return split.split(b, key, fraction, seed)
+    train, test = split.split(p, key, fraction, seed)
+    return balance.balance(train, S.LABEL, S.FEATURES, key, rounds=rounds, int_cols=int_cols), test
+
+
+def run_all(spark: SparkSession, sf_dir: str, kinds=None, max_gap: float | None = 0.05,
+            seed: int = 7) -> DataFrame:
+    """The reference's whole job, as intended: prepare -> split -> balance the
+    training side -> train each kind -> score -> compare (accuracy, precision,
+    recall, AUC on probabilities, train-test gap) -> the selected model first."""
+    from ..operators import choose
+    from . import models as M
+    kinds = list(kinds or M.KINDS)
+    train, test = prepare_for_training(S.txn(spark, sf_dir))
+    from ..session import cut_lineage
+    train = cut_lineage(train, "train")
+    rows = None
+    for kind in kinds:
+        model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=seed)
+        test_m = choose.model_metrics(kind, M.score(model, test, S.LABEL))
+        train_acc = M.score(model, train, S.LABEL).agg(
+            F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("train_accuracy"))
+        one = F.lit(1).alias("_one")
+        r = test_m.select("*", one).join(train_acc.select("*", one), "_one").drop("_one")
+        rows = r if rows is None else rows.unionByName(r)
+    rows = rows.withColumn("gap", F.col("train_accuracy") - F.col("accuracy"))
+    best = choose.select_model(rows, "auc_roc", "gap", max_gap).select("name_model").first()
+    if best is None:
+        best = choose.select_model(rows, "auc_roc").select("name_model").first()
+    return rows.withColumn("selected", F.col("name_model") == F.lit(best["name_model"]))

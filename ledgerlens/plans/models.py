@@ -58,14 +58,16 @@ def train_model(kind: str, df: DataFrame, features: Sequence[str], label: str, s
     return assemble_classifier(kind, features, label, seed, **params).fit(lab)
 
 
-def score(model, df: DataFrame, label: str, keep: Sequence[str] = (), flat: bool = True) -> DataFrame:
+def score(model, df: DataFrame, label: str, keep: Sequence[str] = (), flat: bool = True,
+          order_by: str | None = None) -> DataFrame:
     """Apply a fitted model.  ``flat``: (keep..., label, prediction, score) where
-    score = probability of class 1 (vector_to_array, no Python)."""
+    score = probability of class 1 (vector_to_array, no Python).  ``order_by``
+    sorts the result (the reference sorts by prediction; no metric needs it)."""
     out = model.transform(df.withColumn(label, F.col(label).cast("double")))
-    if not flat:
-        return out
-    return out.select(*keep, F.col(label).alias("label"), "prediction",
-                      vector_to_array("probability")[1].alias("score"))
+    if flat:
+        out = out.select(*keep, F.col(label).alias("label"), "prediction",
+                         vector_to_array("probability")[1].alias("score"))
+    return out.orderBy(order_by) if order_by else out
 
 
 def _classifier(model):

@@ -14,6 +14,7 @@ same bucket again.  Order keys must be non-null; make the order tuple unique
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -44,9 +45,12 @@ def range_bounds(df: DataFrame, keys: Sequence[str], buckets: int,
     sample = df.select(*keys)
     for k in keys:
         sample = sample.filter(F.col(k).isNotNull())
-    rows = sample.sample(False, frac, seed=seed).orderBy(*keys).collect()
+    # at most ~64 x buckets rows; sorted here (numbers and UTF-8 strings order
+    # the same way in Python and Spark; NaN, which Spark puts last, too)
+    rows = [tuple(r) for r in sample.sample(False, frac, seed=seed).collect()]
     if not rows:
         return []
+    rows.sort(key=lambda t: tuple((1, 0.0) if isinstance(v, float) and math.isnan(v) else (0, v) for v in t))
     picks: list[tuple] = []
     for i in range(1, buckets):
         t = tuple(rows[min(len(rows) - 1, (len(rows) * i) // buckets)])

@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_int, md5_uniform
-from ..functions.prefix import global_rank
 from . import clean
-from .knn import knn_within
+from .knn import knn_tables
 from ..session import cut_lineage
 
 
@@ -88,8 +87,9 @@ def smote(df: DataFrame, label: str, features: Sequence[str], key: str, k: int =
                                       *[F.lit(None).cast(df.schema[f].dataType).alias(f) for f in features],
                                       F.lit(minority).cast(df.schema[label].dataType).alias(label))
         return empty.select(*out_schema)
-    nbrs = knn_within(mino, key, features, kk)
-    idx = global_rank(mino, [key], "_kidx", n=n_min)
+    nbrs, pts = knn_tables(mino, key, features, kk, key_rank=True)
+    # minority row number in key order, ranked in the same pass as the kNN axes
+    idx = pts.select(F.col("_krank").alias("_kidx"), F.col("_key").alias(key), *features)
     s = str(seed)
     i = F.col("id")
     gen = spark.range(n_new).select(

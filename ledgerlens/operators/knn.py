@@ -54,6 +54,14 @@ def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
                block: int | None = None, axes: int = 2) -> DataFrame:
     """(key, neighbor_rank, neighbor_key, distance): the k nearest other rows of
     each row in Euclidean distance over ``features``; ties by neighbour key."""
+    return knn_tables(df, key, features, k, block, axes)[0]
+
+
+def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
+               block: int | None = None, axes: int = 2, key_rank: bool = False):
+    """(neighbours, points): the k-NN table and the written point table
+    (``_key``, features as double, per-axis ranks, and with ``key_rank`` the
+    1-based row number in key order as ``_krank``)."""
     features = list(features)
     pts = cut_lineage(df.select(F.col(key).alias("_key"),
                                 *[F.col(f).cast("double").alias(f) for f in features]), "knn-points")
@@ -64,12 +72,14 @@ def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
     schema = f"{key} {key_type}, neighbor_rank int, neighbor_key {key_type}, distance double"
     spark = df.sparkSession
     if n == 0:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), pts
     spread = sorted(features, key=lambda f: -(stats[f] or 0.0))
     axis_cols = [f for f in spread if (stats[f] or 0.0) > 0][:max(1, axes)] or spread[:1]
     ranked = pts
     for a, f in enumerate(axis_cols):
         ranked = global_rank(ranked, [f, "_key"], f"_rk{a}", n=n)
+    if key_rank:
+        ranked = global_rank(ranked, ["_key"], "_krank", n=n)
     ranked = cut_lineage(ranked, "knn-ranked")
 
     # first block: about sqrt(n) rows, at least 4k, at most 256 (work per row stays bounded)
@@ -129,4 +139,4 @@ def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    return out
+    return out, ranked

@@ -37,33 +37,49 @@ def _q(c: str) -> str:
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = True) -> DataFrame:
     """(column_name, data_type, n, n_missing, n_distinct, n_zeros, n_negative, min, max,
-    mean, std, variance, skewness, kurtosis, sum) per numeric column, from one
-    aggregate over all columns (expressions as SQL text: one JVM call each)."""
+    mean, std, variance, skewness, kurtosis, sum) per numeric column.
+
+    One small aggregate per column, all in one job (a union): each branch reads
+    only its own Parquet column and keeps a dozen aggregation buffers, so it
+    stays in whole-stage codegen however many columns are profiled (a single
+    aggregate over all columns grows past what the JVM compiles).  Exact
+    distinct counts come from one (column, value) aggregate, combined on the
+    map side, so a value held by a third of the rows is one row per task.
+    Skewness and kurtosis carry the sample corrections a pandas-based
+    profiler reports."""
     cols = list(cols) if cols else numeric_columns(df)
     types = dict(df.dtypes)
-    aggs = ["count(1) AS _rows"]
-    for i, c in enumerate(cols):
+    branches = []
+    for c in cols:
         x = f"CAST({_q(c)} AS DOUBLE)"
-        dist = f"count(DISTINCT {x})" if exact_distinct else f"approx_count_distinct({x})"
-        aggs += [f"count({x}) AS n{i}", f"{dist} AS d{i}",
-                 f"sum(CASE WHEN {x} = 0 THEN 1 ELSE 0 END) AS z{i}",
-                 f"sum(CASE WHEN {x} < 0 THEN 1 ELSE 0 END) AS neg{i}",
-                 f"min({x}) AS mn{i}", f"max({x}) AS mx{i}", f"avg({x}) AS avg{i}",
-                 f"stddev_samp({x}) AS sd{i}", f"var_samp({x}) AS var{i}",
-                 f"skewness({x}) AS sk{i}", f"kurtosis({x}) AS ku{i}", f"sum({x}) AS s{i}"]
-    row = df.agg(*[F.expr(a) for a in aggs])
-    items = []
-    for i, c in enumerate(cols):
-        n = f"CAST(n{i} AS DOUBLE)"
-        skew = f"CASE WHEN {n} > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * sk{i} END"
-        kurt = f"CASE WHEN {n} > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * ku{i} + 6) END"
-        items.append(
-            f"named_struct('column_name', '{c}', 'data_type', '{types[c]}', 'n', CAST(n{i} AS BIGINT), "
-            f"'n_missing', CAST(_rows - n{i} AS BIGINT), 'n_distinct', CAST(d{i} AS BIGINT), "
-            f"'n_zeros', CAST(z{i} AS BIGINT), 'n_negative', CAST(neg{i} AS BIGINT), "
-            f"'min', mn{i}, 'max', mx{i}, 'mean', avg{i}, 'std', sd{i}, 'variance', var{i}, "
-            f"'skewness', {skew}, 'kurtosis', {kurt}, 'sum', s{i})")
-    return row.selectExpr(f"explode(array({', '.join(items)})) AS e").select("e.*")
+        n = "CAST(count(x) AS DOUBLE)"
+        aggs = [f"'{c}' AS column_name", f"'{types[c]}' AS data_type", "count(x) AS n",
+                "CAST(count(1) - count(x) AS BIGINT) AS n_missing",
+                "CAST(sum(CASE WHEN x = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zeros",
+                "CAST(sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative",
+                "min(x) AS min", "max(x) AS max", "avg(x) AS mean", "stddev_samp(x) AS std",
+                "var_samp(x) AS variance",
+                f"CASE WHEN {n} > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * skewness(x) END AS skewness",
+                f"CASE WHEN {n} > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis(x) + 6) END "
+                "AS kurtosis",
+                "sum(x) AS sum"]
+        if not exact_distinct:
+            aggs.append("CAST(approx_count_distinct(x) AS BIGINT) AS n_distinct")
+        branches.append(df.select(F.expr(f"{x} AS x")).agg(*[F.expr(a) for a in aggs]))
+    out = branches[0]
+    for b in branches[1:]:
+        out = out.unionByName(b)
+    if exact_distinct:
+        arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+                        for c in cols])
+        distinct = (df.select(F.explode(arr).alias("e")).select("e.*")
+                    .distinct()
+                    .groupBy("column_name").agg(F.count("value").cast("bigint").alias("n_distinct")))
+        # both sides hold one row per profiled column
+        out = out.join(F.broadcast(distinct), "column_name", "left").withColumn(
+            "n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0).cast("bigint")))
+    return out.select("column_name", "data_type", "n", "n_missing", "n_distinct", "n_zeros", "n_negative",
+                      "min", "max", "mean", "std", "variance", "skewness", "kurtosis", "sum")
 
 
 def profile_quantiles(df: DataFrame, cols: Sequence[str] | None = None,

@@ -82,12 +82,13 @@ def fit_categories(df: DataFrame, col: str, order: str = "frequencyDesc",
 
 def category_index_table(df: DataFrame, col: str) -> DataFrame:
     """(label, count, index) with StringIndexer's frequencyDesc order, as a
-    DataFrame (for reports); the window runs over the category table only."""
-    from pyspark.sql import Window
-    counts = category_counts(df, col)
-    w = Window.orderBy(F.col("count").desc(), F.col("label").asc())
-    return counts.select(F.col("label").alias(col), "count",
-                         (F.row_number().over(w) - 1).cast("double").alias(f"{col}_index"))
+    DataFrame (for reports).  The category table is ranked with distributed
+    running counts, so a column with very many labels never lands in one task."""
+    from ..functions.prefix import global_rank
+    counts = category_counts(df, col).withColumn("_negc", -F.col("count"))
+    ranked = global_rank(counts, ["_negc", "label"], "_r")
+    return ranked.select(F.col("label").alias(col), "count",
+                         (F.col("_r") - 1).cast("double").alias(f"{col}_index"))
 
 
 def index_expr(col: str, labels: Sequence[str], handle_invalid: str = "error") -> Column:

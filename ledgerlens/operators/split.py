@@ -25,8 +25,9 @@ def assign_split(df: DataFrame, key: str, fraction: float = 0.7, seed: int = 0,
     d = df.withColumn("_u", u)
     ranked = global_rank(d, ["_u", key], "_r", partition_cols=[stratify])
     sizes = d.groupBy(stratify).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per class: small by construction
-    j = ranked.join(F.broadcast(sizes), stratify)
+    # one row per class; no broadcast hint: AQE broadcasts it once it has
+    # measured it, and a high-cardinality stratum column stays a shuffle join
+    j = ranked.join(sizes, stratify)
     train = F.col("_r") <= F.round(F.col("_n") * F.lit(fraction))
     return j.withColumn(out, F.when(train, "train").otherwise("test")).drop("_u", "_r", "_n")
 

@@ -94,6 +94,23 @@ def q_string_index_orders(spark, d):
         "o_orderkey", "o_orderpriority", "o_orderpriority_index")
 
 
+_CAT_SQL = """
+WITH c AS (SELECT {col} AS label, count(*) AS n FROM {tab} WHERE {col} IS NOT NULL GROUP BY 1)
+SELECT label AS {col}, n AS count,
+       CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS {col}_index FROM c"""
+
+
+@query("category_index_orders", _CAT_SQL.format(col="o_orderpriority", tab="orders"))
+def q_category_index_orders(spark, d):
+    return features.category_index_table(S.table(spark, d, "orders"), "o_orderpriority")
+
+
+@query("category_index_customer", _CAT_SQL.format(col="c_name", tab="customer"))
+def q_category_index_customer(spark, d):
+    # one label per row: the rank runs distributed, not in one task
+    return features.category_index_table(S.table(spark, d, "customer"), "c_name")
+
+
 @query("one_hot_columns", with_(S.TXN_SQL, """
 SELECT event_id, type,
   CAST(type = 'CASH_IN' AS DOUBLE) AS CASH_IN, CAST(type = 'CASH_OUT' AS DOUBLE) AS CASH_OUT,

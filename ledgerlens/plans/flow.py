@@ -79,7 +79,9 @@ def run_all(spark: SparkSession, sf_dir: str, kinds=None, max_gap: float | None
         one = F.lit(1).alias("_one")
         r = test_m.select("*", one).join(train_acc.select("*", one), "_one").drop("_one")
         rows = r if rows is None else rows.unionByName(r)
-    rows = rows.withColumn("gap", F.col("train_accuracy") - F.col("accuracy"))
+    # one row per model, written once: the selection below and the caller read
+    # the file instead of scoring every model again
+    rows = cut_lineage(rows.withColumn("gap", F.col("train_accuracy") - F.col("accuracy")), "run-all")
     best = choose.select_model(rows, "auc_roc", "gap", max_gap).select("name_model").first()
     if best is None:
         best = choose.select_model(rows, "auc_roc").select("name_model").first()

@@ -96,17 +96,24 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
             p = (ranked.withColumn("_pb", ((rk - 1) / w).cast("bigint"))
                  .withColumn("_b", F.explode(F.array(F.col("_pb") - 1, F.col("_pb"), F.col("_pb") + 1)))
                  .filter((F.col("_b") >= 0) & (F.col("_b") <= last_block)).alias("p"))
-            pairs = q.join(p, F.col("q._b") == F.col("p._b")).select(
-                F.col("q._b").alias("_b"), F.col("q._key").alias("qk"), F.col(f"q.{f}").alias("q_ax"),
-                F.col("p._key").alias("pk"), F.col(f"p.{f}").alias("p_ax"),
-                sq_distance("q", "p", features).alias("d2"))
-            # the join output is partitioned by _b, so grouping by (_b, qk) needs no new shuffle
-            g = pairs.groupBy("_b", "qk").agg(F.first("q_ax").alias("q_ax"), F.min("p_ax").alias("lo"),
-                                              F.max("p_ax").alias("hi"))
-            gap_l = F.when(F.col("_b") > 0, F.col("q_ax") - F.col("lo"))
-            gap_r = F.when(F.col("_b") < last_block, F.col("hi") - F.col("q_ax"))
+            cands.append(q.join(p, F.col("q._b") == F.col("p._b"))
+                         .filter(F.col("q._key") != F.col("p._key"))
+                         .select(F.col("q._key").alias("qk"), F.col("p._key").alias("pk"),
+                                 sq_distance("q", "p", features).alias("d2")))
+            # Ranks follow the axis value, so every row below the window (blocks
+            # < b-1) has a value <= the smallest of block b-1, and every row above
+            # (blocks > b+1) one >= the largest of block b+1.  The gaps need only
+            # these per-block extremes (n / W rows), not the candidate pairs.
+            ext = ranked.groupBy(((rk - 1) / w).cast("bigint").alias("_eb")).agg(
+                F.min(F.col(f)).alias("_lo"), F.max(F.col(f)).alias("_hi"))
+            below = ext.select((F.col("_eb") + 1).alias("_b"), F.col("_lo"))
+            above = ext.select((F.col("_eb") - 1).alias("_b"), F.col("_hi"))
+            qb = pending.select(F.col("_key").alias("qk"), F.col(f).alias("q_ax"),
+                                ((rk - 1) / w).cast("bigint").alias("_b"))
+            g = qb.join(below, "_b", "left").join(above, "_b", "left")
+            gap_l = F.when(F.col("_b") >= 2, F.col("q_ax") - F.col("_lo"))
+            gap_r = F.when(F.col("_b") <= last_block - 2, F.col("_hi") - F.col("q_ax"))
             gaps.append(g.select("qk", F.least(gap_l, gap_r).alias(f"_g{a}")))
-            cands.append(pairs.filter(F.col("qk") != F.col("pk")).select("qk", "pk", "d2"))
         cand = cands[0]
         for c in cands[1:]:
             cand = cand.unionByName(c)
@@ -125,8 +132,8 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
             any_open = gc.isNull() if any_open is None else (any_open | gc.isNull())
             bound = gc * gc if bound is None else bound + gc * gc
         exact = any_open | (F.col("_kth").isNotNull() & (F.col("_kth") < bound))
-        scored = cut_lineage(top.join(gap_t, "qk").select("qk", "pk", "_r", "d2", exact.alias("_exact")),
-                             "knn-round")
+        pre = top.join(gap_t, "qk").select("qk", "pk", "_r", "d2", exact.alias("_exact"))
+        scored = cut_lineage(pre, "knn-round")
         results.append(scored.filter("_exact").select(
             F.col("qk").alias(key), F.col("_r").cast("int").alias("neighbor_rank"),
             F.col("pk").alias("neighbor_key"), F.sqrt("d2").alias("distance")))

@@ -1,69 +1,45 @@
 """Running sums in a global order without a single-task window.
 
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.
-Instead we cut the order into range buckets, sum each bucket (one small
-aggregate, at most ``buckets`` rows to the driver), turn the bucket totals
-into offsets, and run the window *per bucket*, adding the offset.
-
-The bucket boundaries come from a bounded sample of the order key (what
-Spark's own range partitioner does) and are baked into the plan as
-literals, so a recomputed task after an executor loss puts every row in the
-same bucket again.  Order keys must be non-null; make the order tuple unique
-(add a key column) so that no single value can fill one bucket.
+Instead Spark's own range partitioner (``repartitionByRange``: sampled
+bounds, binary search in the JVM) cuts the order into ``nb`` contiguous
+ranges; ``spark_partition_id()`` names the range of each row, and the window
+runs per range.  That result is written once into the shared checkpoint
+folder, which fixes the range of every row: a task recomputed after an
+executor loss cannot move a row to another range.  Each range's total then
+becomes an offset through a window over the range totals (at most ``nb``
+rows) joined back as a broadcast whose size is that bound.
+
+``nb`` grows with the table (about two million rows per range at most), so
+no task sorts more than a range, however large the input.  Order keys must
+be non-null and the order tuple unique (end it with a key column), so that
+no single value can fill one range.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exprs import search_bucket
+from ..session import cut_lineage
 
 BUCKET_COL = "_bucket"
+ROWS_PER_RANGE = 2_000_000   # upper bound of rows sorted by one window task
+MIN_ROWS_PER_RANGE = 10_000  # small tables get fewer, fuller ranges
 
 
-def _bucket_count(spark, buckets: int | None) -> int:
+def range_count(spark, n: int, buckets: int | None = None) -> int:
+    """Number of ranges: ``buckets`` if given, else enough that a range holds at
+    most ROWS_PER_RANGE rows, and up to the shuffle partition count while each
+    range still gets MIN_ROWS_PER_RANGE rows."""
     if buckets:
         return max(1, int(buckets))
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def range_bounds(df: DataFrame, keys: Sequence[str], buckets: int,
-                 n: int | None = None, seed: int = 11) -> list[tuple]:
-    """Up to ``buckets - 1`` sorted boundaries of the key tuple, from a sample
-    of about 64 rows per bucket (bounded; never the whole table)."""
-    if buckets <= 1:
-        return []
-    if n is None:
-        n = df.count()
-    if n == 0:
-        return []
-    frac = min(1.0, 64.0 * buckets / n)
-    sample = df.select(*keys)
-    for k in keys:
-        sample = sample.filter(F.col(k).isNotNull())
-    # at most ~64 x buckets rows; sorted here (numbers and UTF-8 strings order
-    # the same way in Python and Spark; NaN, which Spark puts last, too)
-    rows = [tuple(r) for r in sample.sample(False, frac, seed=seed).collect()]
-    if not rows:
-        return []
-    rows.sort(key=lambda t: tuple((1, 0.0) if isinstance(v, float) and math.isnan(v) else (0, v) for v in t))
-    picks: list[tuple] = []
-    for i in range(1, buckets):
-        t = tuple(rows[min(len(rows) - 1, (len(rows) * i) // buckets)])
-        if not picks or picks[-1] != t:
-            picks.append(t)
-    return picks
-
-
-def with_bucket(df: DataFrame, keys: Sequence[str], bounds: list[tuple]) -> DataFrame:
-    types = [df.schema[k].dataType.simpleString() for k in keys]
-    if not bounds:
-        return df.withColumn(BUCKET_COL, F.lit(0))
-    return df.withColumn(BUCKET_COL, search_bucket([F.col(k) for k in keys], bounds, types, names=list(keys)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    by_size = -(-n // ROWS_PER_RANGE)
+    by_parts = min(parts, -(-n // MIN_ROWS_PER_RANGE))
+    return max(1, by_size, by_parts)
 
 
 def running_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str], *,
@@ -73,29 +49,26 @@ def running_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[st
     (partition_cols, order_cols) order; restarts at each partition value."""
     spark = df.sparkSession
     keys = list(partition_cols) + list(order_cols)
-    nb = _bucket_count(spark, buckets)
-    bounds = range_bounds(df, keys, nb, n=n)
-    b = with_bucket(df, keys, bounds)
-
-    totals = {r[BUCKET_COL]: r for r in
-              b.groupBy(BUCKET_COL).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()}
-    n_buckets = len(bounds) + 1
-    offset_cols = {}
-    for c in sum_cols:
-        acc, offs = 0, []
-        for i in range(n_buckets):
-            offs.append(acc)
-            r = totals.get(i)
-            if r is not None and r[c] is not None:
-                acc += r[c]
-        dtype = df.schema[c].dataType.simpleString()
-        sum_type = "double" if dtype in ("float", "double") or dtype.startswith("decimal") else "bigint"
-        arr = "array(" + ", ".join(f"CAST({o!r} AS {sum_type})" for o in offs) + ")"
-        offset_cols[c] = F.expr(f"element_at({arr}, {BUCKET_COL} + 1)")
+    if n is None and not buckets:
+        n = df.count()
+    nb = range_count(spark, n or 0, buckets)
 
+    ranged = df.repartitionByRange(nb, *keys).withColumn(BUCKET_COL, F.spark_partition_id())
     w = (Window.partitionBy(BUCKET_COL).orderBy(*keys)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = b.select("*", *[(F.sum(c).over(w) + offset_cols[c]).alias(prefix + c) for c in sum_cols])
+    # rows of one range sit in one task; hash on the range id (nb ways) satisfies the window
+    local = ranged.repartition(nb, BUCKET_COL).select(
+        "*", *[F.sum(c).over(w).alias("_loc_" + c) for c in sum_cols])
+    local = cut_lineage(local, "running-sums")
+
+    totals = local.groupBy(BUCKET_COL).agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
+    before = Window.orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(BUCKET_COL, *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_o_" + c)
+                                          for c in sum_cols])
+    # one row per range: bounded by nb
+    out = local.join(F.broadcast(offsets), BUCKET_COL).select(
+        *[F.col(c) for c in df.columns],
+        *[(F.col("_loc_" + c) + F.col("_o_" + c)).alias(prefix + c) for c in sum_cols])
 
     if partition_cols:
         # restart per partition: subtract the running total reached before it
@@ -106,8 +79,6 @@ def running_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[st
         out = out.select(
             *[F.col(c) for c in df.columns],
             *[(F.col(prefix + c) - F.col("_base_" + c)).alias(prefix + c) for c in sum_cols])
-    else:
-        out = out.drop(BUCKET_COL)
     return out
 
 

@@ -116,13 +116,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     """(column_name, p, value): linear-interpolated quantiles, exact and distributed.
 
     value counts per (column, value) -> running sums in value order (range
-    buckets, no single-task window) -> each target index found by a join
+    partitions, no single-task window) -> each target index found by a join
     against the broadcast target table, whose size is columns x probs."""
     long = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
     counts = cut_lineage(counts)  # the raw rows are read once; later jobs read the value counts
+    # running_sums writes its ranges once; what it returns is a scan plus small joins
     cum = running_sums(counts, ["value"], ["cnt"], partition_cols=["column_name"])
-    cum = cut_lineage(cum.withColumn("start", F.col("cum_cnt") - F.col("cnt")))
+    cum = cum.withColumn("start", F.col("cum_cnt") - F.col("cnt"))
     n = counts.groupBy("column_name").agg(F.sum("cnt").alias("n"))
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
     targets = (n.select("column_name", "n", F.explode(p_arr).alias("p"))

@@ -80,7 +80,7 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
         ranked = global_rank(ranked, [f, "_key"], f"_rk{a}", n=n)
     if key_rank:
         ranked = global_rank(ranked, ["_key"], "_krank", n=n)
-    ranked = cut_lineage(ranked, "knn-ranked")
+    # each rank pass wrote its table: ``ranked`` is one scan and small offset joins
 
     # first block: about sqrt(n) rows, at least 4k, at most 256 (work per row stays bounded)
     w = block or int(min(256, max(4 * k, 16, math.isqrt(n))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +41,55 @@ def safe_div(num: Column, den: Column) -> Column:
 
 def rnd(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)
+
+
+def sql_literal(v, t: str | None = None) -> str:
+    """A typed SQL literal for a Python value (strings escaped)."""
+    if isinstance(v, str):
+        lit = "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    elif isinstance(v, bool):
+        lit = "true" if v else "false"
+    elif isinstance(v, float):
+        lit = repr(v) + "D"
+    elif v is None:
+        lit = "NULL"
+    else:
+        lit = str(v)
+    return f"CAST({lit} AS {t})" if t else lit
+
+
+def search_bucket(key: Column | Sequence[Column], bounds: Sequence,
+                  types: Sequence[str] | None = None, names: Sequence[str] | None = None) -> Column:
+    """0-based bucket of the key among sorted literal ``bounds`` by binary search.
+
+    bucket = number of bounds <= key.  The key is one column or several
+    (compared lexicographically as a struct).  Built as SQL text (one JVM
+    parse instead of a Py4J call per node): a CASE tree of depth
+    log2(len(bounds)), so each row does a handful of comparisons.
+    ``names`` are the key column names (required for SQL text)."""
+    keys = [key] if isinstance(key, Column) else list(key)
+    if names is None:
+        raise ValueError("search_bucket needs the key column names")
+    multi = len(names) > 1
+    tps = list(types) if types else [None] * len(names)
+    fields = [f"k{i}" for i in range(len(names))]
+    if multi:
+        row = "named_struct(" + ", ".join(f"'{f}', `{n}`" for f, n in zip(fields, names)) + ")"
+    else:
+        row = f"`{names[0]}`"
+
+    def lit_of(b):
+        vals = b if isinstance(b, (tuple, list)) else (b,)
+        if multi:
+            return "named_struct(" + ", ".join(f"'{f}', {sql_literal(v, t)}"
+                                               for f, v, t in zip(fields, vals, tps)) + ")"
+        return sql_literal(vals[0], tps[0])
+
+    def build(lo: int, hi: int) -> str:
+        if lo >= hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN {row} < {lit_of(bounds[mid])} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
+
+    del keys
+    return F.expr(build(0, len(bounds)))

@@ -20,7 +20,7 @@ def feat(spark):
 
 
 # ---------------------------------------------------------------- running sums
-@pytest.mark.parametrize("buckets", [1, 3, 16])
+@pytest.mark.parametrize("buckets", [1, 3, 16, 80])  # 80: Spark range partitioner path
 def test_running_sums_match_cumsum(spark, buckets):
     rng = np.random.default_rng(3)
     vals = rng.integers(0, 50, 400).tolist()  # many ties in the first key
@@ -36,11 +36,19 @@ def test_running_sums_partitioned(spark):
         assert sorted(grp["cum_one"]) == list(range(1, 51))
 
 
-def test_global_rank_hot_value(spark):
-    # a third of the rows share one value: ranks stay unique and dense
+@pytest.mark.parametrize("buckets", [8, 80])
+def test_global_rank_hot_value(spark, buckets):
+    # a third of the rows share one value: ranks stay unique, dense and in order
     df = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(300)], "v int, k int")
-    r = global_rank(df, ["v", "k"], "rank", buckets=8).toPandas()
-    assert sorted(r["rank"]) == list(range(1, 301))
+    r = global_rank(df, ["v", "k"], "rank", buckets=buckets).toPandas().sort_values(["v", "k"])
+    assert r["rank"].tolist() == list(range(1, 301))
+
+
+def test_running_sums_partitioned_partitioner_path(spark):
+    df = spark.createDataFrame([(g, i, 1) for g in ("a", "b", "c") for i in range(50)], "g string, i int, one int")
+    out = running_sums(df, ["i"], ["one"], partition_cols=["g"], buckets=70).toPandas()
+    for _, grp in out.groupby("g"):
+        assert grp.sort_values("i")["cum_one"].tolist() == list(range(1, 51))
 
 
 # ---------------------------------------------------------------- features

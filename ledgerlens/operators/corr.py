@@ -107,8 +107,15 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     """Long form (feature_x, feature_y, correlation) of every ordered pair, diagonal included."""
     cols = list(cols)
     if method == "spearman":
-        base = average_ranks(df.select(*cols).dropna(), cols)
-    elif method == "pearson":
+        complete = df.select(*cols).dropna()
+        n = complete.count()  # a pruned scan of the source, no rank joins
+        base = average_ranks(complete, cols)
+        if n > 0:
+            # average ranks of n rows always have the mean (n + 1) / 2, so the
+            # rank-joined table is read once, by the centred pass
+            return _pearson_centred(base, cols, [(n + 1) / 2.0] * len(cols))
+        return _pearson_pairwise(base, cols)
+    if method == "pearson":
         base = df.select(*cols)
     else:
         raise ValueError(f"unknown method {method!r}")

@@ -91,6 +91,31 @@ def test_histogram_constant_and_empty(spark):
     assert explore.histogram(df.filter("x > 9"), "x", 10).count() == 0
 
 
+def test_profile_numeric_matches_pandas(spark):
+    import pandas as pd
+    from ledgerlens.operators import profile
+    rng = np.random.default_rng(9)
+    x = rng.gamma(2.0, 3.0, 300).round(2)
+    x[::17] = np.nan  # missing values
+    ints = rng.integers(-3, 4, 300)
+    pdf = pd.DataFrame({"x": x, "i": ints, "c": 7.0})
+    rows = [(None if np.isnan(a) else float(a), int(b), float(c)) for a, b, c in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "x double, i int, c double")
+    got = {r["column_name"]: r for r in profile.profile_numeric(df).collect()}
+    for col in ("x", "i"):
+        s_ = pdf[col].dropna().astype(float)
+        r = got[col]
+        assert r["n"] == len(s_) and r["n_missing"] == 300 - len(s_)
+        assert r["n_distinct"] == s_.nunique()
+        assert r["n_zeros"] == int((s_ == 0).sum()) and r["n_negative"] == int((s_ < 0).sum())
+        for name, want in (("mean", s_.mean()), ("std", s_.std()), ("variance", s_.var()),
+                           ("skewness", s_.skew()), ("kurtosis", s_.kurt()), ("sum", s_.sum())):
+            assert math.isclose(r[name], want, rel_tol=1e-9, abs_tol=1e-9), (col, name)
+    assert got["c"]["n_distinct"] == 1 and got["c"]["std"] == 0.0
+    empty = {r["column_name"]: r for r in profile.profile_numeric(df.filter("i > 99")).collect()}
+    assert set(empty) == {"x", "i", "c"} and all(r["n"] == 0 and r["n_distinct"] == 0 for r in empty.values())
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     xs = rng.normal(size=501).round(2).tolist()

@@ -31,6 +31,9 @@ from ..functions.prefix import global_rank
 from ..session import cut_lineage
 
 
+MAX_WINDOW = 2048  # widest rank window; rows still open beyond it are compared block by block
+
+
 def sq_distance(a: str, b: str, features: Sequence[str]):
     """Sum of squared differences, features added left to right."""
     expr = None
@@ -51,14 +54,15 @@ def choose_axis(df: DataFrame, features: Sequence[str]) -> str:
 
 
 def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
-               block: int | None = None, axes: int = 2) -> DataFrame:
+               block: int | None = None, axes: int = 2, max_window: int = MAX_WINDOW) -> DataFrame:
     """(key, neighbor_rank, neighbor_key, distance): the k nearest other rows of
     each row in Euclidean distance over ``features``; ties by neighbour key."""
-    return knn_tables(df, key, features, k, block, axes)[0]
+    return knn_tables(df, key, features, k, block, axes, max_window=max_window)[0]
 
 
 def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
-               block: int | None = None, axes: int = 2, key_rank: bool = False):
+               block: int | None = None, axes: int = 2, key_rank: bool = False,
+               max_window: int = MAX_WINDOW):
     """(neighbours, points): the k-NN table and the written point table
     (``_key``, features as double, per-axis ranks, and with ``key_rank`` the
     1-based row number in key order as ``_krank``)."""
@@ -119,9 +123,7 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
             cand = cand.unionByName(c)
         # the same pair found through several axes has the same (d2, pk): dense_rank
         # gives copies one rank, so rank = position among distinct neighbours
-        order = Window.partitionBy("qk").orderBy("d2", "pk")
-        top = (cand.withColumn("_r", F.dense_rank().over(order)).filter(F.col("_r") <= k)
-               .dropDuplicates(["qk", "pk"]))
+        top = _top_k(cand, k)
         top = top.withColumn("_kth", F.max(F.when(F.col("_r") == k, F.col("d2"))).over(Window.partitionBy("qk")))
         gap_t = gaps[0]
         for g in gaps[1:]:
@@ -143,7 +145,41 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
             break
         pending = ranked.join(todo, "_key", "left_semi")
         w *= 8
+        if w > max_window:
+            # No bound certified these rows: compare them with every row, in
+            # (chunk of open rows) x (rank block of all rows) join keys, so no
+            # task holds more than about max_window^2 pairs.
+            results.append(_blocked_exhaustive(pending, ranked, key, features, k, n, todo.count(), max_window))
+            break
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
     return out, ranked
+
+
+def _top_k(cand: DataFrame, k: int) -> DataFrame:
+    """(qk, pk, _r, d2): the k nearest distinct candidates of each query row."""
+    order = Window.partitionBy("qk").orderBy("d2", "pk")
+    return (cand.withColumn("_r", F.dense_rank().over(order)).filter(F.col("_r") <= k)
+            .dropDuplicates(["qk", "pk"]))
+
+
+def _blocked_exhaustive(pending: DataFrame, ranked: DataFrame, key: str, features: Sequence[str], k: int,
+                        n: int, n_open: int, size: int) -> DataFrame:
+    """Exact k-NN of the open rows against all rows, as a blocked comparison:
+    open rows are spread over ceil(n_open / size) chunks by key hash, all rows
+    over ceil(n / size) rank blocks, and each (chunk, block) join key meets
+    about size x size pairs.  The top-k runs partially before its shuffle."""
+    n_chunks = max(1, -(-n_open // size))
+    n_blocks = max(1, -(-n // size))
+    q = (pending.withColumn("_qc", F.pmod(F.xxhash64("_key"), F.lit(n_chunks)))
+         .withColumn("_pc", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).alias("q"))
+    p = (ranked.withColumn("_pc", ((F.col("_rk0") - 1) / size).cast("bigint"))
+         .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).alias("p"))
+    cand = (q.join(p, (F.col("q._qc") == F.col("p._qc")) & (F.col("q._pc") == F.col("p._pc")))
+            .filter(F.col("q._key") != F.col("p._key"))
+            .select(F.col("q._key").alias("qk"), F.col("p._key").alias("pk"),
+                    sq_distance("q", "p", features).alias("d2")))
+    top = cut_lineage(_top_k(cand, k), "knn-exhaustive")
+    return top.select(F.col("qk").alias(key), F.col("_r").cast("int").alias("neighbor_rank"),
+                      F.col("pk").alias("neighbor_key"), F.sqrt("d2").alias("distance"))

@@ -197,9 +197,10 @@ def _brute_knn(pts, k):
     return out
 
 
-def test_knn_exact_vs_brute_force(spark, feat):
+@pytest.mark.parametrize("max_window", [knn.MAX_WINDOW, 8])  # 8: open rows take the blocked exhaustive round
+def test_knn_exact_vs_brute_force(spark, feat, max_window):
     m = feat.filter(F.col(S.LABEL) == 1)
-    got = knn.knn_within(m, "event_id", S.FEATURES, 5, block=4).toPandas()
+    got = knn.knn_within(m, "event_id", S.FEATURES, 5, block=4, max_window=max_window).toPandas()
     pts = {r["event_id"]: [float(r[f]) for f in S.FEATURES] for r in m.collect()}
     want = _brute_knn(pts, 5)
     for key, grp in got.groupby("event_id"):
@@ -207,6 +208,20 @@ def test_knn_exact_vs_brute_force(spark, feat):
     assert set(got["event_id"]) == set(pts)
 
 
+def test_knn_high_dimension_blocked(spark):
+    # 24-d noise: two axes certify almost nothing, so rows reach the blocked round
+    rng = np.random.default_rng(4)
+    xs = rng.normal(size=(150, 24)).round(3)
+    cols = [f"x{i}" for i in range(24)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xs)],
+                               "k int, " + ", ".join(f"{c} double" for c in cols))
+    got = knn.knn_within(df, "k", cols, 3, block=4, max_window=16).toPandas()
+    want = _brute_knn({i: list(map(float, r)) for i, r in enumerate(xs)}, 3)
+    for key, grp in got.groupby("k"):
+        assert grp.sort_values("neighbor_rank")["neighbor_key"].tolist() == want[key]
+    assert len(got) == 150 * 3
+
+
 def test_knn_hot_duplicates(spark):
     # a third of the points are identical: no all-pairs blow-up, exact answer
     rows = [(i, 0.0, 0.0) if i % 3 == 0 else (i, float(i), float(i % 13)) for i in range(240)]

@@ -112,15 +112,20 @@ def histogram(df: DataFrame, col: str, bins: int | str = 10) -> DataFrame:
 
 
 # ---------------------------------------------------------------- quantiles
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column_name, p, value): linear-interpolated quantiles, exact and distributed.
-
-    value counts per (column, value) -> running sums in value order (range
-    partitions, no single-task window) -> each target index found by a join
-    against the broadcast target table, whose size is columns x probs."""
+def column_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value, cnt) of the non-null, non-NaN values of each column,
+    combined on the map side and written once into the shared checkpoint
+    folder: the raw rows are read once, later statistics read this table."""
     long = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    counts = cut_lineage(counts)  # the raw rows are read once; later jobs read the value counts
+    return cut_lineage(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt")),
+                       "value-counts")
+
+
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """(column_name, p, value) from a ``column_value_counts`` table: running
+    sums in value order (ranges, no single-task window), then each target
+    index found by a join against the broadcast target table, whose size is
+    columns x probs."""
     cum = running_sums(counts, ["value"], ["cnt"], partition_cols=["column_name"])
     cum = cut_lineage(cum.withColumn("start", F.col("cum_cnt") - F.col("cnt")))
     n = counts.groupBy("column_name").agg(F.sum("cnt").alias("n"))
@@ -148,6 +153,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
                     (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("value")))
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column_name, p, value): linear-interpolated quantiles, exact and distributed."""
+    return quantiles_from_counts(column_value_counts(df, cols), probs)
+
+
 def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      accuracy: int = 10000) -> DataFrame:
     long = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -161,22 +171,29 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 # ---------------------------------------------------------------- A8
 def box_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """Boxplot numbers per column: quartiles (linear interpolation), whiskers
-    = most extreme values within 1.5 IQR of the box, count of outliers."""
-    qf = exact_quantiles if exact else approx_quantiles
-    qv = qf(df, cols, [0.25, 0.5, 0.75])
+    = most extreme values within 1.5 IQR of the box, count of outliers.
+    Exact: quartiles and whiskers both read the written value-count table, so
+    the raw rows are read once."""
+    if exact:
+        counts = column_value_counts(df, cols)
+        qv = quantiles_from_counts(counts, [0.25, 0.5, 0.75])
+        vals = counts
+    else:
+        qv = approx_quantiles(df, cols, [0.25, 0.5, 0.75])
+        vals = (_stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+                .withColumn("cnt", F.lit(1).cast("bigint")))
     q = qv.groupBy("column_name").agg(
         *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a)
           for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    long = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    j = long.join(F.broadcast(q), "column_name")  # q has one row per column
+    j = vals.join(F.broadcast(q), "column_name")  # q has one row per column
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
     v = F.col("value")
     w = j.groupBy("column_name").agg(
         F.min(F.when(v >= lo_f, v)).alias("whisker_lo"),
         F.max(F.when(v <= hi_f, v)).alias("whisker_hi"),
-        F.sum(F.when((v < lo_f) | (v > hi_f), 1).otherwise(0)).cast("bigint").alias("n_outliers"))
+        F.sum(F.when((v < lo_f) | (v > hi_f), F.col("cnt")).otherwise(0)).cast("bigint").alias("n_outliers"))
     return q.join(w, "column_name").select("column_name", "q1", "median", "q3", "iqr",
                                            "whisker_lo", "whisker_hi", "n_outliers")
 

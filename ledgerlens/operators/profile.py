@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import clean
-from .explore import exact_quantiles
+from .explore import column_value_counts, quantiles_from_counts
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -84,18 +84,15 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact_dist
 
 def profile_quantiles(df: DataFrame, cols: Sequence[str] | None = None,
                       probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """(column_name, p5, p25, p50, p75, p95, range, iqr), exact."""
+    """(column_name, p5, p25, p50, p75, p95, range, iqr), exact; quantiles and
+    range both come from one written value-count table (the rows are read once)."""
     cols = list(cols) if cols else numeric_columns(df)
-    q = exact_quantiles(df, cols, probs)
+    counts = column_value_counts(df, cols)
+    q = quantiles_from_counts(counts, probs)
     names = {p: f"p{int(round(p * 100))}" for p in probs}
     wide = q.groupBy("column_name").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a)
                                           for p, a in names.items()])
-    mm = df.agg(*[F.struct(F.min(F.col(c).cast("double")).alias("lo"),
-                           F.max(F.col(c).cast("double")).alias("hi")).alias(f"m{i}")
-                  for i, c in enumerate(cols)])
-    rng = mm.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                 (F.col(f"m{i}.hi") - F.col(f"m{i}.lo")).alias("range"))
-                                        for i, c in enumerate(cols)])).alias("e")).select("e.*")
+    rng = counts.groupBy("column_name").agg((F.max("value") - F.min("value")).alias("range"))
     out = wide.join(rng, "column_name")
     if 0.25 in names and 0.75 in names:
         out = out.withColumn("iqr", F.col("p75") - F.col("p25"))

@@ -110,14 +110,18 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
             # these per-block extremes (n / W rows), not the candidate pairs.
             ext = ranked.groupBy(((rk - 1) / w).cast("bigint").alias("_eb")).agg(
                 F.min(F.col(f)).alias("_lo"), F.max(F.col(f)).alias("_hi"))
-            below = ext.select((F.col("_eb") + 1).alias("_b"), F.col("_lo"))
-            above = ext.select((F.col("_eb") - 1).alias("_b"), F.col("_hi"))
-            qb = pending.select(F.col("_key").alias("qk"), F.col(f).alias("q_ax"),
-                                ((rk - 1) / w).cast("bigint").alias("_b"))
-            g = qb.join(below, "_b", "left").join(above, "_b", "left")
-            gap_l = F.when(F.col("_b") >= 2, F.col("q_ax") - F.col("_lo"))
-            gap_r = F.when(F.col("_b") <= last_block - 2, F.col("_hi") - F.col("q_ax"))
-            gaps.append(g.select("qk", F.least(gap_l, gap_r).alias(f"_g{a}")))
+            gaps.append((f"_b{a}", ext.select((F.col("_eb") + 1).alias(f"_b{a}"), F.col("_lo").alias(f"_lo{a}")),
+                         ext.select((F.col("_eb") - 1).alias(f"_b{a}"), F.col("_hi").alias(f"_hi{a}"))))
+        # every axis' gap on the open rows in one chain of joins with the block
+        # extremes (n / W rows each), then a single join with the top-k
+        gq = pending.select("_key", *axis_cols, *[((F.col(f"_rk{a}") - 1) / w).cast("bigint").alias(f"_b{a}")
+                                                  for a in range(len(axis_cols))])
+        for bcol, below, above in gaps:
+            gq = gq.join(below, bcol, "left").join(above, bcol, "left")
+        gap_t = gq.select(F.col("_key").alias("qk"), *[
+            F.least(F.when(F.col(f"_b{a}") >= 2, F.col(f) - F.col(f"_lo{a}")),
+                    F.when(F.col(f"_b{a}") <= last_block - 2, F.col(f"_hi{a}") - F.col(f))).alias(f"_g{a}")
+            for a, f in enumerate(axis_cols)])
         cand = cands[0]
         for c in cands[1:]:
             cand = cand.unionByName(c)
@@ -125,9 +129,6 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
         # gives copies one rank, so rank = position among distinct neighbours
         top = _top_k(cand, k)
         top = top.withColumn("_kth", F.max(F.when(F.col("_r") == k, F.col("d2"))).over(Window.partitionBy("qk")))
-        gap_t = gaps[0]
-        for g in gaps[1:]:
-            gap_t = gap_t.join(g, "qk")
         any_open, bound = None, None
         for a in range(len(axis_cols)):
             gc = F.col(f"_g{a}")

@@ -63,17 +63,21 @@ def histograms(df: DataFrame, cols: Sequence[str], bins: int | dict = 10) -> Dat
     bar location of the reference plot (right edge)."""
     cols = list(cols)
     long = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    stats = {r["column_name"]: r for r in
-             long.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
-                                              F.count(F.lit(1)).alias("n")).collect()}
+    # edges: one plain aggregate over the columns as they are (three small
+    # buffers per column, no explode), three scalars per column to the driver
+    aggs = []
+    for i, c in enumerate(cols):
+        x = "CAST(`" + c.replace("`", "``") + "` AS DOUBLE)"
+        valid = f"CASE WHEN NOT isnan({x}) THEN {x} END"
+        aggs += [f"min({valid}) AS lo{i}", f"max({valid}) AS hi{i}", f"count({valid}) AS n{i}"]
+    row = df.agg(*[F.expr(a) for a in aggs]).first()
     nb = {c: (bins[c] if isinstance(bins, dict) else bins) for c in cols}
     bin_e = None
     specs = []
-    for c in cols:
-        r = stats.get(c)
-        if r is None:
+    for i, c in enumerate(cols):
+        if not row[f"n{i}"]:
             continue
-        lo, hi, b = float(r["lo"]), float(r["hi"]), int(nb[c])
+        lo, hi, b = float(row[f"lo{i}"]), float(row[f"hi{i}"]), int(nb[c])
         if lo == hi:
             b = 1
             e = F.lit(0)

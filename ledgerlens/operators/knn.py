@@ -10,10 +10,16 @@
 4. Keep the k best candidates by (squared distance, key).  A row that is
    outside the candidate blocks of *every* axis differs from the query by at
    least gap_a along each axis a, hence its squared distance is at least
-   sum_a gap_a^2.  If the k-th squared distance is below that sum, the answer
-   is exact; otherwise the row goes to the next round with W_{r+1} = 8 W_r.
-   When W_r covers the table nothing lies outside, so the loop always ends
-   with the exact answer for every row.
+   sum_a gap_a^2 (gaps come from per-block extremes; there is none on a side
+   with nothing beyond the window).  If the k-th squared distance is below
+   that sum, the answer is exact; otherwise the row goes to the next round
+   with W_{r+1} = 8 W_r.
+5. Windows stop growing at ``max_window`` rows.  Rows no bound certified by
+   then (high-dimensional data) are compared with every row in a blocked
+   round: (hash chunk of open rows) x (rank block of all rows) join keys of
+   about max_window^2 pairs each, a partial top-k before the shuffle.  So the
+   loop always ends with the exact answer for every row, and no task holds
+   all pairs.
 
 Each round's result is written into the shared checkpoint folder, so a lost
 executor recomputes one round, not the whole chain.

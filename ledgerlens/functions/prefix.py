@@ -146,10 +146,13 @@ def running_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[st
         out = _partitioner_ranges(df, keys, sum_cols, prefix, nb)
 
     if partition_cols:
-        # restart per partition: subtract the running total reached before it
-        base = out.groupBy(*partition_cols).agg(
-            *[F.min_by(F.col(prefix + c) - F.col(c), F.struct(*order_cols)).alias("_base_" + c)
-              for c in sum_cols])
+        # restart per partition: subtract the total of all earlier partitions,
+        # a running sum over the per-partition totals (one row per partition
+        # value), so the window above runs once
+        ptot = df.groupBy(*partition_cols).agg(*[F.sum(c).alias(c) for c in sum_cols])
+        pcum = running_sums(ptot, list(partition_cols), sum_cols, prefix="_pc_")
+        base = pcum.select(*partition_cols, *[(F.col("_pc_" + c) - F.col(c)).alias("_base_" + c)
+                                              for c in sum_cols])
         out = out.join(base, list(partition_cols), "inner")
         out = out.select(
             *[F.col(c) for c in df.columns],

@@ -53,7 +53,7 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact_dist
     for c in cols:
         x = f"CAST({_q(c)} AS DOUBLE)"
         n = "CAST(count(x) AS DOUBLE)"
-        aggs = [f"'{c}' AS column_name", f"'{types[c]}' AS data_type", "count(x) AS n",
+        aggs = ["count(x) AS n",
                 "CAST(count(1) - count(x) AS BIGINT) AS n_missing",
                 "CAST(sum(CASE WHEN x = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zeros",
                 "CAST(sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative",
@@ -65,7 +65,9 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact_dist
                 "sum(x) AS sum"]
         if not exact_distinct:
             aggs.append("CAST(approx_count_distinct(x) AS BIGINT) AS n_distinct")
-        branches.append(df.select(F.expr(f"{x} AS x")).agg(*[F.expr(a) for a in aggs]))
+        # labels as literals (not SQL text): any column name is safe
+        branches.append(df.select(F.expr(f"{x} AS x")).agg(*[F.expr(a) for a in aggs]).select(
+            F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), "*"))
     out = branches[0]
     for b in branches[1:]:
         out = out.unionByName(b)

@@ -2,17 +2,25 @@
 
 The library never builds its own session inside operators: a session is
 passed in.  ``local_session`` is for tests and the benchmark only.
-``scratch_dir`` returns the shared folder named by ``spark.checkpoint.dir``;
-only when the cluster sets none (tests, local runs) do we pick our own.
+
+Intermediate tables go to the shared folder named by ``spark.checkpoint.dir``
+(any file system Spark can write; the URI is used as it stands).  A scratch
+folder of our own is made only on a local master with the setting unset, as in
+tests; on a cluster a missing setting raises, since a machine-local folder
+would hold each executor's part on its own disk.  ``scratch_scope`` deletes the
+tables written inside it.
 """
 
 from __future__ import annotations
 
-import os
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import SparkSession
+_SCOPES: list[list[str]] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
@@ -35,32 +43,55 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a scratch one only where unset."""
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    """The folder in ``spark.checkpoint.dir``; a scratch one only where that is
+    unset and the master is local (driver and executors are one process)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is unset on master {master!r}: set it to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system layer (any URI scheme)."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(jvm_path, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete every intermediate table written inside the block when it ends.
+
+    Results built inside are lazy plans over those tables: write or collect them
+    before the block ends."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            delete_path(spark, path)
 
 
-def cut_lineage(df, name: str = "stage"):
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder and read it
     back: one job, the lineage stops here (a lost executor recomputes nothing
     before it), and later plans get real file sizes for their join choices."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

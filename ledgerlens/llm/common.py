@@ -1,11 +1,15 @@
-"""Helpers shared by the operators of this package (DataFrame functions only)."""
+"""Helpers shared by the operators of this package."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # white space that separates words everywhere in this package
 WS = "\\x20\\x09-\\x0D"
@@ -15,6 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this library to the Python workers once for each application, as a zip through
+    Spark's own file distribution, so that they need no copy of it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(package)
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(package)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, package)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with this library on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def field(name: str) -> Column:
     """A column by its exact name (dots and back-ticks included)."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -6,9 +6,9 @@ therefore completes segmentations in the order of their scores and expands littl
 than the N best paths.  Edges into a position are looked up when it is expanded, so a
 lattice needs one number for each character.
 
-No piece crosses from a non-space to a space, nor touches a character that is in no
-piece, so the lattice falls apart at those places into chunks, most of them a word with
-the spaces before it.  Chunks repeat, so each distinct chunk is searched once for as long
+No piece crosses from a non-space to a space, nor from letters to most marks (in general,
+between characters that no chain of pieces joins), so the lattice falls apart there into
+chunks, most of them a word with the spaces before it.  Chunks repeat, so each distinct chunk is searched once for as long
 as it stays in the worker's table.  The N best of a text combine the N best of its
 chunks: only the N - 1 chunks with the smallest loss from best to second can differ
 from their best in them.
@@ -33,7 +33,7 @@ import math
 import re
 from array import array
 from bisect import insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from .common import field, map_arrow, whole_row
 
 N_BEST = 2
-TABLE_SIZE = 400_000
+TABLE_SIZE = 500_000
 BATCH_CHARS = 1 << 20
 UNKNOWN_LOSS = 10.0
 _NEVER = -math.inf
@@ -51,6 +51,32 @@ _NEVER = -math.inf
 Paths = list[tuple[float, bytes]]   # (score, ids as packed int32), best first
 
 
+def _chunk_pattern(pieces: Iterable[str]) -> str:
+    """Spaces, then a run of characters that pieces may join.  Characters that occur in one
+    piece belong together, and so on; no piece holds characters of two such groups."""
+    above: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while above.setdefault(c, c) != c:
+            above[c] = above[above[c]]
+            c = above[c]
+        return c
+
+    for p in pieces:
+        p = p.lstrip(" ")
+        for c in p[1:]:
+            above[top(c)] = top(p[0])
+    groups: dict[str, list[str]] = {}
+    for p in pieces:
+        if len(p.lstrip(" ")) > 1:
+            groups.setdefault(top(p.lstrip(" ")[0]), [])
+    for c in sorted(above):
+        if top(c) in groups:
+            groups[top(c)].append(c)
+    runs = [" *[" + "".join(map(re.escape, g)) + "]+" for g in sorted(groups.values(), key=len, reverse=True)]
+    return "(?s:" + "|".join([*runs, " *[^ ]", " +"]) + ")"
+
+
 class Lattice:
     """Pieces of one model and the search over them."""
 
@@ -79,9 +105,7 @@ class Lattice:
         if len(byte_ids) != 256:
             raise ValueError("the model has no byte fallback")
         self.bytes = [byte_ids[b].to_bytes(4, "little") for b in range(256)]
-        inside = set().union(*self.pieces)
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
-        self.chunks = re.compile(rf"[{alone}]| *[^ {alone}]+| +" if alone else r" *[^ ]+| +")
+        self.chunks = re.compile(_chunk_pattern(self.pieces))
         # what each id decodes to, in one buffer
         out = [b""] * size
         for i in plain:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, html_text, mix, pieces, quality, secrets, tokens, warc
+from . import dedup, html_text, mix, pieces, quality, secret_scan, substrings, tokens, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +26,7 @@ def _query(name: str, sql: str | None = None):
 
 @_query("op1_secret_scan")
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 @_query("op2_exact_dedup", dedup.ORACLE_SQL)
@@ -62,6 +62,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs, model)
 
 
+@_query("op8_substring_dedup", substrings.ORACLE_SQL)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @_query("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces and score of the best segmentation, score of the second, a hash

@@ -95,11 +95,19 @@ def hash_runs(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive words (order matters); a run that would
     cross the end is absent.  Runs that cross from one text to the next are the caller's
     to drop."""
-    if len(h) < n:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.full(len(h) - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        out = (out ^ h[i:len(h) - n + 1 + i]) * np.uint64(0xFF51AFD7ED558CCD)
+    count = max(0, len(h) - n + 1)
+    return _fold([h[i:i + count] for i in range(n)], n)
+
+
+def hash_runs_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The same hashes for the runs that begin at the given places."""
+    return _fold([h[at + i] for i in range(n)], n)
+
+
+def _fold(columns: list[np.ndarray], n: int) -> np.ndarray:
+    out = np.full(len(columns[0]), n, dtype=np.uint64)
+    for c in columns:
+        out = (out ^ c) * np.uint64(0xFF51AFD7ED558CCD)
         out ^= out >> np.uint64(32)
     return mix(out)
 

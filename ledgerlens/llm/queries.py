@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, html_text, mix, pieces, quality, secret_scan, substrings, tokens, warc
+from . import dedup, html_text, mix, ngram_join, pieces, quality, secret_scan, substrings, tokens, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query("op4_ngram_jaccard", ngram_join.ORACLE_SQL)
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 @_query("op5_warc", warc.ORACLE_SQL)
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_and_read(table(spark, sf_dir, "pages"))

@@ -66,6 +66,7 @@ recommended related replies reply respond search share sharing sidebar signup sk
 subscription taboola toolbar widget widgets""".split())
 ARTICLE_BOILER = frozenset("""ad ads advert adverts advertisement comment comments promo promoted recommended related
 reply sponsored teaser""".split())
+CONTAINERS = frozenset("article aside footer form header main nav ol section table ul".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -174,6 +175,8 @@ def page_blocks(page: str) -> list[Block]:
             if m["end"]:
                 if tag in HEADINGS:
                     heading = False
+                elif tag in CONTAINERS:      # ends a link left open inside
+                    links = 0
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         del stack[i:]
@@ -188,13 +191,12 @@ def page_blocks(page: str) -> list[Block]:
             if tag in ("article", "main") and not own:
                 if boiler in ("nav", "header", "form"):   # left open, or wrapped around the page
                     boiler = ""
+                    links = 0
                 if not boiler and not article:
                     articles += 1
                     article = articles
             if tag not in VOID:
                 stack.append(_Open(tag, boiler or own, article))
-        elif m["attr"] and not m["end"] and tag in ("span", "ins", "small"):
-            continue
     say(page[at:])
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())

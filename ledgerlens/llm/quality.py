@@ -308,4 +308,5 @@ def keep_good(docs: DataFrame, model: Forest | None, text_col: str = "text", thr
                 _, kept, _ = judge(text_counts(batch), model, threshold)
                 yield part.slice(begin, len(batch)).filter(pa.array(kept))
 
-    return map_arrow(docs, run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])     # names with dots do not pass mapInArrow
+    return map_arrow(plain, run, plain.schema).toDF(*columns)

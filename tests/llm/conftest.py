@@ -1,0 +1,19 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls, empties, very long texts, ties, repeated rows, columns that clash with helpers."""
+    from odd_rows import SCHEMA, odd_docs
+    return spark.createDataFrame(odd_docs(), SCHEMA).repartition(4)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    from odd_rows import SCHEMA
+    return spark.createDataFrame([], SCHEMA)

@@ -52,6 +52,7 @@ BLOCK = 512
 MAP_BITS = 2048
 FAN = 8
 LEVELS = 6
+KEY_BITS = 1 << 27     # 16 MB at any input size
 RATIO = 1.5
 _MAP_WORDS = MAP_BITS // 64
 
@@ -86,8 +87,11 @@ def class_parts(c: int, percent: int) -> tuple[int, int]:
     while True:
         m = differ + 1 + spare
         empty = m * (1 - 1 / m) ** low
-        few = sum(math.exp(-empty) * empty ** i / math.factorial(i) for i in range(spare + 1))
-        if 1 - few < 1e-3 or spare > m // 4 + 2:
+        if empty < 50:
+            enough = 1 - sum(math.exp(-empty) * empty ** i / math.factorial(i) for i in range(min(spare, 60) + 1)) < 1e-3
+        else:
+            enough = spare > empty + 3.1 * math.sqrt(empty)
+        if enough or spare > m // 4 + 2:
             return m, spare
         spare += 1
 
@@ -352,15 +356,17 @@ def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: i
     """(node, root) of the sets that are linked with another.  ``sets``: (sid, n_shingles,
     keys, bits, min_id), one row for each distinct set."""
     keyed = sets.select("sid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("sid").alias("first"), F.max("sid").alias("last"),
-        F.bit_xor(F.xxhash64("sid")).alias("who")).filter("n > 1")
+    live = cut_lineage(keyed.groupBy("key").count().filter("count > 1").select("key"), "join-live")
+    likely = with_member_flag(keyed, cut_lineage(bitmap_of(live, F.col("key"), KEY_BITS), "join-key-bits"), F.col("key"),
+                              "hit", KEY_BITS).filter("hit").drop("hit")
+    keyed = cut_lineage(likely.join(live, "key", "left_semi"), "join-keyed")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("first"),
+                                      F.max("sid").alias("last"), F.bit_xor(F.xxhash64("sid")).alias("who"))
     # keys with the same members need one look only
     shared = cut_lineage(shared.groupBy("n", "first", "last", "who").agg(F.min("key").alias("key")), "join-shared")
     twos = shared.filter("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
     many = shared.filter("n > 2").select("key", "first", F.ceil(F.col("n") / block).cast("bigint").alias("chunks"))
-    likely = with_member_flag(keyed, cut_lineage(bitmap_of(many, F.col("key")), "join-key-bits"), F.col("key"), "hit")
-    members = likely.filter("hit").drop("hit").join(many, "key")
+    members = keyed.join(many, "key")
     members = cut_lineage(members.join(sets.select("sid", "n_shingles", "bits"), "sid").withColumn(
         "chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))), "join-members")
 

@@ -14,14 +14,14 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def md5_int(*parts: str | Column) -> Column:
-    """First 8 hex digits of md5(p1|p2|...) as a bigint in [0, 2^32)."""
+def md5_int(*parts: str | Column, digits: int = 8) -> Column:
+    """First ``digits`` (at most 15) hex digits of md5(p1|p2|...) as a bigint."""
     cols = []
     for i, p in enumerate(parts):
         if i:
             cols.append(F.lit("|"))
         cols.append(F.lit(p) if isinstance(p, str) else p.cast("string"))
-    return F.conv(F.substring(F.md5(F.concat(*cols)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat(*cols)), 1, digits), 16, 10).cast("bigint")
 
 
 def md5_uniform(*parts: str | Column) -> Column:
@@ -34,11 +34,6 @@ def pair_code(a: str | Column, b: str | Column) -> Column:
     return F.concat(F.substring(col_(a), 1, 1), F.substring(col_(b), 1, 1))
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """num / den, NULL when den is 0 or NULL (never raises under ANSI)."""
-    return F.when(den.isNull() | (den == 0), F.lit(None)).otherwise(num / den)
-
-
 def rnd(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)
 

@@ -21,8 +21,9 @@ from ..session import cut_lineage
 
 
 def class_counts(df: DataFrame, label: str, minority=1) -> tuple[int, int]:
-    """(n_majority, n_minority) in one aggregate (two scalars to the driver)."""
-    r = df.agg(F.sum(F.when(F.col(label) == minority, 0).otherwise(1)).alias("maj"),
+    """(n_majority, n_minority) in one aggregate (two scalars to the driver); rows without
+    a label are in neither class."""
+    r = df.agg(F.sum(F.when(F.col(label) != minority, 1).otherwise(0)).alias("maj"),
                F.sum(F.when(F.col(label) == minority, 1).otherwise(0)).alias("mino")).first()
     return int(r["maj"] or 0), int(r["mino"] or 0)
 
@@ -68,7 +69,7 @@ def smote(df: DataFrame, label: str, features: Sequence[str], key: str, k: int =
     """Synthetic minority rows: new = base + u * (neighbour - base).
 
     For synthetic row i (i = 0 .. n_new-1): base = minority row number
-    md5(seed|b|i) mod n_min in key order, neighbour = its
+    md5(seed|b|i) mod n_min (60 bits of the hash) in key order, neighbour = its
     (md5(seed|k|i) mod k + 1)-th nearest minority row, u = md5(seed|g|i)/2^32.
     ``int_cols`` are truncated back to integers (the reference's dtype cast).
     Default ``n_new`` = majority - minority.  Output: id, features, label."""
@@ -94,8 +95,8 @@ def smote(df: DataFrame, label: str, features: Sequence[str], key: str, k: int =
     i = F.col("id")
     gen = spark.range(n_new).select(
         (i + F.lit(first_id)).alias(id_col),
-        (md5_int(F.lit(s), F.lit("b"), i) % n_min + 1).alias("_kidx"),
-        (md5_int(F.lit(s), F.lit("k"), i) % kk + 1).cast("int").alias("neighbor_rank"),
+        (md5_int(F.lit(s), F.lit("b"), i, digits=15) % n_min + 1).alias("_kidx"),
+        (md5_int(F.lit(s), F.lit("k"), i, digits=15) % kk + 1).cast("int").alias("neighbor_rank"),
         md5_uniform(F.lit(s), F.lit("g"), i).alias("_u"))
     base = gen.join(idx.select("_kidx", F.col(key).alias("_base"),
                                *[F.col(f).alias(f"_b_{f}") for f in features]), "_kidx")

@@ -44,10 +44,10 @@ def _totals(cum: DataFrame) -> DataFrame:
 def auc_roc(df: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
     """Exact area under ROC: P(score_pos > score_neg) + 0.5 P(equal).  One row."""
     cum = cumulative_counts(df, score, label, positive)
-    a = cum.agg(F.sum(F.col("neg") * (F.col("tp") - 0.5 * F.col("pos"))).alias("_u"),
+    a = cum.agg(F.sum(F.col("neg").cast("double") * (F.col("tp") - 0.5 * F.col("pos"))).alias("_u"),
                 F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return a.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                           F.col("_u") / (F.col("P") * F.col("N"))).alias("auc_roc"))
+                           F.col("_u") / F.col("P") / F.col("N")).alias("auc_roc"))
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = "label", positive=1,
@@ -91,16 +91,17 @@ def curve_area(df: DataFrame, score: str = "score", label: str = "label", positi
     """Trapezoid area under the ROC points of ``roc_curve`` (no lag window:
     each step's width and height come from the running sums of its row)."""
     cum = cumulative_counts(df, score, label, positive)
-    a = cum.agg(F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos"))).alias("_t"),
+    a = cum.agg(F.sum(F.col("neg").cast("double") * (2.0 * F.col("tp") - F.col("pos"))).alias("_t"),
                 F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return a.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                           F.col("_t") / (2.0 * F.col("P") * F.col("N"))).alias("area"))
+                           F.col("_t") / 2.0 / F.col("P") / F.col("N")).alias("area"))
 
 
 # ---------------------------------------------------------------- E2-E4 E6
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Long form (label, prediction, count); rows = actual, columns = predicted."""
-    return (df.groupBy(F.col(label).cast("double").alias("label"),
+    """Long form (label, prediction, count); rows = actual, columns = predicted.  Rows
+    without a label are left out, here and in all metrics."""
+    return (df.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("double").alias("label"),
                        F.col(prediction).cast("double").alias("prediction"))
             .agg(F.count(F.lit(1)).alias("count")))
 

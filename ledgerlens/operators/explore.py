@@ -26,7 +26,8 @@ def value_counts(df: DataFrame, col: str, with_share: bool = True) -> DataFrame:
     """(value, count[, share]) in descending count, ties by value (nulls counted)."""
     g = df.groupBy(F.col(col).alias(col)).agg(F.count(F.lit(1)).alias("count"))
     if with_share:
-        total = df.count()  # one scalar to the driver
+        g = cut_lineage(g, "value-counts")   # the rows are read once; the total comes from the counts
+        total = g.agg(F.sum("count")).first()[0] or 0
         g = g.withColumn("share", F.round(F.col("count") / F.lit(max(total, 1)), 6))
     return g.orderBy(F.col("count").desc(), F.col(col).asc_nulls_first())
 
@@ -203,9 +204,16 @@ def box_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFra
 
 
 # ---------------------------------------------------------------- A9
+def _numbers(df: DataFrame, col: str) -> DataFrame:
+    """The column as doubles, without NULL and NaN."""
+    x = F.col(col).cast("double")
+    return df.select(x.alias(col)).filter(F.col(col).isNotNull() & ~F.isnan(col))
+
+
 def auto_bins(df: DataFrame, col: str) -> int:
     """NumPy 'auto': the smaller width of Sturges and Freedman-Diaconis
     (Sturges alone when the IQR is 0), from one aggregate + quartiles."""
+    df = _numbers(df, col)
     s = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n")).first()
     if s["n"] == 0 or s["lo"] == s["hi"]:
         return 1
@@ -223,6 +231,7 @@ def kde(df: DataFrame, col: str, grid: int = 200, fine_bins: int = 2048) -> Data
     points from min to max.  Rows are first binned into ``fine_bins`` (one
     pass); the kernel then runs over bins x grid, a size fixed by the two
     parameters and independent of the row count."""
+    df = _numbers(df, col)
     s = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n"),
                F.stddev_samp(col).alias("sd")).first()
     spark = df.sparkSession

@@ -1,23 +1,21 @@
 """Projection, scalar and feature operators.
 
-Encoders are two-phase: ``fit`` finds the categories with one aggregate
-whose result is bounded by ``max_categories`` (checked), ``transform`` is a
-static projection of literal CASE/map expressions, so it stays inside
-whole-stage codegen and needs no join.
+The string index joins the ranked table of labels, so it takes any number of
+them.  The encoders that add a column (or vector slot) per label fetch the label
+list, which is as wide as their result; ``max_categories`` makes a longer one an
+error, ``None`` sets no limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import pair_code as _pair_code_expr
 
-MAX_CATEGORIES = 1000
-
-
 # ---------------------------------------------------------------- P1 P3 P4
 def pair_code(df: DataFrame, a: str = "nameOrig", b: str = "nameDest", out: str = "type2") -> DataFrame:
     """First character of ``a`` then first character of ``b`` (null if either is null)."""
@@ -62,11 +60,11 @@ def category_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def fit_categories(df: DataFrame, col: str, order: str = "frequencyDesc",
-                   max_categories: int = MAX_CATEGORIES) -> list[str]:
+                   max_categories: int | None = None) -> list[str]:
     """Labels of ``col`` in index order.  ``frequencyDesc`` = most frequent
     first, ties alphabetical (StringIndexer's order); ``alphabetAsc`` =
-    sorted (pandas ``get_dummies`` order).  At most ``max_categories``
-    labels are fetched; more raises instead of pulling an unbounded list."""
+    sorted (pandas ``get_dummies`` order).  More than ``max_categories``
+    labels raise."""
     counts = category_counts(df, col)
     if order == "frequencyDesc":
         counts = counts.orderBy(F.col("count").desc(), F.col("label").asc())
@@ -74,8 +72,10 @@ def fit_categories(df: DataFrame, col: str, order: str = "frequencyDesc",
         counts = counts.orderBy(F.col("label").asc())
     else:
         raise ValueError(f"unknown order {order!r}")
-    rows = counts.limit(max_categories + 1).collect()
-    if len(rows) > max_categories:
+    if max_categories is not None:
+        counts = counts.limit(max_categories + 1)
+    rows = counts.collect()
+    if max_categories is not None and len(rows) > max_categories:
         raise ValueError(f"column {col!r} has more than {max_categories} categories")
     return [r["label"] for r in rows]
 
@@ -91,38 +91,37 @@ def category_index_table(df: DataFrame, col: str) -> DataFrame:
                          (F.col("_r") - 1).cast("double").alias(f"{col}_index"))
 
 
-def index_expr(col: str, labels: Sequence[str], handle_invalid: str = "error") -> Column:
-    """Literal map label -> index; unseen label raises (default), or gets
-    ``len(labels)`` with ``keep``."""
-    m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(float(i)))])
-    found = F.try_element_at(m, F.col(col))
-    if handle_invalid == "keep":
-        return F.coalesce(found, F.lit(float(len(labels))))
-    if handle_invalid == "skip":
-        return found
-    return F.coalesce(found, F.raise_error(F.concat(F.lit(f"unseen label in {col}: "),
-                                                    F.coalesce(F.col(col), F.lit("NULL")))).cast("double"))
-
-
 def string_index(df: DataFrame, col: str, out: str | None = None, labels: Sequence[str] | None = None,
                  handle_invalid: str = "error") -> DataFrame:
-    """Label -> double index by descending frequency (StringIndexer semantics)."""
+    """Label -> double index by descending frequency (StringIndexer semantics), by a
+    join with the table of labels (fitted on ``df``, or the list given).  NULL and unseen
+    labels raise; ``keep`` gives them the number of labels, ``skip`` drops their rows."""
     out = out or f"{col}_index"
-    labels = list(labels) if labels is not None else fit_categories(df, col)
-    res = df.withColumn(out, index_expr(col, labels, handle_invalid))
-    if handle_invalid == "skip":
-        res = res.filter(F.col(out).isNotNull())
-    return res
+    if labels is None:
+        table = category_index_table(df, col).select(F.col(col).alias("_si_label"),
+                                                     F.col(f"{col}_index").alias("_si_index"))
+    else:
+        table = df.sparkSession.createDataFrame(
+            [(lab, float(i)) for i, lab in enumerate(labels)],
+            T.StructType([T.StructField("_si_label", df.schema[col].dataType), T.StructField("_si_index", T.DoubleType())]))
+    res = df.join(table, df[col] == F.col("_si_label"), "inner" if handle_invalid == "skip" else "left")
+    found = F.col("_si_index")
+    if handle_invalid == "keep":
+        found = F.coalesce(found, F.lit(float(table.count() if labels is None else len(labels))))
+    elif handle_invalid != "skip":
+        found = F.coalesce(found, F.raise_error(F.concat(
+            F.lit(f"unseen label in {col}: "), F.coalesce(F.col(col).cast("string"), F.lit("NULL")))).cast("double"))
+    return res.withColumn(out, found).drop("_si_label", "_si_index")
 
 
 # ---------------------------------------------------------------- P9 P10 P11 P12
 def one_hot_vector(df: DataFrame, col: str, out: str | None = None, labels: Sequence[str] | None = None,
-                   as_array: bool = False) -> DataFrame:
+                   as_array: bool = False, max_categories: int | None = None) -> DataFrame:
     """Index ``col`` then one-hot encode it as an ML vector, dropLast=False."""
     from pyspark.ml.feature import OneHotEncoder
     from pyspark.ml.functions import vector_to_array
     out = out or f"{col}_vec"
-    labels = list(labels) if labels is not None else fit_categories(df, col)
+    labels = list(labels) if labels is not None else fit_categories(df, col, max_categories=max_categories)
     idx = f"_{col}_idx"
     indexed = string_index(df, col, idx, labels)
     enc = OneHotEncoder(inputCols=[idx], outputCols=[out], dropLast=False, handleInvalid="error")
@@ -133,9 +132,10 @@ def one_hot_vector(df: DataFrame, col: str, out: str | None = None, labels: Sequ
 
 
 def one_hot_columns(df: DataFrame, col: str, labels: Sequence[str] | None = None,
-                    prefix: str | None = None, dtype: str = "double") -> DataFrame:
+                    prefix: str | None = None, dtype: str = "double",
+                    max_categories: int | None = None) -> DataFrame:
     """One 0/1 column per label (named ``label`` or ``prefix_label``), no vector detour."""
-    labels = list(labels) if labels is not None else fit_categories(df, col)
+    labels = list(labels) if labels is not None else fit_categories(df, col, max_categories=max_categories)
     c = F.col(col)
     new = [F.when(c == lab, 1).otherwise(0).cast(dtype).alias(f"{prefix}_{lab}" if prefix else lab)
            for lab in labels]
@@ -143,18 +143,23 @@ def one_hot_columns(df: DataFrame, col: str, labels: Sequence[str] | None = None
 
 
 def get_dummies(df: DataFrame, cols: Sequence[str], categories: Mapping[str, Sequence[str]] | None = None,
-                max_categories: int = MAX_CATEGORIES, dtype: str = "int") -> DataFrame:
+                max_categories: int | None = None, dtype: str = "int", unseen: str = "error") -> DataFrame:
     """pandas ``get_dummies``: ``<col>_<label>`` int columns in sorted label
-    order, appended after the other columns; originals removed; NULL -> all 0."""
+    order, appended after the other columns; originals removed; NULL -> all 0.
+    A label that is not among the given ``categories`` raises (``unseen="zero"``: all 0)."""
     categories = dict(categories or {})
     keep = [F.col(c) for c in df.columns if c not in cols]
     new = []
     for c in cols:
         labels = categories.get(c)
+        other = F.lit(0)
         if labels is None:
             labels = fit_categories(df, c, "alphabetAsc", max_categories)
+        elif unseen == "error":
+            other = F.when(F.col(c).isNull() | F.col(c).isin(list(labels)), 0).otherwise(
+                F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), F.col(c).cast("string"))).cast("int"))
         for lab in labels:
-            new.append(F.when(F.col(c) == lab, 1).otherwise(0).cast(dtype).alias(f"{c}_{lab}"))
+            new.append(F.when(F.col(c) == lab, 1).otherwise(other).cast(dtype).alias(f"{c}_{lab}"))
     return df.select(*keep, *new)
 
 
@@ -176,6 +181,11 @@ def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] | str | None = N
     return df.limit(n)
 
 
+def sample_rows(df: DataFrame, key: str, n: int = 4, seed: int = 0) -> DataFrame:
+    """``n`` random rows: those with the smallest key hashes, alike on every run."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
+
+
 def describe_schema(df: DataFrame) -> DataFrame:
     """(position, column_name, data_type, non_null) from one aggregate pass."""
     counts = df.agg(*[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(df.columns)])

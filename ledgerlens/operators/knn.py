@@ -49,16 +49,6 @@ def sq_distance(a: str, b: str, features: Sequence[str]):
     return expr
 
 
-def choose_axis(df: DataFrame, features: Sequence[str]) -> str:
-    row = df.agg(*[F.stddev_pop(F.col(f)).alias(f) for f in features]).first()
-    best, spread = features[0], -1.0
-    for f in features:
-        v = row[f] if row[f] is not None else 0.0
-        if v > spread:
-            best, spread = f, v
-    return best
-
-
 def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
                block: int | None = None, axes: int = 2, max_window: int = MAX_WINDOW) -> DataFrame:
     """(key, neighbor_rank, neighbor_key, distance): the k nearest other rows of
@@ -76,8 +66,12 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
     pts = cut_lineage(df.select(F.col(key).alias("_key"),
                                 *[F.col(f).cast("double").alias(f) for f in features]), "knn-points")
     stats = pts.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.stddev_pop(F.col(f)).alias(f) for f in features]).first()
+                    *[F.stddev_pop(F.col(f)).alias(f) for f in features],
+                    *[F.count(F.when(F.col(f).isNotNull() & ~F.isnan(f), 1)).alias(f"_c{i}") for i, f in enumerate(features)]).first()
     n = int(stats["_n"])
+    empty = [f for i, f in enumerate(features) if stats[f"_c{i}"] < n]
+    if empty:    # a distance to a missing value does not exist
+        raise ValueError(f"NULL or NaN in features {empty}: drop or fill these rows first")
     key_type = df.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, neighbor_rank int, neighbor_key {key_type}, distance double"
     spark = df.sparkSession

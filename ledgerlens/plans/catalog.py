@@ -87,6 +87,31 @@ def q_string_index(spark, d):
     return features.string_index(t, "type").select("event_id", "type", "type_index")
 
 
+@query("string_index_customer", _IDX_SQL.format(col="c_name", tab="customer", key="c_custkey"))
+def q_string_index_customer(spark, d):
+    # a label for each row: the index is a join, with no limit on their number
+    c = S.table(spark, d, "customer")
+    return features.string_index(c, "c_name").select("c_custkey", "c_name", "c_name_index")
+
+
+@query("prepare_unseen_type", with_(S.TXN_SQL, """
+SELECT event_id, step, amount, CAST(type = 'CASH_IN' AS INTEGER) AS type_CASH_IN,
+  CAST(type = 'CASH_OUT' AS INTEGER) AS type_CASH_OUT, CAST(type = 'PAYMENT' AS INTEGER) AS type_PAYMENT,
+  CAST(type = 'TRANSFER' AS INTEGER) AS type_TRANSFER, CAST(type = 'DEBIT' AS INTEGER) AS type_WIRE,
+  CAST(substr(nameDest, 1, 1) = 'C' AS INTEGER) AS type2_CC, CAST(substr(nameDest, 1, 1) = 'M' AS INTEGER) AS type2_CM,
+  isFraud FROM txn"""))
+def q_prepare_unseen_type(spark, d):
+    from .flow import prepare
+    t = S.txn(spark, d)
+    return prepare(t.withColumn("type", F.when(F.col("type") == "DEBIT", "WIRE").otherwise(F.col("type"))), dedupe=False)
+
+
+@query("sample_rows", with_(S.TXN_SQL, f"""
+SELECT {TXN_COLS} FROM txn ORDER BY md5(concat('0|', CAST(event_id AS VARCHAR))), event_id LIMIT 4"""))
+def q_sample_rows(spark, d):
+    return features.sample_rows(S.txn(spark, d), "event_id", 4)
+
+
 @query("string_index_orders", _IDX_SQL.format(col="o_orderpriority", tab="orders", key="o_orderkey"))
 def q_string_index_orders(spark, d):
     o = S.table(spark, d, "orders")
@@ -154,19 +179,26 @@ def q_get_dummies_nulls(spark, d):
     return features.get_dummies(t, ["type"])
 
 
-@query("one_hot_vector", None)
+@query("one_hot_vector", with_(S.TXN_SQL + """,
+c AS (SELECT type AS label, count(*) AS n FROM txn GROUP BY 1),
+i AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS idx FROM c)""", """
+SELECT event_id, type, """ + ", ".join(f"CAST(idx = {k} AS DOUBLE) AS v{k}" for k in range(5)) + """
+FROM txn JOIN i ON txn.type = i.label"""))
 def q_one_hot_vector(spark, d):
     t = S.txn(spark, d).select("event_id", "type")
-    return features.one_hot_vector(t, "type", as_array=True)
+    v = features.one_hot_vector(t, "type", as_array=True)
+    return v.select("event_id", "type", *[F.col("type_vec")[k].alias(f"v{k}") for k in range(5)])
 
 
-@query("assemble", None)
+@query("assemble", with_(S.FEATURES_SQL, "SELECT event_id, isFraud, " + ", ".join(
+    f"CAST({c} AS DOUBLE) AS f{k}" for k, c in enumerate(S.FEATURES)) + " FROM feat"))
 def q_assemble(spark, d):
     from pyspark.ml.functions import vector_to_array
     from ..plans.flow import prepared_features
     p = prepared_features(spark, d)
     a = features.assemble(p, S.FEATURES, "features", label=S.LABEL)
-    return a.select("event_id", vector_to_array("features").alias("features"), S.LABEL)
+    v = a.select("event_id", vector_to_array("features").alias("v"), S.LABEL)
+    return v.select("event_id", S.LABEL, *[F.col("v")[k].alias(f"f{k}") for k in range(len(S.FEATURES))])
 
 
 @query("describe_schema", with_(S.TXN_SQL, " UNION ALL ".join(
@@ -559,6 +591,20 @@ def q_split_stratified(spark, d):
     return split.assign_split(t, "event_id", 0.7, seed=0, stratify="isFraud")
 
 
+_NULL_LABEL = "CASE WHEN event_id % 7 <> 0 THEN isFraud END"
+
+
+@query("split_stratified_nulls", with_(S.TXN_SQL, f"""
+SELECT event_id, label,
+  CASE WHEN row_number() OVER (PARTITION BY label ORDER BY u, event_id)
+            <= round(count(*) OVER (PARTITION BY label) * 0.7) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT event_id, {_NULL_LABEL} AS label, {_U_SQL.format(seed="'0'", key='event_id')} AS u FROM txn)"""))
+def q_split_stratified_nulls(spark, d):
+    # rows without a label are a class of their own
+    t = S.txn(spark, d).select("event_id", F.expr(_NULL_LABEL).alias("label"))
+    return split.assign_split(t, "event_id", 0.7, seed=0, stratify="label")
+
+
 @query("fold_assignment", with_(S.TXN_SQL, f"""
 SELECT event_id, CAST(least(floor({_U_SQL.format(seed="'fold0'", key='event_id')} * 3), 2) AS INTEGER) AS fold
 FROM txn"""))
@@ -570,7 +616,8 @@ def q_fold_assignment(spark, d):
 from ..operators import balance, knn  # noqa: E402
 
 _INT_FEATS = [f for f in S.FEATURES if f != "amount"]
-_H_SQL = "CAST(('0x' || substr(md5(concat('{seed}', '|', '{tag}', '|', CAST({i} AS VARCHAR))), 1, 8)) AS BIGINT)"
+_H_SQL = ("CAST(('0x' || substr(md5(concat('{seed}', '|', '{tag}', '|', CAST({i} AS VARCHAR))), 1, {digits})) "
+          "AS BIGINT)")
 
 
 def _d2_sql(a: str, b: str, cols: list[str]) -> str:
@@ -603,18 +650,18 @@ def q_knn_within(spark, d):
 
 def _smote_sql(src_cte: str, src: str, mino: str, key: str, cols: list[str], label: str, minority: int,
                int_cols: list[str], seed: int = 42, k: int = 5) -> str:
-    h = lambda tag: _H_SQL.format(seed=seed, tag=tag, i="i")
+    h = lambda tag, digits: _H_SQL.format(seed=seed, tag=tag, i="i", digits=digits)
     outs = []
     for c in cols:
         v = f"CAST(b.{c} AS DOUBLE) + u * (CAST(n.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE))"
         outs.append(f"CAST(trunc({v}) AS INTEGER) AS {c}" if c in int_cols else f"round({v}, 6) AS {c}")
     return with_(src_cte + f""",
-cnt AS (SELECT CAST(sum(CASE WHEN {label} = {minority} THEN 0 ELSE 1 END) AS BIGINT) AS maj,
+cnt AS (SELECT CAST(sum(CASE WHEN {label} <> {minority} THEN 1 ELSE 0 END) AS BIGINT) AS maj,
                CAST(sum(CASE WHEN {label} = {minority} THEN 1 ELSE 0 END) AS BIGINT) AS mn FROM {src}),
 nb AS ({_knn_sql(mino, key, cols, k)}),
 idx AS (SELECT *, row_number() OVER (ORDER BY {key}) AS kidx FROM {mino}),
-gen AS (SELECT i, {h('b')} % mn + 1 AS kidx, CAST({h('k')} % {k} + 1 AS INTEGER) AS nr,
-               {h('g')} / 4294967296.0 AS u
+gen AS (SELECT i, {h('b', 15)} % mn + 1 AS kidx, CAST({h('k', 15)} % {k} + 1 AS INTEGER) AS nr,
+               {h('g', 8)} / 4294967296.0 AS u
         FROM (SELECT unnest(range(maj - mn)) AS i, mn FROM cnt))""", f"""
 SELECT gen.i AS synthetic_id, {', '.join(outs)}, CAST({minority} AS INTEGER) AS {label}
 FROM gen JOIN idx b ON gen.kidx = b.kidx
@@ -638,8 +685,10 @@ _EMB_SQL = "emb AS (SELECT vec_id, label, " + ", ".join(
 
 def _embeddings_wide(spark, d):
     e = S.table(spark, d, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}")
-                                         for i in range(64)])
+    fits = F.when(F.size("embedding") == 64, F.col("embedding")).otherwise(
+        F.raise_error(F.lit("an embedding does not have 64 elements")))
+    return e.select("vec_id", "label", fits.alias("v")).select(
+        "vec_id", "label", *[F.col("v")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
 @query("smote_embeddings", _smote_sql(_EMB_SQL, "emb", "emin", "vec_id", _EMB, "label", 0, []))
@@ -659,7 +708,7 @@ def q_knn_embeddings(spark, d):
 def _oversample_sql(src: str, key: str, label: str, cols: str, seed: int = 88) -> str:
     u = f"CAST(('0x' || substr(md5(concat('{seed}', '|', 'r', '|', CAST({key} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0"
     return f"""
-cnt AS (SELECT sum(CASE WHEN {label} = 1 THEN 0 ELSE 1 END) AS maj,
+cnt AS (SELECT sum(CASE WHEN {label} <> 1 THEN 1 ELSE 0 END) AS maj,
                sum(CASE WHEN {label} = 1 THEN 1 ELSE 0 END) AS mn FROM {src}),
 rr AS (SELECT CAST(maj AS DOUBLE) / mn / 1.0 AS r FROM cnt)
 SELECT {cols}, 1 AS copy FROM {src} WHERE {label} <> 1 OR {label} IS NULL
@@ -719,6 +768,15 @@ def q_read_csv_roundtrip(spark, d):
     return features.cast_columns(raw, _TXN_TYPES)
 
 
+@query("read_csv_permuted", with_(S.TXN_SQL, f"SELECT {TXN_COLS} FROM txn"))
+def q_read_csv_permuted(spark, d):
+    # the file has its columns in another order, and one more
+    path = scratch_dir(spark, "txn-csv")
+    t = S.txn(spark, d).withColumn("extra", F.lit("x"))
+    files.write_csv(t.select(*reversed(t.columns)), path)
+    return files.read_transactions_csv(spark, path, typed=True, key="event_id").drop(files.CORRUPT)
+
+
 @query("read_csv_typed", with_(S.TXN_SQL, f"SELECT {TXN_COLS} FROM txn"))
 def q_read_csv_typed(spark, d):
     typed = files.read_transactions_csv(spark, _txn_csv(spark, d), typed=True, key="event_id")
@@ -787,10 +845,37 @@ def _scored(kind):
 
 
 for _kind, _name in [("random_forest", "random_forest_score"), ("logistic_regression", "logistic_score"),
-                     ("decision_tree", "decision_tree_score"), ("naive_bayes", "naive_bayes_score")]:
+                     ("decision_tree", "decision_tree_score")]:
     query(_name, None)(_scored(_kind))
 
 
+@query("naive_bayes_score", with_(_NB_SQL.replace("FROM feat GROUP BY 1", f"FROM feat WHERE {_U_SQL.format(seed=chr(39) + '0' + chr(39), key='event_id')} < 0.7 GROUP BY 1"), f"""
+SELECT event_id, CAST(isFraud AS DOUBLE) AS label, CASE WHEN raw_1 > raw_0 THEN 1.0 ELSE 0.0 END AS prediction,
+       round(1.0 / (1.0 + exp(raw_0 - raw_1)), 6) AS score
+FROM (SELECT f.event_id, f.isFraud, {_nb_raw('0.0')} AS raw_0, {_nb_raw('1.0')} AS raw_1 FROM feat f
+      WHERE {_U_SQL.format(seed="'0'", key='event_id')} >= 0.7)"""))
+def q_naive_bayes_score(spark, d):
+    return round_doubles(_scored("naive_bayes")(spark, d))
+
+
+@query("tuned_importances", None)
+def q_tuned_importances(spark, d):
+    train, _ = _train_test(spark, d)
+    model, _ = TU.tune("random_forest", train, S.FEATURES, S.LABEL, "event_id", folds=2, grid={"numTrees": [3, 5]}, seed=7)
+    return M.feature_importances(model, S.FEATURES)
+
+
+def _fold_metrics(folds):
+    def q(spark, d):
+        from .flow import prepared_features
+        return TU.fold_metrics("naive_bayes", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id", folds=folds)
+    return q
+
+
+for _folds in (2, 5):
+    query(f"tune_nb_{_folds}_folds", None)(_fold_metrics(_folds))
+
+
 def _tuned(kind):
     def q(spark, d):
         from .flow import prepared_features
@@ -808,7 +893,7 @@ for _kind, _name in [("naive_bayes", "tune_nb"), ("decision_tree", "tune_dt"),
 def q_best_params(spark, d):
     from .flow import prepared_features
     model, _ = TU.tune("decision_tree", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id")
-    return TU.best_params(model, "decision_tree")
+    return TU.best_params(model)
 
 
 def _sweep(kind):
@@ -843,17 +928,28 @@ def q_objective_history(spark, d):
 
 @query("explain_params", None)
 def q_explain_params(spark, d):
-    train, _ = _train_test(spark, d)
-    return M.explain_params(M.train_model("random_forest", train, S.FEATURES, S.LABEL, seed=7))
+    # the values are those that tuning found best on the rows
+    from .flow import prepared_features
+    model, _ = TU.tune("decision_tree", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id", folds=2)
+    return M.explain_params(model)
+
+
+_KINDS_TUNED = [*M.KINDS, "tuned_forest"]
 
 
-@query("model_roundtrip", None)
+@query("model_roundtrip", with_(S.TXN_SQL, f"""
+SELECT k.kind, n, n AS n_equal FROM (SELECT unnest({_KINDS_TUNED}) AS kind) k,
+  (SELECT count(*) AS n FROM txn WHERE {_U_SQL.format(seed="'0'", key='event_id')} >= 0.7)"""))
 def q_model_roundtrip(spark, d):
     from ..sources.models import load_model, save_model
     train, test = _train_test(spark, d)
     outs = None
-    for kind in M.KINDS:
-        model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=7)
+    for kind in _KINDS_TUNED:
+        if kind == "tuned_forest":
+            model, _ = TU.tune("random_forest", train, S.FEATURES, S.LABEL, "event_id", folds=2,
+                               grid={"numTrees": [3, 5]}, seed=7)
+        else:
+            model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=7)
         path = save_model(model, scratch_dir(spark, f"model-{kind}"))
         again = load_model(path, spark)
         a = M.score(model, test, S.LABEL, keep=["event_id"]).select("event_id", F.col("prediction").alias("p1"))
@@ -915,16 +1011,22 @@ FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {src})""")
     return " UNION ALL ".join(parts)
 
 
+_TEN_DIGITS = ["min", "max", "mean", "std", "variance", "sum"]
+
+
 def _pnum_round(inner: str) -> str:
+    """Sums and moments to ten significant digits: double sums depend on the order of
+    the additions in their last digits."""
     return f"""SELECT column_name, data_type, n, n_missing, n_distinct, n_zeros, n_negative,
-  round(min, 6) AS min, round(max, 6) AS max, round(mean, 6) AS mean, round(std, 6) AS std,
-  round(variance, 6) AS variance, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis,
-  round(sum, 4) AS sum FROM ({inner})"""
+  {', '.join(f"CAST(printf('%.9e', {c}) AS DOUBLE) AS {c}" for c in _TEN_DIGITS)},
+  round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis FROM ({inner})"""
 
 
 def _pnum_spark(df):
     out = profile.profile_numeric(df)
-    return round_doubles(out).withColumn("sum", rnd(F.col("sum"), 4))
+    for c in _TEN_DIGITS:
+        out = out.withColumn(c, F.format_string("%.9e", F.col(c).cast("double")).cast("double"))
+    return out.withColumns({c: rnd(F.col(c), 6) for c in ("skewness", "kurtosis")})
 
 
 _DIRTY_NUM = [("step", "int"), ("amount", "double"), ("isFraud", "int")]

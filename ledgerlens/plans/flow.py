@@ -15,20 +15,25 @@ def prepare(df: DataFrame, key: str | None = S.KEY, categories: dict | None = No
     """raw transactions -> pair code -> dummies -> drop ids/balances -> drop
     nulls -> drop duplicates (keeping the smallest key) -> model-input columns.
 
-    ``categories`` fixes the dummy labels (no fit job); by default the labels
-    are fitted on ``df`` with one bounded aggregate per column."""
+    The dummy labels are fitted on ``df`` with one aggregate per column;
+    ``categories`` fixes them instead, and a label outside them raises."""
     t = features.pair_code(df)
-    cats = categories if categories is not None else {"type": S.TYPE_LABELS, "type2": S.TYPE2_LABELS}
-    t = features.get_dummies(t, ["type", "type2"], categories=cats)
+    t = features.get_dummies(t, ["type", "type2"], categories=categories)
     t = features.drop_columns(t, S.ID_COLUMNS + S.BALANCE_COLUMNS)
-    cols = ([key] if key else []) + S.FEATURES + [S.LABEL]
-    t = t.select(*cols)
+    lead = ([key] if key else []) + ["step", "amount"]
+    dummies = [c for c in t.columns if c.startswith(("type_", "type2_"))]
+    t = t.select(*lead, *dummies, S.LABEL)
     t = clean.drop_nulls(t)
     if dedupe:
         t = clean.drop_duplicates(t, keep_by=key)
     return t
 
 
+def feature_columns(prepared: DataFrame, key: str | None = S.KEY) -> list[str]:
+    """The model inputs of a prepared table: all but key and label."""
+    return [c for c in prepared.columns if c not in (key, S.LABEL)]
+
+
 def prepared_features(spark: SparkSession, sf_dir: str, dedupe: bool = False) -> DataFrame:
     """The model-input table made from the ``txn`` fixture (no dedupe by default,
     so every row keeps its ``event_id``)."""
@@ -39,7 +44,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many fraud / non-fraud rows per transaction type after cleaning."""
     t = S.txn(spark, sf_dir)
     p = prepare(t)
-    types = F.coalesce(*[F.when(F.col(f"type_{lab}") == 1, F.lit(lab)) for lab in S.TYPE_LABELS])
+    labels = [c.removeprefix("type_") for c in p.columns if c.startswith("type_")]
+    types = F.coalesce(*[F.when(F.col(f"type_{lab}") == 1, F.lit(lab)) for lab in labels])
     return (p.withColumn("type", types)
             .groupBy("type", S.LABEL).agg(F.count(F.lit(1)).alias("n_rows"),
                                           F.round(F.sum("amount"), 2).alias("total_amount")))
@@ -50,13 +56,14 @@ def prepare_for_training(df: DataFrame, key: str = S.KEY, fraction: float = 0.7,
     """(train, test): split first and balance the training side only; with
     ``balance_first`` the reference's order (balance, then split) is reproduced."""
     from ..operators import balance, split
-    int_cols = [f for f in S.FEATURES if f != "amount"]
     p = prepare(df, key=key)
+    names = feature_columns(p, key)
+    int_cols = [f for f in names if f != "amount"]
     if balance_first:
-        b = balance.balance(p, S.LABEL, S.FEATURES, key, rounds=rounds, int_cols=int_cols)
+        b = balance.balance(p, S.LABEL, names, key, rounds=rounds, int_cols=int_cols)
         return split.split(b, key, fraction, seed)
     train, test = split.split(p, key, fraction, seed)
-    return balance.balance(train, S.LABEL, S.FEATURES, key, rounds=rounds, int_cols=int_cols), test
+    return balance.balance(train, S.LABEL, names, key, rounds=rounds, int_cols=int_cols), test
 
 
 def run_all(spark: SparkSession, sf_dir: str, kinds=None, max_gap: float | None = 0.05,
@@ -69,10 +76,11 @@ def run_all(spark: SparkSession, sf_dir: str, kinds=None, max_gap: float | None
     kinds = list(kinds or M.KINDS)
     train, test = prepare_for_training(S.txn(spark, sf_dir))
     from ..session import cut_lineage
-    train = cut_lineage(train, "train")
+    train, test = cut_lineage(train, "train"), cut_lineage(test, "test")
+    names = feature_columns(train)
     rows = None
     for kind in kinds:
-        model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=seed)
+        model = M.train_model(kind, train, names, S.LABEL, seed=seed)
         test_m = choose.model_metrics(kind, M.score(model, test, S.LABEL))
         train_acc = M.score(model, train, S.LABEL).agg(
             F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("train_accuracy"))

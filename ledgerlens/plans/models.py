@@ -14,6 +14,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegressio
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,9 @@ def score(model, df: DataFrame, label: str, keep: Sequence[str] = (), flat: bool
 
 
 def _classifier(model):
+    """The classifier inside a fitted pipeline or a cross-validated one."""
+    if isinstance(model, CrossValidatorModel):
+        model = model.bestModel
     return model.stages[-1] if isinstance(model, PipelineModel) else model
 
 

@@ -44,7 +44,8 @@ def default_grid(kind: str, estimator, grid: dict | None = None):
 
 def tune(kind: str, df: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 3,
          grid: dict | None = None, seed: int = 0, parallelism: int = 2):
-    """3-fold cross-validation maximising area under ROC on ``rawPrediction``.
+    """Cross-validation on ``folds`` hash folds, maximising the exact area under ROC
+    (``numBins=0``) on ``rawPrediction``.
     Returns (CrossValidatorModel, DataFrame of grid point x mean metric)."""
     data = assign_folds(df.select(key, *features, label), key, folds, seed, "fold") \
         .withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -53,25 +54,48 @@ def tune(kind: str, df: DataFrame, features: Sequence[str], label: str, key: str
         est = pipe.getStages()[-1]
         maps = default_grid(kind, est, grid)
         ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                           metricName="areaUnderROC")
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
+                                           metricName="areaUnderROC", numBins=0)
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds,
                             parallelism=parallelism, seed=seed)
         model = cv.fit(data)
     finally:
         data.unpersist()
     rows = []
     for pm, metric in zip(maps, model.avgMetrics):
-        rows.append((", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)),
-                     float(metric)))
+        rows.append((_params_text(pm), float(metric)))
     table = df.sparkSession.createDataFrame(rows, "params string, auc_roc double")
     return model, table
 
 
-def best_params(cv_model, kind: str) -> DataFrame:
-    """(param, value) of the best model's tuned parameters."""
-    best = cv_model.bestModel.stages[-1]
-    names = list(GRIDS[kind])
-    rows = [(n, str(best.getOrDefault(best.getParam(n)))) for n in names]
+def fold_metrics(kind: str, df: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 3,
+                 grid: dict | None = None, seed: int = 0) -> DataFrame:
+    """(params, fold, auc_roc): each grid point's metric on each fold."""
+    data = assign_folds(df.select(key, *features, label), key, folds, seed, "fold") \
+        .withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    try:
+        pipe = assemble_classifier(kind, features, label, seed)
+        ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
+                                           metricName="areaUnderROC", numBins=0)
+        maps = default_grid(kind, pipe.getStages()[-1], grid)
+        for fold in range(folds):
+            train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
+            for i, model in pipe.fitMultiple(train, maps):
+                rows.append((_params_text(maps[i]), fold, float(ev.evaluate(model.transform(test)))))
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "params string, fold int, auc_roc double")
+
+
+def _params_text(params: dict) -> str:
+    return ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name))
+
+
+def best_params(cv_model) -> DataFrame:
+    """(param, value) of the best point of the grid that was tuned."""
+    maps, metrics = cv_model.getEstimatorParamMaps(), cv_model.avgMetrics
+    best = maps[max(range(len(maps)), key=lambda i: metrics[i])]
+    rows = sorted((p.name, str(v)) for p, v in best.items())
     from pyspark.sql import SparkSession
     return SparkSession.getActiveSession().createDataFrame(rows, "param string, value string")
 

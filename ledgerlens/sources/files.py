@@ -1,8 +1,8 @@
 """Scans and sinks: CSV with header, Parquet.
 
-The CSV scan always gets an explicit schema (no inference pass over the
-data): all strings like the reference's Spark path, or typed with
-PERMISSIVE mode and a corrupt-record column.
+The CSV scan reads columns by the names in the header, in whatever order the
+file has them, and always with an explicit schema (no inference pass over the
+data): all strings, or typed with PERMISSIVE mode and a corrupt-record column.
 """
 
 from __future__ import annotations
@@ -23,14 +23,19 @@ def _with_key(schema: T.StructType, key: str | None, key_type=T.LongType()) -> T
 
 def read_transactions_csv(spark: SparkSession, path: str, typed: bool = False,
                           key: str | None = None) -> DataFrame:
-    """Transactions CSV with header; ``typed=False`` gives 11 string columns."""
-    if typed:
-        schema = _with_key(S.TXN_SCHEMA, key)
-        schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-        return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    schema = _with_key(S.TXN_STRING_SCHEMA, key, T.StringType())
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Transactions CSV with header; ``typed=False`` gives 11 string columns.  Columns are
+    found by header name; a missing one raises, others are ignored."""
+    wanted = _with_key(S.TXN_SCHEMA, key) if typed else _with_key(S.TXN_STRING_SCHEMA, key, T.StringType())
+    header = spark.read.option("header", True).csv(path).columns    # reads one line
+    missing = [f.name for f in wanted.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"columns not in the header of {path}: {missing}")
+    schema = T.StructType([wanted[c] if c in wanted.names else T.StructField(c, T.StringType()) for c in header])
+    if not typed:
+        return spark.read.schema(schema).option("header", True).csv(path).select(*wanted.names)
+    schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).csv(path).select(*wanted.names, CORRUPT))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:

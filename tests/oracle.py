@@ -1,5 +1,6 @@
-"""Compare a Spark query with its DuckDB SQL the way the driver does:
-row count, column names, and an order-insensitive multiset of rounded values."""
+"""Compare a Spark query with its DuckDB SQL: column names, kinds of types, row
+count, and an order-insensitive multiset of values.  Doubles must agree in ten
+significant digits (or in 9 decimals, for numbers around zero)."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5)
+        return 0.0 if abs(v) < 5e-10 else float(f"{v:.9e}")
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if hasattr(v, "item"):
@@ -42,6 +43,20 @@ def rows_of(cols, records):
     return sorted(out, key=repr)
 
 
+def _kind(v):
+    return type(_norm(v)).__name__ if not isinstance(v, bool) else "bool"
+
+
+def _kinds(cols, records):
+    """The kinds of values of each column (bool, int, float, str, ...)."""
+    out = {c: set() for c in cols}
+    for r in records:
+        for c, v in zip(cols, r, strict=True):
+            if v is not None:
+                out[c].add(_kind(v))
+    return out
+
+
 def compare(spark_df, con, sql):
     s_cols = list(spark_df.columns)
     s_rows = [tuple(r) for r in spark_df.collect()]
@@ -54,6 +69,11 @@ def compare(spark_df, con, sql):
         return problems
     if len(s_rows) != len(d_rows):
         problems.append(f"row count spark={len(s_rows)} duckdb={len(d_rows)}")
+    s_kinds, d_kinds = _kinds(s_cols, s_rows), _kinds(d_cols, d_rows)
+    kinds = {c: (s_kinds[c], d_kinds[c]) for c in s_cols
+             if {"Decimal": "float"}.get(min(d_kinds[c], default=""), min(d_kinds[c], default="")) != min(s_kinds[c], default="")}
+    if kinds:
+        problems.append(f"types differ: {kinds}")
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if a != b:
         diff = [x for x in a if x not in set(b)][:3]

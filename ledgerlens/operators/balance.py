@@ -98,12 +98,14 @@ def smote(df: DataFrame, label: str, features: Sequence[str], key: str, k: int =
         (md5_int(F.lit(s), F.lit("b"), i, digits=15) % n_min + 1).alias("_kidx"),
         (md5_int(F.lit(s), F.lit("k"), i, digits=15) % kk + 1).cast("int").alias("neighbor_rank"),
         md5_uniform(F.lit(s), F.lit("g"), i).alias("_u"))
-    base = gen.join(idx.select("_kidx", F.col(key).alias("_base"),
-                               *[F.col(f).alias(f"_b_{f}") for f in features]), "_kidx")
-    nb = base.join(nbrs.select(F.col(key).alias("_base"), "neighbor_rank", "neighbor_key"),
-                   ["_base", "neighbor_rank"])
-    full = nb.join(mino.select(F.col(key).alias("neighbor_key"),
-                               *[F.col(f).alias(f"_n_{f}") for f in features]), "neighbor_key")
+    # one row for each (base, neighbour), n_min * k of them, with both feature sets; the
+    # generated rows, about as many as the majority, are joined once
+    both = cut_lineage(
+        nbrs.select(F.col(key).alias("_base"), "neighbor_rank", "neighbor_key")
+        .join(idx.select("_kidx", F.col(key).alias("_base"), *[F.col(f).alias(f"_b_{f}") for f in features]), "_base")
+        .join(mino.select(F.col(key).alias("neighbor_key"), *[F.col(f).alias(f"_n_{f}") for f in features]), "neighbor_key")
+        .drop("_base", "neighbor_key"), "smote-neighbours")
+    full = gen.join(both, ["_kidx", "neighbor_rank"])
     cols = []
     for f in features:
         b, n_ = F.col(f"_b_{f}").cast("double"), F.col(f"_n_{f}").cast("double")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import evaluate
 
 METRICS = ["accuracy", "precision", "recall", "auc_roc"]
@@ -14,15 +15,16 @@ METRICS = ["accuracy", "precision", "recall", "auc_roc"]
 
 def model_metrics(name: str, scored: DataFrame, label: str = "label", prediction: str = "prediction",
                   score: str = "score") -> DataFrame:
-    """One row (name_model, accuracy, precision, recall, auc_roc)."""
-    m = evaluate.classification_metrics(scored, label, prediction)
-    a = evaluate.auc_roc(scored, score, label)
-    # both sides are single-row aggregates: an equi-join on a constant pairs the two rows
-    one = F.lit(1).alias("_one")
-    return m.select("*", one).join(a.select("*", one), "_one").select(
+    """One row (name_model, accuracy, precision, recall, auc_roc).  The scored rows are read
+    once: both metrics come from their counts by (label, prediction, score), written once."""
+    grouped = cut_lineage(scored.groupBy(
+        F.col(label).alias("label"), F.col(prediction).alias("prediction"), F.col(score).alias("score")).agg(
+        F.count(F.lit(1)).alias("rows")), "scored-counts")
+    auc = evaluate.auc_roc(grouped, weight="rows").first()["auc_roc"]
+    return evaluate.classification_metrics(grouped, weight="rows").select(
         F.lit(name).alias("name_model"), "accuracy",
         F.col("weighted_precision").alias("precision"),
-        F.col("weighted_recall").alias("recall"), "auc_roc")
+        F.col("weighted_recall").alias("recall"), F.lit(auc).cast("double").alias("auc_roc"))
 
 
 def compare_models(results: Mapping[str, DataFrame], label: str = "label", prediction: str = "prediction",

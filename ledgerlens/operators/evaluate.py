@@ -20,30 +20,45 @@ from ..functions.prefix import running_sums
 from ..session import cut_lineage
 
 
-def score_counts(df: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
-    """(score, pos, neg) per distinct non-null score (map-side combined)."""
+def score_counts(df: DataFrame, score: str = "score", label: str = "label", positive=1,
+                 weight: str | None = None) -> DataFrame:
+    """(score, pos, neg) per distinct non-null score (map-side combined); ``weight`` is the
+    number of rows that a row stands for."""
     is_pos = F.col(label) == F.lit(positive)
+    w = F.col(weight) if weight else F.lit(1)
     return (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
             .groupBy(F.col(score).cast("double").alias("score"))
-            .agg(F.sum(F.when(is_pos, 1).otherwise(0)).cast("bigint").alias("pos"),
-                 F.sum(F.when(is_pos, 0).otherwise(1)).cast("bigint").alias("neg")))
+            .agg(F.sum(F.when(is_pos, w).otherwise(0)).cast("bigint").alias("pos"),
+                 F.sum(F.when(is_pos, 0).otherwise(w)).cast("bigint").alias("neg")))
 
 
-def cumulative_counts(df: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
+def written_counts(df: DataFrame, score: str = "score", label: str = "label", positive=1,
+                   weight: str | None = None) -> DataFrame:
+    """``score_counts`` and 1 for each score, written once: (score, pos, neg, one, _desc)."""
+    return cut_lineage(score_counts(df, score, label, positive, weight).withColumns(
+        {"one": F.lit(1).cast("bigint"), "_desc": -F.col("score")}), "score-counts")
+
+
+def cumulative_counts(df: DataFrame, score: str = "score", label: str = "label", positive=1,
+                      counts: DataFrame | None = None) -> DataFrame:
     """Per distinct score: pos, neg, tp = positives with score >= it, fp = negatives
-    with score >= it (descending-order running sums)."""
-    g = cut_lineage(score_counts(df, score, label, positive).withColumn("_desc", -F.col("score")))
-    c = running_sums(g, ["_desc"], ["pos", "neg"])
-    return c.select("score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
+    with score >= it, rank = its place in descending order, all from one running sum."""
+    g = written_counts(df, score, label, positive) if counts is None else counts
+    c = running_sums(g, ["_desc"], ["pos", "neg", "one"])
+    return c.select("score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                    F.col("cum_one").alias("rank"))
 
 
-def _totals(cum: DataFrame) -> DataFrame:
-    return cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+def _totals(counts: DataFrame) -> tuple[int, int, int]:
+    """(positives, negatives, distinct scores) of the written counts."""
+    r = counts.agg(F.sum("pos"), F.sum("neg"), F.count(F.lit(1))).first()
+    return int(r[0] or 0), int(r[1] or 0), int(r[2])
 
 
-def auc_roc(df: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
+def auc_roc(df: DataFrame, score: str = "score", label: str = "label", positive=1,
+            weight: str | None = None) -> DataFrame:
     """Exact area under ROC: P(score_pos > score_neg) + 0.5 P(equal).  One row."""
-    cum = cumulative_counts(df, score, label, positive)
+    cum = cumulative_counts(df, counts=written_counts(df, score, label, positive, weight))
     a = cum.agg(F.sum(F.col("neg").cast("double") * (F.col("tp") - 0.5 * F.col("pos"))).alias("_u"),
                 F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return a.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
@@ -56,23 +71,19 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", positiv
     score >= threshold) plus the origin with a NULL threshold.  With ``bins``
     the distinct scores are cut into ``bins`` consecutive groups of equal size
     and each group keeps its last (lowest-score) point."""
-    cum = cumulative_counts(df, score, label, positive)
-    tot = _totals(cum).first()
-    P, N = tot["P"] or 0, tot["N"] or 0
-    pts = cum.select(F.col("score").alias("threshold"),
-                     (F.col("fp") / F.lit(N) if N else F.lit(None).cast("double")).alias("fpr"),
-                     (F.col("tp") / F.lit(P) if P else F.lit(None).cast("double")).alias("tpr"),
-                     "score")
+    counts = written_counts(df, score, label, positive)
+    P, N, n = _totals(counts)
+    pts = cumulative_counts(df, score, label, positive, counts).select(
+        F.col("score").alias("threshold"),
+        (F.col("fp") / F.lit(N) if N else F.lit(None).cast("double")).alias("fpr"),
+        (F.col("tp") / F.lit(P) if P else F.lit(None).cast("double")).alias("tpr"), "rank")
     if bins:
-        from ..functions.prefix import global_rank
-        ranked = global_rank(pts.withColumn("_desc", -F.col("score")), ["_desc"], "r")
-        n = cum.count()
-        grp = F.floor((F.col("r") - 1) * F.lit(bins) / F.lit(n))
-        last = ranked.withColumn("_g", grp).groupBy("_g").agg(
-            F.max_by(F.struct("threshold", "fpr", "tpr"), F.col("r")).alias("p"))
+        grp = F.floor((F.col("rank") - 1) * F.lit(bins) / F.lit(max(n, 1)))
+        last = pts.withColumn("_g", grp).groupBy("_g").agg(
+            F.max_by(F.struct("threshold", "fpr", "tpr"), F.col("rank")).alias("p"))
         pts = last.select("p.threshold", "p.fpr", "p.tpr")
     else:
-        pts = pts.drop("score")
+        pts = pts.drop("rank")
     origin = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
                                              F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(pts)
@@ -80,9 +91,9 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", positiv
 
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label", positive=1) -> DataFrame:
     """(threshold, recall, precision) per distinct score."""
-    cum = cumulative_counts(df, score, label, positive)
-    P = _totals(cum).first()["P"] or 0
-    return cum.select(F.col("score").alias("threshold"),
+    counts = written_counts(df, score, label, positive)
+    P, _, _ = _totals(counts)
+    return cumulative_counts(df, score, label, positive, counts).select(F.col("score").alias("threshold"),
                       (F.col("tp") / F.lit(P) if P else F.lit(None).cast("double")).alias("recall"),
                       (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
@@ -98,12 +109,13 @@ def curve_area(df: DataFrame, score: str = "score", label: str = "label", positi
 
 
 # ---------------------------------------------------------------- E2-E4 E6
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                     weight: str | None = None) -> DataFrame:
     """Long form (label, prediction, count); rows = actual, columns = predicted.  Rows
     without a label are left out, here and in all metrics."""
     return (df.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("double").alias("label"),
                        F.col(prediction).cast("double").alias("prediction"))
-            .agg(F.count(F.lit(1)).alias("count")))
+            .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count")))
 
 
 def confusion_matrix_wide(df: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -115,10 +127,11 @@ def confusion_matrix_wide(df: DataFrame, label: str = "label", prediction: str =
           .cast("bigint").alias(f"pred_{int(k)}") for k in classes])
 
 
-def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                           weight: str | None = None) -> DataFrame:
     """One row: n, accuracy, weighted precision / recall / F1 (weights = true
     class share, MulticlassMetrics semantics), balanced accuracy (mean recall)."""
-    cm = confusion_matrix(df, label, prediction)
+    cm = confusion_matrix(df, label, prediction, weight)
     actual = cm.groupBy("label").agg(F.sum("count").alias("actual"),
                                      F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count"))
                                            .otherwise(0)).alias("tp"))

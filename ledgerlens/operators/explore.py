@@ -117,90 +117,91 @@ def histogram(df: DataFrame, col: str, bins: int | str = 10) -> DataFrame:
 
 
 # ---------------------------------------------------------------- quantiles
-def column_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, value, cnt) of the non-null, non-NaN values of each column,
-    combined on the map side and written once into the shared checkpoint
-    folder: the raw rows are read once, later statistics read this table."""
-    long = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return cut_lineage(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt")),
-                       "value-counts")
-
-
-def quantiles_from_counts(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """(column_name, p, value) from a ``column_value_counts`` table: running
-    sums in value order (ranges, no single-task window), then each target
-    index found by a join against the broadcast target table, whose size is
-    columns x probs."""
-    cum = running_sums(counts, ["value"], ["cnt"], partition_cols=["column_name"])
-    cum = cut_lineage(cum.withColumn("start", F.col("cum_cnt") - F.col("cnt")))
-    n = counts.groupBy("column_name").agg(F.sum("cnt").alias("n"))
-    p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (n.select("column_name", "n", F.explode(p_arr).alias("p"))
-               .withColumn("h", (F.col("n") - 1) * F.col("p"))
-               .withColumn("j", F.floor("h").cast("bigint"))
-               .withColumn("j2", F.least(F.col("j") + 1, F.col("n") - 1))
-               .withColumn("frac", F.col("h") - F.col("j")))
-
-    c = cum.select("column_name", "value", "start", "cum_cnt").alias("c")
-
-    def at(idx: str, name: str) -> DataFrame:
-        t = F.broadcast(targets.select(F.col("column_name").alias("t_col"), F.col("p").alias("t_p"),
-                                       F.col(idx).alias("t_i")))
-        return (c.join(t, (F.col("c.column_name") == F.col("t_col")) & (F.col("c.start") <= F.col("t_i"))
-                       & (F.col("t_i") < F.col("c.cum_cnt")))
-                .select(F.col("t_col").alias("column_name"), F.col("t_p").alias("p"),
-                        F.col("c.value").alias(name)))
-
-    lo = at("j", "v_lo")
-    hi = at("j2", "v_hi")
-    return (targets.join(lo, ["column_name", "p"]).join(hi, ["column_name", "p"])
-            .select("column_name", "p",
-                    (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("value")))
+SKETCH = 10_000      # accuracy of the bracketing sketch: ranks within n / SKETCH
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column_name, p, value): linear-interpolated quantiles, exact and distributed."""
-    return quantiles_from_counts(column_value_counts(df, cols), probs)
-
-
-def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     accuracy: int = 10000) -> DataFrame:
-    long = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    q = long.groupBy("column_name").agg(
-        F.percentile_approx("value", [float(p) for p in probs], accuracy).alias("qs"))
-    return q.select("column_name", F.posexplode("qs").alias("i", "value")).select(
-        "column_name", F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
-                                    F.col("i") + 1).alias("p"), "value")
+    """(column_name, p, value): linear-interpolated quantiles, exact and distributed.
+
+    Pass one sketches each column (a buffer of fixed size for each) and takes two values
+    that certainly enclose each wanted rank.  Pass two counts the rows below each bracket
+    and the values inside it, a few ten-thousandths of the rows, and picks the wanted ranks
+    from running sums of those counts.  Nothing of the size of the table is sorted or
+    written.  NULL and NaN are skipped; a column without numbers has no rows."""
+    cols, probs = list(cols), [float(p) for p in probs]
+    spark = df.sparkSession
+    schema = "column_name string, p double, value double"
+    slack = 4.0 / SKETCH     # the sketch is off by 1 / SKETCH at most
+    around = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
+    aggs = []
+    for i, c in enumerate(cols):
+        x = "CAST(`" + c.replace("`", "``") + "` AS DOUBLE)"
+        valid = f"CASE WHEN NOT isnan({x}) THEN {x} END"
+        aggs += [F.expr(f"count({valid})").alias(f"n{i}"),
+                 F.percentile_approx(F.expr(valid), around, SKETCH).alias(f"q{i}")]
+    row = df.agg(*aggs).first()
+    brackets, wanted = [], []
+    for i, c in enumerate(cols):
+        n = row[f"n{i}"]
+        for k, p in enumerate(probs if n else []):
+            h = (n - 1) * p
+            j = int(math.floor(h))
+            brackets.append((c, k, float(row[f"q{i}"][2 * k]), float(row[f"q{i}"][2 * k + 1])))
+            wanted.append((c, k, p, h - j, j, min(j + 1, n - 1)))
+    if not brackets:
+        return spark.createDataFrame([], schema)
+    # one row for each column and probability: bounded by the parameters
+    b = F.broadcast(spark.createDataFrame(brackets, "column_name string, k int, lo double, hi double"))
+    near = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value")).join(b, "column_name")
+    x = F.col("value")
+    # counts of the values inside, one for all rows below, and the first value beyond
+    side = F.when(x < F.col("lo"), -1).when(x > F.col("hi"), 1).otherwise(0)
+    near = near.withColumn("side", side).withColumn("inside", F.when(F.col("side") == 0, x).otherwise(0.0))
+    counts = cut_lineage(near.groupBy("column_name", "k", "side", "inside").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("value").alias("least")), "quantile-brackets")
+    cum = running_sums(counts, ["side", "inside"], ["cnt"], partition_cols=["column_name", "k"])
+    at = F.broadcast(spark.createDataFrame(wanted, "column_name string, k int, p double, frac double, j bigint, j2 bigint"))
+    hit = cum.join(at, ["column_name", "k"])
+
+    def pick(index: str):
+        start = F.col("cum_cnt") - F.col("cnt")
+        value = F.when((F.col("side") == 0) | ((F.col("side") == 1) & (start == F.col(index))), F.col("least")).otherwise(
+            F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+        return F.max(F.when((start <= F.col(index)) & (F.col(index) < F.col("cum_cnt")), value))
+
+    got = hit.groupBy("column_name", "p", "frac").agg(pick("j").alias("v1"), pick("j2").alias("v2"))
+    return got.select("column_name", "p", (F.col("v1") + F.col("frac") * (F.col("v2") - F.col("v1"))).alias("value"))
 
 
 # ---------------------------------------------------------------- A8
-def box_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Boxplot numbers per column: quartiles (linear interpolation), whiskers
-    = most extreme values within 1.5 IQR of the box, count of outliers.
-    Exact: quartiles and whiskers both read the written value-count table, so
-    the raw rows are read once."""
-    if exact:
-        counts = column_value_counts(df, cols)
-        qv = quantiles_from_counts(counts, [0.25, 0.5, 0.75])
-        vals = counts
-    else:
-        qv = approx_quantiles(df, cols, [0.25, 0.5, 0.75])
-        vals = (_stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-                .withColumn("cnt", F.lit(1).cast("bigint")))
-    q = qv.groupBy("column_name").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a)
-          for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = vals.join(F.broadcast(q), "column_name")  # q has one row per column
-    lo_f = F.col("q1") - 1.5 * F.col("iqr")
-    hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    v = F.col("value")
-    w = j.groupBy("column_name").agg(
-        F.min(F.when(v >= lo_f, v)).alias("whisker_lo"),
-        F.max(F.when(v <= hi_f, v)).alias("whisker_hi"),
-        F.sum(F.when((v < lo_f) | (v > hi_f), F.col("cnt")).otherwise(0)).cast("bigint").alias("n_outliers"))
-    return q.join(w, "column_name").select("column_name", "q1", "median", "q3", "iqr",
-                                           "whisker_lo", "whisker_hi", "n_outliers")
+def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Boxplot numbers per column: exact quartiles (linear interpolation), whiskers
+    = most extreme values within 1.5 IQR of the box, count of outliers, from one more
+    pass with the fences as literals."""
+    quartiles: dict[str, dict[float, float]] = {}
+    for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).collect():    # three values for each column
+        quartiles.setdefault(r["column_name"], {})[r["p"]] = r["value"]
+    spark = df.sparkSession
+    schema = ("column_name string, q1 double, median double, q3 double, iqr double, whisker_lo double, "
+              "whisker_hi double, n_outliers bigint")
+    found = [c for c in cols if c in quartiles]
+    if not found:
+        return spark.createDataFrame([], schema)
+    aggs, items = [], []
+    for i, c in enumerate(found):
+        q1, q2, q3 = (quartiles[c][p] for p in (0.25, 0.5, 0.75))
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        x = "CAST(`" + c.replace("`", "``") + "` AS DOUBLE)"
+        low, high = f"CAST('{lo!r}' AS DOUBLE)", f"CAST('{hi!r}' AS DOUBLE)"
+        number = f"NOT isnan({x})"
+        aggs += [f"min(CASE WHEN {number} AND {x} >= {low} THEN {x} END) AS a{i}",
+                 f"max(CASE WHEN {number} AND {x} <= {high} THEN {x} END) AS b{i}",
+                 f"count(CASE WHEN {number} AND ({x} < {low} OR {x} > {high}) THEN 1 END) AS n{i}"]
+        items.append(F.struct(F.lit(c).alias("column_name"), F.lit(q1).alias("q1"), F.lit(q2).alias("median"),
+                              F.lit(q3).alias("q3"), F.lit(q3 - q1).alias("iqr"), F.col(f"a{i}").alias("whisker_lo"),
+                              F.col(f"b{i}").alias("whisker_hi"), F.col(f"n{i}").alias("n_outliers")))
+    row = df.agg(*[F.expr(a) for a in aggs])
+    return row.select(F.explode(F.array(*items)).alias("e")).select("e.*")
 
 
 # ---------------------------------------------------------------- A9

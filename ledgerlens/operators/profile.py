@@ -1,13 +1,15 @@
 """Full table profile as Spark jobs.
 
-* numeric columns: one wide aggregate for every column at once, reshaped to
-  one row per column (skewness and kurtosis with the sample corrections a
+* numeric columns: one aggregate over the long form, grouped by column name, so a
+  table is read once however many columns it has and each task keeps a dozen
+  buffers for each column (skewness and kurtosis with the sample corrections a
   pandas-based profiler reports);
-* quantiles: exact, through the distributed running sums of ``explore``;
-* string columns: lengths in one aggregate; top values per column ranked in
-  two stages (within hash buckets, then among the bucket winners), so no
-  task holds all distinct values of a column;
-* missing values, duplicates, and alerts as rules over those rows.
+* one written table of (column, value, count) serves distinct counts, top values
+  and the string columns; it is combined on the map side, so a value held by a
+  third of the rows is one row for each task;
+* quantiles: exact, by bracketing (``explore.exact_quantiles``);
+* missing values, duplicates, and alerts as rules over those rows;
+* ``profile`` gives all sections of a table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import clean
-from .explore import column_value_counts, quantiles_from_counts
+from ..session import cut_lineage
+from .explore import exact_quantiles
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -35,100 +38,94 @@ def _q(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
-def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = True) -> DataFrame:
+def value_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value, count) of the non-null values of each column as strings,
+    written once; numbers have one text for each value."""
+    types = dict(df.dtypes)
+    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), (
+        F.col(_q(c)) if types[c] == "string" else F.col(_q(c)).cast("double") + F.lit(0.0)).cast("string").alias("value"),
+        F.col(_q(c)).cast("string").alias("shown")) for c in cols])
+    long = df.select(F.explode(arr).alias("e")).select("e.*").filter(F.col("value").isNotNull())
+    return cut_lineage(long.groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("count"), F.min("shown").alias("shown")), "profile-values")
+
+
+def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = True,
+                    values: DataFrame | None = None) -> DataFrame:
     """(column_name, data_type, n, n_missing, n_distinct, n_zeros, n_negative, min, max,
-    mean, std, variance, skewness, kurtosis, sum) per numeric column.
-
-    One small aggregate per column, all in one job (a union): each branch reads
-    only its own Parquet column and keeps a dozen aggregation buffers, so it
-    stays in whole-stage codegen however many columns are profiled (a single
-    aggregate over all columns grows past what the JVM compiles).  Exact
-    distinct counts come from one (column, value) aggregate, combined on the
-    map side, so a value held by a third of the rows is one row per task.
-    Skewness and kurtosis carry the sample corrections a pandas-based
-    profiler reports."""
+    mean, std, variance, skewness, kurtosis, sum) per numeric column, from one pass over
+    the rows; exact distinct counts from ``values`` (made by ``value_table`` if not given).
+    An empty table has a row with n = 0 for each column."""
     cols = list(cols) if cols else numeric_columns(df)
     types = dict(df.dtypes)
-    branches = []
-    for c in cols:
-        x = f"CAST({_q(c)} AS DOUBLE)"
-        n = "CAST(count(x) AS DOUBLE)"
-        aggs = ["count(x) AS n",
-                "CAST(count(1) - count(x) AS BIGINT) AS n_missing",
-                "CAST(sum(CASE WHEN x = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zeros",
-                "CAST(sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative",
-                "min(x) AS min", "max(x) AS max", "avg(x) AS mean", "stddev_samp(x) AS std",
-                "var_samp(x) AS variance",
-                f"CASE WHEN {n} > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * skewness(x) END AS skewness",
-                f"CASE WHEN {n} > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis(x) + 6) END "
-                "AS kurtosis",
-                "sum(x) AS sum"]
-        if not exact_distinct:
-            aggs.append("CAST(approx_count_distinct(x) AS BIGINT) AS n_distinct")
-        # labels as literals (not SQL text): any column name is safe
-        branches.append(df.select(F.expr(f"{x} AS x")).agg(*[F.expr(a) for a in aggs]).select(
-            F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), "*"))
-    out = branches[0]
-    for b in branches[1:]:
-        out = out.unionByName(b)
+    spark = df.sparkSession
+    spec = F.broadcast(spark.createDataFrame([(c, types[c]) for c in cols], "column_name string, data_type string"))
+    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(_q(c)).cast("double").alias("x")) for c in cols])
+    n = "CAST(count(x) AS DOUBLE)"
+    aggs = ["count(x) AS n",
+            "CAST(count(1) - count(x) AS BIGINT) AS n_missing",
+            "CAST(sum(CASE WHEN x = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zeros",
+            "CAST(sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative",
+            "min(x) AS min", "max(x) AS max", "avg(x) AS mean", "stddev_samp(x) AS std",
+            "var_samp(x) AS variance",
+            f"CASE WHEN {n} > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * skewness(x) END AS skewness",
+            f"CASE WHEN {n} > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis(x) + 6) END "
+            "AS kurtosis",
+            "sum(x) AS sum"]
+    if not exact_distinct:
+        aggs.append("CAST(approx_count_distinct(x) AS BIGINT) AS n_distinct")
+    long = df.select(F.explode(arr).alias("e")).select("e.*")
+    out = spec.join(long.groupBy("column_name").agg(*[F.expr(a) for a in aggs]), "column_name", "left")
     if exact_distinct:
-        arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-                        for c in cols])
-        distinct = (df.select(F.explode(arr).alias("e")).select("e.*")
-                    .distinct()
-                    .groupBy("column_name").agg(F.count("value").cast("bigint").alias("n_distinct")))
+        values = value_table(df, cols) if values is None else values
+        distinct = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
         # both sides hold one row per profiled column
-        out = out.join(F.broadcast(distinct), "column_name", "left").withColumn(
-            "n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0).cast("bigint")))
-    return out.select("column_name", "data_type", "n", "n_missing", "n_distinct", "n_zeros", "n_negative",
-                      "min", "max", "mean", "std", "variance", "skewness", "kurtosis", "sum")
+        out = out.join(F.broadcast(distinct), "column_name", "left")
+    counts = ["n", "n_missing", "n_distinct", "n_zeros", "n_negative"]
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in counts}).select(
+        "column_name", "data_type", *counts, "min", "max", "mean", "std", "variance", "skewness", "kurtosis", "sum")
 
 
 def profile_quantiles(df: DataFrame, cols: Sequence[str] | None = None,
                       probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """(column_name, p5, p25, p50, p75, p95, range, iqr), exact; quantiles and
-    range both come from one written value-count table (the rows are read once)."""
+    """(column_name, p5, p25, p50, p75, p95, range, iqr), exact; the range is that of the
+    0- and 1-quantiles, from the same passes."""
     cols = list(cols) if cols else numeric_columns(df)
-    counts = column_value_counts(df, cols)
-    q = quantiles_from_counts(counts, probs)
+    q = exact_quantiles(df, cols, [0.0, *probs, 1.0])
     names = {p: f"p{int(round(p * 100))}" for p in probs}
-    wide = q.groupBy("column_name").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a)
-                                          for p, a in names.items()])
-    rng = counts.groupBy("column_name").agg((F.max("value") - F.min("value")).alias("range"))
-    out = wide.join(rng, "column_name")
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    out = q.groupBy("column_name").agg(*[at(p).alias(a) for p, a in names.items()], (at(1.0) - at(0.0)).alias("range"))
     if 0.25 in names and 0.75 in names:
         out = out.withColumn("iqr", F.col("p75") - F.col("p25"))
     return out
 
 
-def profile_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, n, n_missing, n_distinct, min_length, mean_length, max_length)."""
+def profile_categorical(df: DataFrame, cols: Sequence[str] | None = None, values: DataFrame | None = None) -> DataFrame:
+    """(column_name, n, n_missing, n_distinct, min_length, mean_length, max_length), all from
+    the value table and the number of rows."""
     cols = list(cols) if cols else string_columns(df)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        ln = F.length(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.countDistinct(F.col(c)).alias(f"d{i}"),
-                 F.min(ln).alias(f"lmin{i}"), F.avg(ln).alias(f"lavg{i}"), F.max(ln).alias(f"lmax{i}")]
-    row = df.agg(*aggs)
-    items = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").cast("bigint").alias("n"),
-                      (F.col("_rows") - F.col(f"n{i}")).cast("bigint").alias("n_missing"),
-                      F.col(f"d{i}").cast("bigint").alias("n_distinct"),
-                      F.col(f"lmin{i}").cast("int").alias("min_length"),
-                      F.col(f"lavg{i}").alias("mean_length"),
-                      F.col(f"lmax{i}").cast("int").alias("max_length"))
-             for i, c in enumerate(cols)]
-    return row.select(F.explode(F.array(*items)).alias("e")).select("e.*")
-
-
-def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5, buckets: int = 64) -> DataFrame:
+    values = value_table(df, cols) if values is None else values
+    spec = F.broadcast(df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string"))
+    rows = df.count()
+    size = F.length("value")
+    out = spec.join(values.groupBy("column_name").agg(
+        F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.min(size).cast("int").alias("min_length"),
+        (F.sum(size * F.col("count")) / F.sum("count")).alias("mean_length"),
+        F.max(size).cast("int").alias("max_length")), "column_name", "left")
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
+    return out.select("column_name", n.alias("n"), (F.lit(rows).cast("bigint") - n).alias("n_missing"),
+                      F.coalesce(F.col("n_distinct"), F.lit(0)).cast("bigint").alias("n_distinct"),
+                      "min_length", "mean_length", "max_length")
+
+
+def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5, buckets: int = 64,
+               values: DataFrame | None = None) -> DataFrame:
     """(column_name, value, count, rank): the k most frequent non-null values of
     each column, ties by value.  Ranked first inside (column, hash bucket),
     then among the at most k x buckets survivors of each column."""
     cols = list(cols) if cols else string_columns(df)
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-                    for c in cols])
-    long = df.select(F.explode(arr).alias("e")).select("e.*").filter(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    values = value_table(df, cols) if values is None else values.filter(F.col("column_name").isin(cols))
+    counts = values.select("column_name", F.col("shown").alias("value"), "count")
     order = [F.col("count").desc(), F.col("value")]
     local = (counts.withColumn("_bk", F.pmod(F.xxhash64("value"), F.lit(buckets)))
              .withColumn("_r", F.row_number().over(Window.partitionBy("column_name", "_bk").orderBy(*order)))
@@ -156,9 +153,12 @@ def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None, categori
     CONSTANT (one distinct value), MISSING (any missing, value = share),
     SKEWED (|skewness| > threshold), ZEROS (share of zeros > threshold),
     IMBALANCE (top value share > threshold, strings), DUPLICATES (table)."""
-    num = profile_numeric(df, numeric)
+    nums = list(numeric) if numeric is not None else numeric_columns(df)
     cats = list(categorical) if categorical is not None else string_columns(df)
-    cat = profile_categorical(df, cats) if cats else None
+    values = value_table(df, [*nums, *cats])
+    # a row for each column: written, so that the rules below do not repeat the passes
+    num = cut_lineage(profile_numeric(df, nums, values=values), "profile-numeric")
+    cat = cut_lineage(profile_categorical(df, cats, values=values), "profile-strings") if cats else None
     rows = num.select("column_name", "n", "n_missing", "n_distinct", "n_zeros", "skewness")
     total = F.col("n") + F.col("n_missing")
     alerts = [
@@ -180,7 +180,7 @@ def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None, categori
             c.filter(F.col("n_missing") > 0).select("column_name", F.lit("MISSING").alias("alert"),
                                                     (F.col("n_missing") / tot).alias("value")),
         ]
-        top = top_values(df, cats, k=1).join(c.select("column_name", "n"), "column_name")
+        top = top_values(df, cats, k=1, values=values).join(c.select("column_name", "n"), "column_name")
         alerts.append(top.filter(F.col("count") / F.col("n") > imbalance_threshold).select(
             "column_name", F.lit("IMBALANCE").alias("alert"), (F.col("count") / F.col("n")).alias("value")))
     dup = clean.duplicate_count(df).filter(F.col("n_duplicates") > 0).select(
@@ -191,3 +191,44 @@ def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None, categori
     for a in alerts[1:]:
         out = out.unionByName(a)
     return out
+
+
+def profile(df: DataFrame, k: int = 5) -> dict[str, DataFrame]:
+    """All sections for all numeric and string columns: numeric, quantiles, categorical,
+    top_values, missing, correlation, alerts."""
+    from .corr import correlation_matrix
+    nums, cats = numeric_columns(df), string_columns(df)
+    values = value_table(df, [*nums, *cats])
+    out = {"missing": profile_missing(df), "alerts": profile_alerts(df, nums, cats),
+           "top_values": top_values(df, [*nums, *cats], k, values=values)}
+    if nums:
+        out |= {"numeric": profile_numeric(df, nums, values=values), "quantiles": profile_quantiles(df, nums),
+                "correlation": correlation_matrix(df, nums)}
+    if cats:
+        out["categorical"] = profile_categorical(df, cats, values=values)
+    return out
+
+
+def profile_long(df: DataFrame, k: int = 5) -> DataFrame:
+    """(section, column_name, item, value): every number of ``profile`` in one table; item is
+    the statistic, the other column of a correlation, or the rank of a top value."""
+    parts = []
+    for section, rows in profile(df, k).items():
+        if section == "correlation":
+            parts.append(rows.select(F.lit(section).alias("section"), F.col("feature_x").alias("column_name"),
+                                     F.col("feature_y").alias("item"), F.col("correlation").alias("value")))
+        elif section == "alerts":
+            parts.append(rows.select(F.lit(section).alias("section"), "column_name", F.col("alert").alias("item"), "value"))
+        elif section == "top_values":
+            parts.append(rows.select(F.lit(section).alias("section"), "column_name",
+                                     F.concat(F.col("rank").cast("string"), F.lit(":"), F.col("value")).alias("item"),
+                                     F.col("count").cast("double").alias("value")))
+        else:
+            stats = [c for c, t in rows.dtypes if c != "column_name" and t != "string"]
+            items = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in stats])
+            parts.append(rows.select(F.lit(section).alias("section"), "column_name", F.explode(items).alias("e"))
+                         .select("section", "column_name", "e.item", "e.value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -18,6 +18,8 @@ from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 KINDS = {
     "random_forest": RandomForestClassifier,
     "logistic_regression": LogisticRegression,
@@ -124,9 +126,9 @@ def naive_bayes_stats(df: DataFrame, features: Sequence[str], label: str, smooth
     a = float(smoothing)
     g = df.groupBy(F.col(label).cast("double").alias("label")).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(f).cast("double")).alias(f) for f in features])
-    tot = g.agg(F.sum("_n").alias("N"), F.count(F.lit(1)).alias("C"))
-    one = F.lit(1).alias("_one")
-    g = g.select("*", one).join(tot.select("*", one), "_one")
+    g = cut_lineage(g, "bayes-classes")     # one row for each class
+    tot = g.agg(F.sum("_n").alias("N"), F.count(F.lit(1)).alias("C")).first()
+    g = g.select("*", F.lit(tot["N"] or 0).alias("N"), F.lit(tot["C"]).alias("C"))
     s_c = sum((F.col(f) for f in features[1:]), F.col(features[0]))
     d = len(features)
     items = [F.struct(F.lit("(prior)").alias("term"),

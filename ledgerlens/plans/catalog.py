@@ -748,7 +748,7 @@ def q_balance_two_rounds(spark, d):
 
 
 # ======================================================================= S1-S5 (files)
-from ..session import scratch_dir  # noqa: E402
+from ..session import cut_lineage, scratch_dir  # noqa: E402
 from ..sources import files  # noqa: E402
 
 _TXN_TYPES = {"event_id": "bigint", "step": "int", "amount": "double", "oldbalanceOrg": "double",
@@ -1124,6 +1124,52 @@ def q_profile_alerts(spark, d):
     return round_doubles(profile.profile_alerts(t, ["step", "amount", "isFraud"], ["type", "nameDest"]))
 
 
+_FULL_NUM, _FULL_STR = ["step", "amount", "isFraud"], ["type", "nameDest"]
+
+
+def _profile_full_sql() -> str:
+    """Every section of the profile in long form, six significant digits."""
+    parts = [f"SELECT 'numeric' AS section, column_name, '{c}' AS item, CAST({c} AS DOUBLE) AS value FROM pn"
+             for c in ("n", "n_missing", "n_distinct", "n_zeros", "n_negative", "min", "max", "mean", "std", "variance",
+                       "skewness", "kurtosis", "sum")]
+    parts += [f"SELECT 'categorical', column_name, '{c}', CAST({c} AS DOUBLE) FROM pc"
+              for c in ("n", "n_missing", "n_distinct", "min_length", "mean_length", "max_length")]
+    for c in _FULL_NUM:
+        parts += [f"SELECT 'quantiles', '{c}', 'p{p}', CAST(quantile_cont({c}, {p / 100}) AS DOUBLE) FROM txn_dirty"
+                  for p in (5, 25, 50, 75, 95)]
+        parts += [f"SELECT 'quantiles', '{c}', 'range', CAST(max({c}) - min({c}) AS DOUBLE) FROM txn_dirty",
+                  f"SELECT 'quantiles', '{c}', 'iqr', CAST(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS DOUBLE) "
+                  "FROM txn_dirty"]
+        parts += [f"SELECT 'correlation', '{c}', '{x}', corr({c}, {x}) FROM txn_dirty" for x in _FULL_NUM]
+    for c in ["step", "type", "amount", "isFraud", "nameDest"]:
+        parts += [f"SELECT 'missing', '{c}', 'n_missing', CAST(count(*) - count({c}) AS DOUBLE) FROM txn_dirty",
+                  f"SELECT 'missing', '{c}', 'pct_missing', (count(*) - count({c})) / count(*) FROM txn_dirty"]
+    parts.append("SELECT 'top_values', column_name, concat(rank, ':', value), CAST(count AS DOUBLE) FROM tv")
+    parts.append(f"SELECT 'alerts', column_name, alert, value FROM ({_alerts_sql()})")
+    return with_(S.TXN_DIRTY_SQL + f""",
+pn AS ({_pnum_sql("txn_dirty", _DIRTY_NUM)}), pc AS ({_pcat_sql("txn_dirty", _FULL_STR)}),
+tv AS ({_top_sql("txn_dirty", _FULL_STR, 5)}), every_row AS ({" UNION ALL ".join(parts)})""",
+                 "SELECT section, column_name, item, CAST(printf('%.5e', value) AS DOUBLE) AS value FROM every_row")
+
+
+@query("profile_full", _profile_full_sql())
+def q_profile_full(spark, d):
+    t = S.txn_dirty(spark, d).select("step", "type", "amount", "isFraud", "nameDest")
+    rows = profile.profile_long(t)
+    # the commonest numbers are left to the engines' own number formats
+    rows = rows.filter((F.col("section") != "top_values") | F.col("column_name").isin(_FULL_STR))
+    value = F.when(F.col("section") == "alerts", rnd(F.col("value"), 6)).otherwise(F.col("value"))
+    return rows.withColumn("value", F.format_string("%.5e", value).cast("double"))
+
+
+@query("profile_balanced", None)
+def q_profile_balanced(spark, d):
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    b = balance.balance(p, S.LABEL, S.FEATURES, "event_id", int_cols=_INT_FEATS)
+    return round_doubles(profile.profile_long(cut_lineage(b.drop("event_id"), "balanced")))
+
+
 # ======================================================================= whole job
 @query("prepare_split_balance", None)
 def q_prepare_split_balance(spark, d):

@@ -1,188 +1,197 @@
 """Exact k nearest neighbours inside one table, without emitting all pairs (B6).
 
-1. Pick the ``axes`` features with the largest spread (one aggregate).
-2. Rank the rows along each axis (ties by key) with distributed running counts.
-3. Round r: cut each axis' ranks into blocks of ``W_r`` rows.  A row of block
-   b takes as candidates the rows of blocks b-1, b, b+1 of every axis (the
-   candidate side is replicated three times, so all candidates of a row for
-   one axis meet in one join partition): at most 3 W_r candidates per row and
-   axis, never a whole group, however many rows share a value.
-4. Keep the k best candidates by (squared distance, key).  A row that is
-   outside the candidate blocks of *every* axis differs from the query by at
-   least gap_a along each axis a, hence its squared distance is at least
-   sum_a gap_a^2 (gaps come from per-block extremes; there is none on a side
-   with nothing beyond the window).  If the k-th squared distance is below
-   that sum, the answer is exact; otherwise the row goes to the next round
-   with W_{r+1} = 8 W_r.
-5. Windows stop growing at ``max_window`` rows.  Rows no bound certified by
-   then (high-dimensional data) are compared with every row in a blocked
-   round: (hash chunk of open rows) x (rank block of all rows) join keys of
-   about max_window^2 pairs each, a partial top-k before the shuffle.  So the
-   loop always ends with the exact answer for every row, and no task holds
-   all pairs.
-
-Each round's result is written into the shared checkpoint folder, so a lost
-executor recomputes one round, not the whole chain.
+0. Of rows with equal features only the k + 1 with the smallest keys can be neighbours of
+   any row (ties go by key), so only these are candidates, however many rows are equal.
+1. Pivots: a bounded sample of rows (the smallest key hashes, at most MAX_PIVOTS).  Every
+   row belongs to the cell of its nearest pivot; a cell knows its radius.  Cells with more
+   than ``block`` candidates are cut into blocks by key hash.
+2. Each block is searched alone: the k-th best distance inside is an upper bound for the
+   row's k-th neighbour.
+3. By the triangle inequality all rows of a cell are at least (distance to its pivot -
+   radius) away.  A row visits the cells whose bound does not exceed its own upper bound;
+   its visits meet the cell's blocks in tasks of at most about ``visits`` rows by ``block``
+   rows, which compute distances in numpy and return at most k rows for each visitor.
+4. A visitor's best k over all blocks are its neighbours.
+
+So what moves between tasks is rows times visited cells, never pairs; where nothing can be
+pruned (noise in many dimensions) every row visits every cell and the distances of all pairs
+are computed, block by block, but still not emitted.  Distances are summed feature by feature
+from the left, so ties are exact and go by the neighbour's key.  Everything iterative is
+written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import global_rank
 from ..session import cut_lineage
 
+MAX_PIVOTS = 512
+ROWS_PER_PIVOT = 256
+BLOCK = 1024
+VISITS = 4096
 
-MAX_WINDOW = 2048  # widest rank window; rows still open beyond it are compared block by block
 
-
-def sq_distance(a: str, b: str, features: Sequence[str]):
-    """Sum of squared differences, features added left to right."""
-    expr = None
-    for f in features:
-        d = F.col(f"{a}.{f}") - F.col(f"{b}.{f}")
-        expr = d * d if expr is None else expr + d * d
-    return expr
-
-
-def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
-               block: int | None = None, axes: int = 2, max_window: int = MAX_WINDOW) -> DataFrame:
+def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5, block: int = BLOCK,
+               max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(key, neighbor_rank, neighbor_key, distance): the k nearest other rows of
     each row in Euclidean distance over ``features``; ties by neighbour key."""
-    return knn_tables(df, key, features, k, block, axes, max_window=max_window)[0]
+    return knn_tables(df, key, features, k, block, max_pivots)[0]
 
 
-def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5,
-               block: int | None = None, axes: int = 2, key_rank: bool = False,
-               max_window: int = MAX_WINDOW):
+def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5, block: int = BLOCK,
+               max_pivots: int = MAX_PIVOTS, key_rank: bool = False, visits: int = VISITS):
     """(neighbours, points): the k-NN table and the written point table
-    (``_key``, features as double, per-axis ranks, and with ``key_rank`` the
-    1-based row number in key order as ``_krank``)."""
+    (``_key``, features as double, and with ``key_rank`` the 1-based row number in key
+    order as ``_krank``)."""
     features = list(features)
+    spark = df.sparkSession
     pts = cut_lineage(df.select(F.col(key).alias("_key"),
                                 *[F.col(f).cast("double").alias(f) for f in features]), "knn-points")
-    stats = pts.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.stddev_pop(F.col(f)).alias(f) for f in features],
-                    *[F.count(F.when(F.col(f).isNotNull() & ~F.isnan(f), 1)).alias(f"_c{i}") for i, f in enumerate(features)]).first()
-    n = int(stats["_n"])
-    empty = [f for i, f in enumerate(features) if stats[f"_c{i}"] < n]
+    stats = pts.agg(F.count(F.lit(1)).alias("n"), *[
+        F.count(F.when(F.col(f).isNotNull() & ~F.isnan(f), 1)).alias(f"c{i}") for i, f in enumerate(features)]).first()
+    n = int(stats["n"])
+    empty = [f for i, f in enumerate(features) if stats[f"c{i}"] < n]
     if empty:    # a distance to a missing value does not exist
         raise ValueError(f"NULL or NaN in features {empty}: drop or fill these rows first")
     key_type = df.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, neighbor_rank int, neighbor_key {key_type}, distance double"
-    spark = df.sparkSession
     if n == 0:
         return spark.createDataFrame([], schema), pts
-    spread = sorted(features, key=lambda f: -(stats[f] or 0.0))
-    axis_cols = [f for f in spread if (stats[f] or 0.0) > 0][:max(1, axes)] or spread[:1]
-    ranked = pts
-    for a, f in enumerate(axis_cols):
-        ranked = global_rank(ranked, [f, "_key"], f"_rk{a}", n=n)
-    if key_rank:
-        ranked = global_rank(ranked, ["_key"], "_krank", n=n)
-    ranked = cut_lineage(ranked, "knn-ranked")
-
-    # first block: at least 128 rows (measured at sf0.1: every row certified in
-    # round one, against 31 left open with sqrt(n) = 60), about sqrt(n) for
-    # larger tables, at most 256 (work per row stays bounded)
-    w = block or int(min(256, max(4 * k, 128, math.isqrt(n))))
-    pending = ranked
-    results = []
-    while True:
-        nblocks = (n + w - 1) // w
-        last_block = nblocks - 1
-        cands, gaps = [], []
-        for a, f in enumerate(axis_cols):
-            rk = F.col(f"_rk{a}")
-            q = pending.withColumn("_b", ((rk - 1) / w).cast("bigint")).alias("q")
-            p = (ranked.withColumn("_pb", ((rk - 1) / w).cast("bigint"))
-                 .withColumn("_b", F.explode(F.array(F.col("_pb") - 1, F.col("_pb"), F.col("_pb") + 1)))
-                 .filter((F.col("_b") >= 0) & (F.col("_b") <= last_block)).alias("p"))
-            cands.append(q.join(p, F.col("q._b") == F.col("p._b"))
-                         .filter(F.col("q._key") != F.col("p._key"))
-                         .select(F.col("q._key").alias("qk"), F.col("p._key").alias("pk"),
-                                 sq_distance("q", "p", features).alias("d2")))
-            # Ranks follow the axis value, so every row below the window (blocks
-            # < b-1) has a value <= the smallest of block b-1, and every row above
-            # (blocks > b+1) one >= the largest of block b+1.  The gaps need only
-            # these per-block extremes (n / W rows), not the candidate pairs.
-            ext = ranked.groupBy(((rk - 1) / w).cast("bigint").alias("_eb")).agg(
-                F.min(F.col(f)).alias("_lo"), F.max(F.col(f)).alias("_hi"))
-            gaps.append((f"_b{a}", ext.select((F.col("_eb") + 1).alias(f"_b{a}"), F.col("_lo").alias(f"_lo{a}")),
-                         ext.select((F.col("_eb") - 1).alias(f"_b{a}"), F.col("_hi").alias(f"_hi{a}"))))
-        # every axis' gap on the open rows in one chain of joins with the block
-        # extremes (n / W rows each), then a single join with the top-k
-        gq = pending.select("_key", *axis_cols, *[((F.col(f"_rk{a}") - 1) / w).cast("bigint").alias(f"_b{a}")
-                                                  for a in range(len(axis_cols))])
-        for bcol, below, above in gaps:
-            gq = gq.join(below, bcol, "left").join(above, bcol, "left")
-        gap_t = gq.select(F.col("_key").alias("qk"), *[
-            F.least(F.when(F.col(f"_b{a}") >= 2, F.col(f) - F.col(f"_lo{a}")),
-                    F.when(F.col(f"_b{a}") <= last_block - 2, F.col(f"_hi{a}") - F.col(f))).alias(f"_g{a}")
-            for a, f in enumerate(axis_cols)])
-        cand = cands[0]
-        for c in cands[1:]:
-            cand = cand.unionByName(c)
-        # the same pair found through several axes has the same (d2, pk): dense_rank
-        # gives copies one rank, so rank = position among distinct neighbours
-        top = _top_k(cand, k)
-        top = top.withColumn("_kth", F.max(F.when(F.col("_r") == k, F.col("d2"))).over(Window.partitionBy("qk")))
-        any_open, bound = None, None
-        for a in range(len(axis_cols)):
-            gc = F.col(f"_g{a}")
-            any_open = gc.isNull() if any_open is None else (any_open | gc.isNull())
-            bound = gc * gc if bound is None else bound + gc * gc
-        exact = any_open | (F.col("_kth").isNotNull() & (F.col("_kth") < bound))
-        pre = top.join(gap_t, "qk").select("qk", "pk", "_r", "d2", exact.alias("_exact"))
-        scored = cut_lineage(pre, "knn-round")
-        results.append(scored.filter("_exact").select(
-            F.col("qk").alias(key), F.col("_r").cast("int").alias("neighbor_rank"),
-            F.col("pk").alias("neighbor_key"), F.sqrt("d2").alias("distance")))
-        verdict = scored.select("qk", "_exact").distinct()
-        todo = verdict.filter(~F.col("_exact")).select(F.col("qk").alias("_key"))
-        if nblocks <= 1 or todo.isEmpty():
-            break
-        pending = ranked.join(todo, "_key", "left_semi")
-        w *= 8
-        if w > max_window:
-            # No bound certified these rows: compare them with every row, in
-            # (chunk of open rows) x (rank block of all rows) join keys, so no
-            # task holds more than about max_window^2 pairs.
-            results.append(_blocked_exhaustive(pending, ranked, key, features, k, n, todo.count(), max_window))
-            break
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out, ranked
-
-
-def _top_k(cand: DataFrame, k: int) -> DataFrame:
-    """(qk, pk, _r, d2): the k nearest distinct candidates of each query row."""
-    order = Window.partitionBy("qk").orderBy("d2", "pk")
-    return (cand.withColumn("_r", F.dense_rank().over(order)).filter(F.col("_r") <= k)
-            .dropDuplicates(["qk", "pk"]))
-
-
-def _blocked_exhaustive(pending: DataFrame, ranked: DataFrame, key: str, features: Sequence[str], k: int,
-                        n: int, n_open: int, size: int) -> DataFrame:
-    """Exact k-NN of the open rows against all rows, as a blocked comparison:
-    open rows are spread over ceil(n_open / size) chunks by key hash, all rows
-    over ceil(n / size) rank blocks, and each (chunk, block) join key meets
-    about size x size pairs.  The top-k runs partially before its shuffle."""
-    n_chunks = max(1, -(-n_open // size))
-    n_blocks = max(1, -(-n // size))
-    q = (pending.withColumn("_qc", F.pmod(F.xxhash64("_key"), F.lit(n_chunks)))
-         .withColumn("_pc", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).alias("q"))
-    p = (ranked.withColumn("_pc", ((F.col("_rk0") - 1) / size).cast("bigint"))
-         .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).alias("p"))
-    cand = (q.join(p, (F.col("q._qc") == F.col("p._qc")) & (F.col("q._pc") == F.col("p._pc")))
-            .filter(F.col("q._key") != F.col("p._key"))
-            .select(F.col("q._key").alias("qk"), F.col("p._key").alias("pk"),
-                    sq_distance("q", "p", features).alias("d2")))
-    top = cut_lineage(_top_k(cand, k), "knn-exhaustive")
-    return top.select(F.col("qk").alias(key), F.col("_r").cast("int").alias("neighbor_rank"),
-                      F.col("pk").alias("neighbor_key"), F.sqrt("d2").alias("distance"))
+    points = cut_lineage(global_rank(pts, ["_key"], "_krank", n=n), "knn-ranked") if key_rank else pts
+
+    vectors = pts.select("_key", F.array(*features).alias("v"))
+    # at most max_pivots rows, whatever the size of the table
+    chosen = vectors.orderBy(F.xxhash64("_key"), "_key").limit(max(1, min(max_pivots, n // ROWS_PER_PIVOT)))
+    pivots = np.array([r["v"] for r in chosen.collect()], dtype=np.float64).reshape(-1, len(features))
+    assigned = cut_lineage(_cells(_candidates(vectors, k, n), pivots, key_type), "knn-assigned")
+    cells = assigned.filter("candidate")
+    sizes = {r["cell"]: (r["n"], r["radius"]) for r in
+             cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
+    table = spark.createDataFrame([(c, -(-m // block)) for c, (m, _) in sizes.items()], "cell int, blocks int")
+    # one row for each cell: at most max_pivots
+    cells = cells.join(F.broadcast(table), "cell").withColumn("block", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int"))
+    cells = cut_lineage(cells.select("cell", "block", "_key", "v"), "knn-cells")
+
+    # k other rows equal a row that is no candidate
+    rest = assigned.filter("NOT candidate").select("_key", "v", F.lit(0.0).alias("tau"))
+    bounded = cut_lineage(_upper_bounds(cells, k, key_type).unionByName(rest), "knn-bounds")
+    asked = cut_lineage(_visits(bounded, pivots, sizes, key_type), "knn-visits")
+    load = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    parts = load.join(F.broadcast(table), "cell").select(
+        "cell", "blocks", F.ceil(F.col("m") / visits).cast("int").alias("parts"))
+    parts = cut_lineage(parts, "knn-parts")       # one row for each cell
+    ask = asked.join(F.broadcast(parts), "cell").withColumn(
+        "part", F.pmod(F.xxhash64("_key", F.lit(1)), F.col("parts")).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "part", "_key", "v", "tau")
+    have = cells.join(F.broadcast(parts), "cell").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "block", "part", "_key", "v")
+    found = _meet(ask, have, k, key_type)
+    order = Window.partitionBy("qk").orderBy("d2", "nk")
+    top = cut_lineage(found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k), "knn-neighbours")
+    return top.select(F.col("qk").alias(key), F.col("r").cast("int").alias("neighbor_rank"),
+                      F.col("nk").alias("neighbor_key"), F.sqrt("d2").alias("distance")), points
+
+
+def _candidates(vectors: DataFrame, k: int, n: int) -> DataFrame:
+    """(_key, v, candidate): is the row's key among the k + 1 smallest of the rows with its
+    features?  Ranked inside hash buckets first, so no task holds all equal rows."""
+    buckets = max(64, n // 1_000_000)
+    inside = Window.partitionBy("v", "b").orderBy("_key")
+    first = vectors.withColumn("b", F.pmod(F.xxhash64("_key"), F.lit(buckets))).withColumn(
+        "r", F.row_number().over(inside))
+    few = first.filter(F.col("r") <= k + 1).withColumn("all", F.row_number().over(Window.partitionBy("v").orderBy("_key")))
+    many = first.filter(F.col("r") > k + 1)
+    return few.select("_key", "v", (F.col("all") <= k + 1).alias("candidate")).unionByName(
+        many.select("_key", "v", F.lit(False).alias("candidate")))
+
+
+def _cells(vectors: DataFrame, pivots: np.ndarray, key_type: str) -> DataFrame:
+    """(cell, away, _key, v, candidate): each row's nearest pivot and its distance."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+            for at in range(0, len(v), 4096):
+                some = v[at:at + 4096]
+                d2 = np.zeros((len(some), len(pivots)))
+                for f in range(v.shape[1]):
+                    d = some[:, f, None] - pivots[None, :, f]
+                    d2 += d * d
+                cell = d2.argmin(axis=1)
+                rows = part.slice(at, len(some))
+                yield pa.record_batch([pa.array(cell, pa.int32()), pa.array(np.sqrt(d2[np.arange(len(some)), cell])),
+                                       *rows.columns], names=["cell", "away", "_key", "v", "candidate"])
+    return vectors.mapInArrow(run, f"cell int, away double, _key {key_type}, v array<double>, candidate boolean")
+
+
+def _upper_bounds(cells: DataFrame, k: int, key_type: str) -> DataFrame:
+    """(_key, v, tau): the k-th smallest squared distance inside the row's own block."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(rows["v"].to_numpy())
+        tau = np.full(len(v), np.inf)
+        if len(v) > k:
+            for at in range(0, len(v), 256):
+                d2 = np.zeros((len(v[at:at + 256]), len(v)))
+                for f in range(v.shape[1]):
+                    d = v[at:at + 256, f, None] - v[None, :, f]
+                    d2 += d * d
+                d2[np.arange(len(d2)), at + np.arange(len(d2))] = np.inf
+                tau[at:at + 256] = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        return pd.DataFrame({"_key": rows["_key"], "v": rows["v"], "tau": tau})
+    return cells.groupBy("cell", "block").applyInPandas(run, f"_key {key_type}, v array<double>, tau double")
+
+
+def _visits(bounded: DataFrame, pivots: np.ndarray, sizes: dict[int, tuple[int, float]], key_type: str) -> DataFrame:
+    """(cell, _key, v, tau): the cells that may hold a neighbour of the row."""
+    cells = np.array(sorted(sizes), dtype=np.int64)
+    radius = np.array([sizes[c][1] for c in cells.tolist()])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+            tau = part.column(2).to_numpy()
+            for at in range(0, len(v), 1024):
+                some = v[at:at + 1024]
+                d2 = np.zeros((len(some), len(cells)))
+                for f in range(v.shape[1]):
+                    d = some[:, f, None] - pivots[None, cells, f]
+                    d2 += d * d
+                near = np.sqrt(d2) - radius[None, :]
+                # a little slack for rounding: it only adds visits
+                row, cell = np.nonzero(near <= np.sqrt(tau[at:at + 1024])[:, None] * (1 + 1e-9) + 1e-9 * (1 + radius))
+                rows = part.slice(at, len(some)).take(pa.array(row))
+                yield pa.record_batch([pa.array(cells[cell], pa.int32()), *rows.columns], names=["cell", "_key", "v", "tau"])
+    return bounded.mapInArrow(run, f"cell int, _key {key_type}, v array<double>, tau double")
+
+
+def _meet(ask: DataFrame, have: DataFrame, k: int, key_type: str) -> DataFrame:
+    """(qk, nk, d2): of each block that a row visits its best k rows, if near enough."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"qk": [], "nk": [], "d2": []}
+        if len(left) and len(right):
+            right = right.sort_values("_key", kind="stable")      # ties by key
+            a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+            qk, nk, tau = left["_key"].to_numpy(), right["_key"].to_numpy(), left["tau"].to_numpy()
+            step = max(1, 500_000 // len(b))
+            for at in range(0, len(a), step):
+                d2 = np.zeros((len(a[at:at + step]), len(b)))
+                for f in range(a.shape[1]):
+                    d = a[at:at + step, f, None] - b[None, :, f]
+                    d2 += d * d
+                d2[qk[at:at + step, None] == nk[None, :]] = np.inf
+                best = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                dist = np.take_along_axis(d2, best, axis=1)
+                i, j = np.nonzero((dist <= tau[at:at + step, None]) & np.isfinite(dist))
+                out["qk"].append(qk[at + i])
+                out["nk"].append(nk[best[i, j]])
+                out["d2"].append(dist[i, j])
+        return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in out.items()})
+    by = ["cell", "block", "part"]
+    return ask.groupBy(*by).cogroup(have.groupBy(*by)).applyInPandas(run, f"qk {key_type}, nk {key_type}, d2 double")

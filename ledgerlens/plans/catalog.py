@@ -705,6 +705,14 @@ def q_knn_embeddings(spark, d):
     return round_doubles(knn.knn_within(m, "vec_id", _EMB, 5))
 
 
+@query("knn_embeddings_all", with_(_EMB_SQL, f"""
+SELECT vec_id, neighbor_rank, neighbor_key, round(distance, 6) AS distance
+FROM ({_knn_sql('emb', 'vec_id', _EMB, 5)})"""))
+def q_knn_embeddings_all(spark, d):
+    # the whole table; within each label it is knn_embeddings
+    return round_doubles(knn.knn_within(_embeddings_wide(spark, d), "vec_id", _EMB, 5))
+
+
 def _oversample_sql(src: str, key: str, label: str, cols: str, seed: int = 88) -> str:
     u = f"CAST(('0x' || substr(md5(concat('{seed}', '|', 'r', '|', CAST({key} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0"
     return f"""

@@ -197,10 +197,11 @@ def _brute_knn(pts, k):
     return out
 
 
-@pytest.mark.parametrize("max_window", [knn.MAX_WINDOW, 8])  # 8: open rows take the blocked exhaustive round
-def test_knn_exact_vs_brute_force(spark, feat, max_window):
+@pytest.mark.parametrize("block", [knn.BLOCK, 8])
+def test_knn_exact_vs_brute_force(spark, feat, block, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS_PER_PIVOT", 5)
     m = feat.filter(F.col(S.LABEL) == 1)
-    got = knn.knn_within(m, "event_id", S.FEATURES, 5, block=4, max_window=max_window).toPandas()
+    got = knn.knn_within(m, "event_id", S.FEATURES, 5, block=block).toPandas()
     pts = {r["event_id"]: [float(r[f]) for f in S.FEATURES] for r in m.collect()}
     want = _brute_knn(pts, 5)
     for key, grp in got.groupby("event_id"):
@@ -208,25 +209,56 @@ def test_knn_exact_vs_brute_force(spark, feat, max_window):
     assert set(got["event_id"]) == set(pts)
 
 
-def test_knn_high_dimension_blocked(spark):
-    # 24-d noise: two axes certify almost nothing, so rows reach the blocked round
+def test_knn_high_dimension(spark, monkeypatch):
+    # 24-d noise: hardly a cell can be left out
+    monkeypatch.setattr(knn, "ROWS_PER_PIVOT", 10)
     rng = np.random.default_rng(4)
     xs = rng.normal(size=(150, 24)).round(3)
     cols = [f"x{i}" for i in range(24)]
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xs)],
                                "k int, " + ", ".join(f"{c} double" for c in cols))
-    got = knn.knn_within(df, "k", cols, 3, block=4, max_window=16).toPandas()
+    got = knn.knn_tables(df, "k", cols, 3, block=4, visits=30)[0].toPandas()
     want = _brute_knn({i: list(map(float, r)) for i, r in enumerate(xs)}, 3)
     for key, grp in got.groupby("k"):
         assert grp.sort_values("neighbor_rank")["neighbor_key"].tolist() == want[key]
     assert len(got) == 150 * 3
 
 
+def test_knn_prunes_clusters(spark, monkeypatch):
+    """64-d clusters: rows visit few of the cells, so few of all pairs are compared."""
+    monkeypatch.setattr(knn, "ROWS_PER_PIVOT", 20)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 64)) * 50
+    xs = np.concatenate([c + rng.normal(size=(30, 64)) for c in centres]).round(4)
+    cols = [f"x{i}" for i in range(64)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xs)],
+                               "k int, " + ", ".join(f"{c} double" for c in cols))
+    seen = []
+    visits = knn._visits
+    monkeypatch.setattr(knn, "_visits", lambda *a: seen.append(visits(*a)) or seen[-1])
+    got = knn.knn_within(df, "k", cols, 3).toPandas()
+    want = _brute_knn({i: list(map(float, r)) for i, r in enumerate(xs)}, 3)
+    for key, grp in got.groupby("k"):
+        assert grp.sort_values("neighbor_rank")["neighbor_key"].tolist() == want[key]
+    assert len(got) == 600 * 3
+    cells = seen[0].select("cell").distinct().count()
+    assert seen[0].count() < 600 * cells / 3
+
+
+def test_knn_refuses_missing_features(spark):
+    for bad in (None, float("nan")):
+        df = spark.createDataFrame([(1, 1.0), (2, bad), (3, 2.0)], "k int, x double")
+        with pytest.raises(ValueError, match="NULL or NaN"):
+            knn.knn_within(df, "k", ["x"], 1)
+
+
 def test_knn_hot_duplicates(spark):
     # a third of the points are identical: no all-pairs blow-up, exact answer
     rows = [(i, 0.0, 0.0) if i % 3 == 0 else (i, float(i), float(i % 13)) for i in range(240)]
     df = spark.createDataFrame(rows, "id long, x double, y double")
     got = knn.knn_within(df, "id", ["x", "y"], 3, block=8).toPandas()
+    cand = knn._candidates(df.select(F.col("id").alias("_key"), F.array("x", "y").alias("v")), 3, 240)
+    assert cand.filter("candidate").count() == 160 + 4       # of the 80 equal rows only four
     want = _brute_knn({i: [x, y] for i, x, y in rows}, 3)
     for key, grp in got.groupby("id"):
         assert grp.sort_values("neighbor_rank")["neighbor_key"].tolist() == want[key]

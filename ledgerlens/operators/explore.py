@@ -154,19 +154,20 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     b = F.broadcast(spark.createDataFrame(brackets, "column_name string, k int, lo double, hi double"))
     near = _stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value")).join(b, "column_name")
     x = F.col("value")
-    # counts of the values inside, one for all rows below, and the first value beyond
+    # counts of the values inside, one for all rows on either side, and the values next to them
     side = F.when(x < F.col("lo"), -1).when(x > F.col("hi"), 1).otherwise(0)
     near = near.withColumn("side", side).withColumn("inside", F.when(F.col("side") == 0, x).otherwise(0.0))
     counts = cut_lineage(near.groupBy("column_name", "k", "side", "inside").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("value").alias("least")), "quantile-brackets")
+        F.count(F.lit(1)).alias("cnt"), F.min("value").alias("least"), F.max("value").alias("most")), "quantile-brackets")
     cum = running_sums(counts, ["side", "inside"], ["cnt"], partition_cols=["column_name", "k"])
     at = F.broadcast(spark.createDataFrame(wanted, "column_name string, k int, p double, frac double, j bigint, j2 bigint"))
     hit = cum.join(at, ["column_name", "k"])
 
     def pick(index: str):
         start = F.col("cum_cnt") - F.col("cnt")
-        value = F.when((F.col("side") == 0) | ((F.col("side") == 1) & (start == F.col(index))), F.col("least")).otherwise(
-            F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+        value = (F.when((F.col("side") == 0) | ((F.col("side") == 1) & (start == F.col(index))), F.col("least"))
+                 .when((F.col("side") == -1) & (F.col("cum_cnt") - 1 == F.col(index)), F.col("most"))
+                 .otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")))
         return F.max(F.when((start <= F.col(index)) & (F.col(index) < F.col("cum_cnt")), value))
 
     got = hit.groupBy("column_name", "p", "frac").agg(pick("j").alias("v1"), pick("j2").alias("v2"))

@@ -165,11 +165,11 @@ def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None, categori
         rows.filter(F.col("n_distinct") == 1).select("column_name", F.lit("CONSTANT").alias("alert"),
                                                      F.lit(1.0).alias("value")),
         rows.filter(F.col("n_missing") > 0).select("column_name", F.lit("MISSING").alias("alert"),
-                                                   (F.col("n_missing") / total).alias("value")),
+                                                   F.try_divide(F.col("n_missing"), total).alias("value")),
         rows.filter(F.abs("skewness") > skew_threshold).select("column_name", F.lit("SKEWED").alias("alert"),
                                                                F.col("skewness").alias("value")),
-        rows.filter(F.col("n_zeros") / F.col("n") > zeros_threshold).select(
-            "column_name", F.lit("ZEROS").alias("alert"), (F.col("n_zeros") / F.col("n")).alias("value")),
+        rows.filter(F.try_divide("n_zeros", "n") > zeros_threshold).select(
+            "column_name", F.lit("ZEROS").alias("alert"), F.try_divide("n_zeros", "n").alias("value")),
     ]
     if cat is not None:
         c = cat.select("column_name", "n", "n_missing", "n_distinct")
@@ -178,11 +178,11 @@ def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None, categori
             c.filter(F.col("n_distinct") == 1).select("column_name", F.lit("CONSTANT").alias("alert"),
                                                       F.lit(1.0).alias("value")),
             c.filter(F.col("n_missing") > 0).select("column_name", F.lit("MISSING").alias("alert"),
-                                                    (F.col("n_missing") / tot).alias("value")),
+                                                    F.try_divide(F.col("n_missing"), tot).alias("value")),
         ]
         top = top_values(df, cats, k=1, values=values).join(c.select("column_name", "n"), "column_name")
-        alerts.append(top.filter(F.col("count") / F.col("n") > imbalance_threshold).select(
-            "column_name", F.lit("IMBALANCE").alias("alert"), (F.col("count") / F.col("n")).alias("value")))
+        alerts.append(top.filter(F.try_divide("count", "n") > imbalance_threshold).select(
+            "column_name", F.lit("IMBALANCE").alias("alert"), F.try_divide("count", "n").alias("value")))
     dup = clean.duplicate_count(df).filter(F.col("n_duplicates") > 0).select(
         F.lit("(table)").alias("column_name"), F.lit("DUPLICATES").alias("alert"),
         F.col("n_duplicates").cast("double").alias("value"))

@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = ("doc_id bigint, text string, source string, lang string, n_chars bigint, row string, h string, key string, "
           "size bigint, bits string, `count` int, hit boolean, copy string, sid string, `a.b` string, scores string")
@@ -43,6 +45,17 @@ def odd_docs():
     return rows
 
 
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls, empties, very long texts, ties, repeated rows, columns that clash with helpers."""
+    return spark.createDataFrame(odd_docs(), SCHEMA).repartition(4)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
 def components(ids, links):
     above = {i: i for i in ids}
 

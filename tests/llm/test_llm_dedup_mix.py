@@ -1,6 +1,6 @@
 from collections import Counter, defaultdict
 
-from odd_rows import SCHEMA, collapsed, mix_rows, odd_docs, sha, words
+from odd_rows import SCHEMA, collapsed, mix_rows, none, odd, odd_docs, sha, words  # noqa: F401
 
 from ledgerlens.llm import dedup, mix
 

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from odd_rows import components as plain_components
-from odd_rows import near_groups, odd_docs, shingles, substring_rows
+from odd_rows import near_groups, none, odd, odd_docs, shingles, substring_rows  # noqa: F401
 
 from ledgerlens.llm import graph, ngram_join, substrings
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from odd_rows import odd_docs, words
+from odd_rows import none, odd, odd_docs, words  # noqa: F401
 
 from ledgerlens.llm import pieces, quality, secret_scan, tokens
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _SCOPES: list[list[str]] = []
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
@@ -47,14 +48,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a scratch one only where that is
     unset and the master is local (driver and executors are one process)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError(
-                f"spark.checkpoint.dir is unset on master {master!r}: set it to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(
+            f"spark.checkpoint.dir is unset on master {master!r}: set it to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:      # the setting itself cannot change in a running application
+        _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -3,8 +3,8 @@
 A text is a lattice of the model's pieces.  A forward Viterbi pass gives the best score
 of every prefix; those scores are exact heuristics for a backward A* search, which
 therefore completes segmentations in the order of their scores and expands little more
-than the N best paths.  Edges into a position are looked up when it is expanded, so a
-lattice needs one number for each character.
+than the N best paths.  The edges of very long lattices are not kept but looked up again,
+so that these need one number for each character.
 
 No piece crosses from a non-space to a space, nor from letters to most marks (in general,
 between characters that no chain of pieces joins), so the lattice falls apart there into
@@ -46,11 +46,24 @@ N_BEST = 2
 TABLE_SIZE = 500_000
 BATCH_CHARS = 1 << 20
 UNKNOWN_LOSS = 10.0
+EDGES_KEPT = 10_000
 _NEVER = -math.inf
 
 Paths = list[tuple[float, bytes]]   # (score, ids as packed int32), best first
 
 
+def _trie(pieces: dict[str, float]) -> dict:
+    """{character: (score of the piece that ends here or None, the same for what follows)}"""
+    root: dict = {}
+    for piece in sorted(pieces):        # a prefix comes before what it begins
+        level = root
+        for c in piece[:-1]:
+            level = level.setdefault(c, (None, {}))[1]
+        kids = level[piece[-1]][1] if piece[-1] in level else {}
+        level[piece[-1]] = (pieces[piece], kids)
+    return root
+
+
 def _chunk_pattern(pieces: Iterable[str]) -> str:
     """Spaces, then a run of characters that pieces may join.  Characters that occur in one
     piece belong together, and so on; no piece holds characters of two such groups."""
@@ -77,6 +90,16 @@ def _chunk_pattern(pieces: Iterable[str]) -> str:
     return "(?s:" + "|".join([*runs, " *[^ ]", " +"]) + ")"
 
 
+_UNKNOWN: tuple = (None, None)
+
+
+class _Nothing:
+    """Takes edges that are not kept."""
+
+    def append(self, edge: tuple[int, float]) -> None:
+        pass
+
+
 class Lattice:
     """Pieces of one model and the search over them."""
 
@@ -96,11 +119,7 @@ class Lattice:
         self.pieces: dict[str, float] = {text[i]: s for i, s in score.items()}
         self.ids: dict[str, bytes] = {text[i]: i.to_bytes(4, "little") for i in plain}
         self.longest = max(map(len, self.pieces))
-        # every prefix and suffix of a piece, with the piece's score or None
-        self.prefixes: dict[str, float | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
-        self.prefixes.update(self.pieces)
-        self.suffixes: dict[str, float | None] = {p[k:]: None for p in self.pieces for k in range(1, len(p))}
-        self.suffixes.update(self.pieces)
+        self.trie = _trie(self.pieces)
         byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         if len(byte_ids) != 256:
             raise ValueError("the model has no byte fallback")
@@ -116,38 +135,49 @@ class Lattice:
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.buffer = np.frombuffer(b"".join(out), dtype=np.uint8)
 
-    def forward(self, s: str) -> Sequence[float]:
-        """Best score of each prefix."""
-        n, get, longest = len(s), self.prefixes.get, self.longest
-        best = [_NEVER] * (n + 1) if n <= 1000 else array("d", [_NEVER]) * (n + 1)
+    def forward(self, s: str) -> tuple[Sequence[float], list[list[tuple[int, float]]] | None]:
+        """Best score of each prefix, and the edges (from, score) into each position; of
+        texts beyond EDGES_KEPT characters the edges are not kept."""
+        n, trie, longest, unknown = len(s), self.trie, self.longest, self.unknown
+        keep = n <= EDGES_KEPT
+        best = [_NEVER] * (n + 1) if keep else array("d", [_NEVER]) * (n + 1)
+        into = [[] for _ in range(n + 1)] if keep else [_Nothing()] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            b = best[i]
-            score = get(s[i], False)
-            if not score:           # in no piece, or only as the start of one
-                if b + self.unknown > best[i + 1]:
-                    best[i + 1] = b + self.unknown
-                if score is False:
-                    continue
-            elif b + score > best[i + 1]:
-                best[i + 1] = b + score
-            for j in range(i + 2, min(n, i + longest) + 1):
-                score = get(s[i:j], False)
-                if score:
-                    if b + score > best[j]:
-                        best[j] = b + score
-                elif score is False:
-                    break
-        return best
+            b, j = best[i], i + 1
+            score, level = trie.get(s[i], _UNKNOWN)
+            if score is None:               # the character itself is no piece
+                score = unknown
+            if b + score > best[j]:
+                best[j] = b + score
+            into[j].append((i, score))
+            if level:
+                for c in s[j:i + longest]:
+                    node = level.get(c)
+                    if node is None:
+                        break
+                    score, level = node
+                    j += 1
+                    if score is not None:
+                        if b + score > best[j]:
+                            best[j] = b + score
+                        into[j].append((i, score))
+        return best, into if keep else None
+
+    def edges_into(self, s: str, i: int) -> list[tuple[int, float]]:
+        """The edges into one position, looked up."""
+        found = [(j, self.pieces[s[j:i]]) for j in range(max(0, i - self.longest), i) if s[j:i] in self.pieces]
+        return found if found and found[-1][0] == i - 1 else [*found, (i - 1, self.unknown)]
 
     def search(self, s: str, n_best: int) -> Paths:
         """The ``n_best`` best segmentations of ``s``.  Every open path ends in at least one
         segmentation with exactly its estimate, so no more open paths are kept than
         segmentations are still wanted."""
-        best, get, longest = self.forward(s), self.suffixes.get, self.longest
+        best, into = self.forward(s)
         # (-(score so far + best of the rest), order, position, score so far, (piece, what follows))
         queue: list[tuple] = [(-best[len(s)], 0, len(s), 0.0, None)]
         order, out = 0, []
+        wanted = n_best
         while queue:
             _, _, i, so_far, path = queue.pop(0)
             if not i:
@@ -156,28 +186,19 @@ class Lattice:
                     piece, path = path
                     ids.append(self.ids.get(piece) or b"".join([self.bytes[b] for b in piece.encode()]))
                 out.append((so_far, b"".join(ids)))
-                del queue[n_best - len(out):]
+                wanted -= 1
+                del queue[wanted:]
                 continue
-            wanted = n_best - len(out)
-            for j in range(i - 1, max(-1, i - longest - 1), -1):
-                piece = s[j:i]
-                score = get(piece, False)
-                if not score:
-                    if j == i - 1:
-                        cost = so_far + self.unknown
-                    elif score is None:
-                        continue
-                    else:
-                        break
-                else:
-                    cost = so_far + score
+            worst = queue[-1][0] if len(queue) >= wanted else math.inf
+            for j, score in into[i] if into is not None else self.edges_into(s, i):
+                cost = so_far + score
                 f = -(cost + best[j])
-                if len(queue) < wanted or f < queue[-1][0]:
+                if f < worst:
                     order += 1
-                    insort(queue, (f, order, j, cost, (piece, path)))
-                    del queue[wanted:]
-                if j == i - 1 and score is False:
-                    break
+                    insort(queue, (f, order, j, cost, (s[j:i], path)))
+                    if len(queue) >= wanted:
+                        del queue[wanted:]
+                        worst = queue[-1][0]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -197,7 +218,11 @@ def combine(chunks: Sequence[Chunk], n_best: int) -> list[tuple[float, dict[int,
     """N best texts from the N best of each chunk: (loss, {chunk: its choice})."""
     losses = [c[2] for c in chunks]
     out: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-    for k in heapq.nsmallest(n_best - 1, range(len(chunks)), key=losses.__getitem__):
+    if n_best == 2:      # the same, found faster
+        least = [losses.index(min(losses))]
+    else:
+        least = heapq.nsmallest(n_best - 1, range(len(chunks)), key=losses.__getitem__)
+    for k in least:
         paths = chunks[k][3]
         more = [(loss + paths[0][0] - p[0], {**choice, k: i} if i else choice)
                 for loss, choice in out for i, p in enumerate(paths)]
@@ -205,29 +230,33 @@ def combine(chunks: Sequence[Chunk], n_best: int) -> list[tuple[float, dict[int,
     return out
 
 
+class Table(dict):
+    """Chunks that were searched; a missing one is searched when it is asked for."""
+
+    def __init__(self, lattice: Lattice, n_best: int):
+        super().__init__()
+        self.lattice, self.n_best = lattice, n_best
+
+    def __missing__(self, chunk: str) -> Chunk:
+        paths = self.lattice.search(chunk, self.n_best)
+        found = (*paths[0], paths[0][0] - paths[1][0] if len(paths) > 1 else math.inf, paths)
+        if len(chunk) <= 64:      # longer ones hardly come again
+            self[chunk] = found
+        return found
+
+
 class Encoder:
     def __init__(self, path: str, n_best: int = N_BEST, table_size: int = TABLE_SIZE):
         self.lattice, self.n_best, self.table_size = Lattice(path), n_best, table_size
-        self.table: dict[str, Chunk] = {}
+        self.table = Table(self.lattice, n_best)
 
     def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
         """(score, ids) of the N best segmentations, best first."""
         if not text:
             return [(0.0, np.zeros(0, dtype=np.int32))]
-        table = self.table
-        if len(table) > self.table_size:
-            table.clear()
-        cut = self.lattice.chunks.findall(" " + text)
-        rare = []
-        for c in set(cut):
-            if c not in table:
-                paths = self.lattice.search(c, self.n_best)
-                table[c] = (*paths[0], paths[0][0] - paths[1][0] if len(paths) > 1 else math.inf, paths)
-                if len(c) > 64:      # hardly comes again
-                    rare.append(c)
-        chunks = [table[c] for c in cut]
-        for c in rare:
-            del table[c]
+        if len(self.table) > self.table_size:
+            self.table.clear()
+        chunks = list(map(self.table.__getitem__, self.lattice.chunks.findall(" " + text)))
         ids = [c[1] for c in chunks]
         score = math.fsum([c[0] for c in chunks])
         out = []

@@ -7,14 +7,14 @@ whose word sequence also starts in a document with a smaller id.
    id of its group, and only that one goes on.
 2. Only suffixes that share their first ``n`` words with a suffix of another document can
    end below a deep internal node.  Every window is represented by its anchor, the smallest
-   hash of the 5-word runs in it; equal windows have equal anchors, and neighbouring windows
+   hash of the 7-word runs in it; equal windows have equal anchors, and neighbouring windows
    mostly share theirs.  Anchors found in one document only are counted out.  Those found in
    two or more are marked in a bitmap of fixed size, which may be sent to every task.
 3. Suffixes with a marked anchor are split into groups by prefixes of variable length: by
    the first word, where that is too many by the first four, else by all ``n``; no group
    holds more than a thousandth of the suffixes (or GROUP_ROWS).  A prefix of ``n`` words
-   that still does is a single node; such nodes number fewer than 1,000, and their smallest
-   document id is found by an aggregate instead.
+   that still does is a single node; such nodes number fewer than 1,000, their smallest
+   document ids are found by an aggregate, and their suffixes stay where they are.
 4. A task builds the subtree of each of its groups from the sorted suffixes, one run of equal
    ``n``-word paths after another.  A run is an internal node of depth ``n`` or more; its
    leaves in documents after the first are repeats.
@@ -42,9 +42,10 @@ from .dedup import dedup_decisions, text_hash
 from .words import hash_runs, hash_runs_at, hashed_texts, runs_within, word_hashes
 
 WINDOW = 13
-ANCHOR_WORDS = 5
+ANCHOR_WORDS = 7
 ANCHOR_BITS = 1 << 27     # 16 MB at any input size
 GROUP_ROWS = 1000
+PREFIXES = (1 << 12, 1 << 16, 1 << 20)    # groups of prefixes of one word, four and n
 
 
 def window_anchors(h: np.ndarray, first: np.ndarray, n: int = WINDOW, k: int = ANCHOR_WORDS
@@ -145,29 +146,55 @@ def _subtrees(groups: DataFrame) -> DataFrame:
     return map_arrow(ordered, run, "doc_id bigint, start int, path bigint")
 
 
+def _below_nodes(rows: DataFrame, nodes: list[tuple[int, int]]) -> DataFrame:
+    """The rows of (doc_id, start, path) below one of the given nodes (path, smallest id)
+    whose document is not the node's first.  The nodes number fewer than 1,000."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("path", pa.int64())])
+    paths, least = (np.array(x, dtype=np.int64) for x in zip(*sorted(nodes), strict=True))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            doc, start, path = (part.column(i).to_numpy() for i in range(3))
+            at = np.minimum(np.searchsorted(paths, path), len(paths) - 1)
+            later = (paths[at] == path) & (doc > least[at])
+            yield pa.record_batch([doc[later], start[later], path[later]], schema=schema)
+
+    return map_arrow(rows.select("doc_id", "start", "path"), run, "doc_id bigint, start int, path bigint")
+
+
 def _repeats(suffixes: DataFrame, group_rows: int) -> DataFrame:
     """(doc_id, start, path) of the suffixes below a deep node whose first document is another."""
     total = suffixes.count()
-    limit = max(group_rows, total // 1000)      # fewer than 1,000 prefixes of one length hold more
-
-    def heavy(rows: DataFrame, key: str) -> DataFrame:
-        return cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-                           .filter(F.col("n") > limit), f"substring-{key}")
-
-    def member(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
-        return rows.join(F.broadcast(keys.select(key)), key, how)    # fewer than 1,000 keys
-
-    h1 = heavy(suffixes, "w1")
-    r1, more = member(suffixes, h1, "w1", "left_anti"), member(suffixes, h1, "w1", "left_semi")
-    h4 = heavy(more, "w4")
-    r4, most = member(more, h4, "w4", "left_anti"), member(more, h4, "w4", "left_semi")
-    hn = heavy(most, "path")
-    rn = member(most, hn, "path", "left_anti")
-    single = (most.join(F.broadcast(hn.select("path", "least")), "path")
-              .filter(F.col("doc_id") > F.col("least")).select("doc_id", "start", "path"))
-    grouped = [r.select(F.xxhash64(F.lit(k), F.col(k)).alias("prefix"), "path", "doc_id", "start")
-               for r, k in ((r1, "w1"), (r4, "w4"), (rn, "path"))]
-    return _subtrees(grouped[0].unionByName(grouped[1]).unionByName(grouped[2])).unionByName(single)
+    limit = max(group_rows, total // 1000)      # fewer than 1,000 groups of one length hold more
+    # groups of prefixes: few enough that counting them moves next to nothing
+    rows = suffixes.select(
+        "doc_id", "start", "path", F.col("w1").bitwiseAND(F.lit(PREFIXES[0] - 1)).alias("p1"),
+        (F.col("w4").bitwiseAND(F.lit(PREFIXES[1] - 1)) + PREFIXES[0]).alias("p4"),
+        (F.col("path").bitwiseAND(F.lit(PREFIXES[2] - 1)).cast("int") + PREFIXES[0] + PREFIXES[1]).alias("pn"))
+
+    def too_large(part: DataFrame, key: str) -> DataFrame:
+        return F.broadcast(cut_lineage(part.groupBy(key).count().filter(F.col("count") > limit).select(key),
+                                       f"substring-{key}"))
+
+    grouped = []
+    for key in ("p1", "p4", "pn"):
+        large = too_large(rows, key)
+        grouped.append(rows.join(large, key, "left_anti").select(F.col(key).alias("prefix"), "path", "doc_id", "start"))
+        rows = rows.join(large, key, "left_semi")
+    # what is left shares all n words with more than limit suffixes, or its group with such
+    nodes = [(r["path"], r["least"]) for r in rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter(F.col("n") > limit).collect()]
+    out = grouped
+    if nodes:
+        known = F.broadcast(rows.sparkSession.createDataFrame([(p,) for p, _ in nodes], "path bigint"))
+        out = [*grouped, rows.join(known, "path", "left_anti").select(F.col("pn").alias("prefix"), "path", "doc_id", "start")]
+    else:
+        out = [*grouped, rows.select(F.col("pn").alias("prefix"), "path", "doc_id", "start")]
+    everything = out[0]
+    for part in out[1:]:
+        everything = everything.unionByName(part)
+    found = _subtrees(everything)
+    return found.unionByName(_below_nodes(rows, nodes)) if nodes else found
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),

@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -63,12 +63,12 @@ def find_words(texts: Sequence[bytes]) -> Words:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 4 << 20)
+        size = max(n, 2 * BATCH_BYTES + 2)
         with np.errstate(over="ignore"):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
             have = np.multiply.accumulate(steps)
-        if size <= 8 << 20:  # larger ones are for a single text and not kept
+        if size <= 4 * BATCH_BYTES:  # larger ones are for a single text and not kept
             _powers[base] = have
     return have[:n]
 

@@ -14,11 +14,13 @@ whose word sequence also starts in a document with a smaller id.
    the first word, where that is too many by the first four, else by all ``n``; no group
    holds more than a thousandth of the suffixes (or GROUP_ROWS).  A prefix of ``n`` words
    that still does is a single node; such nodes number fewer than 1,000, their smallest
-   document ids are found by an aggregate, and their suffixes stay where they are.
+   document ids are found by an aggregate, and their suffixes are spread by document.
 4. A task builds the subtree of each of its groups from the sorted suffixes, one run of equal
    ``n``-word paths after another.  A run is an internal node of depth ``n`` or more; its
    leaves in documents after the first are repeats.
 5. Each document joins its repeated windows into maximal passages and drops their words.
+   In a large corpus most documents share some window, so all texts meet their repeats by
+   one join on the id.
 
 Paths are compared by 64-bit hashes of the word runs.
 
@@ -48,6 +50,11 @@ GROUP_ROWS = 1000
 PREFIXES = (1 << 12, 1 << 16, 1 << 20)    # groups of prefixes of one word, four and n
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """The low 32 bits."""
+    return x.astype(np.uint64).astype(np.uint32).view(np.int32)
+
+
 def window_anchors(h: np.ndarray, first: np.ndarray, n: int = WINDOW, k: int = ANCHOR_WORDS
                    ) -> tuple[np.ndarray, np.ndarray]:
     """(window starts, their anchors) for all texts at once."""
@@ -111,10 +118,9 @@ def _suspect_suffixes(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 if not len(at):
                     continue
                 text = np.searchsorted(first, at, side="right") - 1
-                short = lambda x: x.astype(np.uint32).view(np.int32)
                 yield pa.record_batch([
-                    ids[begin + text].astype(np.int64), (at - first[text]).astype(np.int32), short(h[at]),
-                    short(hash_runs_at(h, at, min(4, n))), hash_runs_at(h, at, n).view(np.int64)], schema=schema)
+                    ids[begin + text].astype(np.int64), (at - first[text]).astype(np.int32), _short(h[at]),
+                    _short(hash_runs_at(h, at, min(4, n))), hash_runs_at(h, at, n).view(np.int64)], schema=schema)
 
     narrow = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", field("text").cast("binary").alias("text"))
     return cut_lineage(map_arrow(narrow, run, "doc_id bigint, start int, w1 int, w4 int, path bigint"),
@@ -123,8 +129,9 @@ def _suspect_suffixes(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
 def _subtrees(groups: DataFrame) -> DataFrame:
     """Repeats of the suffixes that share a prefix group: ``groups`` has (prefix, path,
-    doc_id, start).  Runs are followed across batches with one node in memory."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("path", pa.int64())])
+    doc_id, start, least); least is the node's smallest id where it is known beforehand.
+    Runs are followed across batches with one node in memory."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("path", pa.int32())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, smallest = None, 0
@@ -139,31 +146,17 @@ def _subtrees(groups: DataFrame) -> DataFrame:
             if node == (prefix[0], path[0]):
                 least[head == 0] = smallest
             node, smallest = (prefix[-1], path[-1]), least[-1]
-            later = doc > least
-            yield pa.record_batch([doc[later], start[later], path[later]], schema=schema)
+            known = part.column(4).is_valid().to_numpy(zero_copy_only=False)
+            later = doc > np.where(known, part.column(4).fill_null(0).to_numpy(), least)
+            yield pa.record_batch([doc[later], start[later], _short(path[later])], schema=schema)
 
     ordered = groups.repartition("prefix").sortWithinPartitions("prefix", "path", "doc_id")
-    return map_arrow(ordered, run, "doc_id bigint, start int, path bigint")
-
-
-def _below_nodes(rows: DataFrame, nodes: list[tuple[int, int]]) -> DataFrame:
-    """The rows of (doc_id, start, path) below one of the given nodes (path, smallest id)
-    whose document is not the node's first.  The nodes number fewer than 1,000."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("path", pa.int64())])
-    paths, least = (np.array(x, dtype=np.int64) for x in zip(*sorted(nodes), strict=True))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            doc, start, path = (part.column(i).to_numpy() for i in range(3))
-            at = np.minimum(np.searchsorted(paths, path), len(paths) - 1)
-            later = (paths[at] == path) & (doc > least[at])
-            yield pa.record_batch([doc[later], start[later], path[later]], schema=schema)
-
-    return map_arrow(rows.select("doc_id", "start", "path"), run, "doc_id bigint, start int, path bigint")
+    return map_arrow(ordered, run, "doc_id bigint, start int, path int")
 
 
 def _repeats(suffixes: DataFrame, group_rows: int) -> DataFrame:
-    """(doc_id, start, path) of the suffixes below a deep node whose first document is another."""
+    """(doc_id, start, path) of the suffixes below a deep node whose first document is another;
+    path shortened to 32 bits."""
     total = suffixes.count()
     limit = max(group_rows, total // 1000)      # fewer than 1,000 groups of one length hold more
     # groups of prefixes: few enough that counting them moves next to nothing
@@ -176,25 +169,21 @@ def _repeats(suffixes: DataFrame, group_rows: int) -> DataFrame:
         return F.broadcast(cut_lineage(part.groupBy(key).count().filter(F.col("count") > limit).select(key),
                                        f"substring-{key}"))
 
-    grouped = []
+    more, large = rows, {}
     for key in ("p1", "p4", "pn"):
-        large = too_large(rows, key)
-        grouped.append(rows.join(large, key, "left_anti").select(F.col(key).alias("prefix"), "path", "doc_id", "start"))
-        rows = rows.join(large, key, "left_semi")
-    # what is left shares all n words with more than limit suffixes, or its group with such
-    nodes = [(r["path"], r["least"]) for r in rows.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter(F.col("n") > limit).collect()]
-    out = grouped
-    if nodes:
-        known = F.broadcast(rows.sparkSession.createDataFrame([(p,) for p, _ in nodes], "path bigint"))
-        out = [*grouped, rows.join(known, "path", "left_anti").select(F.col("pn").alias("prefix"), "path", "doc_id", "start")]
-    else:
-        out = [*grouped, rows.select(F.col("pn").alias("prefix"), "path", "doc_id", "start")]
-    everything = out[0]
-    for part in out[1:]:
-        everything = everything.unionByName(part)
-    found = _subtrees(everything)
-    return found.unionByName(_below_nodes(rows, nodes)) if nodes else found
+        large[key] = too_large(more, key)
+        more = more.join(large[key], key, "left_semi")
+    # nodes that alone hold more than limit suffixes: fewer than 1,000
+    nodes = F.broadcast(cut_lineage(more.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter(F.col("n") > limit).select("path", "least"),
+        "substring-nodes"))
+    rows = rows.join(nodes, "path", "left")
+    for key in ("p1", "p4"):
+        rows = rows.join(large[key].withColumn(f"{key}_large", F.lit(True)), key, "left")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(PREFIXES[1])).cast("int") + sum(PREFIXES)
+    prefix = (F.when(F.col("least").isNotNull(), salt).when(F.col("p1_large").isNull(), F.col("p1"))
+              .when(F.col("p4_large").isNull(), F.col("p4")).otherwise(F.col("pn")))
+    return _subtrees(rows.select(prefix.alias("prefix"), "path", "doc_id", "start", "least"))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
@@ -212,7 +201,7 @@ def drop_windows(text: bytes, starts: np.ndarray, paths: np.ndarray, all_of_it:
         fits = starts <= total - n
         starts, paths = starts[fits], paths[fits]
         h = word_hashes(text)
-        starts = np.sort(starts[hash_runs_at(h, starts, n).view(np.int64) == paths])   # of this row, if ids repeat
+        starts = np.sort(starts[_short(hash_runs_at(h, starts, n)) == paths])   # of this row, if ids repeat
     if not len(starts) or total < n:
         return words, total, []
     cut = np.flatnonzero(np.diff(starts) > n)
@@ -243,16 +232,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _repeats(_suspect_suffixes(unique, n, anchor_bits), group_rows).groupBy("doc_id")
         .agg(F.collect_list("start").alias("starts"), F.collect_list("path").alias("paths")), "substring-repeats")
 
-    touched = copies.select("doc_id").unionByName(repeats.select("doc_id"))
-    flagged = with_member_flag(rows, cut_lineage(bitmap_of(touched, F.col("doc_id")), "substring-touched"),
-                               F.col("doc_id"), "touched")
-    none = F.array().cast("array<int>"), F.array().cast("array<bigint>")
-    clean = flagged.filter(~F.col("touched")).select(
-        "doc_id", "text", none[0].alias("starts"), none[1].alias("paths"), F.lit(False).alias("copy"))
-    dirty = (flagged.filter("touched").join(repeats, "doc_id", "left")
-             .join(copies.dropDuplicates().withColumn("copy", F.lit(True)), ["doc_id", "h"], "left")
-             .select("doc_id", "text", F.coalesce("starts", none[0]).alias("starts"),
-                     F.coalesce("paths", none[1]).alias("paths"), F.coalesce("copy", F.lit(False)).alias("copy")))
+    none = F.array().cast("array<int>")
+    copied = copies.groupBy("doc_id").agg(F.collect_set("h").alias("hashes"))    # one hash, unless ids repeat
+    found = repeats.join(copied, "doc_id", "full")
+    joined = rows.join(found, "doc_id", "left").select(
+        "doc_id", F.col("text").cast("binary").alias("text"), F.coalesce("starts", none).alias("starts"),
+        F.coalesce("paths", none).alias("paths"),
+        F.coalesce(F.array_contains("hashes", F.col("h")), F.lit(False)).alias("copy"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -270,8 +256,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                           schema=_OUT)
                     out, held = [], 0
 
-    both = clean.unionByName(dirty).withColumn("text", F.col("text").cast("binary"))
-    return map_arrow(both, run, "doc_id bigint, n_words bigint, n_removed bigint, passages array<array<int>>, "
+    return map_arrow(joined, run, "doc_id bigint, n_words bigint, n_removed bigint, passages array<array<int>>, "
                                 "kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
 
 

@@ -366,26 +366,53 @@ def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: i
     shared = cut_lineage(shared.groupBy("n", "first", "last", "who").agg(F.min("key").alias("key")), "join-shared")
     twos = shared.filter("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
     many = shared.filter("n > 2").select("key", "first", F.ceil(F.col("n") / block).cast("bigint").alias("chunks"))
-    members = keyed.join(many, "key")
-    members = cut_lineage(members.join(sets.select("sid", "n_shingles", "bits"), "sid").withColumn(
+    sizes = sets.select("sid", "n_shingles")
+    members = cut_lineage(keyed.join(many, "key").join(sizes, "sid").withColumn(
         "chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))), "join-members")
+    bits = sets.select("sid", "bits")
 
-    involved = twos.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct()
-    sources = cut_lineage(involved.join(sets.select("sid", "min_id"), "sid"), "join-involved")
-    likely = with_member_flag(docs, cut_lineage(bitmap_of(sources, F.col("min_id")), "join-doc-bits"),
-                              F.col("doc_id"), "hit").filter("hit")
-    tokens = cut_lineage(_token_rows(likely, n).join(sources.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]),
-                         "join-tokens")
-
-    links = cut_lineage(_verified(twos.unionByName(_proposals(members, percent)).distinct(), tokens, percent), "join-links")
+    first = _within_bound(twos, sets, percent).unionByName(_proposals(members.join(bits, "sid"), percent))
+    first = cut_lineage(first.distinct(), "join-pairs")
+    links = cut_lineage(_verified(first, _tokens_of(first, sets, docs, n), percent), "join-links")
     roots = cut_lineage(components(links), "join-roots")
     rooted = members.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
-    rooted = cut_lineage(rooted.join(open_keys, "key", "left_semi"), "join-open")
-    more = cut_lineage(_verified(_open_pairs(rooted, percent), tokens, percent), "join-more-links")
+    rooted = rooted.join(open_keys, "key", "left_semi").join(bits, "sid")
+    second = cut_lineage(_open_pairs(rooted, percent).join(first, ["a", "b"], "left_anti"), "join-more-pairs")
+    if second.isEmpty():
+        return roots
+    more = cut_lineage(_verified(second, _tokens_of(second, sets, docs, n), percent), "join-more-links")
     return components(links.unionByName(more))
 
 
+def _within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (of keys with two sets) that the bound of two leaves does not exclude."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            a, b, m, n = (part.column(k).to_numpy() for k in range(4))
+            x, y = (build_tree(_bitmaps(part.column(k)), size, size)[0] for k, size in ((4, m), (5, n)))
+            at = np.arange(len(a))
+            fine = most_overlap(x, y, at, at) * (100 + percent) >= percent * (m + n)
+            yield pa.record_batch([pa.array(a[fine]), pa.array(b[fine])], schema=_PAIR)
+
+    one = sets.select(F.col("sid").alias("a"), F.col("n_shingles").alias("m"), F.col("bits").alias("x"))
+    two = sets.select(F.col("sid").alias("b"), F.col("n_shingles").alias("n"), F.col("bits").alias("y"))
+    both = pairs.join(one, "a").join(two, "b")
+    return map_arrow(both.select("a", "b", "m", "n", "x", "y"), run, "a bigint, b bigint")
+
+
+def _tokens_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(sid, tokens) of the sets in ``pairs``, read again from their documents."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sources = cut_lineage(involved.join(sets.select("sid", "min_id"), "sid"), "join-involved")
+    likely = with_member_flag(docs, cut_lineage(bitmap_of(sources, F.col("min_id")), "join-doc-bits"),
+                              F.col("doc_id"), "hit").filter("hit")
+    return cut_lineage(_token_rows(likely, n).join(sources.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]),
+                       "join-tokens")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, tag (a hash of the text), n_shingles, component_id (the

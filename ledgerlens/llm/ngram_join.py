@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import bitmap_of, field, join_by_key, map_arrow, unpack, whole_row, with_member_flag
 from .graph import components
-from .words import hash_runs, hashed_texts, mix
+from .words import each, hash_runs, hashed_texts, mix
 
 WORDS, PERCENT = 5, 80
 BLOCK = 512
@@ -137,7 +137,7 @@ def _set_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for part in parts:
             ids, tags = part.column(0), part.column(1)
             valid = ids.is_valid().to_pylist()
-            for begin, h, first in hashed_texts(part.column(2).to_pylist(), lower=True):
+            for begin, h, first in hashed_texts(each(part.column(2)), lower=True):
                 count = len(first) - 1
                 sizes, sids, bits, keys = [], [], [], []
                 for i in range(count):
@@ -165,7 +165,7 @@ def _token_rows(docs: DataFrame, n: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for _, h, first in hashed_texts(part.column(0).to_pylist(), lower=True):
+            for _, h, first in hashed_texts(each(part.column(0)), lower=True):
                 sets = [t for t in (shingle_set(h[a:b], n) for a, b in zip(first[:-1], first[1:], strict=True)) if len(t)]
                 sids = [mix(mix(t).sum(keepdims=True) + np.uint64(len(t))).view(np.int64)[0] for t in sets]
                 ends = np.cumsum([0, *map(len, sets)])

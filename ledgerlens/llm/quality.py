@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import field, map_arrow
-from .words import BATCH_BYTES, batches, cut, find_words, hash_runs, hash_words, mix, runs_within
+from .words import BATCH_BYTES, batches, cut, each, find_words, hash_runs, hash_words, mix, runs_within
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -238,7 +238,7 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, texts = part.column(0), part.column(1).to_pylist()
+            ids, texts = part.column(0), each(part.column(1))
             for begin, batch in batches(texts):
                 c = text_counts(batch)
                 yield pa.record_batch([ids.slice(begin, len(batch)), *c.T.copy()], schema=_COUNT_SCHEMA)
@@ -285,7 +285,7 @@ def quality_verdicts(docs: DataFrame, model: Forest | None, id_col: str = "doc_i
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, texts = part.column(0), part.column(1).to_pylist()
+            ids, texts = part.column(0), each(part.column(1))
             for begin, batch in batches(texts):
                 c = text_counts(batch)
                 failed, kept, score = judge(c, model, threshold)
@@ -303,7 +303,7 @@ def keep_good(docs: DataFrame, model: Forest | None, text_col: str = "text", thr
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column(at).cast(pa.binary()).to_pylist()
+            texts = each(part.column(at).cast(pa.binary()))
             for begin, batch in batches(texts):
                 _, kept, _ = judge(text_counts(batch), model, threshold)
                 yield part.slice(begin, len(batch)).filter(pa.array(kept))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import bitmap_of, bitmap_of_slots, field, map_arrow, with_member_flag
 from .dedup import dedup_decisions, text_hash
-from .words import hash_runs, hash_runs_at, hashed_texts, runs_within, word_hashes
+from .words import each, hash_runs, hash_runs_at, hashed_texts, runs_within, word_hashes
 
 WINDOW = 13
 ANCHOR_WORDS = 7
@@ -74,7 +74,7 @@ def _anchor_lists(docs: DataFrame, n: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for _, h, first in hashed_texts(part.column(0).to_pylist()):
+            for _, h, first in hashed_texts(each(part.column(0))):
                 at, anchor = window_anchors(h, first, n)
                 cuts = np.searchsorted(at, first)
                 lists = [np.unique(anchor[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
@@ -111,7 +111,7 @@ def _suspect_suffixes(docs: DataFrame, n: int, bits: int) -> DataFrame:
         bitmap = marked.value
         for part in parts:
             ids = part.column(0).to_numpy(zero_copy_only=False)
-            for begin, h, first in hashed_texts(part.column(1).to_pylist()):
+            for begin, h, first in hashed_texts(each(part.column(1))):
                 at, anchor = window_anchors(h, first, n)
                 slot = anchor & np.uint64(bits - 1)
                 at = at[(bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0]

@@ -8,10 +8,11 @@ of about 2**-64 for each pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 BATCH_BYTES = 1 << 20
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -35,7 +36,12 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def batches(texts: Sequence[bytes | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def each(column: pa.Array) -> Iterator[bytes | None]:
+    """The values of a binary column one by one, so that no second copy of it is held."""
+    return (v.as_py() for v in column)
+
+
+def batches(texts: Iterable[bytes | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) of runs of about ``limit`` bytes; null as empty."""
     run: list[bytes] = []
     begin = held = 0
@@ -130,7 +136,7 @@ def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
     return np.concatenate([hash_words(find_words([piece]), lower) for piece in cut(text)])
 
 
-def hashed_texts(texts: Sequence[bytes | None], lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_texts(texts: Iterable[bytes | None], lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, word hashes, first) for runs of texts, as in Words."""
     for begin, run in batches(texts):
         if len(run) == 1 and len(run[0]) > 2 * BATCH_BYTES:

@@ -12,6 +12,10 @@ Where the page has an ``article`` or ``main`` element with text, only blocks ins
 neighbours are looked for there alone, and a lack of stop words alone does not reject a
 block, so that lists, tables and unknown languages inside an article stay.
 
+An ``article`` or ``main`` inside a wrapper that only its class or id judges starts afresh
+(an ``article`` not if the words are those of comments, adverts or related pages); words
+after has, with, without or no in a class do not count.  Attributes count by exact names.
+
 Character references are decoded once, white space inside a block (also no-break spaces)
 becomes one space, blocks are trimmed and joined in page order by one line feed.
 
@@ -25,7 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field as data_field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,10 +70,14 @@ recommended related replies reply respond search share sharing sidebar signup sk
 subscription taboola toolbar widget widgets""".split())
 ARTICLE_BOILER = frozenset("""ad ads advert adverts advertisement comment comments promo promoted recommended related
 reply sponsored teaser""".split())
+# what follows in a class says what the page has or lacks, as in has-sidebar or page-with-menu
+STATES = frozenset("has have with without no non not".split())
+LIFTED = frozenset(["nav", "header", "form", "class"])    # reasons that an article inside may end
 CONTAINERS = frozenset("article aside footer form header main nav ol section table ul".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# one attribute after another, so that names inside values or longer names do not count
+_ATTR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -98,32 +106,37 @@ class _Open:
     tag: str
     boiler: str = ""     # why what is inside is boilerplate
     article: int = 0     # number of the article around
-    words: frozenset = data_field(default_factory=frozenset)
+
+
+def _class_words(value: str) -> Iterator[str]:
+    for name in value.split():
+        for w in _NAME.findall(name):
+            if w.lower() in STATES:
+                break
+            yield w.lower()
 
 
 def _own_boiler(tag: str, attr: str, article: int) -> str:
-    words: set[str] = set()
-    role = ""
+    if tag in ("html", "body"):     # the page itself, hidden only until a script shows it
+        return ""
+    values: dict[str, str] = {}
     for key, a, b, c in _ATTR.findall(attr) if attr else ():
-        value = a or b or c
-        key = key.lower()
-        if key == "role":
-            role = value.lower()
-        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return "hidden"
-        elif key in ("class", "id"):
-            words.update(w.lower() for w in _NAME.findall(value))
-    if tag in ("html", "body", "main"):
+        values.setdefault(key.lower(), a or b or c)
+    # an open dialog sets aria-hidden on main, whose text is still shown
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true" and tag != "main":
+        return "hidden"
+    if tag == "main":
         return ""
+    words = {*_class_words(values.get("class", "")), *_class_words(values.get("id", ""))}
     if tag == "article":
-        return "class" if words & ARTICLE_BOILER else ""
+        return "promo" if words & ARTICLE_BOILER else ""
     if tag == "header" or (article and "header" in words and not words & ARTICLE_BOILER):
         return "header"
     if tag in BOILER_TAGS:
         return tag
-    if role in BOILER_ROLES:
+    if values.get("role", "").lower() in BOILER_ROLES:
         return "role"
-    return "class" if words & BOILER_WORDS else ""
+    return "promo" if words & ARTICLE_BOILER & BOILER_WORDS else "class" if words & BOILER_WORDS else ""
 
 
 def page_blocks(page: str) -> list[Block]:
@@ -188,8 +201,12 @@ def page_blocks(page: str) -> list[Block]:
             top = stack[-1]
             own = _own_boiler(tag, m["attr"], top.article)
             boiler, article = top.boiler, top.article
+            if boiler == "class" and own not in LIFTED:
+                boiler = own or boiler
             if tag in ("article", "main") and not own:
-                if boiler in ("nav", "header", "form"):   # left open, or wrapped around the page
+                # left open, or wrapped around the page; an article in an article stays in its wrapper
+                if (boiler in LIFTED and not (boiler == "class" and any(o.tag == "article" for o in stack))
+                        or boiler == "promo" and tag == "main"):
                     boiler = ""
                     links = 0
                 if not boiler and not article:

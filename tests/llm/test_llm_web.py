@@ -132,6 +132,25 @@ def test_pages(page, text):
     assert html_text.main_text(page or "") == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body style='overflow-x:hidden'><article><p>Text</p></article></body>", "Text"),
+    ("<main data-state=\"hidden\" style=overflow:hidden><p>Text</p></main>", "Text"),
+    ("<article data-hidden='false' data-id='sidebar' data-class='ad'><p>Text</p></article>", "Text"),
+    ("<main><div data-role='navigation' title='a hidden class=menu'><p>Text</p></div></main>", "Text"),
+    ("<body hidden><main aria-hidden=true><p>Text</p><p HIDDEN>no</p><div aria-hidden='true'>no</div></main>", "Text"),
+    ("<article><p>Text</p><div id=a class='x' hidden=''><p>no</p></div><div\tROLE='Search'>no</div></article>", "Text"),
+    ("<div class='content has-sidebar'><article><p>Text</p></article></div>", "Text"),
+    ("<div class='page-with-menu noWidgets'><main><p>Text</p></main></div>", "Text"),
+    ("<main><div class='wrap sidebar-right'><article><p>Text</p></article></div></main>", "Text"),
+    ("<div class='comments-open'><main><p>Text</p></main></div>", "Text"),
+    ("<article><p>Text</p><div class=widget><article><p>no</p></article></div></article>", "Text"),
+    ("<article><p>Text</p></article><div class=widget><div class=comments><article><p>no</p></article></div></div>", "Text"),
+    ("<article><p>Text</p></article><div class=widget><aside><article><p>no</p></article></aside></div>", "Text"),
+])
+def test_attributes_by_name_and_articles_in_wrappers(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_without_an_article_go_by_their_words():
     prose = "It is the way of all the things that they are and were in the world, and so it will be for us. " * 3
     page = (f"<body><div><a href='/1'>Home of the best</a> <a href='/2'>About</a></div><div><h1>A title</h1><p>{prose}</p>"

@@ -20,7 +20,9 @@ Character references are decoded once, white space inside a block (also no-break
 becomes one space, blocks are trimmed and joined in page order by one line feed.
 
 Defined results: null or empty html, and pages without text, give the empty text.
-Unclosed elements end with their parent; an unclosed comment or script runs to the end.
+Unclosed elements end with their parent; an unclosed comment, script, style or textarea
+runs to the end.  Of the other elements whose text is dropped, such as button or select, one
+without an end tag before the next of its name also ends where an article or main begins.
 Repeated rows give repeated results.
 """
 
@@ -49,18 +51,22 @@ al como con cuando de del desde donde el ella en entre era es esta este fue ha h
 nos o para pero por porque que se ser si sin sobre su sus también un una y ya
 """.split())
 
-RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|button|title"
+# elements whose text is not the page's: plain text up to the end tag or the page's end, and elements that
+# end with their parent, of these UNNESTED not inside themselves
+TO_END = frozenset(["script", "style", "textarea"])
+UNNESTED = frozenset("noscript select iframe button title".split())
+DROPPED = TO_END | UNNESTED | frozenset("template svg math object canvas audio video".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?:{RAW})\b[^>]*?/>"
-    rf"|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attr>(?:[^>"']++|"[^"]{0,4096}"|'[^']{0,4096}')*+)>"""
+    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>"'<]*+)(?P<attr>(?:[^>"']++|"[^"]{0,4096}"|'[^']{0,4096}')*+)>"""
     r"|</?[a-z][^>]*>|<[!?][^>]*>",
     re.I | re.S)
+NEXT = {t: re.compile(rf"<(/{'' if t in TO_END else '?'}){t}(?=[\s/>])[^>]*>", re.I) for t in DROPPED}
 BLOCK_TAGS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary
 table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset(["hr"])
+EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog search fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 BOILER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs
@@ -148,10 +154,19 @@ def page_blocks(page: str) -> list[Block]:
     block: Block | None = None
     at = 0
     heading = False
+    dropped: list[str] = []     # the open dropped element and what is open inside
+    ahead: dict[str, re.Match | None] = {}
+
+    def ends(name: str) -> re.Match | None:
+        """The next tag of a dropped element's name, if that is an end tag."""
+        m = ahead.get(name)
+        if name not in ahead or m and m.start() < at:
+            m = ahead[name] = NEXT[name].search(page, at)
+        return m if m and m[1] else None
 
     def say(raw: str) -> None:
         nonlocal block, breaks
-        if not raw:
+        if not raw or dropped:
             return
         if block is None:
             if raw.isspace():
@@ -168,14 +183,38 @@ def page_blocks(page: str) -> list[Block]:
         if links:
             block.linked += len(text)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         say(page[at:m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
-        if tag == "a":
+        closed = m["end"] or m["attr"].endswith("/")
+        if tag in TO_END and not closed and "title" not in dropped:
+            end = ends(tag)
+            at = end.end() if end else len(page)
+            continue
+        if dropped:
+            if m["end"]:
+                if tag in dropped:
+                    del dropped[len(dropped) - 1 - dropped[::-1].index(tag):]
+                    continue
+                # the end of a parent is also that of an element left open
+                if (ends(dropped[0]) and tag != "head" and not (tag == "a" and links)
+                        and all(o.tag != tag for o in stack)):
+                    continue
+            elif tag != "body" and (tag not in ("article", "main") or ends(dropped[0])):
+                if tag in UNNESTED and tag in dropped:
+                    del dropped[dropped.index(tag):]
+                if not closed and tag not in EMPTY and "title" not in dropped:
+                    dropped.append(tag)
+                continue
+            dropped.clear()
+        if tag in DROPPED:
+            if not closed:
+                dropped.append(tag)
+        elif tag == "a":
             links = max(0, links - 1) if m["end"] else 1
         elif tag == "br":
             breaks += 1

@@ -151,6 +151,25 @@ def test_attributes_by_name_and_articles_in_wrappers(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<svg-icon name=x></svg-icon><article><p>Text</p></article>", "Text"),
+    ("<article><title-block><p>Head</p></title-block><p>Text</p><button-group>b</button-group></article>", "Head\nText\nb"),
+    ("<video-js></video-js><article><p>Text</p></article><video>no</video>", "Text"),
+    ("<div><button class=x>Menu</div><article><p>Text</p></article>", "Text"),
+    ("<body><button>Menu<article><p>Text</p></article><button>no</button>", "Text"),
+    ("<article><p>One <span><select><option>no<option>no</span> two</p><p>Text</p></article>", "One two\nText"),
+    ("<article><div><object><p>no</p><audio>no</div><p>Text</p><canvas>no</article>", "Text"),
+    ("<article><p>a <a href=x><svg><path d=x></a> b</p><p>Text</p></article>", "a b\nText"),
+    ("<head><title>no<meta name=x></head><body><article><p>Text</p><svg><title>no</title></svg></article>", "Text"),
+    ("<title>no <script> no</title><article><p>Text</p></article>", "Text"),
+    ("<article><svg><g><svg>no</svg>no</g></svg><p>Text<button><b>no</b><p>no</p></button> end</p></article>", "Text end"),
+    ("<template><article><p>no</p></article></template><article><p>Text</p><script>no</p></article>", "Text"),
+    ("<article><p>Text</p><svg/><p>More</p><TEXTAREA>no</p></article>", "Text\nMore"),
+])
+def test_dropped_elements(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_without_an_article_go_by_their_words():
     prose = "It is the way of all the things that they are and were in the world, and so it will be for us. " * 3
     page = (f"<body><div><a href='/1'>Home of the best</a> <a href='/2'>About</a></div><div><h1>A title</h1><p>{prose}</p>"

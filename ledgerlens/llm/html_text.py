@@ -16,6 +16,9 @@ An ``article`` or ``main`` inside a wrapper that only its class or id judges sta
 (an ``article`` not if the words are those of comments, adverts or related pages); words
 after has, with, without or no in a class do not count.  Attributes count by exact names.
 
+Quoted attribute values have any length and may hold >.  A tag whose quotes leave it without
+an end is that tag up to the first >.
+
 Character references are decoded once, white space inside a block (also no-break spaces)
 becomes one space, blocks are trimmed and joined in page order by one line feed.
 
@@ -58,8 +61,10 @@ UNNESTED = frozenset("noscript select iframe button title".split())
 DROPPED = TO_END | UNNESTED | frozenset("template svg math object canvas audio video".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>"'<]*+)(?P<attr>(?:[^>"']++|"[^"]{0,4096}"|'[^']{0,4096}')*+)>"""
-    r"|</?[a-z][^>]*>|<[!?][^>]*>",
+    # quotes hold a value of any length after =; where that leaves no >, the tag ends at the first one
+    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>"'<]*+)"""
+    r"""(?P<attr>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+(?=>)|[^>]*+)>"""
+    r"|<[!?][^>]*>",
     re.I | re.S)
 NEXT = {t: re.compile(rf"<(/{'' if t in TO_END else '?'}){t}(?=[\s/>])[^>]*>", re.I) for t in DROPPED}
 BLOCK_TAGS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption
@@ -191,7 +196,7 @@ def page_blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         closed = m["end"] or m["attr"].endswith("/")
-        if tag in TO_END and not closed and "title" not in dropped:
+        if tag in TO_END and not closed and dropped[-1:] != ["title"]:
             end = ends(tag)
             at = end.end() if end else len(page)
             continue
@@ -207,7 +212,7 @@ def page_blocks(page: str) -> list[Block]:
             elif tag != "body" and (tag not in ("article", "main") or ends(dropped[0])):
                 if tag in UNNESTED and tag in dropped:
                     del dropped[dropped.index(tag):]
-                if not closed and tag not in EMPTY and "title" not in dropped:
+                if not closed and tag not in EMPTY and dropped[-1:] != ["title"]:
                     dropped.append(tag)
                 continue
             dropped.clear()

@@ -170,6 +170,22 @@ def test_dropped_elements(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article data-page=\"{'a > b ' * 2000}\"><p>Text</p></article><p>no</p>", "Text"),
+    (f"<article><div class=sidebar data-props='{'{}> ' * 2000}'>no</div><p>Text</p></article>", "Text"),
+    (f"<article><div><nav style=\"{'x' * 5000}\">no</nav></div><p>Text</p></article>", "Text"),
+    (f"<article><p>Text <img src=\"data:{'A' * 99999}>\"> end</p></article>", "Text end"),
+    (f"<article><p><a title='{'y' * 5000}' href=/x>Read it all here</a></p><p>{'Text and more of it in the end. ' * 9}</p></article>",
+     ("Text and more of it in the end. " * 9).strip()),
+    ("<article class=it's><p>He said it's</p><p>Text</p></article>", "He said it's\nText"),
+    ("<article><p title=\"a><b>Text</b></p><p>More</p></article>", "Text\nMore"),
+    ("<article><div class=sidebar title='a>no</div><p>Text</p></article>", "Text"),
+    ("<article><p alt = \"a>b\" title=a\"b>Text</p></article>", "Text"),
+])
+def test_quoted_values(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_without_an_article_go_by_their_words():
     prose = "It is the way of all the things that they are and were in the world, and so it will be for us. " * 3
     page = (f"<body><div><a href='/1'>Home of the best</a> <a href='/2'>About</a></div><div><h1>A title</h1><p>{prose}</p>"

@@ -5,12 +5,14 @@ inside menus, headers, footers, sidebars, notices, adverts, forms and reader com
 (by element, role, class or id) and blocks made of links are boilerplate; long blocks
 with enough stop words are text; the rest is ambiguous, above all short blocks.  Pass
 two gives each ambiguous block the label of its nearest decided neighbour on either
-side; where these disagree the nearer one counts, and a tie goes to text inside an
-article and for blocks with stop words.
+side; where these disagree the nearer one counts, and a tie goes to text for blocks with
+stop words.
 
-Where the page has an ``article`` or ``main`` element with text, only blocks inside count,
-neighbours are looked for there alone, and a lack of stop words alone does not reject a
-block, so that lists, tables and unknown languages inside an article stay.
+Inside an ``article`` or ``main`` element neighbours are looked for there alone.  Long blocks
+not made of links are text in any language, and an ambiguous block is rejected only where
+the decided neighbours on both sides are near and made of links, so that lists, tables and
+short or unknown texts inside an article stay.  Where such elements hold at least half of
+the text that pass one decided on, only blocks inside count.
 
 An ``article`` or ``main`` inside a wrapper that only its class or id judges starts afresh
 (an ``article`` not if the words are those of comments, adverts or related pages); words
@@ -100,6 +102,7 @@ class Rules:
     stop_low: float = 0.12     # share of stop words
     stop_high: float = 0.25
     link_share: float = 0.4    # more of the characters inside links: boilerplate
+    near: int = 2              # blocks; inside an article farther neighbours reject none
 
 
 class Block:
@@ -273,15 +276,16 @@ def first_pass(blocks: list[Block], rules: Rules) -> None:
             b.label = "bad"
         elif size >= rules.long and b.stops >= rules.stop_low or size >= rules.short and b.stops >= rules.stop_high:
             b.label = "good"
-        elif size >= rules.long and not b.article:
-            b.label = "bad"
+        elif size >= rules.long:
+            b.label = "good" if b.article else "bad"
         else:
             b.label = ""
 
 
 def second_pass(blocks: list[Block], rules: Rules) -> None:
     """Ambiguous blocks take over the label of the nearest block that pass one decided;
-    inside an article, of those in the same article that are no boilerplate by place."""
+    inside an article, of those in the same article that are no boilerplate by place, and
+    "bad" only from two near ones."""
     for number in {b.article for b in blocks}:
         run = [b for b in blocks if b.article == number and not (number and b.boiler)]
         before: list[tuple[int, str]] = []
@@ -299,8 +303,10 @@ def second_pass(blocks: list[Block], rules: Rules) -> None:
                 new.append(b.label)
                 continue
             (left, a), (right, c) = before[i], last
-            lean = "good" if number or b.stops >= rules.stop_high else "bad"
-            if a and c and a != c:
+            lean = "good" if b.stops >= rules.stop_high else "bad"
+            if number:
+                new.append("bad" if a == c == "bad" and max(i - left, right - i) <= rules.near else "good")
+            elif a and c and a != c:
                 new.append(a if i - left < right - i else c if right - i < i - left else lean)
             else:
                 new.append(a or c or lean)
@@ -310,9 +316,11 @@ def second_pass(blocks: list[Block], rules: Rules) -> None:
 
 def main_blocks(page: str, rules: Rules = Rules()) -> list[str]:
     blocks = page_blocks(page)
-    if any(b.article and not b.boiler for b in blocks):
-        blocks = [b for b in blocks if b.article]
     first_pass(blocks, rules)
+    if any(b.article and not b.boiler for b in blocks):
+        good = [(bool(b.article), len(b.text)) for b in blocks if b.label == "good"]
+        if 2 * sum(n for inside, n in good if inside) >= sum(n for _, n in good):
+            blocks = [b for b in blocks if b.article]
     second_pass(blocks, rules)
     return [b.text for b in blocks if b.label == "good"]
 

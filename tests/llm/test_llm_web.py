@@ -186,6 +186,30 @@ def test_quoted_values(page, text):
     assert html_text.main_text(page) == text
 
 
+LINK = "<p><a href=x>Read more of this</a></p>"
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 4
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><h1>Title</h1><p>One</p>{LINK}<p>Two</p></article>", "Title\nOne\nTwo"),
+    (f"<article><p>{POLISH}</p><p>{POLISH}</p>{LINK}</article>", f"{POLISH.strip()}\n{POLISH.strip()}"),
+    (f"<article>{LINK}<p>{POLISH}</p>{LINK}</article>", POLISH.strip()),
+    (f"<article>{LINK}<p>|</p>{LINK}<p>One</p><p>Two</p><p>Three</p><p>Four</p></article>", "One\nTwo\nThree\nFour"),
+    (f"<article>{LINK}<p>One</p><p>Two</p><p>Three</p><p>Four</p>{LINK}</article>", "One\nTwo\nThree\nFour"),
+])
+def test_links_in_articles_reject_little(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_main_text_beside_articles():
+    prose = ("It is the way of all the things that they are and were in the world, and so it will be for us. " * 3).strip()
+    card = "<article><h3><a href=x>Some other page</a></h3></article>"
+    page = f"<div><h1>Title</h1><p>{prose}</p><p>{prose}</p></div>{card * 3}"
+    assert html_text.main_text(page) == f"Title\n{prose}\n{prose}"
+    page = f"<article><h1>Title</h1><p>{prose}</p><p>{prose}</p></article><div>{prose}</div>"
+    assert html_text.main_text(page) == f"Title\n{prose}\n{prose}"
+
+
 def test_pages_without_an_article_go_by_their_words():
     prose = "It is the way of all the things that they are and were in the world, and so it will be for us. " * 3
     page = (f"<body><div><a href='/1'>Home of the best</a> <a href='/2'>About</a></div><div><h1>A title</h1><p>{prose}</p>"

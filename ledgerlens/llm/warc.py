@@ -7,10 +7,13 @@ those are read, so a lost executor leaves no record twice.
 
 ``read_archives`` gets whole files from Spark's binaryFile source (gzip or plain) and
 checks each record: the member's CRC, the version line, Content-Length, the closing line
-feeds and the block digest.  After a failed check it searches for the next member that
-opens with a version line, or inside a plain file or member for the next version line,
-and goes on there; the bytes between are logged as a quarantined gap (offset, length,
-reason).  A file without any valid record is one gap.
+feeds and the block digest.  After a failed check it searches for the nearest of a version
+line or a member that opens with one (inside a member for the next version line), and goes
+on there; the bytes between are logged as a quarantined gap (offset, length, reason).  Of a
+truncated or damaged member the records before the damage are read and the rest is the gap;
+if its data ends and only its CRC or length is wrong or missing, the damage may lie anywhere:
+a single record is quarantined, of several those with a sound block digest are read.  A file
+without any valid record is one gap.
 
 ``page_records`` decides what is written for a table of pages: of equal payloads of at
 least ``min_revisit`` bytes the record with the smallest page_id is a response, the others
@@ -212,66 +215,154 @@ def read_plain(data: bytes) -> Iterator[tuple[int, int, Record | Gap]]:
         yield bad, len(data) - bad, Gap(bad, len(data) - bad, why)
 
 
-def _member_at(data: bytes, at: int, probe: bool = False, step: int = 1 << 15) -> tuple[bytes, int] | str:
-    """The member at ``at`` and where it ends, or why there is none.  ``probe`` only asks
-    whether it opens with a version line."""
-    if data[at:at + 3] != MAGIC:
-        return "no gzip member"
+class Member(NamedTuple):
+    data: bytes      # what it decompresses to, as far as that goes
+    end: int
+    why: str         # why it is not sound, or nothing
+    complete: bool   # its data ended, so only its check is wrong or missing
+
+
+def _member_at(data: bytes, at: int, step: int = 1 << 15) -> Member:
+    """The gzip member at ``at``; a damaged one with all that it gives before the damage shows."""
     z = zlib.decompressobj(31)
     out, pos = [], at
     try:
         while not z.eof and pos < len(data):
             out.append(z.decompress(data[pos:pos + step]))
             pos = min(len(data), pos + step)
-            if probe and sum(map(len, out)) >= 10:
-                return b"".join(out)[:10], pos
+    except zlib.error as e:
+        out.append(_before_error(data, at, pos))
+        return Member(b"".join(out), pos, "damaged gzip member",
+                      str(e).endswith(("incorrect data check", "incorrect length check")))
+    if z.eof:
+        return Member(b"".join(out), pos - len(z.unused_data), "", True)
+    got = b"".join(out)
+    check = zlib.crc32(got).to_bytes(4, "little") + (len(got) & 0xFFFFFFFF).to_bytes(4, "little")
+    return Member(got, pos, "truncated gzip member", any(data.endswith(check[:k]) and _ends(z, check[k:]) for k in range(8)))
+
+
+def _ends(z, check: bytes) -> bool:
+    """Whether the rest of its check ends the member that ``z`` has read."""
+    z = z.copy()
+    try:
+        z.decompress(check)
+    except zlib.error:
+        return False
+    return z.eof
+
+
+def _before_error(data: bytes, at: int, pos: int) -> bytes:
+    """What the bytes from ``pos`` on add to those of the member at ``at`` up to its error."""
+    z = zlib.decompressobj(31)
+    z.decompress(data[at:pos])
+    out = []
+    for i in range(pos, len(data)):
+        last = z.copy()
+        try:
+            out.append(z.decompress(data[i:i + 1]))
+        except zlib.error:
+            break
+    try:                               # the failing byte, by single bytes of output
+        piece = last.decompress(data[i:i + 1], 1)
+        while piece:
+            out.append(piece)
+            piece = last.decompress(last.unconsumed_tail, 1)
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _input_of(data: bytes, at: int, size: int, step: int = 1 << 15) -> int:
+    """Where the bytes end from which the member at ``at`` gives its first ``size``."""
+    z = zlib.decompressobj(31)
+    pos = at
+    try:
+        while True:
+            last = z.copy()
+            n = len(z.decompress(data[pos:pos + step]))
+            if n >= size or pos >= len(data):
+                break
+            pos, size = pos + step, size - n
+    except zlib.error:
+        pass
+    try:
+        while size > 0 and pos < len(data):
+            pos += 1
+            size -= len(last.decompress(data[pos - 1:pos]))
+    except zlib.error:
+        pass
+    return pos
+
+
+def _opens(data: bytes, at: int, step: int = 1 << 15) -> bool:
+    """Whether the bytes at ``at`` decompress to a version line."""
+    z = zlib.decompressobj(31)
+    out = b""
+    try:
+        while len(out) < 7 and not z.eof and at < len(data):
+            out += z.decompress(data[at:at + step], 16)
+            at += step
     except zlib.error:
-        return "damaged gzip member"
-    if not z.eof:
-        return "truncated gzip member"
-    return b"".join(out), pos - len(z.unused_data)
+        return False
+    return out.startswith(b"WARC/1.")
 
 
-def read_gzip(data: bytes) -> Iterator[tuple[int, int, Record | Gap]]:
-    """As ``read_plain``, for gzip members; a gap inside a member counts as that member's
-    bytes if nothing in it is valid, else its reason names the bytes inside."""
+def _records_at(data: bytes, at: int) -> tuple[list[tuple[int, int, Record | Gap]], int, str]:
+    """The record at ``at`` or those of the member there, where they end, and why what
+    follows belongs to a gap."""
+    if data[at:at + 3] != MAGIC:
+        x, end = _record_at(data, at)
+        return ([(at, end - at, x)], end, "") if isinstance(x, Record) else ([], at, x)
+    member = _member_at(data, at)
+    found = list(read_plain(member.data))
+    if member.why and member.complete:
+        # the check of a member of one record is that record's; of several, those with a sound digest count
+        found = [] if len(found) == 1 else [
+            (o, n, x if isinstance(x, Gap) or x.headers.get("warc-block-digest", "").startswith("sha256:")
+             else Gap(o, n, "wrong check of the member")) for o, n, x in found]
+    if not any(isinstance(x, Record) for _, _, x in found):
+        return [], at if member.why else member.end, member.why or (found[0][2].reason if found else "empty member")
+    end = member.end
+    if member.why:
+        while isinstance(found[-1][2], Gap):
+            found.pop()
+        end = _input_of(data, at, found[-1][0] + found[-1][1])
+    return [(at, end - at, x if isinstance(x, Record) else
+             Gap(at, end - at, f"{x.reason}, bytes {o} to {o + n} of the member")) for o, n, x in found], end, member.why
+
+
+def read_archive(data: bytes) -> Iterator[tuple[int, int, Record | Gap]]:
+    """(offset, length, record or gap) of a file of records, gzip members or both; a gap inside
+    a member counts as that member's bytes if something in it is valid, and names the bytes inside."""
     at, bad, why = 0, -1, ""
+    version = member = -1     # the next version line, and the next member before it that opens with one
     while at < len(data):
-        member = _member_at(data, at)
-        found = list(read_plain(member[0])) if not isinstance(member, str) else []
-        if any(isinstance(x, Record) for _, _, x in found):
-            if bad >= 0:
+        found, end, reason = _records_at(data, at)
+        if found:
+            if 0 <= bad < at:
                 yield bad, at - bad, Gap(bad, at - bad, why)
-                bad = -1
-            end = member[1]
-            for offset, length, x in found:
-                if isinstance(x, Gap):
-                    x = Gap(at, end - at, f"{x.reason}, bytes {offset} to {offset + length} of the member")
-                yield at, end - at, x
+            yield from found
+            bad = -1
+        if reason and bad < 0:
+            bad, why = end if found else at, reason
+        if not reason or end > at and not found:
             at = end
             continue
-        if bad < 0:
-            bad, why = at, member if isinstance(member, str) else found[0][2].reason if found else "empty member"
-        if not isinstance(member, str):
-            at = member[1]
-            continue
-        at = data.find(MAGIC, at + 1)
-        while at >= 0:
-            probed = _member_at(data, at, probe=True)
-            if not isinstance(probed, str) and probed[0].startswith(b"WARC/1."):
-                break
-            at = data.find(MAGIC, at + 1)
-        if at < 0:
-            at = len(data)
-    if bad >= 0:
+        at = end if found else at + 1
+        if version < at:
+            m = VERSION.search(data, at)
+            version = m.start() if m else len(data)
+        if member < at:
+            member = data.find(MAGIC, at, version)
+            while member >= 0 and not _opens(data, member):
+                member = data.find(MAGIC, member + 1, version)
+            if member < 0:
+                member = version
+        at = member
+    if 0 <= bad < len(data):
         yield bad, len(data) - bad, Gap(bad, len(data) - bad, why)
 
 
-def read_archive(data: bytes) -> Iterator[tuple[int, int, Record | Gap]]:
-    head = data[:64]
-    return read_plain(data) if VERSION.match(head) or MAGIC not in data else read_gzip(data)
-
-
 _ROWS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()),
                    ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()),
                    ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("payload", pa.binary()),

@@ -114,6 +114,50 @@ def test_damage_in_gzip_files():
     assert found(parts[0] + zlib.compress(b"x" * 50) + parts[1])[0] == urns([0, 1])
 
 
+def test_damage_at_the_head_of_a_plain_file():
+    parts = records(6)
+    inner = warc.page_record(9, "http://z", zlib.compress(b"a page " * 50, wbits=31), hashlib.sha256(b"").hexdigest(), None)
+    assert warc.MAGIC in inner
+    for head in (b"XXXX", warc.MAGIC + b"\0"):
+        data = head + parts[0][4:] + parts[1] + inner + b"".join(parts[2:])
+        good, gaps = found(data)
+        assert good == urns([1, 9, 2, 3, 4, 5]) and [g[:2] for g in gaps] == [(0, len(parts[0]))]
+    packed = warc.gzip_member(parts[3])
+    good, gaps = found(b"X" + b"".join(parts[:2])[1:] + packed + b"lost\r\n" + parts[4])   # the nearest of both kinds
+    assert good == urns([1, 3, 4]) and [g[:2] for g in gaps] == [(0, len(parts[0])), (len(parts[0] + parts[1] + packed), 6)]
+
+
+def test_damage_in_members_of_many_records():
+    parts = records(300)
+    whole = warc.gzip_member(b"".join(parts))
+    after = warc.gzip_member(records(302)[301])
+    assert found(whole + after) == (urns([*range(300), 301]), [])
+    for cut in (len(whole) // 3, len(whole) // 2, len(whole) - 40):
+        n = zlib.decompressobj(31).decompress(whole[:cut])
+        kept = 0
+        while len(b"".join(parts[:kept + 1])) <= len(n):
+            kept += 1
+        assert 0 < kept < 300
+        good, gaps = found(whole[:cut])                         # truncated
+        assert good == urns(range(kept)) and len(gaps) == 1
+        assert gaps[0][0] + gaps[0][1] == cut and 0 < gaps[0][0] <= cut and gaps[0][2] == "truncated gzip member"
+        for data in (whole[:cut] + after, whole[:cut] + b"\xff" * 64 + whole[cut + 64:] + after):
+            good, gaps = found(data)                            # damaged
+            assert good[:kept] == urns(range(kept)) and good[-1] == urns([301])[0] and gaps
+    for data in (whole[:-5] + b"!!" + whole[-3:] + after, whole[:-8]):    # only the check is wrong or missing
+        good, gaps = found(data)
+        assert good[:300] == urns(range(300)) and (len(gaps) == 1 and gaps[0][1] <= 12 or not gaps)
+
+
+def test_wrong_check_of_records_without_digest():
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    member = bytearray(warc.gzip_member(record % 1 + record % 2))
+    assert found(bytes(member)) == (urns([1, 2]), [])
+    assert found(bytes(member[:-12]))[0] == urns([1])
+    member[-6] ^= 1
+    assert found(bytes(member)) == ([], [(0, len(member), "damaged gzip member")])
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("<html><body></body></html>", ""), ("<script>var a = '<p>no</p>';", ""),
     ("<article><h1>Title</h1><p>One &amp; two&nbsp;&#233;<br>three\n four</p><p>Te.</p></article>",

@@ -10,7 +10,8 @@ c * log2 c.  Overlapping windows at or above the class's threshold join into one
 
 A finding is suppressed by the allow-list: known placeholders and test values, UUIDs,
 paths and words joined by separators, runs without a digit or without a letter, and
-whatever the caller adds.  Findings that overlap a pattern's span are not repeated.
+whatever the caller adds.  A placeholder inside a candidate takes away only the piece between
+/ and = that holds it; what is left on either side is a candidate of its own.  Findings that overlap a pattern's span are not repeated.
 Allow-listing never removes a pattern's span.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results;
@@ -96,6 +97,7 @@ def window_spans(s: str, window: int, bits: float) -> list[tuple[int, int]]:
 
 
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
+_JOINT = re.compile(r"[/=]")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
@@ -106,20 +108,44 @@ class Scanner:
         self.inside = [re.compile(p) for p in scan.allow_inside]
         self.whole = [re.compile(p) for p in scan.allow_whole]
 
+    def plain(self, s: str) -> bool:
+        return not _DIGIT.search(s) or not _LETTER.search(s) or any(p.fullmatch(s) for p in self.whole)
+
     def allowed(self, s: str) -> bool:
-        return (not _DIGIT.search(s) or not _LETTER.search(s) or any(p.search(s) for p in self.inside)
-                or any(p.fullmatch(s) for p in self.whole))
+        return self.plain(s) or any(p.search(s) for p in self.inside)
+
+    def stretches(self, s: str) -> Iterator[tuple[int, int]]:
+        """What is left of the run ``s`` without the pieces between joints that hold allowed text."""
+        at = 0
+        for a, b in sorted(m.span() for p in self.inside for m in p.finditer(s)):
+            if at and b <= at:
+                continue
+            yield at, max(at, s.rfind("/", at, a) + 1, s.rfind("=", at, a) + 1)
+            joint = _JOINT.search(s, b)
+            at = joint.start() if joint else len(s)
+        yield at, len(s)
+
+    def candidates(self, s: str) -> Iterator[tuple[int, int]]:
+        if self.plain(s):
+            return
+        for a, b in self.stretches(s):
+            while 0 < a < b and s[a] in "/=":
+                a += 1
+            while a < b < len(s) and s[b - 1] in "/=":
+                b -= 1
+            if b - a >= self.scan.min_length and (b - a == len(s) or not self.plain(s[a:b])):
+                yield a, b
 
     def entropy_spans(self, text: str, taken: Sequence[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
         k = self.scan
         at, reach = 0, 0   # taken is sorted by start: one pass beside the candidates
         for m in self.candidate.finditer(text):
             s = m.group()
-            if self.allowed(s):
-                continue
-            spans = [(h.start() + a, h.start() + b) for h in _HEX_RUN.finditer(s)
-                     for a, b in window_spans(h.group(), k.window, k.hex_bits)]
-            spans += window_spans(s, k.window, k.base64_bits)
+            spans = []
+            for begin, end in self.candidates(s):
+                spans += [(begin + h.start() + a, begin + h.start() + b) for h in _HEX_RUN.finditer(s[begin:end])
+                          for a, b in window_spans(h.group(), k.window, k.hex_bits)]
+                spans += [(begin + a, begin + b) for a, b in window_spans(s[begin:end], k.window, k.base64_bits)]
             spans.sort()
             joined: list[tuple[int, int]] = []
             for a, b in spans:

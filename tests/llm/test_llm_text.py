@@ -73,6 +73,21 @@ def test_entropy_finds_keys_and_leaves_prose():
     assert base and not more                                                  # not reported twice
 
 
+def test_placeholders_hide_only_their_piece():
+    scan = secret_scan.Scanner(secret_scan.Scan())
+    key = "Zq7Lw2Xv9Kc4Rb8Tn3Yd6Mf1Hg5Js0PuEaWiOxQz"
+    for before, after in (("sample-app/", ""), ("sample_id=", ""), ("", "/example"), ("example/", "=dummy"),
+                          ("v1/1234567/", "/0000000/x"), ("xxxx=sample=", "=/sample/your-name/")):
+        text = f"the {before}{key}{after} ok"
+        at = text.index(key)
+        assert scan(text)[1] == [(at, 3, at + len(key))], text
+    for clean in (f"sample-{key}", f"app/{key}0000000", "sample/123e4567-e89b-12d3-a456-426614174000",
+                  "sample/path/to/some/long/directory/name-2024", "0000000/" * 40, "a1" + "1234567" * 40):
+        assert not scan(clean)[1], clean
+    two = f"{key}/sample/{key[::-1]}"
+    assert scan(two)[1] == [(0, 3, len(key)), (len(two) - len(key), 3, len(two))]
+
+
 def test_found_texts(spark):
     df = spark.createDataFrame([(1, "x token=abcdef9"), (2, None)], "doc_id bigint, text string")
     assert [tuple(r) for r in secret_scan.found_texts(df).collect()] == [(1, "assign", 2, 15, "token=abcdef9")]

@@ -249,7 +249,8 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", sample_rows: int = SAMPLE_ROWS, how: Boosting = Boosting()) -> Forest | None:
-    """Trees from at most ``sample_rows`` labelled documents; None without both classes."""
+    """Trees from at most ``sample_rows`` labelled documents, of rows that repeat an id the one
+    with the smallest counts; None without both classes."""
     chosen = (labels.filter(field(label_col).isNotNull() & field(id_col).isNotNull())
               .select(field(id_col).cast("bigint").alias("doc_id"), field(label_col).cast("int").alias("y"))
               .dropDuplicates(["doc_id"])
@@ -257,8 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     texts = docs.select(field(id_col).cast("bigint").alias("doc_id"), field(text_col).alias("text"))
     # the sample is bounded by its parameter, so it may be broadcast
     labelled = texts.join(F.broadcast(chosen), "doc_id")
-    counted = document_counts(labelled.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
-    rows = np.array([tuple(r) for r in counted.select("doc_id", "y", *COUNTS).collect()], dtype=np.int64)
+    one = document_counts(labelled.select("doc_id", "text")).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("c"))
+    counted = one.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "c.*")
+    rows = np.array([tuple(r) for r in counted.collect()], dtype=np.int64)
     if not len(rows):
         return None
     rows = rows[np.lexsort(rows.T[::-1])]   # the fit does not depend on the order of tasks

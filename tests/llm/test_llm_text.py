@@ -190,6 +190,20 @@ def test_training_reads_labels(spark):
     assert quality.train(df.limit(0), labels) is None
 
 
+def test_training_takes_one_row_of_each_id(spark, monkeypatch):
+    docs = [(i, " ".join(["word"] * (i + 3))) for i in range(6)] + [(2, "a much longer text of the same id " * k) for k in range(1, 40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_forest", lambda x, y, *_: seen.append((x, y)))
+    quality.train(df, labels)
+    quality.train(df, labels, sample_rows=4)
+    (x, y), (few, _) = seen
+    counts = [min(tuple(quality.text_counts([t.encode()])[0]) for k, t in docs if k == i) for i in range(6)]
+    assert len(few) == 4 and y.tolist() == [0, 1] * 3
+    assert np.array_equal(x, quality.features(np.array(counts)))
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 

@@ -1,4 +1,4 @@
-"""Substring dedup with prefix-partitioned suffix trees over words.
+"""Substring dedup by prefix-partitioned groups of hashed word windows.
 
 A window is ``n`` consecutive words of a document.  Words are removed that lie in a window
 whose word sequence also starts in a document with a smaller id.
@@ -15,9 +15,10 @@ whose word sequence also starts in a document with a smaller id.
    holds more than a thousandth of the suffixes (or GROUP_ROWS).  A prefix of ``n`` words
    that still does is a single node; such nodes number fewer than 1,000, their smallest
    document ids are found by an aggregate, and their suffixes are spread by document.
-4. A task builds the subtree of each of its groups from the sorted suffixes, one run of equal
-   ``n``-word paths after another.  A run is an internal node of depth ``n`` or more; its
-   leaves in documents after the first are repeats.
+4. A task sorts the suffixes of its groups by the hashes of their ``n``-word paths.  A run of
+   equal hashes stands for the internal node of depth ``n`` that a suffix tree has there; its
+   suffixes in documents after the first are repeats.  No tree is built: there are no
+   common-prefix lengths and no deeper nodes, which the result does not need.
 5. Each document joins its repeated windows into maximal passages and drops their words.
    In a large corpus most documents share some window, so all texts meet their repeats by
    one join on the id.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, html_text, mix, ngram_join, pieces, quality, secret_scan, substrings, tokens, warc
+from . import dedup, html_text, mix, ngram_join, periods, pieces, quality, secret_scan, substrings, tokens, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_shares(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.with_planted_periods(table(spark, sf_dir, "documents"))
+    return periods.run_digest(periods.periodic_runs(docs))

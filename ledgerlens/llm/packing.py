@@ -19,11 +19,12 @@ range) cell gives the offsets.  The stream's places are prefix sums over ranges
 in the same way.  A source of any size is spread over all ranges; only narrow rows
 (place, length) are sorted, and the ids move once, in the join with their pieces.
 
-Tokens: a text is cut at the safe boundaries of byte-level pre-tokens (before an ASCII
-white space after a character that is none), found with numpy in batches of about a
-megabyte; each distinct piece goes to the library once for as long as it stays in the
-worker's table, which is emptied at ``table_pieces`` pieces.  Memory is about the ids of
-one batch or of the longest text; a stretch without a safe boundary is one library call.
+Tokens: a text goes to the library in sections of about a megabyte that end at safe
+boundaries of byte-level pre-tokens (before an ASCII white space after a character that is
+none).  Sections without very long pre-tokens go to a faster library that holds the same
+vocabulary; others, and vocabularies that it cannot hold, to the tokenizer itself.  Tests
+compare both on every letter.  Memory is about the ids of the longest text; a stretch without a safe boundary is one library call.  Ids are kept as 16-bit
+numbers where the vocabulary allows, and are widened in the pieces.
 
 The last window is cut into sequences of descending powers of two instead of padding it,
 so no sequence needs padding.
@@ -37,6 +38,7 @@ same files agree.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -49,15 +51,14 @@ from pyspark.sql import functions as F
 from ..functions.prefix import running_sums
 from ..session import cut_lineage
 from .common import field, join_by_key, map_arrow
-from .words import BATCH_BYTES, SPACES, Words, batches, each, hash_words
+from .words import BATCH_BYTES, SPACES, each
 
 WINDOW = 2048
 GRANT = 128
 CLOSING_ID = 1
 ITEM_TOKENS = 1 << 16
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 4096
 ROUNDS_PER_RANGE = 1024
-TABLE_PIECES = 200_000
 
 # --- token ids ---------------------------------------------------------------------
 
@@ -102,62 +103,71 @@ def sections(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[at:]
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones of
+    Latin-1 stand for themselves, the others follow from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+# Fixed value: the pattern of byte-level pre-tokens.
+PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_RUN = 256     # the faster library takes the square of a pre-token's length
+
+
+def fast_encoding(path: str, tokenizer):
+    """The same vocabulary in a faster library, or None where it would not be the same: the
+    ids must follow the order of the merges, the pre-tokens the usual pattern."""
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    added = tokenizer.get_added_tokens_decoder()
+    usual = (model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+             and pre.get("use_regex", True) and spec.get("normalizer") is None and not model.get("ignore_merges")
+             and not model.get("dropout") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix"))
+    made = [model["vocab"].get(a + b, -1) for a, b in merges] if usual else []
+    if not usual or made != sorted(made) or any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+        return None
+    byte_of = _byte_of()
+    special = {t.content: i for i, t in added.items()}
+    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
+    return tiktoken.Encoding("packing", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
+
+
+def _short_runs(data: np.ndarray) -> bool:
+    """Is every run of white space or of other bytes at most LONG_RUN long?"""
+    if len(data) <= LONG_RUN:
+        return True
+    turns = np.flatnonzero(np.diff(_ASCII_SPACE[data]))
+    return len(turns) > 0 and int(np.diff(turns, prepend=0, append=len(data)).max()) <= LONG_RUN
+
+
 class Encoder:
-    """Token ids of batches of texts; distinct pieces are encoded once while in the table."""
+    """Token ids of whole texts, as the tokenizer gives them without added tokens."""
 
-    def __init__(self, path: str, table_pieces: int = TABLE_PIECES, batch_bytes: int = BATCH_BYTES):
+    def __init__(self, path: str, batch_bytes: int = BATCH_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table_pieces, self.batch_bytes = table_pieces, batch_bytes
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.at = np.zeros(1, dtype=np.int64)
-        self.pool = np.zeros(0, dtype=np.uint32)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces],
-                                                               add_special_tokens=False)]
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
-        ends = np.cumsum([len(x) for x in ids]) + self.at[-1]
-        self.at = np.concatenate([self.at, ends])
-        self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], dtype=np.uint32)])
-
-    def encode(self, texts: Sequence[bytes]) -> list[np.ndarray]:
-        """Ids of each of the texts, which are about ``batch_bytes`` in all."""
-        whole = b"".join(texts)
-        if not whole:
-            return [np.zeros(0, dtype=np.uint32) for _ in texts]
-        data = np.frombuffer(whole, dtype=np.uint8)
-        text_at = np.cumsum([0] + [len(t) for t in texts])
-        cuts = np.unique(np.concatenate([safe_cuts(data), text_at[:-1], [0]]))
-        cuts = cuts[cuts < len(data)]
-        start, end = cuts, np.append(cuts[1:], len(data))
-        hashes = hash_words(Words(data, text_at, start, end, np.array([0, len(start)])))
-        _, some, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        pieces = [whole[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
-        if len(self.known) + len(pieces) > self.table_pieces:
-            self._forget()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            self._learn(new)
-        number = np.array([self.known[p] for p in pieces], dtype=np.int64)[kind]
-        size = self.at[number + 1] - self.at[number]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.at[number] - total[:-1], size) + np.arange(total[-1])]
-        bounds = total[np.searchsorted(start, text_at)]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-
-    def encode_each(self, texts: Iterator[bytes | None]) -> Iterator[np.ndarray]:
-        for _, run in batches(texts, self.batch_bytes):
-            if len(run) == 1 and len(run[0]) > self.batch_bytes:
-                yield np.concatenate([self.encode([part])[0] for part in sections(run[0], self.batch_bytes)])
-            else:
-                yield from self.encode(run)
+        self.fast = fast_encoding(path, self.tokenizer)
+        self.batch_bytes = batch_bytes
+
+    def _section(self, text: bytes) -> np.ndarray:
+        decoded = text.decode("utf-8", "replace")
+        if self.fast is not None and _short_runs(np.frombuffer(text, dtype=np.uint8)):
+            return self.fast.encode_to_numpy(decoded, allowed_special="all").astype(np.uint32)
+        return np.array(self.tokenizer.encode(decoded, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def encode(self, text: bytes | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, dtype=np.uint32)
+        parts = [self._section(part) for part in sections(text, self.batch_bytes)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 _ENCODERS: dict[str, Encoder] = {}    # one for each worker process and tokenizer
@@ -169,16 +179,21 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def id_width(encoder: Encoder, closing_id: int) -> str:
+    return "<u2" if max(encoder.tokenizer.get_vocab_size(with_added_tokens=True) - 1, closing_id) < 1 << 16 else "<u4"
+
+
 def token_items(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", closing_id: int = CLOSING_ID, item_tokens: int = ITEM_TOKENS) -> DataFrame:
     """(item, doc_id, source, start, n, doc_tokens, ids): whole documents, or their parts of
-    ``item_tokens``; ids as little-endian unsigned 32-bit numbers, item unique."""
+    ``item_tokens``; item unique, ids little-endian unsigned numbers of ``id_width``."""
     narrow = docs.select(field(id_col).alias("doc_id"), field(source_col).cast("string").alias("source"),
                          F.coalesce(field(text_col), F.lit("")).cast("binary").alias("text"))
     names = ["item", "doc_id", "source", "start", "n", "doc_tokens", "ids"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
+        width = id_width(encoder, closing_id)
         item = TaskContext.get().partitionId() << 40
         for part in parts:
             rows: list[tuple] = []
@@ -190,13 +205,13 @@ def token_items(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                 return pa.record_batch([numbers[0], part.column(0).take(at), part.column(1).take(at), *numbers[1:],
                                         pa.array([r[5] for r in rows], pa.binary())], names=names)
 
-            for k, ids in enumerate(encoder.encode_each(each(part.column(2)))):
-                ids = np.append(ids, np.uint32(closing_id)).astype("<u4")
+            for k, text in enumerate(each(part.column(2))):
+                ids = np.append(encoder.encode(text), np.uint32(closing_id)).astype(width)
                 for start in range(0, len(ids), item_tokens):
                     own = ids[start:start + item_tokens]
                     rows.append((k, item, start, len(own), len(ids), own.tobytes()))
                     item += 1
-                    held += 4 * len(own)
+                    held += own.nbytes
                 if held >= 4 * BATCH_BYTES:
                     yield batch()
                     rows, held = [], 0
@@ -316,7 +331,41 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     placed = cut_lineage(placed, "packing-places")
     grants = cut_lineage(served(join_by_key(placed, quanta, "queue", "items", count or 0)), "packing-grants")
     pieces = _sequences(stream_places(grants, rounds_per_range), total or 0, window)
-    # an item has at most item_tokens / grant + a few pieces
-    return pieces.join(items.withColumnRenamed("start", "item_start"), "item").select(
-        "doc_id", "source", (F.col("item_start") + F.col("begin")).alias("start"), "length", "doc_tokens", "sequence_id",
-        "offset", "round", F.substring("ids", (4 * F.col("begin") + 1).cast("int"), (4 * F.col("length")).cast("int")).alias("ids"))
+    # an item has at most item_tokens / grant + a few pieces, so the ids move once
+    cuts = pieces.groupBy("item").agg(F.collect_list(F.struct("begin", "length", "sequence_id", "offset", "round")).alias("cuts"))
+    joined = items.join(cuts, "item").select(
+        "doc_id", "source", "start", "doc_tokens", "n", F.col("cuts.begin").alias("begin"), F.col("cuts.length").alias("length"),
+        F.col("cuts.sequence_id").alias("sequence_id"), F.col("cuts.offset").alias("offset"), F.col("cuts.round").alias("round"), "ids")
+    return _pieces(joined).select("doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "round", "ids")
+
+
+def _pieces(joined: DataFrame) -> DataFrame:
+    """One row per piece of each item, with its ids widened to 32 bits."""
+    numbers = ["length", "sequence_id", "offset", "round"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at = part.schema.get_field_index
+            begin = part.column(at("begin"))
+            for low in range(0, part.num_rows, 256):
+                rows = range(low, min(part.num_rows, low + 256))
+                which, starts, own = [], [], []
+                for k in rows:
+                    raw, n = part.column(at("ids"))[k].as_buffer(), part.column(at("n"))[k].as_py()
+                    ids = np.frombuffer(raw, dtype="<u2" if raw.size == 2 * n else "<u4").astype("<u4").tobytes()
+                    first = part.column(at("start"))[k].as_py()
+                    lengths = part.column(at("length"))[k].values.to_pylist()
+                    for a, m in zip(begin[k].values.to_pylist(), lengths, strict=True):
+                        own.append(ids[4 * a:4 * (a + m)])
+                        starts.append(first + a)
+                    which += [k] * len(lengths)
+                taken = pa.array(which, pa.int64())
+                flat = [pa.concat_arrays([part.column(at(c))[k].values for k in rows]) for c in numbers]
+                yield pa.record_batch(
+                    [part.column(at("doc_id")).take(taken), part.column(at("source")).take(taken), pa.array(starts, pa.int64()),
+                     part.column(at("doc_tokens")).take(taken), *flat, pa.array(own, pa.binary())],
+                    names=["doc_id", "source", "start", "doc_tokens", *numbers, "ids"])
+
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    return map_arrow(joined, run, f"doc_id {kind}, source string, start bigint, doc_tokens bigint, length bigint, "
+                                  "sequence_id bigint, offset bigint, round bigint, ids binary")

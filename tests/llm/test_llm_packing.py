@@ -137,18 +137,43 @@ def test_weights(spark):
         packing.pack(df, PATH, weights={"hot": 0.0})
 
 
-def test_ids_of_batches(tokenizer):
+def test_ids_of_whole_texts(tokenizer):
     rng = random.Random(1)
-    spaces = [" ", "  ", "\n", "\t ", "\x0b", " ", "　 ", " ", "   ", "\x1c", "\x85 ", "  ", "  "]
+    spaces = [" ", "  ", "\n", "\t ", "\x0b", "\u00a0", "\u3000 ", "\u2009", "   ", "\x1c", "\x85 ", " \u00a0 ", "\u202f "]
     texts = ["".join(rng.choice(["word", "Ünï", "日本", "'s", "12", "!?", "<|endoftext|>", "😀", *spaces])
-                     for _ in range(rng.randrange(60))) for _ in range(300)] + ["", " ", "\n\n", "a" * 3000]
-    encoder = packing.Encoder(PATH, table_pieces=400, batch_bytes=2000)
-    raw = [t.encode() for t in texts] + ["".join(texts).encode()]
-    got = list(encoder.encode_each(iter([*raw, None])))
-    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "".join(texts), ""]]
-    assert [g.tolist() for g in got] == want
-    long_ = raw[-1]
-    assert b"".join(packing.sections(long_, 500)) == long_ and len(list(packing.sections(long_, 500))) > 20
+                     for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["", " ", "\n\n", "a" * 3000, " " * 3000, "é" * 700 + " x", "ab" * 127 + " " + "c" * 256]
+    for limit in (50, 1 << 20):
+        encoder = packing.Encoder(PATH, batch_bytes=limit)
+        for t in [*texts, "".join(texts)]:
+            assert encoder.encode(t.encode()).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(encoder.encode(None)) == 0
+    whole = "".join(texts).encode()
+    assert b"".join(packing.sections(whole, 500)) == whole and len(list(packing.sections(whole, 500))) > 20
+
+
+def test_the_fast_library_agrees_on_every_letter(tokenizer):
+    encoder = packing.Encoder(PATH)
+    assert encoder.fast is not None
+    rng = random.Random(2)
+    some = [chr(c) for c in [*range(0x3100), *range(0x3100, 0x20000, 13)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}{c} 1{c} '{c}  {c}\n" for c in some]
+    texts += [form.format(c) for c in some[:0x250] for form in ("x {0}s  {0}", "!{0}?", "'{0}'ll{0}", "{0}{0} {0}\n")]
+    texts += ["".join(rng.choices(some[:0x250], k=40)) for _ in range(1000)] + ["".join(rng.choices(some, k=40)) for _ in range(1000)]
+    for t in texts:
+        assert packing._short_runs(np.frombuffer(t.encode(), np.uint8))
+        assert encoder.encode(t.encode()).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not packing._short_runs(np.frombuffer(b"x" * 300, np.uint8))
+    assert not packing._short_runs(np.frombuffer(b"x" + b" " * 300 + b"y", np.uint8))
+
+
+def test_other_vocabularies_use_their_own_library():
+    from tokenizers import Tokenizer as Any
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Any.from_file(path)
+    encoder = packing.Encoder(path)
+    assert encoder.fast is None and packing.id_width(encoder, 1) == "<u2" and packing.id_width(encoder, 1 << 16) == "<u4"
+    assert encoder.encode(b"Some Words here").tolist() == own.encode("Some Words here", add_special_tokens=False).ids
 
 
 def test_tail():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,6 +15,17 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def field(name: str) -> Column:
+    """A column by its exact name (dots and back-ticks included)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def finite_sql(name: str) -> str:
+    """A column as a double in SQL text; NULL for NaN and infinities too."""
+    x = "CAST(`" + name.replace("`", "``") + "` AS DOUBLE)"
+    return f"CASE WHEN abs({x}) < double('infinity') THEN {x} END"      # NaN is above infinity
+
+
 def md5_int(*parts: str | Column, digits: int = 8) -> Column:
     """First ``digits`` (at most 15) hex digits of md5(p1|p2|...) as a bigint."""
     cols = []
@@ -29,6 +41,27 @@ def md5_uniform(*parts: str | Column) -> Column:
     return md5_int(*parts) / F.lit(TWO_POW_32)
 
 
+def poisson_count(rate: float, *parts: str | Column) -> Column:
+    """A Poisson(rate) number fixed by the hash of ``parts``: the inverse distribution
+    function at ``md5_uniform``.  Rates above 500 are sums of independent smaller ones, so
+    the table of thresholds stays short."""
+    draws = max(1, math.ceil(rate / 500))
+    small = rate / draws
+    term = total = math.exp(-small)
+    cuts = [total]
+    while total < 1 - 2.0 ** -34 and len(cuts) < small + 40 * math.sqrt(small) + 60:
+        term *= small / len(cuts)
+        total += term
+        cuts.append(total)
+    table = F.expr("array(" + ", ".join(f"{c!r}D" for c in cuts) + ")")
+
+    def count(i: int) -> Column:
+        u = md5_uniform(*parts, F.lit(str(i))) if i else md5_uniform(*parts)
+        return F.size(F.filter(table, lambda c: c <= u))
+
+    return sum((count(i) for i in range(1, draws)), count(0))
+
+
 def pair_code(a: str | Column, b: str | Column) -> Column:
     """First character of ``a`` followed by first character of ``b`` (null if either is)."""
     return F.concat(F.substring(col_(a), 1, 1), F.substring(col_(b), 1, 1))
@@ -45,7 +78,7 @@ def sql_literal(v, t: str | None = None) -> str:
     elif isinstance(v, bool):
         lit = "true" if v else "false"
     elif isinstance(v, float):
-        lit = repr(v) + "D"
+        lit = repr(v) + "D" if math.isfinite(v) else f"CAST('{v}' AS DOUBLE)"
     elif v is None:
         lit = "NULL"
     else:

@@ -65,6 +65,20 @@ def auc_roc(df: DataFrame, score: str = "score", label: str = "label", positive=
                            F.col("_u") / F.col("P") / F.col("N")).alias("auc_roc"))
 
 
+def auc_roc_by(df: DataFrame, by: list[str], score: str = "score", label: str = "label", positive=1) -> DataFrame:
+    """``auc_roc`` of every group: (by..., auc_roc); the area is null where a class is
+    missing.  ``by`` columns are non-null.  Counts by group and score are combined on the
+    map side and all groups share one running sum, so a group of any size is spread."""
+    is_pos = (F.col(label) == F.lit(positive)).cast("bigint")
+    counts = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+              .groupBy(*by, (-F.col(score)).alias("_desc"))
+              .agg(F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg")))
+    cum = running_sums(cut_lineage(counts, "score-counts-by"), ["_desc"], ["pos"], partition_cols=by)
+    u = F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - 0.5 * F.col("pos")))
+    both = (F.sum("pos") > 0) & (F.sum("neg") > 0)
+    return cum.groupBy(*by).agg(F.when(both, u / F.sum("pos") / F.sum("neg")).alias("auc_roc"))
+
+
 def roc_curve(df: DataFrame, score: str = "score", label: str = "label", positive=1,
               bins: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr): one point per distinct score (predict positive when

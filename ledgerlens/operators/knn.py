@@ -1,4 +1,6 @@
-"""Exact k nearest neighbours inside one table, without emitting all pairs (B6).
+"""k nearest neighbours inside one table, without emitting all pairs (B6).
+
+Exact, the default:
 
 0. Of rows with equal features only the k + 1 with the smallest keys can be neighbours of
    any row (ties go by key), so only these are candidates, however many rows are equal.
@@ -18,10 +20,21 @@ pruned (noise in many dimensions) every row visits every cell and the distances
 are computed, block by block, but still not emitted.  Distances are summed feature by feature
 from the left, so ties are exact and go by the neighbour's key.  Everything iterative is
 written to the shared checkpoint folder.
+
+Approximate (``strategy="approximate"``), for many rows in many dimensions, where exact
+bounds prune little: hash tables of random projections.  In each table a row's projections on
+a few random directions, cut at quantiles of a bounded sample, name its cell; all tables are
+cut as finely as makes a row's cell hold at most ``LEAF`` rows on average, so the work grows in
+proportion to the rows.  A row is compared with its own cell and with the cells beyond its
+nearest borders (the probes); all distances are exact, so whatever is found is ranked
+rightly, and only rows in none of the visited cells can be missed.  Rows for which fewer than
+k were found are searched again in coarser cells, in the end in all rows.  The sample of at
+most ``SAMPLE`` rows sets the cuts only; every row is in every table.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,10 +52,24 @@ BLOCK = 1024
 VISITS = 4096
 
 
+# approximate search
+LEAF = 512
+TABLES = 6
+DIRECTIONS = 3
+PROBES = 3
+FINE_BITS = 12
+SAMPLE = 1 << 15
+
+
 def knn_within(df: DataFrame, key: str, features: Sequence[str], k: int = 5, block: int = BLOCK,
-               max_pivots: int = MAX_PIVOTS) -> DataFrame:
+               max_pivots: int = MAX_PIVOTS, strategy: str = "exact", **options) -> DataFrame:
     """(key, neighbor_rank, neighbor_key, distance): the k nearest other rows of
-    each row in Euclidean distance over ``features``; ties by neighbour key."""
+    each row in Euclidean distance over ``features``; ties by neighbour key.
+    ``strategy="approximate"`` may miss some (options of ``knn_approximate``)."""
+    if strategy == "approximate":
+        return knn_approximate(df, key, features, k, block=block, **options)
+    if strategy != "exact" or options:
+        raise ValueError(f"unknown strategy {strategy!r} or options {sorted(options)}")
     return knn_tables(df, key, features, k, block, max_pivots)[0]
 
 
@@ -53,14 +80,7 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5, blo
     order as ``_krank``)."""
     features = list(features)
     spark = df.sparkSession
-    pts = cut_lineage(df.select(F.col(key).alias("_key"),
-                                *[F.col(f).cast("double").alias(f) for f in features]), "knn-points")
-    stats = pts.agg(F.count(F.lit(1)).alias("n"), *[
-        F.count(F.when(F.col(f).isNotNull() & ~F.isnan(f), 1)).alias(f"c{i}") for i, f in enumerate(features)]).first()
-    n = int(stats["n"])
-    empty = [f for i, f in enumerate(features) if stats[f"c{i}"] < n]
-    if empty:    # a distance to a missing value does not exist
-        raise ValueError(f"NULL or NaN in features {empty}: drop or fill these rows first")
+    pts, n = _points(df, key, features)
     key_type = df.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, neighbor_rank int, neighbor_key {key_type}, distance double"
     if n == 0:
@@ -100,6 +120,136 @@ def knn_tables(df: DataFrame, key: str, features: Sequence[str], k: int = 5, blo
                       F.col("nk").alias("neighbor_key"), F.sqrt("d2").alias("distance")), points
 
 
+def _points(df: DataFrame, key: str, features: list[str]) -> tuple[DataFrame, int]:
+    """(written _key and features as doubles, number of rows); missing values raise."""
+    pts = cut_lineage(df.select(F.col(key).alias("_key"),
+                                *[F.col(f).cast("double").alias(f) for f in features]), "knn-points")
+    stats = pts.agg(F.count(F.lit(1)).alias("n"), *[
+        F.count(F.when(F.col(f).isNotNull() & ~F.isnan(f), 1)).alias(f"c{i}") for i, f in enumerate(features)]).first()
+    empty = [f for i, f in enumerate(features) if stats[f"c{i}"] < stats["n"]]
+    if empty:    # a distance to a missing value does not exist
+        raise ValueError(f"NULL or NaN in features {empty}: drop or fill these rows first")
+    return pts, int(stats["n"])
+
+
+def knn_approximate(df: DataFrame, key: str, features: Sequence[str], k: int = 5, block: int = BLOCK, tables: int = TABLES,
+                    directions: int = DIRECTIONS, probes: int = PROBES, leaf: int = LEAF, visits: int = VISITS,
+                    seed: int = 0) -> DataFrame:
+    """``knn_within`` by hash tables of random projections; rows and ranks as there, but a
+    neighbour may be missed.  More tables, more probes or larger cells miss fewer."""
+    features = list(features)
+    spark = df.sparkSession
+    pts, n = _points(df, key, features)
+    key_type = df.schema[key].dataType.simpleString()
+    if n == 0:
+        return spark.createDataFrame([], f"{key} {key_type}, neighbor_rank int, neighbor_key {key_type}, distance double")
+    want = min(k, n - 1)
+    vectors = _candidates(pts.select("_key", F.array(*features).alias("v")), k, n)
+    sample = pts.select(F.array(*features).alias("v")).orderBy(F.xxhash64("_key"), "_key").limit(min(SAMPLE, n)).collect()
+    hashed = cut_lineage(_hashed(vectors, np.array([r["v"] for r in sample], dtype=np.float64), key_type, tables, directions,
+                                 seed), "knn-hashed")
+    level = _level(hashed, n, tables, leaf)
+    queries, found = hashed, None
+    while True:
+        top = cut_lineage(_search(hashed, queries, level, tables, directions, probes, k, block, visits, key_type), "knn-found")
+        enough = top.groupBy("qk").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= want).select(F.col("qk").alias("_key"))
+        found = top.join(enough.withColumnRenamed("_key", "qk"), "qk", "left_semi") if found is None else found.unionByName(
+            top.join(enough.withColumnRenamed("_key", "qk"), "qk", "left_semi"))
+        if level == 0 or want == 0:
+            break
+        queries = cut_lineage(queries.join(enough, "_key", "left_anti"), "knn-short")
+        if not queries.limit(1).count():
+            break
+        level = max(0, level - 2)
+    return found.select(F.col("qk").alias(key), F.col("r").cast("int").alias("neighbor_rank"),
+                        F.col("nk").alias("neighbor_key"), F.sqrt("d2").alias("distance"))
+
+
+def _hashed(vectors: DataFrame, sample: np.ndarray, key_type: str, tables: int, directions: int, seed: int) -> DataFrame:
+    """Adds fine: for each table and direction the row's place among 2^12 quantiles of the
+    sample's projections (table-major)."""
+    rng = np.random.default_rng(seed)
+    d = sample.shape[1]
+    lines = rng.standard_normal((tables * directions, d))
+    share = np.arange(1, 1 << FINE_BITS) / (1 << FINE_BITS)
+    edges = [np.quantile(_project(sample, line), share) for line in lines]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+            fine = np.stack([np.searchsorted(e, _project(v, line), side="right") for line, e in zip(lines, edges, strict=True)], axis=1)
+            at = pa.array(np.arange(0, fine.size + 1, fine.shape[1]), pa.int32())
+            yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(at, pa.array(fine.ravel(), pa.int32()))],
+                                  names=["_key", "v", "candidate", "fine"])
+    return vectors.mapInArrow(run, f"_key {key_type}, v array<double>, candidate boolean, fine array<int>")
+
+
+def _project(v: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Feature by feature from the left, so that equal rows have equal projections."""
+    out = np.zeros(len(v))
+    for f in range(len(line)):
+        out += v[:, f] * line[f]
+    return out
+
+
+def _cell_sql(t: int, directions: int, level: int, moves: Sequence[int] = ()) -> str:
+    """The cell of table ``t`` as SQL; directions in ``moves`` step over their nearer border."""
+    shift = FINE_BITS - level
+    parts = []
+    for j in range(directions):
+        q = f"fine[{t * directions + j}]"
+        cell = f"shiftright({q}, {shift})"
+        if j in moves:      # the border nearer to the row's place in its cell
+            cell += f" + CASE WHEN ({q} & {(1 << shift) - 1}) * 2 < {(1 << shift) - 1} THEN -1 ELSE 1 END"
+        parts.append(cell)
+    return f"xxhash64({t}, {', '.join(parts)})"
+
+
+def _level(hashed: DataFrame, n: int, tables: int, leaf: int) -> int:
+    """The least number of halvings for which a row's cell holds ``leaf`` candidates on average."""
+    directions = len(hashed.select("fine").first()["fine"]) // tables
+    cells = hashed.filter("candidate")
+    for level in range(FINE_BITS):
+        codes = F.expr("array(" + ", ".join(_cell_sql(t, directions, level) for t in range(tables)) + ")")
+        sizes = cells.select(F.explode(codes).alias("cell")).groupBy("cell").count()
+        met, rows = sizes.agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
+        if rows is None or met <= leaf * rows:
+            return level
+    return FINE_BITS
+
+
+def _search(hashed: DataFrame, queries: DataFrame, level: int, tables: int, directions: int, probes: int, k: int, block: int,
+            visits: int, key_type: str) -> DataFrame:
+    """(qk, nk, d2, r): the best k rows that each query met in its cells."""
+    if level == 0:
+        tables, probes = 1, 0       # one cell holds all rows
+    subsets = sorted((m for c in range(directions + 1) for m in itertools.combinations(range(directions), c)), key=len)
+    cells = "array(" + ", ".join(f"named_struct('t', {t}, 'cell', {_cell_sql(t, directions, level)})" for t in range(tables)) + ")"
+    own = hashed.filter("candidate").select("_key", "v", F.explode(F.expr(cells)).alias("c")).select("c.t", "c.cell", "_key", "v")
+    sizes = cut_lineage(own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "knn-cell-sizes")
+    own = cut_lineage(own.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")),
+                      "knn-cell-rows")
+    # the first table's cells bound every row's k-th distance
+    bounds = _upper_bounds(own.filter("t = 0").select("cell", "block", "_key", "v"), k, key_type).select("_key", "tau")
+    asking = queries.join(bounds, "_key", "left").withColumn(
+        "tau", F.when(F.col("candidate"), F.coalesce("tau", F.lit(float("inf")))).otherwise(F.lit(0.0)))
+    met = "array(" + ", ".join(_cell_sql(t, directions, level, m) for t in range(tables) for m in subsets[:1 + probes]) + ")"
+    asked = asking.select("_key", "v", "tau", F.explode(F.array_distinct(F.expr(met))).alias("cell"))
+    asked = cut_lineage(asked.join(sizes, "cell"), "knn-asked")
+    parts = cut_lineage(asked.groupBy("cell").agg(F.first("blocks").alias("blocks"), F.ceil(F.count(F.lit(1)) / visits)
+                                                  .cast("int").alias("parts")), "knn-cell-parts")
+    ask = asked.drop("blocks").join(parts, "cell").withColumn(
+        "part", F.pmod(F.xxhash64("_key", F.lit(1)), F.col("parts")).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "part", "_key", "v", "tau")
+    have = own.drop("blocks").join(parts, "cell").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "block", "part", "_key", "v")
+    pairs = _meet(ask, have, k, key_type).groupBy("qk", "nk").agg(F.min("d2").alias("d2"))
+    order = Window.partitionBy("qk").orderBy("d2", "nk")
+    return pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+
+
 def _candidates(vectors: DataFrame, k: int, n: int) -> DataFrame:
     """(_key, v, candidate): is the row's key among the k + 1 smallest of the rows with its
     features?  Ranked inside hash buckets first, so no task holds all equal rows."""

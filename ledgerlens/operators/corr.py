@@ -4,43 +4,79 @@ Pearson for all pairs: a mean pass, then one pass of centred plain sums
 (few aggregation buffers, so the pass stays in whole-stage codegen); with
 NULLs, pairwise deletion through covariance and masked deviations.  The
 result is reshaped to long form; a constant column gives NULL, not an error.  Spearman = Pearson over average
-ranks; ranks come from value counts and distributed running sums, joined
-back per column (AQE turns a small rank table into a broadcast at run time).
+ranks; ranks come from value counts and distributed running sums; they come
+back as broadcasts for columns of few values, in one long join for all others.
+
+Many columns (more than ``WIDE``) take another way: one aggregate for each pair would be a
+plan of columns squared.  Each task adds up Gram matrices of its rows in numpy, one block of
+columns against another, and emits one row for each pair of blocks; these partial sums are
+added in groups of ``FAN_IN``, so no task reads more than that many blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import field
 from ..functions.prefix import running_sums
 from ..session import cut_lineage
 
 
+FEW_VALUES = 10_000     # distinct values of a column whose ranks are broadcast
+HOT_PARTS = 1000
+
+
 def average_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Replace each column by its average rank (1-based; ties share the mean).
 
-    All columns are ranked together: value counts per (column, value) are
-    checkpointed once (the raw rows are read once), running sums restart per
-    column, and each column joins back to its own slice of the rank table."""
+    Value counts per (column, value) are written once (the raw rows are read once), running
+    sums restart per column.  Ranks come back in two ways, by a column's number of distinct
+    values: up to ``FEW_VALUES`` as a broadcast of that bounded size; all other columns
+    together, as one join in long form.  Values that hold more than a thousandth of the long
+    rows (fewer than 1,000) are broadcast too, so no task gets a hot value.  The rows are put
+    together again by a row number.  NULL in any of these other columns drops the row."""
     cols = list(cols)
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v"))
-                    for c in cols])
+    number = {c: i for i, c in enumerate(cols)}
+    arr = F.array(*[F.struct(F.lit(i).alias("_i"), field(c).cast("double").alias("_v")) for c, i in number.items()])
     counts = (df.select(F.explode(arr).alias("e")).select("e.*").filter(F.col("_v").isNotNull())
-              .groupBy("column_name", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    counts = cut_lineage(counts)
-    cum = running_sums(counts, ["_v"], ["_c"], partition_cols=["column_name"])
-    ranks = cut_lineage(cum.select("column_name", "_v", (F.col("cum__c") - (F.col("_c") - 1) / 2.0).alias("_rank")))
+              .groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    counts = cut_lineage(counts, "rank-counts")
+    cum = running_sums(counts, ["_v"], ["_c"], partition_cols=["_i"])
+    ranks = cut_lineage(cum.select("_i", "_v", "_c", (F.col("cum__c") - (F.col("_c") - 1) / 2.0).alias("_rank")), "ranks")
+    size = {r["_i"]: (r["n"], r["rows"]) for r in ranks.groupBy("_i").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_c").alias("rows")).collect()}        # one row per column
+    few = [c for c, i in number.items() if size.get(i, (0, 0))[0] <= FEW_VALUES]
+    many = [c for c in cols if c not in few]
     out = df
-    for c in cols:
-        r = ranks.filter(F.col("column_name") == c).select(F.col("_v").alias("_key_" + c),
-                                                            F.col("_rank").alias("_rank_" + c))
-        out = out.join(r, F.col(c).cast("double") == F.col("_key_" + c), "inner").drop("_key_" + c)
-        if not suffix:
-            out = out.drop(c)
-        out = out.withColumnRenamed("_rank_" + c, c + suffix)
+    if many:
+        rest = [c for c in df.columns if suffix or c not in many]
+        kept = F.struct(*[field(c).alias(f"k{k}") for k, c in enumerate(rest)], F.lit(0).alias("_none"))
+        rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), kept.alias("_kept"), F.array(*[
+            F.struct(F.lit(number[c]).alias("_i"), field(c).cast("double").alias("_v")) for c in many]).alias("_x")), "rank-rows")
+        long = rows.select("_row", F.explode("_x").alias("e")).select("_row", "e._i", "e._v")
+        total = sum(size[number[c]][1] for c in many)
+        own = ranks.filter(F.col("_i").isin([number[c] for c in many]))
+        hot = F.broadcast(own.filter(F.col("_c") * HOT_PARTS > total).select("_i", "_v", F.col("_rank").alias("_hot")))
+        flagged = long.join(hot, ["_i", "_v"], "left")
+        found = flagged.filter(F.col("_hot").isNotNull()).select("_row", "_i", F.col("_hot").alias("_rank")).unionByName(
+            flagged.filter(F.col("_hot").isNull()).join(own, ["_i", "_v"]).select("_row", "_i", "_rank"))
+        wide = found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), *[
+            F.max(F.when(F.col("_i") == number[c], F.col("_rank"))).alias(f"_r{number[c]}") for c in many])
+        wide = wide.filter(F.col("_n") == len(many))
+        joined = rows.select("_row", "_kept").join(wide, "_row")
+        out = joined.select(*[F.col("_kept").getField(f"k{k}").alias(c) for k, c in enumerate(rest)],
+                            *[F.col(f"_r{number[c]}").alias(c + suffix) for c in many])
+    for c in few:
+        r = F.broadcast(ranks.filter(F.col("_i") == number[c]).select(F.col("_v").alias("_key"), F.col("_rank").alias("_own")))
+        others = [x for x in out.columns if suffix or x != c]
+        out = out.join(r, field(c).cast("double") == F.col("_key"), "inner").select(
+            *[field(x) for x in others], F.col("_own").alias(c + suffix))
     return out
 
 
@@ -103,11 +139,122 @@ def _pearson_centred(base: DataFrame, cols: Sequence[str], means: list[float]) -
     return _long_form(row, cols, rs)
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
-    """Long form (feature_x, feature_y, correlation) of every ordered pair, diagonal included."""
+# ---------------------------------------------------------------- many columns
+WIDE = 40
+BLOCK = 128                # columns of a block
+TASK_BYTES = 64 << 20      # partial sums that a task holds
+FAN_IN = 32
+CENTRE_ROWS = 999
+
+
+def _gram(x: np.ndarray, y: np.ndarray, here: np.ndarray, there: np.ndarray, complete: bool) -> np.ndarray:
+    """Sums of a block of columns against another over some rows (missing values as 0), all in
+    one vector.  Complete: rows, sums and squares of both sides, products.  Else all of these
+    for each pair of columns, over the rows that have both."""
+    if complete:
+        one = np.array([float(len(x))])
+        return np.concatenate([one, x.sum(0), y.sum(0), (x * x).sum(0), (y * y).sum(0), (x.T @ y).ravel()])
+    return np.concatenate([m.ravel() for m in (here.T @ there, x.T @ there, here.T @ y, (x * x).T @ there, here.T @ (y * y), x.T @ y)])
+
+
+def _correlations(sums: np.ndarray, nx: int, ny: int, complete: bool) -> np.ndarray:
+    """(nx, ny) correlations from the sums of ``_gram``; nan where a side does not vary."""
+    if complete:
+        n, rest = sums[0], sums[1:]
+        sx, sy, qx, qy = (v for v in np.split(rest[:2 * (nx + ny)], np.cumsum([nx, ny, nx])))
+        p = rest[2 * (nx + ny):].reshape(nx, ny)
+        sx, qx, sy, qy = sx[:, None], qx[:, None], sy[None, :], qy[None, :]
+    else:
+        n, sx, sy, qx, qy, p = sums.reshape(6, nx, ny)
+    with np.errstate(all="ignore"):
+        vx, vy = qx / n - (sx / n) ** 2, qy / n - (sy / n) ** 2
+        r = (p / n - sx * sy / n ** 2) / np.sqrt(vx * vy)
+        flat = (vx <= 1e-14 * qx / n) | (vy <= 1e-14 * qy / n)
+    return np.where(flat, np.nan, np.clip(r, -1.0, 1.0))
+
+
+def _pearson_wide(base: DataFrame, cols: Sequence[str], block: int = BLOCK, fan_in: int = FAN_IN,
+                  task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Block-wise Gram matrices, pairwise deletion of NULLs.  One pass over the rows for every
+    ``task_bytes`` of partial sums (about 4,000 columns without NULLs)."""
+    cols = list(cols)
+    counts = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(_q(c))).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    if not counts["n"]:
+        names = F.array(*[F.lit(c) for c in cols])
+        return base.sparkSession.range(1).select(F.explode(names).alias("feature_x")).select(
+            "feature_x", F.explode(names).alias("feature_y"), F.lit(None).cast("double").alias("correlation"))
+    complete = all(counts[f"c{i}"] == counts["n"] for i in range(len(cols)))
+    rows = base.select(F.array(*[F.col(_q(c)).cast("double") for c in cols]).alias("x"))
+    # any value near the middle serves as origin; a constant column must become 0 exactly
+    some = np.array([r["x"] for r in rows.limit(CENTRE_ROWS).collect()], dtype=np.float64).reshape(-1, len(cols))
+    centre = np.array([np.median(v) if len(v) else 0.0 for v in (c[np.isfinite(c)] for c in some.T)])
+    starts = list(range(0, len(cols), block))
+    pairs = [(i, j) for i in range(len(starts)) for j in range(i, len(starts))]
+    each = max(1, task_bytes // (8 * block * block * (1 if complete else 6)))
+    parts = None
+    for at in range(0, len(pairs), each):
+        own = _partial_sums(rows, centre, pairs[at:at + each], starts, block, complete)
+        parts = own if parts is None else parts.unionByName(own)
+    sums = cut_lineage(parts, "correlation-parts")
+    tasks = (sums.agg(F.max("part")).first()[0] or 0) + 1
+    while tasks > 1:
+        def added(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v.as_py()) for v in table.column("sums"))
+            first = table.slice(0, 1)
+            return pa.table({"i": first["i"], "j": first["j"], "part": first["part"], "sums": pa.array([total.tobytes()], pa.binary())})
+        grouped = sums.withColumn("part", F.expr(f"part div {fan_in}")).groupBy("i", "j", "part")
+        sums = cut_lineage(grouped.applyInArrow(added, "i int, j int, part bigint, sums binary"), "correlation-sums")
+        tasks = -(-tasks // fan_in)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, v in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                left, right = cols[starts[i]:starts[i] + block], cols[starts[j]:starts[j] + block]
+                r = _correlations(np.frombuffer(v), len(left), len(right), complete)
+                values = pa.array(r.ravel(), pa.float64(), mask=np.isnan(r.ravel()))
+                a, b = np.repeat(left, len(right)).tolist(), left and list(right) * len(left)
+                yield pa.record_batch([pa.array(a), pa.array(b), values], names=["feature_x", "feature_y", "correlation"])
+                if i != j:
+                    yield pa.record_batch([pa.array(b), pa.array(a), values], names=["feature_x", "feature_y", "correlation"])
+
+    return sums.mapInArrow(finished, "feature_x string, feature_y string, correlation double")
+
+
+def _partial_sums(rows: DataFrame, centre: np.ndarray, pairs: list[tuple[int, int]], starts: list[int], block: int,
+                  complete: bool) -> DataFrame:
+    """(i, j, part, sums): one row for each task and pair of blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0.0] * len(pairs)
+        seen = False
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                column = batch.column(0).slice(at, 4096)
+                flat = column.flatten()
+                x = flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) - centre
+                here = None if complete else flat.is_valid().to_numpy(zero_copy_only=False).reshape(x.shape).astype(np.float64)
+                if here is not None:
+                    x = np.where(here > 0, x, 0.0)
+                side = lambda m, k: None if m is None else m[:, starts[k]:starts[k] + block]
+                for k, (i, j) in enumerate(pairs):
+                    sums[k] = sums[k] + _gram(side(x, i), side(x, j), side(here, i), side(here, j), complete)
+                seen = True
+        if seen:
+            n = TaskContext.get().partitionId()
+            yield pa.record_batch([pa.array([i for i, _ in pairs], pa.int32()), pa.array([j for _, j in pairs], pa.int32()),
+                                   pa.array([n] * len(pairs), pa.int64()), pa.array([v.tobytes() for v in sums], pa.binary())],
+                                  names=["i", "j", "part", "sums"])
+
+    return rows.mapInArrow(run, "i int, j int, part bigint, sums binary")
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", wide: bool | None = None) -> DataFrame:
+    """Long form (feature_x, feature_y, correlation) of every ordered pair, diagonal included.
+    ``wide`` forces or forbids the way of many columns (Pearson)."""
     cols = list(cols)
     if method == "spearman":
-        complete = df.select(*cols).dropna()
+        complete = df.select(*[field(c) for c in cols])
+        for c in cols:
+            complete = complete.filter(field(c).isNotNull() & ~F.isnan(field(c).cast("double")))
         n = complete.count()  # a pruned scan of the source, no rank joins
         base = average_ranks(complete, cols)
         if n > 0:
@@ -116,12 +263,14 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
             return _pearson_centred(base, cols, [(n + 1) / 2.0] * len(cols))
         return _pearson_pairwise(base, cols)
     if method == "pearson":
-        base = df.select(*cols)
+        base = df.select(*[F.col(_q(c)) for c in cols])
     else:
         raise ValueError(f"unknown method {method!r}")
+    if wide or (wide is None and len(cols) > WIDE):
+        return _pearson_wide(base, cols)
     first = base.agg(F.count(F.lit(1)).alias("_n"),
-                     *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                     *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+                     *[F.count(F.col(_q(c))).alias(f"n{i}") for i, c in enumerate(cols)],
+                     *[F.avg(F.col(_q(c)).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     complete = all(first[f"n{i}"] == first["_n"] for i in range(len(cols)))
     if complete and first["_n"] > 0:
         return _pearson_centred(base, cols, [float(first[f"m{i}"]) for i in range(len(cols))])

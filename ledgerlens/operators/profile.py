@@ -139,7 +139,7 @@ def profile_missing(df: DataFrame) -> DataFrame:
     """(column_name, n_missing, pct_missing) for every column, one aggregate."""
     cols = df.columns
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.sum(F.col(c).isNull().cast("int")).alias(f"m{i}") for i, c in enumerate(cols)])
+                 *[F.sum(F.col(_q(c)).isNull().cast("int")).alias(f"m{i}") for i, c in enumerate(cols)])
     items = [F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").cast("bigint").alias("n_missing"),
                       F.when(F.col("_rows") > 0, F.col(f"m{i}") / F.col("_rows")).alias("pct_missing"))
              for i, c in enumerate(cols)]

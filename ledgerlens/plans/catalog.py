@@ -560,6 +560,14 @@ def q_correlation_matrix_spearman(spark, d):
     return round_doubles(corr.correlation_matrix(S.table(spark, d, "lineitem"), _LI_NUM, "spearman"))
 
 
+@query("correlation_wide_embeddings", """
+WITH long AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
+SELECT concat('e', CAST(a.i - 1 AS VARCHAR)) AS feature_x, concat('e', CAST(b.i - 1 AS VARCHAR)) AS feature_y,
+       round(corr(a.v, b.v), 6) AS correlation FROM long a JOIN long b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""")
+def q_correlation_wide_embeddings(spark, d):
+    return round_doubles(corr.correlation_matrix(_embeddings_wide(spark, d), _EMB))
+
+
 @query("top_features", with_(S.FEATURES_SQL, "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, round({_pearson_sql('isFraud', f)}, 6) AS correlation, "
     f"round(abs({_pearson_sql('isFraud', f)}), 6) AS abs_correlation FROM feat" for f in S.FEATURES)
@@ -713,6 +721,11 @@ def q_knn_embeddings_all(spark, d):
     return round_doubles(knn.knn_within(_embeddings_wide(spark, d), "vec_id", _EMB, 5))
 
 
+@query("knn_approximate_embeddings", None)
+def q_knn_approximate_embeddings(spark, d):
+    return round_doubles(knn.knn_within(_embeddings_wide(spark, d), "vec_id", _EMB, 5, strategy="approximate", leaf=256))
+
+
 def _oversample_sql(src: str, key: str, label: str, cols: str, seed: int = 88) -> str:
     u = f"CAST(('0x' || substr(md5(concat('{seed}', '|', 'r', '|', CAST({key} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0"
     return f"""
@@ -741,13 +754,60 @@ def q_oversample_labels(spark, d):
     return balance.oversample_minority(t, "toxic", "doc_id", ratio=1.0)
 
 
-@query("oversample_random", None)
+def _poisson_sql(src: str, key: str, label: str, cols: str, seed: int = 88) -> str:
+    """Copies by the inverse Poisson distribution at the key's hash, thresholds by recursion."""
+    u = _U_SQL.format(seed=f"'{seed}|p'", key=key)
+    return f"""WITH RECURSIVE cnt AS (
+  SELECT CAST(sum(CASE WHEN {label} <> 1 THEN 1 ELSE 0 END) AS DOUBLE) / sum(CASE WHEN {label} = 1 THEN 1 ELSE 0 END) AS r
+  FROM {src}),
+cdf AS (SELECT 0 AS i, exp(-r) AS term, exp(-r) AS total, r FROM cnt
+        UNION ALL SELECT i + 1, term * r / (i + 1), total + term * r / (i + 1), r FROM cdf WHERE i < 200),
+own AS (SELECT {cols}, (SELECT count(*) FROM cdf WHERE total <= {u}) AS n FROM {src} WHERE {label} = 1)
+SELECT {cols}, 1 AS copy FROM {src} WHERE {label} <> 1 OR {label} IS NULL
+UNION ALL SELECT {cols}, CAST(c.copy AS INTEGER) AS copy FROM own, LATERAL (SELECT unnest(range(1, n + 1)) AS copy) c"""
+
+
+@query("oversample_random", _poisson_sql("labels", "doc_id", "toxic", "doc_id, quality, toxic"))
 def q_oversample_random(spark, d):
     t = S.table(spark, d, "labels")
     return balance.oversample_minority(t, "toxic", "doc_id", ratio=1.0, mode="random", seed=88)
 
 
-@query("balance_two_rounds", None)
+def _deduped_sql(src: str, cols: list[str], key: str = "event_id") -> str:
+    return f"SELECT min({key}) AS {key}, {', '.join(cols)} FROM {src} GROUP BY ALL"
+
+
+def _round_sql(src: str, p: str, seed: int, int_cols: list[str], k: int = 5) -> str:
+    """CTEs of one balancing round over ``src`` (event_id, features, isFraud); {p}out is its
+    deduplicated result.  Neighbours are found for the bases that are drawn."""
+    h = lambda tag, digits: _H_SQL.format(seed=seed, tag=tag, i="i", digits=digits)
+    outs = []
+    for c in S.FEATURES:
+        v = f"CAST(b.{c} AS DOUBLE) + u * (CAST(n.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE))"
+        outs.append(f"CAST(trunc({v}) AS INTEGER) AS {c}" if c in int_cols else f"{v} AS {c}")
+    return f"""
+{p}min AS (SELECT *, row_number() OVER (ORDER BY event_id) AS kidx FROM {src} WHERE isFraud = 1),
+{p}cnt AS (SELECT greatest(0, CAST(sum(1 - 2 * isFraud) AS BIGINT)) AS n_new, CAST(sum(isFraud) AS BIGINT) AS mn,
+                  max(event_id) AS top FROM {src}),
+{p}gen AS (SELECT i, top, {h('b', 15)} % mn + 1 AS kidx, CAST({h('k', 15)} % {k} + 1 AS INTEGER) AS nr,
+                  {h('g', 8)} / 4294967296.0 AS u FROM (SELECT unnest(range(n_new)) AS i, mn, top FROM {p}cnt)),
+{p}nb AS (SELECT ak, bk, row_number() OVER (PARTITION BY ak ORDER BY d2, bk) AS nr
+          FROM (SELECT a.event_id AS ak, b.event_id AS bk, {_d2_sql('a', 'b', S.FEATURES)} AS d2
+                FROM {p}min a JOIN {p}min b ON a.event_id <> b.event_id
+                WHERE a.kidx IN (SELECT kidx FROM {p}gen)) QUALIFY nr <= {k}),
+{p}syn AS (SELECT top + 1 + i AS event_id, {', '.join(outs)}, 1 AS isFraud
+           FROM {p}gen g JOIN {p}min b ON b.kidx = g.kidx JOIN {p}nb x ON x.ak = b.event_id AND x.nr = g.nr
+           JOIN {p}min n ON n.event_id = x.bk),
+{p}all AS (SELECT event_id, {', '.join(S.FEATURES)}, isFraud FROM {src} UNION ALL
+           SELECT event_id, {', '.join(S.FEATURES)}, isFraud FROM {p}syn),
+{p}out AS ({_deduped_sql(f"{p}all", [*S.FEATURES, "isFraud"])})"""
+
+
+_BALANCED_COLS = "event_id, step, round(amount, 6) AS amount, " + ", ".join(S.FEATURES[2:]) + ", isFraud"
+
+
+@query("balance_two_rounds", with_(S.FEATURES_SQL + "," + _round_sql("feat", "a_", 42, _INT_FEATS) + ","
+                                   + _round_sql("a_out", "b_", 43, _INT_FEATS), f"SELECT {_BALANCED_COLS} FROM b_out"))
 def q_balance_two_rounds(spark, d):
     from .flow import prepared_features
     p = prepared_features(spark, d)
@@ -755,6 +815,55 @@ def q_balance_two_rounds(spark, d):
                                          int_cols=_INT_FEATS))
 
 
+_CATS_SQL = S.TXN_SQL + """,
+tx AS (SELECT event_id, step, amount, type, concat(substr(nameOrig, 1, 1), substr(nameDest, 1, 1)) AS type2, isFraud FROM txn),
+mc AS (SELECT *, row_number() OVER (ORDER BY event_id) AS kidx FROM tx WHERE isFraud = 1)"""
+
+
+def _smote_mixed_sql(select: str, seed: int = 42, k: int = 5) -> str:
+    """Mixed distance: a category that differs counts the squared median of the numeric
+    columns' deviations; categories by majority of the k neighbours, ties by label."""
+    h = lambda tag, digits: _H_SQL.format(seed=seed, tag=tag, i="i", digits=digits)
+    vote = lambda c: f"""SELECT ak, {c} FROM (SELECT ak, {c}, count(*) AS c FROM nb JOIN mc ON mc.event_id = bk GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY ak ORDER BY c DESC, {c}) = 1"""
+    differ = " + ".join(f"CASE WHEN a.{c} <> b.{c} THEN pp ELSE 0 END + CASE WHEN a.{c} <> b.{c} THEN pp ELSE 0 END"
+                        for c in ("type", "type2"))
+    return with_(_CATS_SQL + f""",
+pen AS (SELECT p * p AS pp FROM (SELECT (stddev_pop(CAST(step AS DOUBLE)) + stddev_pop(amount)) / 2 / sqrt(2) AS p FROM mc)),
+cnt AS (SELECT CAST(sum(1 - 2 * isFraud) AS BIGINT) AS n_new, CAST(sum(isFraud) AS BIGINT) AS mn FROM tx),
+gen AS (SELECT i, {h('b', 15)} % mn + 1 AS kidx, CAST({h('k', 15)} % {k} + 1 AS INTEGER) AS nr,
+               {h('g', 8)} / 4294967296.0 AS u FROM (SELECT unnest(range(n_new)) AS i, mn FROM cnt)),
+nb AS (SELECT ak, bk, row_number() OVER (PARTITION BY ak ORDER BY d2, bk) AS nr
+       FROM (SELECT a.event_id AS ak, b.event_id AS bk, {_d2_sql('a', 'b', ['step', 'amount'])} + {differ} AS d2
+             FROM mc a JOIN mc b ON a.event_id <> b.event_id, pen) QUALIFY nr <= {k}),
+v1 AS ({vote('type')}), v2 AS ({vote('type2')}),
+syn AS (SELECT g.i AS synthetic_id,
+          CAST(trunc(CAST(b.step AS DOUBLE) + u * (CAST(n.step AS DOUBLE) - CAST(b.step AS DOUBLE))) AS INTEGER) AS step,
+          round(b.amount + u * (n.amount - b.amount), 6) AS amount, v1.type, v2.type2, 1 AS isFraud
+        FROM gen g JOIN mc b ON b.kidx = g.kidx JOIN nb ON nb.ak = b.event_id AND nb.nr = g.nr
+        JOIN mc n ON n.event_id = nb.bk JOIN v1 ON v1.ak = b.event_id JOIN v2 ON v2.ak = b.event_id)""", select)
+
+
+@query("smote_categories", _smote_mixed_sql("SELECT synthetic_id, step, amount, type, type2, isFraud FROM syn"))
+def q_smote_categories(spark, d):
+    t = features.pair_code(S.txn(spark, d)).select("event_id", "step", "amount", "type", "type2", S.LABEL)
+    return round_doubles(balance.smote(t, S.LABEL, ["step", "amount", "type", "type2"], "event_id", k=5, seed=42,
+                                       int_cols=["step"], categorical=["type", "type2"]))
+
+
+_ONE_HOT_GROUPS = [[f"type_{v}" for v in S.TYPE_LABELS], [f"type2_{v}" for v in S.TYPE2_LABELS]]
+
+
+@query("smote_one_hot_groups", _smote_mixed_sql(
+    "SELECT synthetic_id, step, amount, " + ", ".join(f"CAST(type = '{v}' AS INTEGER) AS type_{v}" for v in S.TYPE_LABELS)
+    + ", " + ", ".join(f"CAST(type2 = '{v}' AS INTEGER) AS type2_{v}" for v in S.TYPE2_LABELS) + ", isFraud FROM syn"))
+def q_smote_one_hot_groups(spark, d):
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    return round_doubles(balance.smote(p, S.LABEL, S.FEATURES, "event_id", k=5, seed=42, int_cols=_INT_FEATS,
+                                       categorical=_ONE_HOT_GROUPS))
+
+
 # ======================================================================= S1-S5 (files)
 from ..session import cut_lineage, scratch_dir  # noqa: E402
 from ..sources import files  # noqa: E402
@@ -791,6 +900,53 @@ def q_read_csv_typed(spark, d):
     return typed.drop(files.CORRUPT)
 
 
+# lines of a file with every tenth line or so wrong in one of four ways, and some right ones
+# with a quoted separator
+_LINE_COLS = ["event_id", "step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest",
+              "oldbalanceDest", "newbalanceDest", "isFraud", "isFlaggedFraud"]
+
+
+def _line_text(text: str) -> str:
+    """The line as SQL for both engines; ``text`` is the string type."""
+    cell = {c: f"CAST({c} AS {text})" for c in _LINE_COLS}
+    cell["step"] = f"CASE WHEN event_id % 79 = 0 THEN '12.5' ELSE {cell['step']} END"
+    cell["amount"] = f"CASE WHEN event_id % 83 = 0 THEN 'abc' ELSE {cell['amount']} END"
+    cell["nameOrig"] = f"CASE WHEN event_id % 73 = 0 THEN '\"C,1\"' ELSE nameOrig END"
+    cell["isFlaggedFraud"] = "CASE WHEN event_id % 89 = 0 THEN '' ELSE '0' END"
+    cells = ", ".join(f"{cell[c]}, ','" for c in _LINE_COLS[:-2])
+    return (f"concat({cells}, {cell['isFraud']}, CASE WHEN event_id % 89 = 0 THEN '' ELSE ',0' END, "
+            "CASE WHEN event_id % 97 = 0 AND event_id % 89 <> 0 THEN ',x' ELSE '' END)")
+
+
+_BAD_LINE = ("(event_id % 79 = 0 OR event_id % 83 = 0 OR event_id % 89 = 0 OR event_id % 97 = 0)")
+
+
+def _flawed_csv(spark, d) -> str:
+    path = scratch_dir(spark, "txn-flawed")
+    # one column named like the header, unquoted, so that each file has the header and the lines
+    lines = S.txn(spark, d).select(F.expr(_line_text("STRING")).alias(",".join(_LINE_COLS)))
+    (lines.write.option("header", True).option("sep", "\u0001").option("quote", "").option("escapeQuotes", False).csv(path))
+    return path
+
+
+@query("csv_checked_rows", with_(S.TXN_SQL, "SELECT " + TXN_COLS.replace(
+    " nameOrig", " CASE WHEN event_id % 73 = 0 THEN 'C,1' ELSE nameOrig END AS nameOrig")
+    + f" FROM txn WHERE NOT {_BAD_LINE}"))
+def q_csv_checked_rows(spark, d):
+    return files.read_transactions_csv_checked(spark, _flawed_csv(spark, d), key="event_id")[0]
+
+
+@query("csv_quarantine", with_(S.TXN_SQL, f"""
+SELECT {_line_text("VARCHAR")} AS line,
+  CAST(12 + CASE WHEN event_id % 89 = 0 THEN -1 WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_fields,
+  CASE WHEN event_id % 89 = 0 OR event_id % 97 = 0 THEN NULL WHEN event_id % 79 = 0 THEN 'step' ELSE 'amount' END AS failed_column,
+  CASE WHEN event_id % 89 = 0 THEN 'too few fields' WHEN event_id % 97 = 0 THEN 'too many fields'
+       WHEN event_id % 79 = 0 THEN 'not a value of type int' ELSE 'not a value of type double' END AS reason
+FROM txn WHERE {_BAD_LINE}"""))
+def q_csv_quarantine(spark, d):
+    return files.read_transactions_csv_checked(spark, _flawed_csv(spark, d), key="event_id")[1].drop("file")
+
+
 @query("convert_parquet", with_(S.TXN_SQL, f"SELECT {TXN_COLS} FROM txn"))
 def q_convert_parquet(spark, d):
     raw = files.read_transactions_csv(spark, _txn_csv(spark, d), typed=False, key="event_id")
@@ -798,8 +954,21 @@ def q_convert_parquet(spark, d):
     return files.read_table(spark, path)
 
 
+@query("prepared_by_fold", with_(S.FEATURES_SQL, f"""
+SELECT event_id, {', '.join(f if f != 'amount' else 'round(amount, 6) AS amount' for f in S.FEATURES)}, isFraud,
+  CASE WHEN {_U_SQL.format(seed="'0'", key='event_id')} < 0.7 THEN 'train' ELSE 'test' END AS split,
+  CAST(least(floor({_U_SQL.format(seed="'fold0'", key='event_id')} * 3), 2) AS INTEGER) AS fold
+FROM feat"""))
+def q_prepared_by_fold(spark, d):
+    from .flow import prepared_features
+    p = split.assign_folds(split.assign_split(prepared_features(spark, d), "event_id", 0.7, seed=0), "event_id", 3, seed=0)
+    path = files.write_prepared(p, scratch_dir(spark, "prepared"), partition_by=["split", "fold"])
+    return round_doubles(files.read_table(spark, path))
+
+
 # ======================================================================= M
 from . import models as M  # noqa: E402
+from . import nodes  # noqa: E402
 from . import tune as TU  # noqa: E402
 
 
@@ -873,15 +1042,69 @@ def q_tuned_importances(spark, d):
     return M.feature_importances(model, S.FEATURES)
 
 
+def _bayes_sql(train: str, scored: str, by: str, smoothings: list[float]) -> str:
+    """CTEs: tp (by, label, sums of the training side of each ``by``), pr (with a smoothing a),
+    sc (by, a, event_id, label, odds).  ``train`` gives (by, label, n, s_<feature>...),
+    ``scored`` the rows with their ``by``."""
+    fs, d = S.FEATURES, len(S.FEATURES)
+    total = " + ".join(f"s_{f}" for f in fs)
+    values = ", ".join(f"({float(a)!r}::DOUBLE)" for a in smoothings)
+    theta = ", ".join(f"CASE WHEN s_{f} + a > 0 THEN ln(s_{f} + a) - ln({total} + {d} * a) END AS th_{f}" for f in fs)
+
+    def terms(c: int) -> str:
+        return f"p{c}.prior + " + " + ".join(f"CAST(r.{f} AS DOUBLE) * coalesce(p{c}.th_{f}, 0)" for f in fs)
+
+    def blocked(c: int) -> str:
+        return "(" + " OR ".join(f"(r.{f} > 0 AND p{c}.th_{f} IS NULL)" for f in fs) + ")"
+
+    return f"""
+tp AS ({train}),
+av AS (SELECT * FROM (VALUES {values}) AS v(a)),
+pr AS (SELECT {by}, label, a, ln(n + a) - ln(sum(n) OVER (PARTITION BY {by}, a) + 2 * a) AS prior, {theta} FROM tp, av),
+sc AS (SELECT {by}, a, event_id, label,
+         CASE WHEN b1 AND NOT b0 THEN '-Infinity'::DOUBLE WHEN b0 AND NOT b1 THEN 'Infinity'::DOUBLE ELSE m1 - m0 END AS odds
+       FROM (SELECT r.{by}, p0.a, r.event_id, r.isFraud AS label, {terms(0)} AS m0, {terms(1)} AS m1,
+                    {blocked(0)} AS b0, {blocked(1)} AS b1
+             FROM ({scored}) r JOIN pr p0 ON p0.{by} = r.{by} AND p0.label = 0
+             JOIN pr p1 ON p1.{by} = r.{by} AND p1.label = 1 AND p1.a = p0.a))"""
+
+
+def _fold_auc_sql(folds: int) -> str:
+    """(a, fold, auc_roc) as CTE fa: every training side's sums are recomputed from its rows."""
+    u = _U_SQL.format(seed="'fold0'", key="event_id")
+    sums = ", ".join(f"sum(CAST({f} AS DOUBLE)) AS s_{f}" for f in S.FEATURES)
+    train = f"""SELECT k.fold, isFraud AS label, count(*) AS n, {sums}
+  FROM ff JOIN (SELECT unnest(range({folds})) AS fold) k ON ff.fold <> k.fold GROUP BY ALL"""
+    return with_(S.FEATURES_SQL + f""",
+ff AS (SELECT *, least(floor({u} * {folds}), {folds - 1}) AS fold FROM feat),""" + _bayes_sql(
+        train, "SELECT * FROM ff", "fold", TU.GRIDS["naive_bayes"]["smoothing"]) + """,
+fa AS (SELECT a, fold, (s - P * (P + 1) / 2.0) / (P * N) AS auc_roc FROM (
+   SELECT a, fold, sum(CASE WHEN label = 1 THEN rk + (c - 1) / 2.0 END) AS s,
+          sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS P, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS N
+   FROM (SELECT a, fold, label, rank() OVER (PARTITION BY a, fold ORDER BY odds) AS rk,
+                count(*) OVER (PARTITION BY a, fold, odds) AS c FROM sc) GROUP BY a, fold))""", "")
+
+
 def _fold_metrics(folds):
     def q(spark, d):
         from .flow import prepared_features
-        return TU.fold_metrics("naive_bayes", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id", folds=folds)
+        return round_doubles(TU.fold_metrics("naive_bayes", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id",
+                                             folds=folds))
     return q
 
 
 for _folds in (2, 5):
-    query(f"tune_nb_{_folds}_folds", None)(_fold_metrics(_folds))
+    query(f"tune_nb_{_folds}_folds", _fold_auc_sql(_folds) + """
+SELECT concat('smoothing=', CAST(a AS VARCHAR)) AS params, CAST(fold AS INTEGER) AS fold, round(auc_roc, 6) AS auc_roc
+FROM fa""")(_fold_metrics(_folds))
+
+
+@query("tune_nb", _fold_auc_sql(3) + """
+SELECT concat('smoothing=', CAST(a AS VARCHAR)) AS params, round(avg(auc_roc), 6) AS auc_roc FROM fa GROUP BY a""")
+def q_tune_nb(spark, d):
+    from .flow import prepared_features
+    _, table = TU.tune("naive_bayes", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id", folds=3)
+    return round_doubles(table)
 
 
 def _tuned(kind):
@@ -892,8 +1115,7 @@ def _tuned(kind):
     return q
 
 
-for _kind, _name in [("naive_bayes", "tune_nb"), ("decision_tree", "tune_dt"),
-                     ("logistic_regression", "tune_lr"), ("random_forest", "tune_rf")]:
+for _kind, _name in [("decision_tree", "tune_dt"), ("logistic_regression", "tune_lr"), ("random_forest", "tune_rf")]:
     query(_name, None)(_tuned(_kind))
 
 
@@ -911,11 +1133,23 @@ def _sweep(kind):
     return q
 
 
-for _kind, _name in [("decision_tree", "sweep_depth"), ("naive_bayes", "sweep_smoothing"),
-                     ("random_forest", "sweep_forest_depth"), ("logistic_regression", "sweep_elastic_net")]:
+for _kind, _name in [("decision_tree", "sweep_depth"), ("random_forest", "sweep_forest_depth"),
+                     ("logistic_regression", "sweep_elastic_net")]:
     query(_name, None)(_sweep(_kind))
 
 
+@query("sweep_smoothing", with_(S.FEATURES_SQL + f""",
+fs AS (SELECT *, {_U_SQL.format(seed="'0'", key='event_id')} < 0.7 AS is_train, 1 AS one FROM feat),""" + _bayes_sql(
+    "SELECT one, isFraud AS label, count(*) AS n, " + ", ".join(f"sum(CAST({f} AS DOUBLE)) AS s_{f}" for f in S.FEATURES)
+    + " FROM fs WHERE is_train GROUP BY ALL", "SELECT * FROM fs", "one", TU.SWEEPS["naive_bayes"][1]), """
+SELECT a AS value, round(avg(CASE WHEN is_train THEN ok END), 6) AS train_accuracy,
+       round(avg(CASE WHEN NOT is_train THEN ok END), 6) AS test_accuracy
+FROM (SELECT a, is_train, CASE WHEN (odds > 0) = (label = 1) THEN 1.0 ELSE 0.0 END AS ok
+      FROM sc JOIN fs USING (event_id)) GROUP BY a"""))
+def q_sweep_smoothing(spark, d):
+    return round_doubles(_sweep("naive_bayes")(spark, d))
+
+
 @query("feature_importances", None)
 def q_feature_importances(spark, d):
     train, _ = _train_test(spark, d)
@@ -969,8 +1203,32 @@ def q_model_roundtrip(spark, d):
     return outs
 
 
+_TABLED = ["decision_tree", "logistic_regression", "random_forest"]
+
+
+@query("model_table_scores", with_(S.TXN_SQL, f"""
+SELECT k.kind, n, n AS n_equal FROM (SELECT unnest({_TABLED}) AS kind) k,
+  (SELECT count(*) AS n FROM txn WHERE {_U_SQL.format(seed="'0'", key='event_id')} >= 0.7)"""))
+def q_model_table_scores(spark, d):
+    """Scores computed from the models' tables against those of the models."""
+    train, test = (cut_lineage(side, "side") for side in _train_test(spark, d))
+    outs = None
+    for kind in _TABLED:
+        model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=7)
+        if kind == "logistic_regression":
+            own = nodes.score_linear(test, M.coefficients(model, S.FEATURES), S.LABEL, keep=["event_id"])
+        else:
+            own = nodes.score_nodes(test, nodes.node_table(model, S.FEATURES), S.FEATURES, S.LABEL, keep=["event_id"])
+        own = own.select("event_id", F.col("prediction").alias("p"), F.col("score").alias("s"))
+        both = M.score(model, test, S.LABEL, keep=["event_id"]).join(own, "event_id")
+        same = (F.col("p") == F.col("prediction")) & (F.abs(F.col("s") - F.col("score")) < 1e-9)
+        row = both.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_equal"))
+        outs = row if outs is None else outs.unionByName(row)
+    return outs
+
+
 # ======================================================================= A9 A10
-from ..operators import profile  # noqa: E402
+from ..operators import profile, sketches  # noqa: E402
 
 
 @query("kde_amount", with_(S.TXN_SQL, """,
@@ -1107,6 +1365,28 @@ def q_profile_missing(spark, d):
     return round_doubles(profile.profile_missing(S.txn_dirty(spark, d)))
 
 
+_SKETCHED = ["type", "nameOrig", "nameDest"]
+
+
+@query("top_values_sketched", with_(S.TXN_DIRTY_SQL, _top_sql("txn_dirty", _SKETCHED, 5)))
+def q_top_values_sketched(spark, d):
+    # few values of nameOrig and nameDest stand out: these columns are counted in full
+    return sketches.top_values_sketched(S.txn_dirty(spark, d), _SKETCHED, k=5, tracked=512)
+
+
+@query("sketch_profile_merged", _pnum_round(_pnum_sql("lineitem", [(c, "double") for c in _LI_NUM])).replace(
+    "SELECT column_name, data_type, n, n_missing, n_distinct,", "SELECT column_name, n, n_missing,"))
+def q_sketch_profile_merged(spark, d):
+    """The exact part of a profile merged from the sketches of seven parts of the rows."""
+    li = S.table(spark, d, "lineitem").withColumn("part", F.col("l_orderkey") % 7)
+    parts = cut_lineage(sketches.column_sketches(li, _LI_NUM, [], by=["part"]), "column-sketches")
+    out = sketches.sketch_statistics(sketches.merge_sketches(parts))
+    for c in _TEN_DIGITS:
+        out = out.withColumn(c, F.format_string("%.9e", F.col(c)).cast("double"))
+    out = out.withColumns({c: rnd(F.col(c), 6) for c in ("skewness", "kurtosis")})
+    return out.select("column_name", "n", "n_missing", "n_zeros", "n_negative", *_TEN_DIGITS, "skewness", "kurtosis")
+
+
 def _alerts_sql() -> str:
     num = _pnum_sql("txn_dirty", _DIRTY_NUM)
     cat = _pcat_sql("txn_dirty", ["type", "nameDest"])
@@ -1179,7 +1459,12 @@ def q_profile_balanced(spark, d):
 
 
 # ======================================================================= whole job
-@query("prepare_split_balance", None)
+@query("prepare_split_balance", with_(S.FEATURES_SQL + f""",
+fd AS ({_deduped_sql("feat", [*S.FEATURES, "isFraud"])}),
+fu AS (SELECT *, {_U_SQL.format(seed="'0'", key='event_id')} < 0.7 AS is_train FROM fd),
+tr AS (SELECT event_id, {', '.join(S.FEATURES)}, isFraud FROM fu WHERE is_train),""" + _round_sql("tr", "a_", 42, _INT_FEATS), f"""
+SELECT {_BALANCED_COLS}, 'train' AS part FROM a_out
+UNION ALL SELECT {_BALANCED_COLS}, 'test' AS part FROM fu WHERE NOT is_train"""))
 def q_prepare_split_balance(spark, d):
     from .flow import prepare_for_training
     train, test = prepare_for_training(S.txn(spark, d))

@@ -33,7 +33,7 @@ import math
 import re
 from array import array
 from bisect import insort
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from .common import field, map_arrow, whole_row
 
 N_BEST = 2
-TABLE_SIZE = 500_000
+TABLE_BYTES = 224 << 20          # of the table of searched chunks in each worker
 BATCH_CHARS = 1 << 20
 UNKNOWN_LOSS = 10.0
 EDGES_KEPT = 10_000
@@ -100,6 +100,34 @@ class _Nothing:
         pass
 
 
+class Decoder:
+    """What each id of a model decodes to, in one buffer; a few hundred kilobytes."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        out = []
+        for i in range(model.get_piece_size()):
+            if model.is_byte(i):
+                out.append(bytes([int(model.id_to_piece(i)[3:5], 16)]))
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                out.append(b"")
+            else:
+                out.append(model.id_to_piece(i).replace("▁", " ").encode())
+        self.lengths = np.array([len(x) for x in out], dtype=np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.buffer = np.frombuffer(b"".join(out), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of a segmentation (without the space put before it)."""
+        if not len(ids):
+            return ""
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(self.begins[ids] - (ends - n), n)
+        return self.buffer[at].tobytes().decode()[1:]
+
+
 class Lattice:
     """Pieces of one model and the search over them."""
 
@@ -125,15 +153,6 @@ class Lattice:
             raise ValueError("the model has no byte fallback")
         self.bytes = [byte_ids[b].to_bytes(4, "little") for b in range(256)]
         self.chunks = re.compile(_chunk_pattern(self.pieces))
-        # what each id decodes to, in one buffer
-        out = [b""] * size
-        for i in plain:
-            out[i] = text[i].encode()
-        for b, i in byte_ids.items():
-            out[i] = bytes([b])
-        self.lengths = np.array([len(x) for x in out], dtype=np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.buffer = np.frombuffer(b"".join(out), dtype=np.uint8)
 
     def forward(self, s: str) -> tuple[Sequence[float], list[list[tuple[int, float]]] | None]:
         """Best score of each prefix, and the edges (from, score) into each position; of
@@ -201,79 +220,82 @@ class Lattice:
                         worst = queue[-1][0]
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of a segmentation (without the space put before it)."""
-        if not len(ids):
-            return ""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.begins[ids] - (ends - n), n)
-        return self.buffer[at].tobytes().decode()[1:]
-
 
-Chunk = tuple[float, bytes, float, Paths]   # best score, its ids, what the second best loses, all paths
+Chunk = tuple[float, bytes, float]   # best score, its ids, what the second best loses
 
 
-def combine(chunks: Sequence[Chunk], n_best: int) -> list[tuple[float, dict[int, int]]]:
-    """N best texts from the N best of each chunk: (loss, {chunk: its choice})."""
+def combine(chunks: Sequence[Chunk], n_best: int, paths_of: Callable[[int], Paths]
+            ) -> list[tuple[float, list[tuple[int, bytes]]]]:
+    """N best texts from the N best of each chunk: (loss, [(chunk, ids of its choice)]), the
+    choices that differ from the best.  Only the chunks that lose least are asked for their
+    paths."""
     losses = [c[2] for c in chunks]
-    out: list[tuple[float, dict[int, int]]] = [(0.0, {})]
+    out: list[tuple[float, list[tuple[int, bytes]]]] = [(0.0, [])]
     if n_best == 2:      # the same, found faster
         least = [losses.index(min(losses))]
     else:
         least = heapq.nsmallest(n_best - 1, range(len(chunks)), key=losses.__getitem__)
     for k in least:
-        paths = chunks[k][3]
-        more = [(loss + paths[0][0] - p[0], {**choice, k: i} if i else choice)
+        paths = paths_of(k)
+        more = [(loss + paths[0][0] - p[0], [*choice, (k, p[1])] if i else choice)
                 for loss, choice in out for i, p in enumerate(paths)]
         out = heapq.nsmallest(n_best, more, key=lambda x: x[0])
     return out
 
 
 class Table(dict):
-    """Chunks that were searched; a missing one is searched when it is asked for."""
+    """Chunks that were searched; a missing one is searched when it is asked for.  ``held``
+    estimates the bytes of the entries, objects included.  The paths themselves are not kept:
+    a text needs those of few chunks, which are searched again."""
 
     def __init__(self, lattice: Lattice, n_best: int):
         super().__init__()
-        self.lattice, self.n_best = lattice, n_best
+        self.lattice, self.n_best, self.held = lattice, n_best, 0
 
     def __missing__(self, chunk: str) -> Chunk:
         paths = self.lattice.search(chunk, self.n_best)
-        found = (*paths[0], paths[0][0] - paths[1][0] if len(paths) > 1 else math.inf, paths)
+        found = (*paths[0], paths[0][0] - paths[1][0] if len(paths) > 1 else math.inf)
         if len(chunk) <= 64:      # longer ones hardly come again
             self[chunk] = found
+            self.held += 330 + len(chunk) + len(found[1])
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 class Encoder:
-    def __init__(self, path: str, n_best: int = N_BEST, table_size: int = TABLE_SIZE):
-        self.lattice, self.n_best, self.table_size = Lattice(path), n_best, table_size
+    def __init__(self, path: str, n_best: int = N_BEST, table_bytes: int = TABLE_BYTES):
+        self.lattice, self.n_best, self.table_bytes = Lattice(path), n_best, table_bytes
         self.table = Table(self.lattice, n_best)
 
     def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
         """(score, ids) of the N best segmentations, best first."""
         if not text:
             return [(0.0, np.zeros(0, dtype=np.int32))]
-        if len(self.table) > self.table_size:
+        if self.table.held > self.table_bytes:
             self.table.clear()
-        chunks = list(map(self.table.__getitem__, self.lattice.chunks.findall(" " + text)))
+        parts = self.lattice.chunks.findall(" " + text)
+        chunks = list(map(self.table.__getitem__, parts))
         ids = [c[1] for c in chunks]
         score = math.fsum([c[0] for c in chunks])
         out = []
-        for loss, choice in combine(chunks, self.n_best):
-            for k, i in choice.items():
-                ids[k] = chunks[k][3][i][1]
+        for loss, choice in combine(chunks, self.n_best, lambda k: self.lattice.search(parts[k], self.n_best)):
+            for k, other in choice:
+                ids[k] = other
             out.append((score - loss, np.frombuffer(b"".join(ids), dtype="<i4")))
-            for k in choice:
+            for k, _ in choice:
                 ids[k] = chunks[k][1]
         return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}   # one for each worker process and model
+_DECODERS: dict[str, Decoder] = {}
 
 
-def _encoder(path: str, n_best: int = N_BEST, table_size: int = TABLE_SIZE) -> Encoder:
-    key = (path, n_best, table_size)
+def _encoder(path: str, n_best: int = N_BEST, table_bytes: int = TABLE_BYTES) -> Encoder:
+    key = (path, n_best, table_bytes)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
@@ -286,14 +308,14 @@ def _lists(rows: Sequence[np.ndarray]) -> pa.ListArray:
 
 
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", n_best: int = N_BEST,
-                  table_size: int = TABLE_SIZE) -> DataFrame:
+                  table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(row, text, scores, segmentations): all columns of ``docs`` as a struct, the text,
     and the scores and piece ids of its N best segmentations, best first."""
     narrow = docs.select(whole_row(docs.drop(text_col)).alias("row") if len(docs.columns) > 1 else
                          whole_row(docs).alias("row"), field(text_col).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model, n_best, table_size)
+        encoder = _encoder(model, n_best, table_bytes)
         for part in parts:
             begin = held = 0
             found: list[list[tuple[float, np.ndarray]]] = []
@@ -318,14 +340,21 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", n_best: i
 
 
 def decode_pieces(coded: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``coded`` with the text of its array of piece ids (null for null) in ``out_col``."""
+    """``coded`` with the text of its array of piece ids (null for null) in ``out_col``; a
+    column that has this name already is replaced."""
+    if out_col in coded.columns:
+        coded = coded.select(*[field(c) if c != out_col else field(c).alias("_replaced") for c in coded.columns])
+        ids_col = "_replaced" if ids_col == out_col else ids_col
+        return decode_pieces(coded, model, ids_col, out_col).drop("_replaced")
     at = coded.columns.index(ids_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _encoder(model).lattice
+        if model not in _DECODERS:
+            _DECODERS[model] = Decoder(model)
+        decoder = _DECODERS[model]
         for part in parts:
             column = part.column(at)
-            texts = [lattice.decode(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else None for v in column]
+            texts = [decoder.decode(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else None for v in column]
             yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     return map_arrow(coded, run, T.StructType([*coded.schema.fields, T.StructField(out_col, T.StringType())]))

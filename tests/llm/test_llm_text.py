@@ -224,7 +224,7 @@ def all_paths(lattice, s):
 
 
 def test_n_best_is_the_best_of_all_segmentations():
-    encoder = pieces.Encoder(MODEL, n_best=4)
+    encoder, decoder = pieces.Encoder(MODEL, n_best=4), pieces.Decoder(MODEL)
     rng = random.Random(3)
     texts = ["the thing", "a\n\nb", "  x  ▁y", "ça va? \U0001F600", "aaaaaaa", "\t", " "]
     texts += ["".join(rng.choice("thean in\n▁ç,") for _ in range(rng.randint(1, 10))) for _ in range(60)]
@@ -233,11 +233,11 @@ def test_n_best_is_the_best_of_all_segmentations():
         assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want[:4]], t
         assert {ids.tobytes() for _, ids in got} <= {ids for _, ids in want}
         assert len({ids.tobytes() for _, ids in got}) == len(got)
-        assert all(encoder.lattice.decode(ids) == t for _, ids in got)
+        assert all(decoder.decode(ids) == t for _, ids in got)
 
 
 def test_pieces_restore_odd_rows(odd):
-    coded = pieces.encode_pieces(odd, MODEL, table_size=50)
+    coded = pieces.encode_pieces(odd, MODEL, table_bytes=20_000)
     assert [f.name for f in coded.schema["row"].dataType.fields] == [c for c in odd.columns if c != "text"]
     from pyspark.sql import functions as F
     back = pieces.decode_pieces(coded.withColumn("ids", F.col("segmentations")[0]), MODEL).collect()
@@ -248,6 +248,26 @@ def test_pieces_restore_odd_rows(odd):
     assert {tuple(r.ids) for r in back} == {tuple(encoder.encode(r[1] or "")[0][1].tolist()) for r in odd_docs()}
 
 
+def test_decoding_replaces_a_column_of_its_name(odd):
+    from pyspark.sql import functions as F
+    coded = pieces.encode_pieces(odd.limit(8), MODEL).select("text", F.col("segmentations")[0].alias("ids"), F.lit("old").alias("decoded"))
+    back = pieces.decode_pieces(coded, MODEL)
+    assert back.columns == ["text", "ids", "decoded"] and all(r.decoded == (r.text or "") for r in back.collect())
+    own = pieces.decode_pieces(coded.drop("decoded"), MODEL, "ids", "ids")
+    assert own.columns == ["text", "ids"] and all(r.ids == (r.text or "") for r in own.collect())
+
+
+def test_the_table_of_chunks_is_bounded_by_bytes():
+    encoder = pieces.Encoder(MODEL, table_bytes=30_000)
+    text = " ".join(f"word{i}" for i in range(2000))
+    whole = pieces.Encoder(MODEL).encode(text)
+    for part in (text[:5000], text, "short", text[9000:]):
+        encoder.encode(part)
+    encoder.encode("after")
+    assert encoder.table.held < 30_000 and len(encoder.table) < 60
+    assert [(s, ids.tolist()) for s, ids in encoder.encode(text)] == [(s, ids.tolist()) for s, ids in whole]
+
+
 def test_empty_tables(none):
     assert secret_scan.scan_secrets(none).count() == 0
     assert tokens.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0

@@ -1,12 +1,11 @@
 """Full table profile as Spark jobs.
 
-* numeric columns: one aggregate over the long form, grouped by column name, so a
-  table is read once however many columns it has and each task keeps a dozen
-  buffers for each column (skewness and kurtosis with the sample corrections a
-  pandas-based profiler reports);
-* one written table of (column, value, count) serves distinct counts, top values
-  and the string columns; it is combined on the map side, so a value held by a
-  third of the rows is one row for each task;
+* numeric columns: one plain aggregate (beyond 40 columns in long form, grouped by
+  column), skewness and kurtosis with the sample corrections a pandas-based
+  profiler reports; distinct counts from distinct (column number, double) pairs;
+* strings: one written table of (column, value, count) serves distinct counts, lengths and
+  top values; it is combined on the map side, so a value held by a third of the
+  rows is one row for each task; numbers are never written as text;
 * quantiles: exact, by bracketing (``explore.exact_quantiles``);
 * missing values, duplicates, and alerts as rules over those rows;
 * ``profile`` gives all sections of a table.
@@ -50,42 +49,69 @@ def value_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.min("shown").alias("shown")), "profile-values")
 
 
+WIDE_COLUMNS = 40     # up to here one plain aggregate, beyond it the long form
+
+
+def _numeric_aggregates(x: str) -> dict[str, str]:
+    n = f"CAST(count({x}) AS DOUBLE)"
+    return {"n": f"count({x})", "n_missing": f"CAST(count(1) - count({x}) AS BIGINT)",
+            "n_zeros": f"CAST(coalesce(sum(CASE WHEN {x} = 0 THEN 1 ELSE 0 END), 0) AS BIGINT)",
+            "n_negative": f"CAST(coalesce(sum(CASE WHEN {x} < 0 THEN 1 ELSE 0 END), 0) AS BIGINT)",
+            "min": f"min({x})", "max": f"max({x})", "mean": f"avg({x})", "std": f"stddev_samp({x})",
+            "variance": f"var_samp({x})",
+            "skewness": f"CASE WHEN {n} > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * skewness({x}) END",
+            "kurtosis": f"CASE WHEN {n} > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis({x}) + 6) END",
+            "sum": f"sum({x})"}
+
+
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = True,
                     values: DataFrame | None = None) -> DataFrame:
     """(column_name, data_type, n, n_missing, n_distinct, n_zeros, n_negative, min, max,
     mean, std, variance, skewness, kurtosis, sum) per numeric column, from one pass over
-    the rows; exact distinct counts from ``values`` (made by ``value_table`` if not given).
+    the rows.  Exact distinct counts come from ``values`` (a ``value_table``) if given, else
+    from a second pass that shuffles distinct (column number, double) pairs, no text.
     An empty table has a row with n = 0 for each column."""
     cols = list(cols) if cols else numeric_columns(df)
     types = dict(df.dtypes)
     spark = df.sparkSession
-    spec = F.broadcast(spark.createDataFrame([(c, types[c]) for c in cols], "column_name string, data_type string"))
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(_q(c)).cast("double").alias("x")) for c in cols])
-    n = "CAST(count(x) AS DOUBLE)"
-    aggs = ["count(x) AS n",
-            "CAST(count(1) - count(x) AS BIGINT) AS n_missing",
-            "CAST(sum(CASE WHEN x = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zeros",
-            "CAST(sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative",
-            "min(x) AS min", "max(x) AS max", "avg(x) AS mean", "stddev_samp(x) AS std",
-            "var_samp(x) AS variance",
-            f"CASE WHEN {n} > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * skewness(x) END AS skewness",
-            f"CASE WHEN {n} > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis(x) + 6) END "
-            "AS kurtosis",
-            "sum(x) AS sum"]
+    spec = spark.createDataFrame([(i, c, types[c]) for i, c in enumerate(cols)], "_i int, column_name string, data_type string")
+    stats = list(_numeric_aggregates("x"))
+    doubles = [f"CAST({_q(c)} AS DOUBLE)" for c in cols]
     if not exact_distinct:
-        aggs.append("CAST(approx_count_distinct(x) AS BIGINT) AS n_distinct")
-    long = df.select(F.explode(arr).alias("e")).select("e.*")
-    out = spec.join(long.groupBy("column_name").agg(*[F.expr(a) for a in aggs]), "column_name", "left")
+        stats.append("n_distinct")
+    if len(cols) <= WIDE_COLUMNS:
+        aggs = []
+        for i, x in enumerate(doubles):
+            own = _numeric_aggregates(x) | ({} if exact_distinct else {"n_distinct": f"CAST(approx_count_distinct({x}) AS BIGINT)"})
+            aggs += [f"{e} AS a{i}_{k}" for k, e in enumerate(own.values())]
+        row = df.agg(*[F.expr(e) for e in aggs])
+        rows = F.array(*[F.struct(F.lit(i).alias("_i"), *[F.col(f"a{i}_{k}").alias(a) for k, a in enumerate(stats)])
+                         for i in range(len(cols))])
+        out = row.select(F.explode(rows).alias("e")).select("e.*")
+    else:
+        own = _numeric_aggregates("x") | ({} if exact_distinct else {"n_distinct": "CAST(approx_count_distinct(x) AS BIGINT)"})
+        out = _numbered(df, doubles).groupBy("_i").agg(*[F.expr(e).alias(a) for a, e in own.items()])
+    # both sides of these joins hold one row per profiled column
+    out = F.broadcast(spec).join(out, "_i", "left")
     if exact_distinct:
-        values = value_table(df, cols) if values is None else values
-        distinct = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-        # both sides hold one row per profiled column
-        out = out.join(F.broadcast(distinct), "column_name", "left")
+        if values is None:
+            distinct = _numbered(df, doubles).filter(F.col("x").isNotNull()).distinct().groupBy("_i").agg(
+                F.count(F.lit(1)).alias("n_distinct"))
+            out = out.join(F.broadcast(distinct), "_i", "left")
+        else:
+            distinct = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+            out = out.join(F.broadcast(distinct), "column_name", "left")
     counts = ["n", "n_missing", "n_distinct", "n_zeros", "n_negative"]
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in counts}).select(
         "column_name", "data_type", *counts, "min", "max", "mean", "std", "variance", "skewness", "kurtosis", "sum")
 
 
+def _numbered(df: DataFrame, doubles: Sequence[str]) -> DataFrame:
+    """Long form (_i, x): column numbers and values as doubles."""
+    items = ", ".join(f"named_struct('_i', {i}, 'x', {x})" for i, x in enumerate(doubles))
+    return df.select(F.explode(F.expr(f"array({items})")).alias("e")).select("e.*")
+
+
 def profile_quantiles(df: DataFrame, cols: Sequence[str] | None = None,
                       probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """(column_name, p5, p25, p50, p75, p95, range, iqr), exact; the range is that of the
@@ -148,17 +174,24 @@ def profile_missing(df: DataFrame) -> DataFrame:
 
 def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None, categorical: Sequence[str] | None = None,
                    skew_threshold: float = 20.0, zeros_threshold: float = 0.1,
-                   imbalance_threshold: float = 0.5) -> DataFrame:
+                   imbalance_threshold: float = 0.5, values: DataFrame | None = None,
+                   numeric_rows: DataFrame | None = None, categorical_rows: DataFrame | None = None) -> DataFrame:
     """(column_name, alert, value) from the profile rows:
     CONSTANT (one distinct value), MISSING (any missing, value = share),
     SKEWED (|skewness| > threshold), ZEROS (share of zeros > threshold),
-    IMBALANCE (top value share > threshold, strings), DUPLICATES (table)."""
+    IMBALANCE (top value share > threshold, strings), DUPLICATES (table).
+    What ``profile`` has computed already (the strings' value table and the rows of both
+    sections, written) is passed in, else computed here."""
     nums = list(numeric) if numeric is not None else numeric_columns(df)
     cats = list(categorical) if categorical is not None else string_columns(df)
-    values = value_table(df, [*nums, *cats])
+    if cats and values is None:
+        values = value_table(df, cats)
     # a row for each column: written, so that the rules below do not repeat the passes
-    num = cut_lineage(profile_numeric(df, nums, values=values), "profile-numeric")
-    cat = cut_lineage(profile_categorical(df, cats, values=values), "profile-strings") if cats else None
+    num = numeric_rows if numeric_rows is not None else cut_lineage(_numeric_or_none(df, nums), "profile-numeric")
+    cat = None
+    if cats:
+        cat = categorical_rows if categorical_rows is not None else cut_lineage(
+            profile_categorical(df, cats, values=values), "profile-strings")
     rows = num.select("column_name", "n", "n_missing", "n_distinct", "n_zeros", "skewness")
     total = F.col("n") + F.col("n_missing")
     alerts = [
@@ -193,19 +226,34 @@ def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None, categori
     return out
 
 
+def _numeric_or_none(df: DataFrame, nums: Sequence[str]) -> DataFrame:
+    """``profile_numeric``, without rows if there are no numeric columns."""
+    if nums:
+        return profile_numeric(df, nums)
+    names = "n n_missing n_distinct n_zeros n_negative".split()
+    return df.sparkSession.createDataFrame([], "column_name string, data_type string, " + ", ".join(
+        [f"{c} bigint" for c in names] + [f"{c} double" for c in "min max mean std variance skewness kurtosis sum".split()]))
+
+
 def profile(df: DataFrame, k: int = 5) -> dict[str, DataFrame]:
     """All sections for all numeric and string columns: numeric, quantiles, categorical,
-    top_values, missing, correlation, alerts."""
+    top_values, missing, correlation, alerts.  Strings are counted in full once, for three
+    sections; top values of numbers come from a sketch and a recount."""
     from .corr import correlation_matrix
+    from .sketches import top_values_sketched
     nums, cats = numeric_columns(df), string_columns(df)
-    values = value_table(df, [*nums, *cats])
-    out = {"missing": profile_missing(df), "alerts": profile_alerts(df, nums, cats),
-           "top_values": top_values(df, [*nums, *cats], k, values=values)}
+    values = value_table(df, cats) if cats else None
+    number_rows = cut_lineage(_numeric_or_none(df, nums), "profile-numeric")
+    string_rows = cut_lineage(profile_categorical(df, cats, values=values), "profile-strings") if cats else None
+    out = {"missing": profile_missing(df),
+           "alerts": profile_alerts(df, nums, cats, values=values, numeric_rows=number_rows, categorical_rows=string_rows)}
+    tops = ([top_values_sketched(df, nums, k)] if nums else []) + ([top_values(df, cats, k, values=values)] if cats else [])
+    if tops:
+        out["top_values"] = tops[0] if len(tops) == 1 else tops[0].unionByName(tops[1])
     if nums:
-        out |= {"numeric": profile_numeric(df, nums, values=values), "quantiles": profile_quantiles(df, nums),
-                "correlation": correlation_matrix(df, nums)}
+        out |= {"numeric": number_rows, "quantiles": profile_quantiles(df, nums), "correlation": correlation_matrix(df, nums)}
     if cats:
-        out["categorical"] = profile_categorical(df, cats, values=values)
+        out["categorical"] = string_rows
     return out
 
 

@@ -1387,14 +1387,16 @@ def q_sketch_profile_merged(spark, d):
     return out.select("column_name", "n", "n_missing", "n_zeros", "n_negative", *_TEN_DIGITS, "skewness", "kurtosis")
 
 
-def _alerts_sql() -> str:
-    num = _pnum_sql("txn_dirty", _DIRTY_NUM)
-    cat = _pcat_sql("txn_dirty", ["type", "nameDest"])
-    top1 = _top_sql("txn_dirty", ["type", "nameDest"], 1)
+_SMALL_NUM, _SMALL_STR = [("step", "int"), ("amount", "double"), ("isFraud", "int")], ["type", "nameDest"]
+
+
+def _alerts_sql(nums: list[tuple[str, str]] = _SMALL_NUM, strs: list[str] = _SMALL_STR) -> str:
+    num, cat, top1 = _pnum_sql("txn_dirty", nums), _pcat_sql("txn_dirty", strs), _top_sql("txn_dirty", strs, 1)
+    every = ", ".join([c for c, _ in nums] + strs)
     return with_(S.TXN_DIRTY_SQL + f""",
 pn AS ({num}), pc AS ({cat}), t1 AS ({top1}),
 dup AS (SELECT CAST(sum(c - 1) AS BIGINT) AS nd FROM (
-  SELECT step, type, amount, isFraud, nameDest, count(*) AS c FROM txn_dirty GROUP BY ALL))""", """
+  SELECT {every}, count(*) AS c FROM txn_dirty GROUP BY ALL))""", """
 SELECT column_name, 'CONSTANT' AS alert, 1.0 AS value FROM pn WHERE n_distinct = 1
 UNION ALL SELECT column_name, 'MISSING', round(n_missing / (n + n_missing), 6) FROM pn WHERE n_missing > 0
 UNION ALL SELECT column_name, 'SKEWED', round(skewness, 6) FROM pn WHERE abs(skewness) > 20.0
@@ -1412,50 +1414,79 @@ def q_profile_alerts(spark, d):
     return round_doubles(profile.profile_alerts(t, ["step", "amount", "isFraud"], ["type", "nameDest"]))
 
 
-_FULL_NUM, _FULL_STR = ["step", "amount", "isFraud"], ["type", "nameDest"]
+_FULL_NUM = [(c, "double" if "alance" in c or c == "amount" else "bigint" if c == "event_id" else "int")
+             for c in TXN_COLS.split(", ") if c not in ("type", "nameOrig", "nameDest")]
+_FULL_STR = ["type", "nameOrig", "nameDest"]
 
 
-def _profile_full_sql() -> str:
-    """Every section of the profile in long form, six significant digits."""
+def _profile_sql(ctes: str, src: str, nums: list[tuple[str, str]], strs: list[str], columns: list[str]) -> str:
+    """Every section of the profile of ``src`` in long form, six significant digits.  Top
+    values of numbers are compared as numbers."""
+    names = [c for c, _ in nums]
     parts = [f"SELECT 'numeric' AS section, column_name, '{c}' AS item, CAST({c} AS DOUBLE) AS value FROM pn"
              for c in ("n", "n_missing", "n_distinct", "n_zeros", "n_negative", "min", "max", "mean", "std", "variance",
                        "skewness", "kurtosis", "sum")]
-    parts += [f"SELECT 'categorical', column_name, '{c}', CAST({c} AS DOUBLE) FROM pc"
-              for c in ("n", "n_missing", "n_distinct", "min_length", "mean_length", "max_length")]
-    for c in _FULL_NUM:
-        parts += [f"SELECT 'quantiles', '{c}', 'p{p}', CAST(quantile_cont({c}, {p / 100}) AS DOUBLE) FROM txn_dirty"
+    for c in names:
+        parts += [f"SELECT 'quantiles', '{c}', 'p{p}', CAST(quantile_cont({c}, {p / 100}) AS DOUBLE) FROM {src}"
                   for p in (5, 25, 50, 75, 95)]
-        parts += [f"SELECT 'quantiles', '{c}', 'range', CAST(max({c}) - min({c}) AS DOUBLE) FROM txn_dirty",
-                  f"SELECT 'quantiles', '{c}', 'iqr', CAST(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS DOUBLE) "
-                  "FROM txn_dirty"]
-        parts += [f"SELECT 'correlation', '{c}', '{x}', corr({c}, {x}) FROM txn_dirty" for x in _FULL_NUM]
-    for c in ["step", "type", "amount", "isFraud", "nameDest"]:
-        parts += [f"SELECT 'missing', '{c}', 'n_missing', CAST(count(*) - count({c}) AS DOUBLE) FROM txn_dirty",
-                  f"SELECT 'missing', '{c}', 'pct_missing', (count(*) - count({c})) / count(*) FROM txn_dirty"]
-    parts.append("SELECT 'top_values', column_name, concat(rank, ':', value), CAST(count AS DOUBLE) FROM tv")
-    parts.append(f"SELECT 'alerts', column_name, alert, value FROM ({_alerts_sql()})")
-    return with_(S.TXN_DIRTY_SQL + f""",
-pn AS ({_pnum_sql("txn_dirty", _DIRTY_NUM)}), pc AS ({_pcat_sql("txn_dirty", _FULL_STR)}),
-tv AS ({_top_sql("txn_dirty", _FULL_STR, 5)}), every_row AS ({" UNION ALL ".join(parts)})""",
-                 "SELECT section, column_name, item, CAST(printf('%.5e', value) AS DOUBLE) AS value FROM every_row")
-
-
-@query("profile_full", _profile_full_sql())
+        parts += [f"SELECT 'quantiles', '{c}', 'range', CAST(max({c}) - min({c}) AS DOUBLE) FROM {src}",
+                  f"SELECT 'quantiles', '{c}', 'iqr', CAST(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS DOUBLE) FROM {src}"]
+        parts += [f"SELECT 'correlation', '{c}', '{x}', corr({c}, {x}) FROM {src}" for x in names]
+    for c in columns:
+        parts += [f"SELECT 'missing', '{c}', 'n_missing', CAST(count(*) - count({c}) AS DOUBLE) FROM {src}",
+                  f"SELECT 'missing', '{c}', 'pct_missing', (count(*) - count({c})) / count(*) FROM {src}"]
+    parts.append("SELECT 'top_values', column_name, concat(rank, ':', printf('%.5e', CAST(value AS DOUBLE))), "
+                 "CAST(count AS DOUBLE) FROM tn")
+    alerts = """
+SELECT column_name, 'CONSTANT' AS alert, 1.0 AS value FROM pn WHERE n_distinct = 1
+UNION ALL SELECT column_name, 'MISSING', n_missing / (n + n_missing) FROM pn WHERE n_missing > 0
+UNION ALL SELECT column_name, 'SKEWED', skewness FROM pn WHERE abs(skewness) > 20.0 AND NOT isnan(skewness)
+UNION ALL SELECT column_name, 'ZEROS', n_zeros / n FROM pn WHERE n_zeros / n > 0.1
+UNION ALL SELECT '(table)', 'DUPLICATES', CAST(nd AS DOUBLE) FROM dup WHERE nd > 0"""
+    strings = ""
+    if strs:
+        parts += [f"SELECT 'categorical', column_name, '{c}', CAST({c} AS DOUBLE) FROM pc"
+                  for c in ("n", "n_missing", "n_distinct", "min_length", "mean_length", "max_length")]
+        parts.append("SELECT 'top_values', column_name, concat(rank, ':', value), CAST(count AS DOUBLE) FROM tv")
+        strings = f""",
+pc AS ({_pcat_sql(src, strs)}), tv AS ({_top_sql(src, strs, 5)}), t1 AS ({_top_sql(src, strs, 1)})"""
+        alerts += """
+UNION ALL SELECT column_name, 'CONSTANT', 1.0 FROM pc WHERE n_distinct = 1
+UNION ALL SELECT column_name, 'MISSING', n_missing / (n + n_missing) FROM pc WHERE n_missing > 0
+UNION ALL SELECT t1.column_name, 'IMBALANCE', t1.count / pc.n FROM t1 JOIN pc USING (column_name) WHERE t1.count / pc.n > 0.5"""
+    parts.append(f"SELECT 'alerts', column_name, alert, value FROM ({alerts})")
+    return with_(ctes + f""",
+pn AS ({_pnum_sql(src, nums)}), tn AS ({_top_sql(src, names, 5)}),
+dup AS (SELECT CAST(sum(c - 1) AS BIGINT) AS nd FROM (SELECT {', '.join(columns)}, count(*) AS c FROM {src} GROUP BY ALL)){strings},
+every_row AS ({" UNION ALL ".join(parts)})""", """
+SELECT section, column_name, item,
+       CASE WHEN value IS NOT NULL AND NOT isnan(value) THEN CAST(printf('%.5e', value) AS DOUBLE) END AS value FROM every_row""")
+
+
+def _profile_rows(df: DataFrame) -> DataFrame:
+    """``profile_long`` with six significant digits and top values of numbers as numbers."""
+    numbers = profile.numeric_columns(df)
+    rows = profile.profile_long(df)
+    top = (F.col("section") == "top_values") & F.col("column_name").isin(numbers)
+    rank = F.split("item", ":")
+    item = F.when(top, F.concat(rank[0], F.lit(":"), F.format_string("%.5e", rank[1].cast("double")))).otherwise(F.col("item"))
+    value = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.format_string("%.5e", "value").cast("double"))
+    return rows.withColumn("item", item).withColumn("value", value)
+
+
+@query("profile_full", _profile_sql(S.TXN_DIRTY_SQL, "txn_dirty", _FULL_NUM, _FULL_STR, TXN_COLS.split(", ")))
 def q_profile_full(spark, d):
-    t = S.txn_dirty(spark, d).select("step", "type", "amount", "isFraud", "nameDest")
-    rows = profile.profile_long(t)
-    # the commonest numbers are left to the engines' own number formats
-    rows = rows.filter((F.col("section") != "top_values") | F.col("column_name").isin(_FULL_STR))
-    value = F.when(F.col("section") == "alerts", rnd(F.col("value"), 6)).otherwise(F.col("value"))
-    return rows.withColumn("value", F.format_string("%.5e", value).cast("double"))
+    return _profile_rows(S.txn_dirty(spark, d))
 
 
-@query("profile_balanced", None)
+@query("profile_balanced", _profile_sql(
+    S.FEATURES_SQL + "," + _round_sql("feat", "a_", 42, _INT_FEATS), "a_out",
+    [(c, "double" if c == "amount" else "int") for c in [*S.FEATURES, "isFraud"]], [], [*S.FEATURES, "isFraud"]))
 def q_profile_balanced(spark, d):
     from .flow import prepared_features
     p = prepared_features(spark, d)
     b = balance.balance(p, S.LABEL, S.FEATURES, "event_id", int_cols=_INT_FEATS)
-    return round_doubles(profile.profile_long(cut_lineage(b.drop("event_id"), "balanced")))
+    return _profile_rows(cut_lineage(b.drop("event_id"), "balanced"))
 
 
 # ======================================================================= whole job

@@ -59,12 +59,15 @@ def category_counts(df: DataFrame, col: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("count")))
 
 
+MAX_CATEGORIES = 10_000     # labels that become columns: the width of the result
+
+
 def fit_categories(df: DataFrame, col: str, order: str = "frequencyDesc",
-                   max_categories: int | None = None) -> list[str]:
+                   max_categories: int | None = MAX_CATEGORIES) -> list[str]:
     """Labels of ``col`` in index order.  ``frequencyDesc`` = most frequent
     first, ties alphabetical (StringIndexer's order); ``alphabetAsc`` =
     sorted (pandas ``get_dummies`` order).  More than ``max_categories``
-    labels raise."""
+    labels raise before any is collected (None: no limit); nothing is left out."""
     counts = category_counts(df, col)
     if order == "frequencyDesc":
         counts = counts.orderBy(F.col("count").desc(), F.col("label").asc())
@@ -73,13 +76,30 @@ def fit_categories(df: DataFrame, col: str, order: str = "frequencyDesc",
     else:
         raise ValueError(f"unknown order {order!r}")
     if max_categories is not None:
-        counts = counts.limit(max_categories + 1)
-    rows = counts.collect()
-    if max_categories is not None and len(rows) > max_categories:
-        raise ValueError(f"column {col!r} has more than {max_categories} categories")
+        # the first labels, in one job for columns within the limit
+        rows = counts.limit(max_categories + 1).collect()
+        if len(rows) > max_categories:
+            raise ValueError(f"column {col!r} has {category_counts(df, col).count()} categories, more than "
+                             f"max_categories = {max_categories}")
+    else:
+        rows = counts.collect()
     return [r["label"] for r in rows]
 
 
+def _free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that the table does not have."""
+    have = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(have) + 2))) if n.lower() not in have)
+
+
+def _check_new(df_columns: Sequence[str], new: Sequence[str]) -> None:
+    """Raise on result columns that would exist twice."""
+    every = [c.lower() for c in (*df_columns, *new)]
+    twice = sorted({c for c in new if every.count(c.lower()) > 1})
+    if twice:
+        raise ValueError(f"columns exist already: {twice}")
+
+
 def category_index_table(df: DataFrame, col: str) -> DataFrame:
     """(label, count, index) with StringIndexer's frequencyDesc order, as a
     DataFrame (for reports).  The category table is ranked with distributed
@@ -97,26 +117,26 @@ def string_index(df: DataFrame, col: str, out: str | None = None, labels: Sequen
     join with the table of labels (fitted on ``df``, or the list given).  NULL and unseen
     labels raise; ``keep`` gives them the number of labels, ``skip`` drops their rows."""
     out = out or f"{col}_index"
+    label, index = _free_name(df, "_si_label"), _free_name(df, "_si_index")
     if labels is None:
-        table = category_index_table(df, col).select(F.col(col).alias("_si_label"),
-                                                     F.col(f"{col}_index").alias("_si_index"))
+        table = category_index_table(df, col).select(F.col(col).alias(label), F.col(f"{col}_index").alias(index))
     else:
         table = df.sparkSession.createDataFrame(
             [(lab, float(i)) for i, lab in enumerate(labels)],
-            T.StructType([T.StructField("_si_label", df.schema[col].dataType), T.StructField("_si_index", T.DoubleType())]))
-    res = df.join(table, df[col] == F.col("_si_label"), "inner" if handle_invalid == "skip" else "left")
-    found = F.col("_si_index")
+            T.StructType([T.StructField(label, df.schema[col].dataType), T.StructField(index, T.DoubleType())]))
+    res = df.join(table, F.col(col) == F.col(label), "inner" if handle_invalid == "skip" else "left")
+    found = F.col(index)
     if handle_invalid == "keep":
         found = F.coalesce(found, F.lit(float(table.count() if labels is None else len(labels))))
     elif handle_invalid != "skip":
         found = F.coalesce(found, F.raise_error(F.concat(
             F.lit(f"unseen label in {col}: "), F.coalesce(F.col(col).cast("string"), F.lit("NULL")))).cast("double"))
-    return res.withColumn(out, found).drop("_si_label", "_si_index")
+    return res.withColumn(out, found).drop(label, index)
 
 
 # ---------------------------------------------------------------- P9 P10 P11 P12
 def one_hot_vector(df: DataFrame, col: str, out: str | None = None, labels: Sequence[str] | None = None,
-                   as_array: bool = False, max_categories: int | None = None) -> DataFrame:
+                   as_array: bool = False, max_categories: int | None = MAX_CATEGORIES) -> DataFrame:
     """Index ``col`` then one-hot encode it as an ML vector, dropLast=False."""
     from pyspark.ml.feature import OneHotEncoder
     from pyspark.ml.functions import vector_to_array
@@ -133,23 +153,24 @@ def one_hot_vector(df: DataFrame, col: str, out: str | None = None, labels: Sequ
 
 def one_hot_columns(df: DataFrame, col: str, labels: Sequence[str] | None = None,
                     prefix: str | None = None, dtype: str = "double",
-                    max_categories: int | None = None) -> DataFrame:
+                    max_categories: int | None = MAX_CATEGORIES) -> DataFrame:
     """One 0/1 column per label (named ``label`` or ``prefix_label``), no vector detour."""
     labels = list(labels) if labels is not None else fit_categories(df, col, max_categories=max_categories)
     c = F.col(col)
     new = [F.when(c == lab, 1).otherwise(0).cast(dtype).alias(f"{prefix}_{lab}" if prefix else lab)
            for lab in labels]
+    _check_new(df.columns, [f"{prefix}_{lab}" if prefix else lab for lab in labels])
     return df.select("*", *new)
 
 
 def get_dummies(df: DataFrame, cols: Sequence[str], categories: Mapping[str, Sequence[str]] | None = None,
-                max_categories: int | None = None, dtype: str = "int", unseen: str = "error") -> DataFrame:
+                max_categories: int | None = MAX_CATEGORIES, dtype: str = "int", unseen: str = "error") -> DataFrame:
     """pandas ``get_dummies``: ``<col>_<label>`` int columns in sorted label
     order, appended after the other columns; originals removed; NULL -> all 0.
     A label that is not among the given ``categories`` raises (``unseen="zero"``: all 0)."""
     categories = dict(categories or {})
     keep = [F.col(c) for c in df.columns if c not in cols]
-    new = []
+    new, names = [], []
     for c in cols:
         labels = categories.get(c)
         other = F.lit(0)
@@ -160,6 +181,8 @@ def get_dummies(df: DataFrame, cols: Sequence[str], categories: Mapping[str, Seq
                 F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), F.col(c).cast("string"))).cast("int"))
         for lab in labels:
             new.append(F.when(F.col(c) == lab, 1).otherwise(other).cast(dtype).alias(f"{c}_{lab}"))
+            names.append(f"{c}_{lab}")
+    _check_new([c for c in df.columns if c not in cols], names)
     return df.select(*keep, *new)
 
 

@@ -1038,7 +1038,7 @@ def q_naive_bayes_score(spark, d):
 @query("tuned_importances", None)
 def q_tuned_importances(spark, d):
     train, _ = _train_test(spark, d)
-    model, _ = TU.tune("random_forest", train, S.FEATURES, S.LABEL, "event_id", folds=2, grid={"numTrees": [3, 5]}, seed=7)
+    model, _ = TU.tune("random_forest", train, S.FEATURES, S.LABEL, "event_id", seed=7)
     return M.feature_importances(model, S.FEATURES)
 
 
@@ -1172,11 +1172,11 @@ def q_objective_history(spark, d):
 def q_explain_params(spark, d):
     # the values are those that tuning found best on the rows
     from .flow import prepared_features
-    model, _ = TU.tune("decision_tree", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id", folds=2)
+    model, _ = TU.tune("decision_tree", prepared_features(spark, d), S.FEATURES, S.LABEL, "event_id")
     return M.explain_params(model)
 
 
-_KINDS_TUNED = [*M.KINDS, "tuned_forest"]
+_KINDS_TUNED = [*M.KINDS, "tuned_tree"]
 
 
 @query("model_roundtrip", with_(S.TXN_SQL, f"""
@@ -1187,9 +1187,8 @@ def q_model_roundtrip(spark, d):
     train, test = _train_test(spark, d)
     outs = None
     for kind in _KINDS_TUNED:
-        if kind == "tuned_forest":
-            model, _ = TU.tune("random_forest", train, S.FEATURES, S.LABEL, "event_id", folds=2,
-                               grid={"numTrees": [3, 5]}, seed=7)
+        if kind == "tuned_tree":
+            model, _ = TU.tune("decision_tree", train, S.FEATURES, S.LABEL, "event_id", seed=7)
         else:
             model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=7)
         path = save_model(model, scratch_dir(spark, f"model-{kind}"))
@@ -1203,6 +1202,19 @@ def q_model_roundtrip(spark, d):
     return outs
 
 
+@query("scored_in_order", with_(_NB_SQL, f"""
+SELECT event_id, prediction, row_number() OVER (ORDER BY prediction, event_id) AS place
+FROM (SELECT f.event_id, CASE WHEN {_nb_raw('1.0')} > {_nb_raw('0.0')} THEN 1.0 ELSE 0.0 END AS prediction FROM feat f)"""))
+def q_scored_in_order(spark, d):
+    """The scored table sorted by prediction, with each row's place."""
+    from ..functions.prefix import global_rank
+    from .flow import prepared_features
+    p = prepared_features(spark, d)
+    s = M.score(M.train_model("naive_bayes", p, S.FEATURES, S.LABEL, smoothing=1.0), p, S.LABEL, keep=["event_id"])
+    ranked = global_rank(cut_lineage(s.select("event_id", "prediction"), "scored"), ["prediction", "event_id"], "place")
+    return ranked.orderBy("place")
+
+
 _TABLED = ["decision_tree", "logistic_regression", "random_forest"]
 
 
@@ -1460,7 +1472,8 @@ pn AS ({_pnum_sql(src, nums)}), tn AS ({_top_sql(src, names, 5)}),
 dup AS (SELECT CAST(sum(c - 1) AS BIGINT) AS nd FROM (SELECT {', '.join(columns)}, count(*) AS c FROM {src} GROUP BY ALL)){strings},
 every_row AS ({" UNION ALL ".join(parts)})""", """
 SELECT section, column_name, item,
-       CASE WHEN value IS NOT NULL AND NOT isnan(value) THEN CAST(printf('%.5e', value) AS DOUBLE) END AS value FROM every_row""")
+       CASE WHEN abs(value) < 1e-7 THEN 0.0
+            WHEN value IS NOT NULL AND NOT isnan(value) THEN CAST(printf('%.5e', value) AS DOUBLE) END AS value FROM every_row""")
 
 
 def _profile_rows(df: DataFrame) -> DataFrame:
@@ -1470,7 +1483,9 @@ def _profile_rows(df: DataFrame) -> DataFrame:
     top = (F.col("section") == "top_values") & F.col("column_name").isin(numbers)
     rank = F.split("item", ":")
     item = F.when(top, F.concat(rank[0], F.lit(":"), F.format_string("%.5e", rank[1].cast("double")))).otherwise(F.col("item"))
-    value = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.format_string("%.5e", "value").cast("double"))
+    # below 1e-7 stand what rounding leaves of zero
+    value = F.when(F.abs("value") < 1e-7, 0.0).when(
+        F.col("value").isNotNull() & ~F.isnan("value"), F.format_string("%.5e", "value").cast("double"))
     return rows.withColumn("item", item).withColumn("value", value)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens import schema as S
-from ledgerlens.operators import corr, explore, profile, sketches
+from ledgerlens.operators import corr, explore, features, profile, sketches
 from ledgerlens.session import cut_lineage, scratch_dir
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -162,3 +162,17 @@ def test_names_with_dots_and_ticks(spark):
     assert math.isclose(got[0, 0], 1.0) and np.allclose(got, got.T)
     assert np.allclose(got, matrix(corr.correlation_matrix(df, ["a.b", "c`d"], "spearman"), ["a.b", "c`d"]), atol=0.2)
     assert {r.feature for r in corr.target_correlation(df, "a.b", ["c`d"]).collect()} == {"c`d"}
+
+
+def test_columns_of_labels_are_counted_first_and_never_twice(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), (None, 3, "x")], "t string, t_a int, _si_label string")
+    with pytest.raises(ValueError, match="exist already: .'t_a'."):
+        features.get_dummies(df, ["t"])
+    with pytest.raises(ValueError, match="exist already"):
+        features.one_hot_columns(df, "t", labels=["T_A"])
+    with pytest.raises(ValueError, match="has 2 categories, more than max_categories = 1"):
+        features.get_dummies(df.drop("t_a"), ["t"], max_categories=1)
+    assert features.get_dummies(df, ["t", "t_a"]).columns == ["_si_label", "t_a", "t_b", "t_a_1", "t_a_2", "t_a_3"]
+    indexed = features.string_index(df.filter("t IS NOT NULL"), "t")
+    assert indexed.columns == ["t", "t_a", "_si_label", "t_index"]
+    assert {(r.t, r.t_index, r._si_label) for r in indexed.collect()} == {("a", 0.0, "x"), ("b", 1.0, "y")}

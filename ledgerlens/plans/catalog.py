@@ -1338,10 +1338,10 @@ def q_profile_quantiles(spark, d):
 _DIRTY_STR = ["type", "nameOrig", "nameDest"]
 
 
-def _pcat_sql(src: str, cols: list[str]) -> str:
+def _pcat_sql(src: str, cols: list[str], digits: int = 6) -> str:
     return " UNION ALL ".join(f"""
 SELECT '{c}' AS column_name, count({c}) AS n, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct,
-  CAST(min(length({c})) AS INTEGER) AS min_length, round(avg(length({c})), 6) AS mean_length,
+  CAST(min(length({c})) AS INTEGER) AS min_length, round(avg(length({c})), {digits}) AS mean_length,
   CAST(max(length({c})) AS INTEGER) AS max_length FROM {src}""" for c in cols)
 
 
@@ -1461,7 +1461,7 @@ UNION ALL SELECT '(table)', 'DUPLICATES', CAST(nd AS DOUBLE) FROM dup WHERE nd >
                   for c in ("n", "n_missing", "n_distinct", "min_length", "mean_length", "max_length")]
         parts.append("SELECT 'top_values', column_name, concat(rank, ':', value), CAST(count AS DOUBLE) FROM tv")
         strings = f""",
-pc AS ({_pcat_sql(src, strs)}), tv AS ({_top_sql(src, strs, 5)}), t1 AS ({_top_sql(src, strs, 1)})"""
+pc AS ({_pcat_sql(src, strs, 15)}), tv AS ({_top_sql(src, strs, 5)}), t1 AS ({_top_sql(src, strs, 1)})"""
         alerts += """
 UNION ALL SELECT column_name, 'CONSTANT', 1.0 FROM pc WHERE n_distinct = 1
 UNION ALL SELECT column_name, 'MISSING', n_missing / (n + n_missing) FROM pc WHERE n_missing > 0
@@ -1473,7 +1473,7 @@ dup AS (SELECT CAST(sum(c - 1) AS BIGINT) AS nd FROM (SELECT {', '.join(columns)
 every_row AS ({" UNION ALL ".join(parts)})""", """
 SELECT section, column_name, item,
        CASE WHEN abs(value) < 1e-7 THEN 0.0
-            WHEN value IS NOT NULL AND NOT isnan(value) THEN CAST(printf('%.5e', value) AS DOUBLE) END AS value FROM every_row""")
+            WHEN value IS NOT NULL AND NOT isnan(value) THEN CAST(printf('%.5e', value * 1.000000001) AS DOUBLE) END AS value FROM every_row""")
 
 
 def _profile_rows(df: DataFrame) -> DataFrame:
@@ -1483,9 +1483,9 @@ def _profile_rows(df: DataFrame) -> DataFrame:
     top = (F.col("section") == "top_values") & F.col("column_name").isin(numbers)
     rank = F.split("item", ":")
     item = F.when(top, F.concat(rank[0], F.lit(":"), F.format_string("%.5e", rank[1].cast("double")))).otherwise(F.col("item"))
-    # below 1e-7 stand what rounding leaves of zero
+    # below 1e-7 stands what rounding leaves of zero; the factor makes no value a tie of its last digit
     value = F.when(F.abs("value") < 1e-7, 0.0).when(
-        F.col("value").isNotNull() & ~F.isnan("value"), F.format_string("%.5e", "value").cast("double"))
+        F.col("value").isNotNull() & ~F.isnan("value"), F.format_string("%.5e", F.col("value") * 1.000000001).cast("double"))
     return rows.withColumn("item", item).withColumn("value", value)
 
 

@@ -13,8 +13,10 @@ whose word sequence also starts in a document with a smaller id.
 3. Suffixes with a marked anchor are split into groups by prefixes of variable length: by
    the first word, where that is too many by the first four, else by all ``n``; no group
    holds more than a thousandth of the suffixes (or GROUP_ROWS).  A prefix of ``n`` words
-   that still does is a single node; such nodes number fewer than 1,000, their smallest
-   document ids are found by an aggregate, and their suffixes are spread by document.
+   that still does is a single node; its suffixes are spread by document, together with the
+   node's smallest document id.  One aggregate by node gives all of these counts; what is
+   too large at one length (fewer than 1,000 prefixes or nodes) goes into the plan as
+   literals, so the suffixes themselves pass no join.
 4. A task sorts the suffixes of its groups by the hashes of their ``n``-word paths.  A run of
    equal hashes stands for the internal node of depth ``n`` that a suffix tree has there; its
    suffixes in documents after the first are repeats.  No tree is built: there are no
@@ -166,25 +168,27 @@ def _repeats(suffixes: DataFrame, group_rows: int) -> DataFrame:
         (F.col("w4").bitwiseAND(F.lit(PREFIXES[1] - 1)) + PREFIXES[0]).alias("p4"),
         (F.col("path").bitwiseAND(F.lit(PREFIXES[2] - 1)).cast("int") + PREFIXES[0] + PREFIXES[1]).alias("pn"))
 
-    def too_large(part: DataFrame, key: str) -> DataFrame:
-        return F.broadcast(cut_lineage(part.groupBy(key).count().filter(F.col("count") > limit).select(key),
-                                       f"substring-{key}"))
-
-    more, large = rows, {}
+    # all counts come from one aggregate, combined on the map side, with a row for each node;
+    # what holds more than limit suffixes numbers fewer than 1,000 at each length
+    counts = cut_lineage(rows.groupBy("p1", "p4", "pn", "path").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "substring-counts")
+    large: dict[str, list[int]] = {}
     for key in ("p1", "p4", "pn"):
-        large[key] = too_large(more, key)
-        more = more.join(large[key], key, "left_semi")
-    # nodes that alone hold more than limit suffixes: fewer than 1,000
-    nodes = F.broadcast(cut_lineage(more.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter(F.col("n") > limit).select("path", "least"),
-        "substring-nodes"))
-    rows = rows.join(nodes, "path", "left")
-    for key in ("p1", "p4"):
-        rows = rows.join(large[key].withColumn(f"{key}_large", F.lit(True)), key, "left")
+        sums = counts.groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
+        large[key] = [r[key] for r in sums.collect()]
+        counts = counts.filter(F.col(key).isin(large[key]))
+    nodes = {r["path"]: r["least"] for r in counts.groupBy("path").agg(
+        F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") > limit).collect()}
+    # nodes that alone hold too many are spread by document, with their smallest id
+    hot = F.col("path").isin(list(nodes))
+    least = F.lit(None).cast("bigint")
+    if nodes:
+        known = F.create_map(*[F.lit(x).cast("bigint") for pair in nodes.items() for x in pair])
+        least = F.when(hot, known[F.col("path")])
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(PREFIXES[1])).cast("int") + sum(PREFIXES)
-    prefix = (F.when(F.col("least").isNotNull(), salt).when(F.col("p1_large").isNull(), F.col("p1"))
-              .when(F.col("p4_large").isNull(), F.col("p4")).otherwise(F.col("pn")))
-    return _subtrees(rows.select(prefix.alias("prefix"), "path", "doc_id", "start", "least"))
+    prefix = (F.when(hot, salt).when(~F.col("p1").isin(large["p1"]), F.col("p1"))
+              .when(~F.col("p4").isin(large["p4"]), F.col("p4")).otherwise(F.col("pn")))
+    return _subtrees(rows.select(prefix.alias("prefix"), "path", "doc_id", "start", least.alias("least")))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),

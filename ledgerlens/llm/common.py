@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,10 +44,42 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` with this library on the workers."""
+def release_memory() -> None:
+    """Give what this worker process has freed back to the system.  Idle workers stay for the
+    next stage, and the allocators keep freed pages, beside an executor that then fills its heap."""
+    from . import words
+    words.forget_powers()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: StructType | str, release: bool = False) -> DataFrame:
+    """``mapInArrow`` with this library on the workers; with ``release`` a worker gives its
+    memory back after each task."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def released(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(released if release else run, schema)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started inside hand at most ``rows`` rows at a time to Python, in place of the
+    session's number (10,000): a batch of long rows is held several times, by Spark on both
+    sides of the pipe and by the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def field(name: str) -> Column:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import bitmap_of, field, join_by_key, map_arrow, unpack, whole_row, with_member_flag
+from .common import bitmap_of, field, join_by_key, map_arrow, small_batches, unpack, whole_row, with_member_flag
 from .graph import components
 from .words import each, hash_runs, hashed_texts, mix
 
@@ -53,6 +53,7 @@ MAP_BITS = 2048
 FAN = 8
 LEVELS = 6
 KEY_BITS = 1 << 27     # 16 MB at any input size
+BATCH_ROWS = 500       # texts, token sets and bitmaps in a batch
 RATIO = 1.5
 _MAP_WORDS = MAP_BITS // 64
 
@@ -156,24 +157,50 @@ def _set_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
                                        pa.array(bits, pa.binary())], schema=schema)
 
     return map_arrow(docs.select("doc_id", "tag", field("text").cast("binary").alias("text")), run,
-                     "doc_id bigint, tag bigint, n_shingles bigint, sid bigint, keys array<bigint>, bits binary")
+                     "doc_id bigint, tag bigint, n_shingles bigint, sid bigint, keys array<bigint>, bits binary", release=True)
 
 
-def _token_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(sid, tokens) for each row with a set."""
-    schema = pa.schema([("sid", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of at least eight bits a token (a power of two in all), for sets that fill the
+    tree's bitmaps; an eighth of the tokens' bytes, or up to a quarter."""
+    size = 1 << max(MAP_BITS.bit_length() - 1, (8 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def wide_overlap(x: bytes, y: bytes, m: int, n: int) -> int:
+    """Upper bound of the overlap of sets of ``m`` and ``n`` tokens from their wide bitmaps;
+    the larger bitmap is folded to the other's size."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] | a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] | b[len(b) // 2:]
+    common = int(np.bitwise_count(a & b).sum())
+    hidden = min(m - int(np.bitwise_count(a).sum()), n - int(np.bitwise_count(b).sum()))
+    return min(common + hidden, m, n)
+
 
+def _token_rows(docs: DataFrame, n: int, wide: bool = False) -> DataFrame:
+    """(sid, tokens) for each row with a set; with ``wide`` (sid, size, bitmap) instead."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for _, h, first in hashed_texts(each(part.column(0)), lower=True):
                 sets = [t for t in (shingle_set(h[a:b], n) for a, b in zip(first[:-1], first[1:], strict=True)) if len(t)]
-                sids = [mix(mix(t).sum(keepdims=True) + np.uint64(len(t))).view(np.int64)[0] for t in sets]
+                sids = pa.array([mix(mix(t).sum(keepdims=True) + np.uint64(len(t))).view(np.int64)[0] for t in sets], pa.int64())
+                if wide:
+                    yield pa.record_batch([sids, pa.array([len(t) for t in sets], pa.int64()),
+                                           pa.array([wide_bitmap(t).tobytes() for t in sets], pa.binary())],
+                                          names=["sid", "size", "bitmap"])
+                    continue
                 ends = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
-                yield pa.record_batch([pa.array(sids, pa.int64()),
-                                       pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
+                yield pa.record_batch([sids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                                      names=["sid", "tokens"])
 
-    return map_arrow(docs.select(field("text").cast("binary").alias("text")), run, "sid bigint, tokens array<bigint>")
+    schema = "sid bigint, size bigint, bitmap binary" if wide else "sid bigint, tokens array<bigint>"
+    return map_arrow(docs.select(field("text").cast("binary").alias("text")), run, schema, release=True)
 
 
 # --- signature trees -----------------------------------------------------------------------
@@ -314,7 +341,7 @@ def _proposals(members: DataFrame, percent: int) -> DataFrame:
 
     rows = members.select("key", F.col("chunk").cast("bigint"), "sid", "n_shingles", "bits", "first")
     rows = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n_shingles", "sid")
-    return map_arrow(rows, run, "a bigint, b bigint").distinct()
+    return map_arrow(rows, run, "a bigint, b bigint", release=True).distinct()
 
 
 def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -337,21 +364,38 @@ def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
     rows = cut.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk",
                       "sid", "n_shingles", "bits", "root")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_shingles", "sid")
-    return map_arrow(rows, run, "a bigint, b bigint").distinct()
+    return map_arrow(rows, run, "a bigint, b bigint", release=True).distinct()
 
 
 # --- the join --------------------------------------------------------------------------------
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are linked, by the overlap of their full sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs that are linked, by the overlap of their full sets.  Wide bitmaps are
+    compared first, so that token lists move only for pairs that they do not exclude."""
+    likely = cut_lineage(_within_wide_bound(pairs, _rows_of(pairs, sets, docs, n, wide=True), percent), "join-likely")
+    tokens = _rows_of(likely, sets, docs, n)
     one, two = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), tokens.select(
         F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b")
+    both = likely.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.select("a", "b", common.alias("i"), (F.size("ta") + F.size("tb") - common).alias("u")).filter(
         F.col("i").cast("bigint") * 100 >= F.col("u").cast("bigint") * percent).select("a", "b")
 
 
+def _within_wide_bound(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            m, k = part.column(2).to_pylist(), part.column(4).to_pylist()
+            fine = [wide_overlap(x.as_py(), y.as_py(), p, q) * (100 + percent) >= percent * (p + q)
+                    for x, y, p, q in zip(part.column(3), part.column(5), m, k, strict=True)]
+            yield part.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+
+    one = wide.select(F.col("sid").alias("a"), F.col("size").alias("m"), F.col("bitmap").alias("x"))
+    two = wide.select(F.col("sid").alias("b"), F.col("size").alias("n"), F.col("bitmap").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "m", "x", "n", "y")
+    return map_arrow(both, run, "a bigint, b bigint", release=True)
+
+
 def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     """(node, root) of the sets that are linked with another.  ``sets``: (sid, n_shingles,
     keys, bits, min_id), one row for each distinct set."""
@@ -373,7 +417,7 @@ def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: i
 
     first = _within_bound(twos, sets, percent).unionByName(_proposals(members.join(bits, "sid"), percent))
     first = cut_lineage(first.distinct(), "join-pairs")
-    links = cut_lineage(_verified(first, _tokens_of(first, sets, docs, n), percent), "join-links")
+    links = cut_lineage(_verified(first, sets, docs, n, percent), "join-links")
     roots = cut_lineage(components(links), "join-roots")
     rooted = members.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
@@ -381,7 +425,7 @@ def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: i
     second = cut_lineage(_open_pairs(rooted, percent).join(first, ["a", "b"], "left_anti"), "join-more-pairs")
     if second.isEmpty():
         return roots
-    more = cut_lineage(_verified(second, _tokens_of(second, sets, docs, n), percent), "join-more-links")
+    more = cut_lineage(_verified(second, sets, docs, n, percent), "join-more-links")
     return components(links.unionByName(more))
 
 
@@ -400,16 +444,16 @@ def _within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("sid").alias("a"), F.col("n_shingles").alias("m"), F.col("bits").alias("x"))
     two = sets.select(F.col("sid").alias("b"), F.col("n_shingles").alias("n"), F.col("bits").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
-    return map_arrow(both.select("a", "b", "m", "n", "x", "y"), run, "a bigint, b bigint")
+    return map_arrow(both.select("a", "b", "m", "n", "x", "y"), run, "a bigint, b bigint", release=True)
 
 
-def _tokens_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(sid, tokens) of the sets in ``pairs``, read again from their documents."""
+def _rows_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, wide: bool = False) -> DataFrame:
+    """``_token_rows`` of the sets in ``pairs``, read again from their documents."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sources = cut_lineage(involved.join(sets.select("sid", "min_id"), "sid"), "join-involved")
     likely = with_member_flag(docs, cut_lineage(bitmap_of(sources, F.col("min_id")), "join-doc-bits"),
                               F.col("doc_id"), "hit").filter("hit")
-    return cut_lineage(_token_rows(likely, n).join(sources.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]),
+    return cut_lineage(_token_rows(likely, n, wide).join(sources.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]),
                        "join-tokens")
 
 
@@ -417,6 +461,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, tag (a hash of the text), n_shingles, component_id (the
     smallest id that links lead to, its own included)."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, id_col, text_col, words, percent, block)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int) -> DataFrame:
     named = docs.select(field(id_col).cast("bigint").alias("doc_id"), F.xxhash64(field(text_col)).alias("tag"),
                         field(text_col).alias("text"))
     rows = cut_lineage(_set_rows(named, words, percent), "join-sets")

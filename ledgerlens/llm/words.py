@@ -79,6 +79,10 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

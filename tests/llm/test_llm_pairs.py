@@ -140,3 +140,19 @@ def test_empty_tables(none):
     assert ngram_join.near_duplicates(none).count() == 0
     assert ngram_join.keep_one(none).count() == 0
     assert substrings.substring_dedup(none).count() == 0
+
+
+def test_wide_bitmaps_bound_the_overlap_and_exclude_most():
+    rng = np.random.default_rng(9)
+    excluded = 0
+    for size in (1, 5, 100, 300, 5000, 20000):
+        for other in {max(1, size * 8 // 10), size, size * 6 // 5}:
+            pool = rng.integers(0, 1 << 63, 2 * size + other, dtype=np.uint64)
+            for same in (0, size // 2, min(size, other)):
+                a, b = np.unique(pool[:size]), np.unique(np.concatenate([pool[:same], pool[size:size + other - same]]))
+                bound = ngram_join.wide_overlap(ngram_join.wide_bitmap(a).tobytes(), ngram_join.wide_bitmap(b).tobytes(), len(a), len(b))
+                overlap = len(np.intersect1d(a, b))
+                assert overlap <= bound <= min(len(a), len(b))
+                excluded += bound * 180 < 80 * (len(a) + len(b)) and size > 5
+    assert excluded >= 20
+    assert len(ngram_join.wide_bitmap(np.arange(20000, dtype=np.uint64))) <= 2 * 20000

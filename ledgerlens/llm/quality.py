@@ -244,16 +244,17 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([ids.slice(begin, len(batch)), *c.T.copy()], schema=_COUNT_SCHEMA)
 
     narrow = docs.select(field(id_col).cast("bigint").alias("doc_id"), field(text_col).cast("binary").alias("text"))
-    return map_arrow(narrow, run, ", ".join(f"{f.name} bigint" for f in _COUNT_SCHEMA))
+    return map_arrow(narrow, run, ", ".join(f"{f.name} bigint" for f in _COUNT_SCHEMA), release=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", sample_rows: int = SAMPLE_ROWS, how: Boosting = Boosting()) -> Forest | None:
     """Trees from at most ``sample_rows`` labelled documents, of rows that repeat an id the one
-    with the smallest counts; None without both classes."""
+    with the smallest counts; None without both classes.  A document with several labels
+    has the smallest (bad if any of them says so), whatever their order."""
     chosen = (labels.filter(field(label_col).isNotNull() & field(id_col).isNotNull())
               .select(field(id_col).cast("bigint").alias("doc_id"), field(label_col).cast("int").alias("y"))
-              .dropDuplicates(["doc_id"])
+              .groupBy("doc_id").agg(F.min("y").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     texts = docs.select(field(id_col).cast("bigint").alias("doc_id"), field(text_col).alias("text"))
     # the sample is bounded by its parameter, so it may be broadcast
@@ -311,4 +312,4 @@ def keep_good(docs: DataFrame, model: Forest | None, text_col: str = "text", thr
                 yield part.slice(begin, len(batch)).filter(pa.array(kept))
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])     # names with dots do not pass mapInArrow
-    return map_arrow(plain, run, plain.schema).toDF(*columns)
+    return map_arrow(plain, run, plain.schema, release=True).toDF(*columns)

@@ -14,7 +14,11 @@ def test_sql(spark, name):
     assert not compare(queries.QUERIES[name](spark, SMALL), duck(SMALL), queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+# these return pieces and words; their own tests hold them against plain versions
+OTHER_ROWS = {"op12_packing", "op13_spelling_variants"}
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - OTHER_ROWS))
 def test_whole_table(spark, name):
     table = "pages" if name == "op6_html_text" else "documents"
     n = duckdb.sql(f"SELECT count(*) FROM '{SMALL}/{table}.parquet'").fetchall()[0][0]

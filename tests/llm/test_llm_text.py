@@ -204,6 +204,16 @@ def test_training_takes_one_row_of_each_id(spark, monkeypatch):
     assert np.array_equal(x, quality.features(np.array(counts)))
 
 
+def test_labels_that_differ_do_not_depend_on_the_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(6)], "doc_id bigint, text string")
+    labels = [(i, y) for i in range(6) for y in ((i % 2,) if i < 4 else (0, 1))] + [(None, 1), (3, None)]
+    seen = []
+    monkeypatch.setattr(quality, "fit_forest", lambda x, y, *_: seen.append(sorted(zip(x.tolist(), y.tolist(), strict=True))))
+    for order in (labels, labels[::-1], labels[3:] + labels[:3]):
+        quality.train(docs, spark.createDataFrame(order, "doc_id bigint, quality int").repartition(3))
+    assert seen[0] == seen[1] == seen[2] and sum(y for _, y in seen[0]) == 2 and len(seen[0]) == 6
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 

@@ -335,3 +335,27 @@ def test_prepared_table_is_pruned_and_replaced_by_fold(spark, rows, capsys):
     assert after == {**before, 1: 5}
     with pytest.raises(Exception, match="(?i)already exists"):
         files.write_prepared(data, path)
+
+
+# ---------------------------------------------------------------- exact neighbours of noise
+def test_exact_neighbours_move_once_for_each_group(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.r_[rng.standard_normal((2990, 16)), np.full((10, 16), 0.5)] + 100.0
+    names = [f"x{i}" for i in range(16)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "id bigint, " + ", ".join(f"{c} double" for c in names))
+    written = {}
+
+    def kept(rows, name="stage"):
+        written[name] = cut_lineage(rows, name)
+        return written[name]
+
+    monkeypatch.setattr(knn, "cut_lineage", kept)
+    got = {(r.id, r.neighbor_rank): (r.neighbor_key, r.distance) for r in knn.knn_within(df, "id", names, 3).collect()}
+    d2 = np.zeros((3000, 3000))
+    for f in range(16):
+        d2 += (v[:, f, None] - v[None, :, f]) ** 2
+    np.fill_diagonal(d2, np.inf)
+    best = np.argsort(d2, axis=1, kind="stable")[:, :3]
+    assert got == {(i, r + 1): (int(best[i, r]), float(np.sqrt(d2[i, best[i, r]]))) for i in range(3000) for r in range(3)}
+    # nothing can be pruned: every row would visit all 11 cells, but these form few groups
+    assert written["knn-visits"].count() <= 3000 * 4

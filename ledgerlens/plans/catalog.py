@@ -1177,6 +1177,7 @@ def q_explain_params(spark, d):
 
 
 _KINDS_TUNED = [*M.KINDS, "tuned_tree"]
+_SCORED = ["features", "rawPrediction", "probability"]
 
 
 @query("model_roundtrip", with_(S.TXN_SQL, f"""
@@ -1184,22 +1185,27 @@ SELECT k.kind, n, n AS n_equal FROM (SELECT unnest({_KINDS_TUNED}) AS kind) k,
   (SELECT count(*) AS n FROM txn WHERE {_U_SQL.format(seed="'0'", key='event_id')} >= 0.7)"""))
 def q_model_roundtrip(spark, d):
     from ..sources.models import load_model, save_model
-    train, test = _train_test(spark, d)
-    outs = None
+    train, test = (cut_lineage(side, "side") for side in _train_test(spark, d))
+    models = []
     for kind in _KINDS_TUNED:
         if kind == "tuned_tree":
             model, _ = TU.tune("decision_tree", train, S.FEATURES, S.LABEL, "event_id", seed=7)
         else:
             model = M.train_model(kind, train, S.FEATURES, S.LABEL, seed=7)
         path = save_model(model, scratch_dir(spark, f"model-{kind}"))
-        again = load_model(path, spark)
-        a = M.score(model, test, S.LABEL, keep=["event_id"]).select("event_id", F.col("prediction").alias("p1"))
-        b = M.score(again, test, S.LABEL, keep=["event_id"]).select("event_id", F.col("prediction").alias("p2"))
-        row = a.join(b, "event_id").agg(
-            F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"),
-            F.sum((F.col("p1") == F.col("p2")).cast("int")).cast("bigint").alias("n_equal"))
-        outs = row if outs is None else outs.unionByName(row)
-    return outs
+        models.append((kind, model, load_model(path, spark)))
+    # all kinds' predictions side by side: one join of the fitted models' rows with the loaded ones'
+    a, b = test, test
+    for i, (_, model, again) in enumerate(models):
+        a = M.score(model, a, S.LABEL, flat=False).withColumnRenamed("prediction", f"p{i}").drop(*_SCORED)
+        b = M.score(again, b, S.LABEL, flat=False).withColumnRenamed("prediction", f"q{i}").drop(*_SCORED)
+    both = a.select("event_id", *[f"p{i}" for i in range(len(models))]).join(
+        b.select("event_id", *[f"q{i}" for i in range(len(models))]), "event_id")
+    row = both.agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum((F.col(f"p{i}") == F.col(f"q{i}")).cast("int")).cast("bigint").alias(f"e{i}") for i in range(len(models))])
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col("n").alias("n"), F.col(f"e{i}").alias("n_equal"))
+                      for i, (kind, _, _) in enumerate(models)])
+    return row.select(F.explode(kinds).alias("e")).select("e.*")
 
 
 @query("scored_in_order", with_(_NB_SQL, f"""

@@ -112,17 +112,18 @@ def _clamp(r: str) -> str:
 
 
 def _pearson_pairwise(base: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise deletion of NULLs: covariance and masked deviations per pair."""
-    aggs = []
-    for i, j in _pairs(cols):
-        x, y = f"CAST({_q(cols[i])} AS DOUBLE)", f"CAST({_q(cols[j])} AS DOUBLE)"
-        aggs += [f"covar_pop({x}, {y}) AS c{i}_{j}",
-                 f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) AS sx{i}_{j}",
-                 f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END) AS sy{i}_{j}"]
-    row = base.agg(*[F.expr(a) for a in aggs])
-    rs = {(i, j): f"CASE WHEN sx{i}_{j} > 0 AND sy{i}_{j} > 0 THEN "
-                  f"{_clamp(f'c{i}_{j} / (sx{i}_{j} * sy{i}_{j})')} END" for i, j in _pairs(cols)}
-    return _long_form(row, cols, rs)
+    """Pairwise deletion of NULLs: covariance and deviations by pair.  In long form, since one
+    aggregate over all pairs is a method too large to be compiled."""
+    x = [f"CAST({_q(c)} AS DOUBLE)" for c in cols]
+    pairs = list(_pairs(cols))
+    items = ", ".join(f"named_struct('p', {p}, 'x', {x[i]}, 'y', {x[j]})" for p, (i, j) in enumerate(pairs))
+    sums = (base.selectExpr(f"explode(array({items})) AS e").select("e.*").filter("x IS NOT NULL AND y IS NOT NULL")
+            .groupBy("p").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")))
+    names = [(p, cols[a], cols[b]) for p, (i, j) in enumerate(pairs) for a, b in dict.fromkeys([(i, j), (j, i)])]
+    # both sides hold one row for each pair of columns
+    spec = F.broadcast(base.sparkSession.createDataFrame(names, "p int, feature_x string, feature_y string"))
+    r = F.expr(f"CASE WHEN sx > 0 AND sy > 0 THEN {_clamp('c / (sx * sy)')} END")
+    return spec.join(sums, "p", "left").select("feature_x", "feature_y", r.alias("correlation"))
 
 
 def _pearson_centred(base: DataFrame, cols: Sequence[str], means: list[float]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Full table profile as Spark jobs.
 
-* numeric columns: one plain aggregate (beyond 40 columns in long form, grouped by
+* numeric columns: one plain aggregate (beyond two columns in long form, grouped by
   column), skewness and kurtosis with the sample corrections a pandas-based
   profiler reports; distinct counts from distinct (column number, double) pairs;
 * strings: one written table of (column, value, count) serves distinct counts, lengths and
@@ -49,7 +49,7 @@ def value_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.min("shown").alias("shown")), "profile-values")
 
 
-WIDE_COLUMNS = 40     # up to here one plain aggregate, beyond it the long form
+WIDE_COLUMNS = 2      # up to here one plain aggregate; more make a method too large to be compiled, so the long form
 
 
 def _numeric_aggregates(x: str) -> dict[str, str]:
@@ -241,6 +241,8 @@ def profile(df: DataFrame, k: int = 5) -> dict[str, DataFrame]:
     sections; top values of numbers come from a sketch and a recount."""
     from .corr import correlation_matrix
     from .sketches import top_values_sketched
+    # every section reads the rows: written once, in parts of equal size
+    df = cut_lineage(df.hint("rebalance"), "profile-rows")
     nums, cats = numeric_columns(df), string_columns(df)
     values = value_table(df, cats) if cats else None
     number_rows = cut_lineage(_numeric_or_none(df, nums), "profile-numeric")

@@ -1507,7 +1507,7 @@ def q_profile_balanced(spark, d):
     from .flow import prepared_features
     p = prepared_features(spark, d)
     b = balance.balance(p, S.LABEL, S.FEATURES, "event_id", int_cols=_INT_FEATS)
-    return _profile_rows(cut_lineage(b.drop("event_id"), "balanced"))
+    return _profile_rows(b.drop("event_id"))
 
 
 # ======================================================================= whole job

@@ -359,3 +359,27 @@ def test_exact_neighbours_move_once_for_each_group(spark, monkeypatch):
     assert got == {(i, r + 1): (int(best[i, r]), float(np.sqrt(d2[i, best[i, r]]))) for i in range(3000) for r in range(3)}
     # nothing can be pruned: every row would visit all 11 cells, but these form few groups
     assert written["knn-visits"].count() <= 3000 * 4
+
+
+# ---------------------------------------------------------------- work done once
+def test_model_roundtrip_joins_once(spark):
+    from ledgerlens.plans import catalog
+    out = catalog.QUERIES["model_roundtrip"](spark, SMALL)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = out.collect()
+    assert [r.kind for r in got] == catalog._KINDS_TUNED and all(r.n == r.n_equal > 0 for r in got)
+
+
+def test_profile_reads_its_rows_once(spark):
+    from ledgerlens.operators import corr, profile
+    df = spark.createDataFrame([(1, 2.0, None, "a"), (2, 4.0, 1.0, "b"), (3, 6.5, 0.0, "a"), (None, 1.0, 5.0, None)],
+                               "a int, b double, c double, s string")
+    sections = profile.profile(df)
+    for name in ("missing", "correlation"):
+        assert all("profile-rows" in f for f in sections[name].inputFiles()) and sections[name].inputFiles()
+    # the pairs are rows of one aggregate, not columns of a method too large to be compiled
+    plan = corr._pearson_pairwise(df, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("covar_pop") == 1
+    r = {(x.feature_x, x.feature_y): x.correlation for x in sections["correlation"].collect()}
+    assert len(r) == 9 and r["a", "c"] == r["c", "a"] == pytest.approx(-1.0) and r["b", "b"] == pytest.approx(1.0)
+    assert r["a", "b"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1])

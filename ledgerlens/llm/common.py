@@ -69,17 +69,23 @@ def map_arrow(df: DataFrame, run: Callable, schema: StructType | str, release: b
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs started inside hand at most ``rows`` rows at a time to Python, in place of the
-    session's number (10,000): a batch of long rows is held several times, by Spark on both
-    sides of the pipe and by the worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int, size: int = 4 << 20) -> Iterator[None]:
+    """Jobs started inside hand at most ``rows`` rows and about ``size`` bytes at a time (one row
+    if it is larger) to Python, in place of the session's numbers (10,000 and 64 MB): a batch of
+    long rows is held several times, by Spark on both sides of the pipe and by the worker."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+              "spark.sql.execution.arrow.maxBytesPerBatch": f"{size}b"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def field(name: str) -> Column:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_of
 from .common import bitmap_of, field, join_by_key, map_arrow, small_batches, unpack, whole_row, with_member_flag
 from .graph import components
 from .words import each, hash_runs, hashed_texts, mix
@@ -372,7 +372,8 @@ def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that are linked, by the overlap of their full sets.  Wide bitmaps are
     compared first, so that token lists move only for pairs that they do not exclude."""
-    likely = cut_lineage(_within_wide_bound(pairs, _rows_of(pairs, sets, docs, n, wide=True), percent), "join-likely")
+    likely = cut_lineage_of(docs.sparkSession, lambda: _within_wide_bound(
+        pairs, _rows_of(pairs, sets, docs, n, wide=True), percent), "join-likely")
     tokens = _rows_of(likely, sets, docs, n)
     one, two = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), tokens.select(
         F.col("sid").alias("b"), F.col("tokens").alias("tb"))
@@ -417,7 +418,8 @@ def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: i
 
     first = _within_bound(twos, sets, percent).unionByName(_proposals(members.join(bits, "sid"), percent))
     first = cut_lineage(first.distinct(), "join-pairs")
-    links = cut_lineage(_verified(first, sets, docs, n, percent), "join-links")
+    spark = docs.sparkSession
+    links = cut_lineage_of(spark, lambda: _verified(first, sets, docs, n, percent), "join-links")
     roots = cut_lineage(components(links), "join-roots")
     rooted = members.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
@@ -425,7 +427,7 @@ def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: i
     second = cut_lineage(_open_pairs(rooted, percent).join(first, ["a", "b"], "left_anti"), "join-more-pairs")
     if second.isEmpty():
         return roots
-    more = cut_lineage(_verified(second, sets, docs, n, percent), "join-more-links")
+    more = cut_lineage_of(spark, lambda: _verified(second, sets, docs, n, percent), "join-more-links")
     return components(links.unionByName(more))
 
 
@@ -480,7 +482,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, pe
     first = (likely.filter("copy").join(copied, [likely["sid"] == copied["sid"], likely["doc_id"] == copied["min_id"]])
              .select(*[likely[c] for c in columns], "min_id").dropDuplicates(["sid"]))
     sets = single.unionByName(chance).unionByName(first)
-    roots = cut_lineage(linked_sets(sets, named, words, percent, block), "join-components")
+    roots = cut_lineage_of(docs.sparkSession, lambda: linked_sets(sets, named, words, percent, block), "join-components")
 
     # sets that are linked or copied have another component than their own row's id, maybe
     total = rows.count()
@@ -502,8 +504,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
              percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the
     smallest id stays (with a null id: all).  Only rows that may go are moved."""
-    drop = cut_lineage(near_duplicates(docs, id_col, text_col, words, percent, block)
-                       .filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "tag").distinct(), "join-dropped")
+    drop = cut_lineage_of(docs.sparkSession, lambda: near_duplicates(docs, id_col, text_col, words, percent, block).filter(
+        F.col("doc_id") != F.col("component_id")).select("doc_id", "tag").distinct(), "join-dropped")
     rows = docs.select(whole_row(docs).alias("row"), field(id_col).cast("bigint").alias("doc_id"),
                        F.xxhash64(field(text_col)).alias("tag"))
     flagged = with_member_flag(rows, cut_lineage(bitmap_of(drop, F.col("doc_id")), "join-drop-bits"), F.col("doc_id"), "hit")

@@ -16,7 +16,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,7 +86,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _SCOPES.remove(paths)
+        _SCOPES[:] = [s for s in _SCOPES if s is not paths]
         for path in paths:
             delete_path(spark, path)
 
@@ -99,3 +99,14 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_dir(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage_of(spark: SparkSession, build: Callable[[], DataFrame], name: str = "stage") -> DataFrame:
+    """``cut_lineage`` of the table that ``build`` returns.  The tables written while it is built
+    and written are deleted then, so that they take no disk beside what follows; ``build``'s plan
+    must not be used elsewhere."""
+    path = scratch_dir(spark, name)
+    with scratch_scope(spark):
+        df = build()
+        df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,10 @@ share only common shingles hardly ever do.
 Trees.  The sets of one key are the leaves of a signature tree; nodes hold the OR of their
 token bitmaps, their size range, the largest number of tokens hidden by shared bits, and
 their range of components.  A dual traversal drops node pairs whose largest possible
-overlap is too small.  In the first round each leaf proposes its best surviving partner;
+overlap is too small.  Bitmaps of long sets are full, so these carry a sketch too: the parity
+of the tokens at each bit, with a bit for one to two tokens.  The bits in which two sketches
+differ are a lower bound of the tokens that only one set has; leaf pairs are dropped by it
+where they are found, before they move.  In the first round each leaf proposes its best surviving partner;
 proposals are verified on the full sets, and verified links give components.  The second
 round looks only at keys that still hold several components and takes all surviving pairs
 between different ones; after these are verified nothing is left to link.  A key with more
@@ -52,6 +55,7 @@ BLOCK = 512
 MAP_BITS = 2048
 FAN = 8
 LEVELS = 6
+SKETCH_BITS = 1 << 15  # 4 KB of a sketch at most
 KEY_BITS = 1 << 27     # 16 MB at any input size
 BATCH_ROWS = 500       # texts, token sets and bitmaps in a batch
 RATIO = 1.5
@@ -129,10 +133,20 @@ def token_bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray | None:
+    """Parity of the number of tokens at each bit, for sets that half fill the tree's bitmaps
+    or more; one or two tokens a bit, up to ``SKETCH_BITS``."""
+    if 2 * len(tokens) <= MAP_BITS:
+        return None
+    size = min(SKETCH_BITS, max(MAP_BITS, 1 << ((len(tokens) + 1) // 2 - 1).bit_length()))
+    counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
+
+
 def _set_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, tag, n_shingles, sid, keys, bits) for each row; sid identifies equal sets."""
+    """(doc_id, tag, n_shingles, sid, keys, bits, sketch) for each row; sid identifies equal sets."""
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()),
-                        ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
+                        ("keys", pa.list_(pa.int64())), ("bits", pa.binary()), ("sketch", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -140,7 +154,7 @@ def _set_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             valid = ids.is_valid().to_pylist()
             for begin, h, first in hashed_texts(each(part.column(2)), lower=True):
                 count = len(first) - 1
-                sizes, sids, bits, keys = [], [], [], []
+                sizes, sids, bits, sketches, keys = [], [], [], [], []
                 for i in range(count):
                     tokens = shingle_set(h[first[i]:first[i + 1]], n)
                     linkable = len(tokens) and valid[begin + i]
@@ -149,15 +163,18 @@ def _set_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
                                 if linkable else None)
                     keys.append(set_keys(tokens, percent) if linkable else np.zeros(0, dtype=np.uint64))
                     bits.append(token_bitmap(tokens).tobytes() if linkable else None)
+                    sketch = parity_sketch(tokens) if linkable else None
+                    sketches.append(None if sketch is None else sketch.tobytes())
                 ends = np.cumsum([0, *map(len, keys)])
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
                 yield pa.record_batch([ids.slice(begin, count), tags.slice(begin, count), pa.array(sizes, pa.int64()),
                                        pa.array(sids, pa.int64()),
                                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                                       pa.array(bits, pa.binary())], schema=schema)
+                                       pa.array(bits, pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
 
     return map_arrow(docs.select("doc_id", "tag", field("text").cast("binary").alias("text")), run,
-                     "doc_id bigint, tag bigint, n_shingles bigint, sid bigint, keys array<bigint>, bits binary", release=True)
+                     "doc_id bigint, tag bigint, n_shingles bigint, sid bigint, keys array<bigint>, bits binary, sketch binary",
+                     release=True)
 
 
 def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -207,11 +224,11 @@ def _token_rows(docs: DataFrame, n: int, wide: bool = False) -> DataFrame:
 
 class Level:
     """Nodes of one height: OR of the bitmaps, size range, tokens hidden by shared bits at
-    most, range of components."""
+    most, range of components; leaves also have their sketches."""
 
-    def __init__(self, bits, low, high, hidden, root_low, root_high):
+    def __init__(self, bits, low, high, hidden, root_low, root_high, sketch=None):
         self.bits, self.low, self.high, self.hidden = bits, low, high, hidden
-        self.root_low, self.root_high = root_low, root_high
+        self.root_low, self.root_high, self.sketch = root_low, root_high, sketch
 
     def __len__(self) -> int:
         return len(self.low)
@@ -223,9 +240,9 @@ class Level:
                      np.minimum.reduceat(self.root_low, at), np.maximum.reduceat(self.root_high, at))
 
 
-def build_tree(bits: np.ndarray, size: np.ndarray, root: np.ndarray) -> list[Level]:
+def build_tree(bits: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: list[np.ndarray] | None = None) -> list[Level]:
     """Levels from the leaves up; leaves are best given in order of size."""
-    levels = [Level(bits, size, size, size - np.bitwise_count(bits).sum(axis=1), root, root)]
+    levels = [Level(bits, size, size, size - np.bitwise_count(bits).sum(axis=1), root, root, sketch)]
     while len(levels[-1]) > FAN:
         levels.append(levels[-1].above())
     return levels
@@ -238,6 +255,38 @@ def most_overlap(a: Level, b: Level, i: np.ndarray, j: np.ndarray) -> np.ndarray
     return np.minimum(common + np.minimum(a.hidden[i], b.hidden[j]), np.minimum(a.high[i], b.high[j]))
 
 
+def _folded(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """The sketches of at least ``words`` words, folded to that many; zeros for the others."""
+    out = np.zeros((len(sketches), words), dtype=np.uint64)
+    for k, x in enumerate(sketches):
+        if len(x) >= words:
+            out[k] = np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+    return out
+
+
+def least_differ(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lower bound of the tokens that only one of the sets a[i] and b[j] has: an odd number of
+    them where the sketches differ.  The larger sketch is folded; 0 where one set has none."""
+    words = np.minimum(np.array([len(x) for x in a])[i], np.array([len(x) for x in b])[j])
+    out = np.zeros(len(i), dtype=np.int64)
+    for w in np.unique(words[words > 0]).tolist():
+        at = np.flatnonzero(words == w)
+        x = _folded(a, w)
+        y = x if a is b else _folded(b, w)
+        step = max(1, (1 << 19) // w)       # 4 MB of sketches at a time
+        for k in range(0, len(at), step):
+            p = at[k:k + step]
+            out[p] = np.bitwise_count(x[i[p]] ^ y[j[p]]).sum(axis=1)
+    return out
+
+
+def overlap_by_sketch(a: Level, b: Level, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``most`` of leaf pairs, or the bound of their sketches where that is less."""
+    if a.sketch is None or b.sketch is None or not len(i):
+        return most
+    return np.minimum(most, (a.low[i] + b.low[j] - least_differ(a.sketch, b.sketch, i, j)) // 2)
+
+
 def dual_traversal(a: list[Level], b: list[Level], percent: int, other_root: bool = False
                    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, overlap bound) of the leaf pairs that no bound excludes; if ``a is b``, i < j.
@@ -260,7 +309,11 @@ def dual_traversal(a: list[Level], b: list[Level], percent: int, other_root: boo
         most = most_overlap(x, y, i, j)
         fine = most * (100 + percent) >= percent * (x.low[i] + y.low[j])
         i, j, most = i[fine], j[fine], most[fine]
-        if height:
+        if not height:
+            most = overlap_by_sketch(x, y, i, j, most)
+            fine = most * (100 + percent) >= percent * (x.low[i] + y.low[j])
+            i, j, most = i[fine], j[fine], most[fine]
+        else:
             kids = np.arange(FAN)
             i = (i[:, None, None] * FAN + kids[None, :, None]) + np.zeros((1, 1, FAN), dtype=np.int64)
             j = (j[:, None, None] * FAN + kids[None, None, :]) + np.zeros((1, FAN, 1), dtype=np.int64)
@@ -306,6 +359,11 @@ def _bitmaps(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, _MAP_WORDS)
 
 
+def _sketches(column: pa.Array) -> list[np.ndarray]:
+    """Words of each row's sketch, none for a null."""
+    return [np.frombuffer(x or b"", dtype=np.uint64) for x in column.to_pylist()]
+
+
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -331,15 +389,16 @@ def _proposals(members: DataFrame, percent: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for block in _blocks(parts, 2):
-                sid, size, first = (block.column(k).to_numpy() for k in (2, 3, 5))
+                sid, size, first = (block.column(k).to_numpy() for k in (2, 3, 6))
                 if len(sid) > 1:
-                    i, j = best_partners(build_tree(_bitmaps(block.column(4)), size, sid), percent)
+                    tree = build_tree(_bitmaps(block.column(4)), size, sid, _sketches(block.column(5)))
+                    i, j = best_partners(tree, percent)
                     yield sid[i], sid[j]
                 if sid.min() != first[0]:
                     yield sid.min(keepdims=True), first[:1]
         yield from _pair_batches(found())
 
-    rows = members.select("key", F.col("chunk").cast("bigint"), "sid", "n_shingles", "bits", "first")
+    rows = members.select("key", F.col("chunk").cast("bigint"), "sid", "n_shingles", "bits", "sketch", "first")
     rows = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n_shingles", "sid")
     return map_arrow(rows, run, "a bigint, b bigint", release=True).distinct()
 
@@ -350,19 +409,19 @@ def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
         def found():
             for block in _blocks(parts, 3):
                 i, j = block.column(1)[0].as_py(), block.column(2)[0].as_py()
-                chunk, sid, size, root = (block.column(k).to_numpy() for k in (3, 4, 5, 7))
-                bits = _bitmaps(block.column(6))
+                chunk, sid, size, root = (block.column(k).to_numpy() for k in (3, 4, 5, 8))
+                bits, sketch = _bitmaps(block.column(6)), _sketches(block.column(7))
                 sides = [np.flatnonzero(chunk == k) for k in dict.fromkeys((i, j))]
                 if not all(map(len, sides)):
                     continue
-                trees = [build_tree(bits[s], size[s], root[s]) for s in sides]
+                trees = [build_tree(bits[s], size[s], root[s], [sketch[k] for k in s]) for s in sides]
                 x, y, _ = dual_traversal(trees[0], trees[-1], percent, other_root=True)
                 yield sid[sides[0][x]], sid[sides[-1][y]]
         yield from _pair_batches(found())
 
     cut = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     rows = cut.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk",
-                      "sid", "n_shingles", "bits", "root")
+                      "sid", "n_shingles", "bits", "sketch", "root")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_shingles", "sid")
     return map_arrow(rows, run, "a bigint, b bigint", release=True).distinct()
 
@@ -399,7 +458,7 @@ def _within_wide_bound(pairs: DataFrame, wide: DataFrame, percent: int) -> DataF
 
 def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     """(node, root) of the sets that are linked with another.  ``sets``: (sid, n_shingles,
-    keys, bits, min_id), one row for each distinct set."""
+    keys, bits, sketch, min_id), one row for each distinct set."""
     keyed = sets.select("sid", F.explode("keys").alias("key"))
     live = cut_lineage(keyed.groupBy("key").count().filter("count > 1").select("key"), "join-live")
     likely = with_member_flag(keyed, cut_lineage(bitmap_of(live, F.col("key"), KEY_BITS), "join-key-bits"), F.col("key"),
@@ -414,7 +473,7 @@ def linked_sets(sets: DataFrame, docs: DataFrame, n: int, percent: int, block: i
     sizes = sets.select("sid", "n_shingles")
     members = cut_lineage(keyed.join(many, "key").join(sizes, "sid").withColumn(
         "chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))), "join-members")
-    bits = sets.select("sid", "bits")
+    bits = sets.select("sid", "bits", "sketch")
 
     first = _within_bound(twos, sets, percent).unionByName(_proposals(members.join(bits, "sid"), percent))
     first = cut_lineage(first.distinct(), "join-pairs")
@@ -438,15 +497,18 @@ def _within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if not part.num_rows:
                 continue
             a, b, m, n = (part.column(k).to_numpy() for k in range(4))
-            x, y = (build_tree(_bitmaps(part.column(k)), size, size)[0] for k, size in ((4, m), (5, n)))
+            x, y = (build_tree(_bitmaps(part.column(k)), size, size, _sketches(part.column(k + 2)))[0]
+                    for k, size in ((4, m), (5, n)))
             at = np.arange(len(a))
-            fine = most_overlap(x, y, at, at) * (100 + percent) >= percent * (m + n)
+            fine = overlap_by_sketch(x, y, at, at, most_overlap(x, y, at, at)) * (100 + percent) >= percent * (m + n)
             yield pa.record_batch([pa.array(a[fine]), pa.array(b[fine])], schema=_PAIR)
 
-    one = sets.select(F.col("sid").alias("a"), F.col("n_shingles").alias("m"), F.col("bits").alias("x"))
-    two = sets.select(F.col("sid").alias("b"), F.col("n_shingles").alias("n"), F.col("bits").alias("y"))
+    one = sets.select(F.col("sid").alias("a"), F.col("n_shingles").alias("m"), F.col("bits").alias("x"),
+                     F.col("sketch").alias("sx"))
+    two = sets.select(F.col("sid").alias("b"), F.col("n_shingles").alias("n"), F.col("bits").alias("y"),
+                     F.col("sketch").alias("sy"))
     both = pairs.join(one, "a").join(two, "b")
-    return map_arrow(both.select("a", "b", "m", "n", "x", "y"), run, "a bigint, b bigint", release=True)
+    return map_arrow(both.select("a", "b", "m", "n", "x", "y", "sx", "sy"), run, "a bigint, b bigint", release=True)
 
 
 def _rows_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, wide: bool = False) -> DataFrame:
@@ -473,9 +535,9 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, pe
     rows = cut_lineage(_set_rows(named, words, percent), "join-sets")
     by_set = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("n"))
     copied = cut_lineage(by_set.filter("n > 1"), "join-copied")
-    likely = with_member_flag(rows.filter("sid IS NOT NULL").select("doc_id", "sid", "n_shingles", "keys", "bits"),
+    likely = with_member_flag(rows.filter("sid IS NOT NULL").select("doc_id", "sid", "n_shingles", "keys", "bits", "sketch"),
                               cut_lineage(bitmap_of(copied, F.col("sid")), "join-copy-bits"), F.col("sid"), "copy")
-    columns = ["sid", "n_shingles", "keys", "bits"]
+    columns = ["sid", "n_shingles", "keys", "bits", "sketch"]
     single = likely.filter(~F.col("copy")).select(*columns, F.col("doc_id").alias("min_id"))
     chance = likely.filter("copy").join(copied, "sid", "left_anti").select(*columns, F.col("doc_id").alias("min_id"))
     # of copies only rows with the smallest id move on

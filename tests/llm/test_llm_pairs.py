@@ -156,3 +156,55 @@ def test_wide_bitmaps_bound_the_overlap_and_exclude_most():
                 excluded += bound * 180 < 80 * (len(a) + len(b)) and size > 5
     assert excluded >= 20
     assert len(ngram_join.wide_bitmap(np.arange(20000, dtype=np.uint64))) <= 2 * 20000
+
+
+def test_sketches_bound_the_overlap_of_long_sets():
+    rng = np.random.default_rng(10)
+    sets = []
+    for size in (900, 1030, 2000, 4500, 9000, 30000, 90000):
+        pool = rng.integers(0, 1 << 63, 3 * size, dtype=np.uint64)
+        sets += [np.unique(pool[:size]), np.unique(np.concatenate([pool[:size * 6 // 10], pool[size:size * 15 // 10]])),
+                 np.unique(np.concatenate([pool[:size * 19 // 20], pool[2 * size:2 * size + 40]]))]
+    made = [ngram_join.parity_sketch(s) for s in sets]
+    sketches = [np.zeros(0, dtype=np.uint64) if x is None else np.frombuffer(x.tobytes(), dtype=np.uint64) for x in made]
+    assert [x is None for x in made[:3]] == [True] * 3 and max(x.nbytes for x in sketches) == ngram_join.SKETCH_BITS // 8
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets)), indexing="ij"))
+    for other in (sketches, list(sketches)):
+        differ = ngram_join.least_differ(sketches, other, i, j)
+        for x, y, d in zip(i.tolist(), j.tolist(), differ.tolist(), strict=True):
+            assert d <= len(np.setxor1d(sets[x], sets[y]))
+    bits = np.array([np.frombuffer(ngram_join.token_bitmap(s).tobytes(), dtype=np.uint64) for s in sets])
+    size = np.array([len(s) for s in sets])
+
+    def pairs(sketch):
+        i, j, _ = ngram_join.dual_traversal(*[ngram_join.build_tree(bits, size, np.arange(len(sets)), sketch)] * 2, 80)
+        return set(zip(i.tolist(), j.tolist(), strict=True))
+
+    linked = {(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets))
+              if 180 * len(np.intersect1d(sets[x], sets[y])) >= 80 * (size[x] + size[y])}
+    assert linked and linked <= pairs(sketches) <= pairs(None)
+    assert {(9, 10), (10, 11)} <= pairs(None) - pairs(sketches)        # 4,500 tokens, 60 % in common
+
+
+def test_long_documents_with_common_parts_do_not_pair(spark, monkeypatch):
+    """30 documents of 5,000 words that share half of their shingles, and copies of three of them
+    with a few edits: only those reach the comparison of full sets."""
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(5000)]
+    rows = [(k, " ".join(edited(rng, base, 350))) for k in range(30)]
+    rows += [(30 + k, " ".join(edited(rng, rows[k][1].split(), 20))) for k in range(3)]
+    seen = {}
+    written = ngram_join.cut_lineage
+
+    def counted(df, name="stage"):
+        out = written(df, name)
+        if name in ("join-pairs", "join-more-pairs"):
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df, words=5, percent=80, block=16).collect()}
+    assert got == dict(enumerate(near_groups(rows, 5, 80)))
+    assert sorted(k for k, v in got.items() if k != v) == [30, 31, 32]
+    assert sum(seen.values()) <= 20, seen       # with a pair for each block of a key
